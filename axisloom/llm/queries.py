@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisloom.llm import pieces, quality, simhash, token_counts, winnowing
-from axisloom.llm.common import split_hash, table
+from axisloom.llm import neighbours, pieces, private_data, quality, secrets, simhash, token_counts, winnowing
+from axisloom.llm.common import table
 
 
 def tokenizer_file(name: str) -> str:
@@ -20,6 +20,18 @@ def op1_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), modulus=20, k=20)
+
+
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return found.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -40,5 +52,5 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_duplicates, op6_token_counts, op7_sentencepiece, op8_quality, op10_winnowing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_duplicates, op2_secret_scan, op4_nearest_neighbours, op5_private_data, op6_token_counts, op7_sentencepiece, op8_quality, op10_winnowing)}
 ORACLE_SQL: dict[str, str] = {}
