@@ -167,9 +167,9 @@ def coarse_frag_lengths(spark, sf):
 
 
 _LOCUS = ("click", 100_000, 400_000, 5000)
-_SITES = """SELECT barcode, at FROM (SELECT barcode, unnest([CASE WHEN start >= 100000 THEN start END, CASE WHEN stop < 400000 THEN stop END]) AS at
-    FROM frag WHERE chrom = 'click' AND start < 400000 AND stop > 100000) WHERE at IS NOT NULL"""
-_PROFILE = "SELECT barcode, (at - 100000) // 5000 AS bin, count(*) AS cnt FROM sites GROUP BY ALL"
+_SITES = """SELECT barcode, site FROM (SELECT barcode, unnest([CASE WHEN start >= 100000 THEN start END, CASE WHEN stop < 400000 THEN stop END]) AS site
+    FROM frag WHERE chrom = 'click' AND start < 400000 AND stop > 100000) WHERE site IS NOT NULL"""
+_PROFILE = "SELECT barcode, (site - 100000) // 5000 AS bin, count(*) AS cnt FROM sites GROUP BY ALL"
 
 
 @query(oracle("SELECT * FROM prof", "frag", sites=_SITES, prof=_PROFILE))
@@ -317,7 +317,7 @@ def multi_load_filter(spark, sf):
     return matrix.multi_matrix({d: x.where(F.col("dataset") == d).drop("dataset") for d in "ab"}, min_cell=50, trim=1, min_region=3)
 
 
-@query(oracle("SELECT ridx, CAST(len(list_filter((SELECT list_transform(quantile_cont(readdepth, [0.05,0.1,0.15,0.2,0.25,0.3,0.35,0.4,0.45,0.5,0.55,0.6,0.65,0.7,0.75,0.8,0.85,0.9,0.95]), x -> round(x, 6)) FROM depth), q -> q < readdepth)) AS INT) AS cntbin FROM depth", "depth"))
+@query(oracle("SELECT ridx, CAST(len(list_filter((SELECT list_transform(quantile_cont(readdepth, [0.05,0.1,0.15,0.2,0.25,0.3,0.35,0.4,0.45,0.5,0.55,0.6,0.65,0.7,0.75,0.8,0.85,0.9,0.95]), lambda x: round(x, 6)) FROM depth), lambda q: q < readdepth)) AS INT) AS cntbin FROM depth", "depth"))
 def depth_bins(spark, sf):
     x = Inputs(spark, sf)
     totals = matrix.region_totals(x.counts, x.tile)
@@ -514,7 +514,7 @@ def bed9_segments(spark, sf):
     return C.bed9(Inputs(spark, sf).seg, STATES).select("ridx", "chrom", "start", "stop", "name", "strand", "thickStart", "thickEnd", "itemRgb", "score")
 
 
-_BINS = "SELECT ridx, len(list_filter((SELECT list_transform(quantile_cont(readdepth, [0.05,0.1,0.15,0.2,0.25,0.3,0.35,0.4,0.45,0.5,0.55,0.6,0.65,0.7,0.75,0.8,0.85,0.9,0.95]), x -> round(x, 6)) FROM depth), q -> q < readdepth)) AS cntbin FROM depth"
+_BINS = "SELECT ridx, len(list_filter((SELECT list_transform(quantile_cont(readdepth, [0.05,0.1,0.15,0.2,0.25,0.3,0.35,0.4,0.45,0.5,0.55,0.6,0.65,0.7,0.75,0.8,0.85,0.9,0.95]), lambda x: round(x, 6)) FROM depth), lambda q: q < readdepth)) AS cntbin FROM depth"
 
 
 @query(oracle(

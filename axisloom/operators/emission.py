@@ -57,7 +57,7 @@ def log_likelihood(counts: DataFrame, regions: DataFrame, emission: DataFrame, n
     lut = rising_logs(alpha, ["dataset", "barcode", "state"], top, ["dataset", "barcode"])
     # The states of a count stand together in one row, so that counts are joined once and not once for each state.
     wide = lut.groupBy("dataset", "barcode", "m").pivot("state", list(range(n_states))).agg(F.first("value"))
-    met = counts.join(wide, (counts["dataset"] == wide["dataset"]) & (counts["barcode"] == wide["barcode"]) & (counts["cnt"] == wide["m"])).select(counts["dataset"], "ridx", *(F.col(str(k)) for k in range(n_states)))
+    met = counts.join(wide.withColumnRenamed("m", "cnt"), ["dataset", "barcode", "cnt"])
     gains = met.groupBy("dataset", "ridx").agg(*(F.sum(str(k)).alias(f"g{k}") for k in range(n_states)))
     alpha0 = alpha.groupBy("dataset", "state").agg(F.sum("a").alias("a"))
     deepest = depth.groupBy("dataset").agg(F.max("n").alias("top"))
