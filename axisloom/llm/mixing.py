@@ -126,6 +126,6 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total
     """docs with each row as many times as its copies say; with least >= 1 every row stays at least once."""
     _, rows = soft_mix(docs, labelled, targets, total, least)
     times = rows.select("doc_id", "text_hash", "copies").dropDuplicates(["doc_id", "text_hash"])
-    keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    met = keyed.alias("d").join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.text_hash") == F.col("t.text_hash")))
-    return met.select("d.*", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).select(*docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    met = whole.join(times, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
+    return met.select("d", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("d.*")

@@ -78,7 +78,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], settings: Settings) -> M
     """
     rng = np.random.default_rng(settings.seed)
     m = Model(settings, rng.uniform(-1, 1, (settings.buckets, settings.dim)) / settings.dim, np.zeros((2, settings.dim)), np.zeros(2))
-    kinds = np.bincount([y for _, _, y in rows], minlength=2)
+    kinds = np.bincount(np.array([y for _, _, y in rows], np.int64), minlength=2)
     m.bias = np.log(kinds + 1.0) - np.log(len(rows) + 2.0)
     if kinds.min() == 0:
         return m
