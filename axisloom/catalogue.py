@@ -227,7 +227,7 @@ def dedup_reads(spark, sf):
 def custom_barcode(spark, sf):
     x = Inputs(spark, sf)
     reads = x.aln.withColumn("barcode", C.barcode(lambda name: F.split(name, ":")[0], tags=""))
-    met = reads.join(F.broadcast(x.groups.select(F.expr("substring(barcode, 2)").alias("barcode"), F.lit(True).alias("grouped"))), "barcode", "left")
+    met = reads.join(x.groups.select(F.expr("substring(barcode, 2)").alias("barcode"), F.lit(True).alias("grouped")), "barcode", "left")
     return met.groupBy("barcode", F.coalesce("grouped", F.lit(False)).alias("grouped")).agg(F.count("*").alias("n"))
 
 

@@ -79,8 +79,14 @@ def without_chroms(reads: DataFrame, patterns: Sequence[str]) -> DataFrame:
 
 
 def deduplicated(reads: DataFrame, order: Sequence[str] = ("rname", "pos", "qname")) -> DataFrame:
-    """Reads that differ in chromosome, position, strand or template length from the last one of their barcode."""
-    last = F.lag(F.struct("rname", "pos", flag(16).alias("reverse"), "tlen")).over(Window.partitionBy("barcode").orderBy(*order))
+    """Reads that differ in chromosome, position, strand or template length from the last one of their barcode.
+
+    In an order that begins with chromosome and position, the last read at another place always differs, so places are
+    told apart first and a barcode with very many reads is no single task.
+    """
+    place = 2 if tuple(order[:2]) == ("rname", "pos") else 0
+    w = Window.partitionBy("barcode", *order[:place]).orderBy(*order[place:])
+    last = F.lag(F.struct("rname", "pos", flag(16).alias("reverse"), "tlen")).over(w)
     now = F.struct("rname", "pos", flag(16).alias("reverse"), "tlen")
     return reads.withColumn("last", last).where(~now.eqNullSafe(F.col("last"))).drop("last")
 

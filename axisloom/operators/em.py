@@ -62,8 +62,9 @@ def initial_model(counts: DataFrame, regions: DataFrame, n_states: int, seed: in
 
 
 def expectation(model: Model, counts: DataFrame, regions: DataFrame, o: Options, chain_of: DataFrame | None = None) -> DataFrame:
-    likelihood = log_likelihood(counts, regions, model.emission, model.n_states)
-    return posteriors(blocked(likelihood, model.n_states, o.block_rows, chain_of), model.chain, o.boundary)
+    blocks = blocked(log_likelihood(counts, regions, model.emission, model.n_states), model.n_states, o.block_rows, chain_of)
+    # The exact scan reads the likelihoods twice; one row a region is little against the counts that they come from.
+    return posteriors(stored(blocks) if o.boundary == "exact" else blocks, model.chain, o.boundary)
 
 
 def fit(counts: DataFrame, regions: DataFrame, n_states: int, iterations: int = 10, seed: int = 32, options: Options | None = None, chain_of: DataFrame | None = None) -> Model:
@@ -72,7 +73,8 @@ def fit(counts: DataFrame, regions: DataFrame, n_states: int, iterations: int =
     chain_of: (ridx, chain) starts a chain anew, for instance on every chromosome; by default the axis is one chain.
     """
     o = options or Options()
-    counts = stored(counts)
+    counts, regions = stored(counts), stored(regions.select("ridx"))
+    chain_of = chain_of if chain_of is None else stored(chain_of)
     model = initial_model(counts, regions, n_states, seed, o)
     model.emission = stored(model.emission)
     for i in range(iterations):
@@ -113,8 +115,8 @@ def posterior(model: Model, counts: DataFrame, regions: DataFrame, o: Options |
 def predict(model: Model, counts: DataFrame, regions: DataFrame, algorithm: str = "map", o: Options | None = None, chain_of: DataFrame | None = None) -> DataFrame:
     """(ridx, state) by decoder: map or viterbi."""
     o = o or Options()
-    likelihood = log_likelihood(counts, regions, model.emission, model.n_states)
-    return decode(blocked(likelihood, model.n_states, o.block_rows, chain_of), model.chain, algorithm, o.boundary)
+    blocks = stored(blocked(log_likelihood(counts, regions, model.emission, model.n_states), model.n_states, o.block_rows, chain_of))
+    return decode(blocks, model.chain, algorithm, o.boundary)
 
 
 def robust_posterior(model: Model, counts: DataFrame, regions: DataFrame, o: Options | None = None) -> DataFrame:
