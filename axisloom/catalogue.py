@@ -487,9 +487,11 @@ def posterior_islands(spark, sf):
     return segments.posterior_islands(Inputs(spark, sf).seg, [1, 2], 0.7).withColumn("readdepth", F.round("readdepth", 4))
 
 
-@query(oracle("SELECT state, p FROM pi ORDER BY p, state LIMIT 2", "pi"))
+@query(oracle("SELECT state, round(p, 4) AS p FROM (SELECT state, count(*) / (SELECT count(*) FROM seg) AS p FROM seg GROUP BY state) ORDER BY p, state LIMIT 2", "seg"))
 def rare_states(spark, sf):
-    return segments.chosen_states(stationary(spark), "rarest", n=2)
+    seg = Inputs(spark, sf).seg
+    share = seg.groupBy("state").agg(F.count("*").alias("n")).join(seg.agg(F.count("*").alias("all")), how="cross")
+    return segments.chosen_states(share.select("state", (F.col("n") / F.col("all")).alias("p")), "rarest", n=2).select("state", r4("p", "p"))
 
 
 @query(oracle("SELECT barcode, state, count(*)::DOUBLE AS n FROM counts c JOIN segp s ON c.ridx = s.ridx WHERE Prob_max >= 0.7::DOUBLE GROUP BY ALL", "seg", "counts", segp=_SEGP))

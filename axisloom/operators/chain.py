@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axisloom.plans.ship import shipped
+
 
 @dataclass
 class Chain:
@@ -51,6 +53,7 @@ def blocked(likelihood: DataFrame, n_states: int, block_rows: int, chain_of: Dat
 
     chain_of: (ridx, chain) cuts the axis into chains, such as chromosomes; otherwise there is one, named "".
     """
+    shipped(likelihood.sparkSession)
     wide = likelihood.groupBy("ridx").agg(F.array_sort(F.collect_list(F.struct("state", "ll"))).alias("x")).select("ridx", F.transform("x", lambda s: s["ll"]).alias("ll"))
     wide = wide.withColumn("chain", F.lit("")) if chain_of is None else wide.join(chain_of.select("ridx", "chain"), "ridx")
     return wide.select("chain", F.expr(f"ridx div {block_rows}").alias("block"), "ridx", "ll")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from axisloom.functions.columns import tss_window
 from axisloom.operators.chain import Chain
 from axisloom.operators.intervals import overlap_join
+from axisloom.plans.ship import shipped
 
 
 def windows(features: DataFrame, flank: int = 50_000, using_tss: bool = True) -> DataFrame:
@@ -83,6 +84,7 @@ def visits(chain: Chain, length: int, state: int, frequencies: int = 4096) -> np
 
 def null_distribution(lengths: DataFrame, chain: Chain) -> DataFrame:
     """(length, state, visits, p) for each length above 0; one task for each (length, state)."""
+    shipped(lengths.sparkSession)
     k = len(chain.start)
     pairs = lengths.where("length > 0").select("length").distinct().select("length", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("state"))
 
