@@ -142,6 +142,27 @@ def read_counts_eitherend(spark, sf):
     return counting.reads_in_tile(x.reads, x.read_sizes, 5000, "eitherend")
 
 
+_RTILE = "SELECT off + i AS ridx, chrom, i * 5000 AS start, least((i + 1) * 5000, size) AS stop FROM (SELECT *, unnest(range(CAST(ceil(size / 5000.0) AS BIGINT))) AS i FROM roff)"
+
+
+@query(oracle(
+    "SELECT ridx, barcode, count(*) AS cnt FROM rtile t JOIN points p ON p.chrom = t.chrom AND p.x >= greatest(t.start - 100, 0) AND p.x < t.stop + 100 GROUP BY ALL", "aln", **_READS, rtile=_RTILE,
+    points=f"SELECT rname AS chrom, barcode, CASE WHEN flag & 2 <> 0 AND flag & 64 <> 0 THEN least(pos, mpos) + abs(tlen) // 2 ELSE five END AS x FROM reads WHERE {_FINE} AND ((flag & 2 <> 0 AND flag & 64 <> 0) OR flag & 1 = 0)",
+))
+def read_region_counts(spark, sf):
+    x = Inputs(spark, sf)
+    return counting.reads_in_regions(x.reads, tiling.tile(x.read_sizes, 5000), "midpoint", flank=100, width=5000)
+
+
+@query(oracle(
+    "SELECT t.ridx AS ridx, least(f.stop - f.start, 1000) AS len, count(*) AS cnt FROM rtile t JOIN frags f ON f.chrom = t.chrom AND f.start < t.stop AND t.start < f.stop GROUP BY ALL", "aln", **_READS, rtile=_RTILE,
+    frags="SELECT rname AS chrom, least(pos, mpos) AS start, least(pos, mpos) + abs(tlen) AS stop FROM aln WHERE flag & 2 <> 0 AND flag & 64 <> 0 AND mapq >= 30 AND tlen <> 0",
+))
+def read_frag_lengths(spark, sf):
+    x = Inputs(spark, sf)
+    return counting.region_lengths(counting.read_fragments(x.reads), tiling.tile(x.read_sizes, 5000), 1000)
+
+
 @query(oracle("SELECT t.ridx AS ridx, least(f.stop - f.start, 200) AS len, count(*) AS cnt FROM tile t JOIN frag f ON t.chrom = f.chrom AND t.start < f.stop AND f.start < t.stop GROUP BY ALL", "tile", "frag"))
 def frag_lengths(spark, sf):
     x = Inputs(spark, sf)
@@ -527,6 +548,17 @@ def depth_bin_emission(spark, sf):
     return emission.depth_bin_emission(depth_bins(spark, sf), Inputs(spark, sf).posterior).select("cntbin", "state", r4("n", "n"), r4("p", "p"))
 
 
+@query(oracle(
+    "SELECT b.ridx AS ridx, e.state AS state, round(ln(e.n / e.whole), 4) AS ll FROM bins b JOIN (SELECT *, sum(n) OVER (PARTITION BY state) AS whole FROM emi) e ON b.cntbin = e.cntbin",
+    "seg", "depth", segp=_SEGP, bins=_BINS, long=" UNION ALL ".join(f"SELECT ridx, {i} AS state, Prob_state_{i} AS p FROM segp" for i in range(STATES)),
+    emi="SELECT cntbin, l.state AS state, sum(l.p) AS n FROM bins b JOIN long l ON b.ridx = l.ridx GROUP BY ALL",
+))
+def depth_bin_loglik(spark, sf):
+    bins = depth_bins(spark, sf)
+    found = emission.depth_bin_loglik(bins, emission.depth_bin_emission(bins, Inputs(spark, sf).posterior))
+    return found.select("ridx", "state", r4("ll", "ll"))
+
+
 # ---------------------------------------------------------------- enrichment
 
 _WINDOWS = """SELECT *, greatest((CASE WHEN strand = '-' THEN stop ELSE start END) - {f}, 0) AS a, (CASE WHEN strand = '-' THEN stop ELSE start END) + 1 + {f} AS b FROM genes"""

@@ -191,3 +191,33 @@ def test_initial_states_do_not_depend_on_partitions(spark):
     b = {r["ridx"]: r["state"] for r in emission.initial_states(rows.repartition(7), 4).collect()}
     assert a == b
     assert set(a.values()) == {0, 1, 2, 3}
+
+
+def test_seeds_keep_the_best_and_one_number_is_a_list_of_one(spark):
+    counts, regions = two_state_data(spark, 80)
+    best, scores = em.fit_seeds(counts, regions, 2, [1, 2], 1)
+    assert best.score == max(scores.values())
+    assert set(em.fit_seeds(counts, regions, 2, 7, 1)[1]) == {7}
+
+
+def test_robust_posteriors_are_means_over_matrices(spark):
+    counts, regions = two_state_data(spark, 80)
+    twice = counts.unionByName(counts.withColumn("dataset", F.lit("e")))
+    model = em.fit(twice, regions, 2, 1)
+    got = em.robust_posterior(model, twice, regions).collect()
+    assert len(got) == 160
+    assert all(r["sd"] < 1e-9 for r in got)
+    one = em.posterior(em.Model(2, model.chain, model.emission.where("dataset = 'd'")), counts, regions)
+    want = {(r["ridx"], r["state"]): r["p"] for r in one.collect()}
+    assert all(math.isclose(r["mean"], want[r["ridx"], r["state"]], abs_tol=1e-9) for r in got)
+
+
+def test_depth_bins_start_uniform(spark):
+    rows = emission.uniform_depth_bins(spark, 4, 2).collect()
+    assert sorted((r["cntbin"], r["state"], r["p"]) for r in rows) == [(b, s, 0.25) for b in range(4) for s in range(2)]
+
+
+def test_early_stop_needs_a_tolerance(spark):
+    counts, regions = two_state_data(spark, 80)
+    assert em.fit(counts, regions, 2, 3).iterations == 3
+    assert em.fit(counts, regions, 2, 8, options=em.Options(tolerance=1e9)).iterations < 8
