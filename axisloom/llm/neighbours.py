@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisloom.llm.common import saved
+from axisloom.plans.ship import shipped
 
 
 @dataclass
@@ -126,6 +127,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
     That length is the most frequent one (the smaller of equals).
     """
+    shipped(vectors.sparkSession)
     v = F.col("embedding")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axisloom.llm.common import slices, text_docs
+from axisloom.plans.ship import shipped
 
 #: The base patterns, in the order in which spans at one place are listed.
 KINDS = ("assign", "access", "hex", "markov")
@@ -73,6 +74,7 @@ def counted(strings: DataFrame) -> DataFrame:
         kind, step = np.nonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(kind.astype(bool)), pa.array(step.astype(np.int32)), pa.array(held[kind, step])], ["random", "step", "n"])
 
+    shipped(strings.sparkSession)
     return strings.where("value IS NOT NULL AND random IS NOT NULL").select("value", "random").mapInArrow(run, "random boolean, step int, n long").groupBy("random", "step").agg(F.sum("n").alias("n"))
 
 

@@ -1,6 +1,8 @@
 """Corpus pipeline: quality, near-duplicates, secrets, mixing, SentencePiece. Each stage works on all that its predecessor kept.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, and
+further columns of docs are left out. In every stage null texts count as empty, repeated rows (of one id and text) have
+the same fate, a null doc_id is kept as it is, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,7 +22,10 @@ TARGETS = {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is LEAST_QUALITY or more; the model learns as op8 does, held-out labels unseen."""
+    """Documents whose quality score is LEAST_QUALITY or more; the model learns as op8 does, held-out labels unseen.
+
+    Texts without words have the score of the labels' shares alone.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"), learn_from=~quality.held_out())
     return quality.scores(docs.select(*COLUMNS), model, *COLUMNS[2:]).where(F.col("score") >= LEAST_QUALITY).select(*COLUMNS)
 
@@ -29,7 +34,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each near-duplicate group, the one with the smallest id.
 
     Fingerprints of three-word shingles within 14 bits are candidates, and texts whose five-word shingle sets are alike
-    by 0.8 or more are linked. Rows without an id, which no group can name, stay.
+    by 0.8 or more are linked. Rows without an id, which no group can name, stay; so do all rows of an id that stays.
+    Texts without words are one group.
     """
     groups = simhash.near_groups(docs, shingle=3, radius=14, verify_shingle=5, similarity=0.8)
     gone = groups.where("doc_id != component_id").select("doc_id").distinct()

@@ -1,6 +1,8 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from axisloom.llm import quality, secrets, simhash
-from tests.llm.helpers import SF, documents
+from tests.llm.helpers import SF, awkward, documents, empty
 
 
 def test_stages_do_what_their_operators_decide(spark, tmp_path):
@@ -27,5 +29,23 @@ def test_stages_do_what_their_operators_decide(spark, tmp_path):
     assert {n for n, _ in corpus_pipeline.STAGES} == {"quality", "near_duplicates", "secrets", "mixing", "sentencepiece"}
 
 
+def test_stages_take_awkward_rows_and_empty_tables(spark):
+    extra = awkward(spark).select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("n_chars"), "score", "text_hash", "fp")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, extra, SF)
+        assert stage(spark, empty(spark), SF).count() == 0
+        if name == "sentencepiece":
+            assert got.count() == 11
+            continue
+        assert got.columns == list(corpus_pipeline.COLUMNS)
+        ids = sorted((r["doc_id"] or 0 for r in got.select("doc_id").collect()))
+        if name == "near_duplicates":
+            assert ids == [0, 1, 3, 7, 8, 9, 10]
+        if name == "secrets":
+            assert ids == [0, 1, 2, 2, 3, 4, 5, 7, 8, 9, 10]
+        if name == "mixing":
+            assert set(ids) == {0, 1, 2, 3, 4, 5, 7, 8, 9, 10}
+
+
 def test_run_applies_the_stages(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
