@@ -1,26 +1,28 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
 A chunk is a run of white-space markers with the marks that follow it. Where no piece of the model has a marker after
-another character, no piece crosses from one chunk into the next, so a text's ids are its chunks' ids in order. Each
-chunk of the table is segmented once and joined back by position, in the task that holds the text.
+another character, no piece crosses from one chunk into the next, so a text's ids are its chunks' ids in order.
 
-The table is broadcast, so its size is bounded: it holds the `table_rows` most frequent chunks (all that occur at least
-as often as a threshold read off a histogram of counts). Chunks that are rarer, mostly ones that occur once in the whole
-corpus, are segmented where they occur, once for each slice of texts. Results do not depend on where that line lies.
+1. Documents are dealt into blocks of about `docs_per_block`, packed and compressed, so a block is a few rows.
+2. Each block sends its distinct chunks, by the hash of the chunk, so equal ones of all blocks meet; each is segmented
+   once.
+3. The ids come back to every block that has the chunk, and are joined to the block's texts by position.
+
+No task holds more than a block's texts and chunks, and nothing is broadcast or gathered by the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from itertools import chain
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisloom.llm.common import saved, slices, text_docs
+from axisloom.llm.common import blob, block_count, packed, slices, text_docs, unpacked
 
 MARK = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
@@ -43,104 +45,100 @@ def chunkable(sp) -> bool:
 
 
 def chunks(text: str) -> list[str]:
-    """The chunks of a text behind its dummy prefix, spaces standing for markers; none for an empty text."""
-    return CHUNK.findall(" " + text) if text else []
-
-
-class Segmenter:
-    """Ids of whole texts, exactly as the library's encode gives them, from a table of chunks and a bounded memory."""
-
-    def __init__(self, model: str, table: dict[str, list[int]] | None = None, memory: int = 200_000):
-        self.sp, self.table, self.memory = processor(model), table or {}, memory
-        self.by_chunks = chunkable(self.sp)
-        self.seen: dict[str, list[int]] = {}
+    """The chunks of a text behind its dummy prefix, spaces standing for markers.
 
-    def segments(self, new: list[str]) -> list[list[int]]:
-        """Ids of chunks. The library puts a marker before what it gets, so a chunk goes in without its first one."""
-        lone = self.sp.piece_to_id(MARK)
-        return [[lone] if c == " " else ids for c, ids in zip(new, self.sp.encode([c[1:] for c in new], num_threads=1), strict=True)]
+    None for an empty text, nor for one that holds the marker itself: that one is encoded as a whole.
+    """
+    return CHUNK.findall(" " + text) if text and MARK not in text else []
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self.by_chunks:
-            return self.sp.encode(texts, num_threads=1)
-        cut = [chunks(t) if MARK not in t else None for t in texts]
-        if len(self.seen) > self.memory:
-            self.seen.clear()
-        new = [c for c in set(chain.from_iterable(c for c in cut if c)) if c not in self.table and c not in self.seen]
-        self.seen.update(zip(new, self.segments(new), strict=True))
-        find = {c: self.table.get(c) or self.seen[c] for c in set(chain.from_iterable(c for c in cut if c))}
-        return [list(chain.from_iterable(map(find.__getitem__, c))) if c is not None else self.sp.encode(t, num_threads=1) for c, t in zip(cut, texts, strict=True)]
 
+def segments(sp, distinct: list[str]) -> list[list[int]]:
+    """Ids of chunks. The library puts a marker before what it gets, so a chunk goes in without its first one."""
+    lone = sp.piece_to_id(MARK)
+    return [[lone] if c == " " else ids for c, ids in zip(distinct, sp.encode([c[1:] for c in distinct], num_threads=1), strict=True)]
 
-def chunk_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
-    """(chunk, n) over all texts; partial counts leave a task whenever it holds `flush` chunks."""
 
-    def run(batches):
-        held: Counter = Counter()
-        for b in batches:
-            for _, texts in slices(b, "text", 1_000_000):
-                for t in texts:
-                    held.update(chunks(t))
-                if len(held) >= flush:
-                    yield counted(held)
-                    held.clear()
-        if held:
-            yield counted(held)
+def encoded(sp, texts: list[str], table: dict[str, list[int]]) -> list[list[int]]:
+    """Ids of whole texts, exactly as the library's encode gives them, from a table of all their chunks."""
+    return [list(chain.from_iterable(map(table.__getitem__, chunks(t)))) if MARK not in t else sp.encode(t, num_threads=1) for t in texts]
 
-    def counted(held):
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["chunk", "n"])
 
-    return text_docs(docs).select("text").mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+def requests(blobs: pa.Table, parts: int) -> dict[int, list[str]]:
+    """The distinct chunks of a block's texts, sorted, by part of the chunks' hashes. The same for the same block always."""
+    found: set[str] = set()
+    for t in unpacked(blobs):
+        for text in t.column("text").to_pylist():
+            found.update(chunks(text))
+    by_part: dict[int, list[str]] = {}
+    for c in sorted(found):
+        by_part.setdefault(crc32(c.encode("utf-8", "surrogatepass")) % parts, []).append(c)
+    return by_part
 
 
-def chunk_table(docs: DataFrame, model: str, table_rows: int = 200_000, longest: int = 64) -> DataFrame:
-    """(chunk, ids array<int>): the most frequent chunks of at most `longest` characters, at most table_rows of them.
+def chunk_table(dealt: DataFrame, model: str, parts: int) -> DataFrame:
+    """(block, part, data): the ids of the distinct chunks of each block, in blobs, in the order of the block's requests.
 
-    A chunk that occurs once needs no table. The driver sees a histogram of counts in steps of an eighth of a doubling.
+    dealt: blocks as common.packed makes them. A block sends its chunks on in one sorted blob for each of `parts` parts
+    of the chunks' hashes. A part sees all blocks' chunks, segments each distinct one once, and answers every block.
     """
-    counts = saved(chunk_counts(docs).where((F.col("n") > 1) & (F.char_length("chunk") <= longest)))
-    level = F.floor(F.log2("n") * 8).cast("int")
-    histogram = sorted(((r["level"], r["k"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()), reverse=True)
-    room, least = table_rows, 10**6
-    for at, k in histogram:
-        if (room := room - k) < 0:
-            break
-        least = at
 
-    def run(batches):
-        segmenter = Segmenter(model)
-        for b in batches:
-            new = b.column("chunk")
-            yield pa.RecordBatch.from_arrays([new, pa.array(segmenter.segments(new.to_pylist()), pa.list_(pa.int32()))], ["chunk", "ids"])
+    def of_block(rows: pa.Table) -> pa.Table:
+        asked = requests(rows, parts)
+        data = [blob(pa.table({"chunk": pa.array(x, pa.string())})) for x in asked.values()]
+        return pa.table({"part": pa.array(list(asked), pa.int64()), "block": pa.array([rows.column("block")[0].as_py()] * len(data), pa.int64()), "data": pa.array(data, pa.binary())})
+
+    def of_part(rows: pa.Table) -> pa.Table:
+        asked = [[c for t in unpacked(rows.slice(i, 1)) for c in t.column("chunk").to_pylist()] for i in range(rows.num_rows)]
+        distinct = sorted(set(chain.from_iterable(asked)))
+        ids = dict(zip(distinct, segments(processor(model), distinct), strict=True))
+        data = [blob(pa.table({"ids": pa.array([ids[c] for c in x], pa.list_(pa.int32()))})) for x in asked]
+        return pa.table({"block": rows.column("block"), "part": rows.column("part"), "data": pa.array(data, pa.binary())})
 
-    return counts.where(level >= least).select("chunk").mapInArrow(run, "chunk string, ids array<int>")
+    return dealt.groupBy("block").applyInArrow(of_block, "part long, block long, data binary").groupBy("part").applyInArrow(of_part, "block long, part long, data binary")
 
 
-def encode(docs: DataFrame, model: str, table_rows: int = 200_000, decoded: bool = True, digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str, decoded: bool = True, digests: bool = False, docs_per_block: int = 5000) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) for every row of docs, as the library encodes and decodes.
 
     model: path of a sentencepiece model, the same on all workers. digests: (doc_id, n_tokens, ids_sha256,
     decoded_sha256) instead, so that ids need not leave the task. Null and empty texts have no ids and decode to the
     empty text; repeated rows give repeated rows; a null doc_id stays null; an empty table gives no rows; columns other
-    than doc_id and text are ignored. Texts that hold the marker itself, and models whose pieces cross markers, are
-    encoded by the library as a whole.
+    than doc_id and text are ignored. Texts that hold the marker itself are encoded by the library as a whole, and so is
+    everything with a model whose pieces cross markers.
     """
-    spark = docs.sparkSession
+    shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string"
+
+    def results(sp, ids: pa.Array, texts: list[str], found: list[list[int]]) -> pa.RecordBatch:
+        back = sp.decode(found, num_threads=1) if texts and (decoded or digests) else [None] * len(texts)
+        if digests:
+            cols = [pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in found], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string())]
+            return pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.int32())), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
+
     rows = text_docs(docs)
-    got = chunk_table(rows, model, table_rows).toArrow() if chunkable(processor(model)) else pa.table({"chunk": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
-    held = spark.sparkContext.broadcast((got.column("chunk").to_pylist(), got.column("ids").to_pylist()))
-
-    def run(batches):
-        segmenter = Segmenter(model, dict(zip(*held.value, strict=True)))
-        for b in batches:
-            ids = b.column("doc_id")
-            for at, texts in slices(b, "text", 1_000_000):
-                found = segmenter.encode(texts)
-                back = segmenter.sp.decode(found, num_threads=1) if decoded or digests else [None] * len(texts)
-                if digests:
-                    cols = [pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in found]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back])]
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array(found, pa.list_(pa.int32())), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string")
+    if not chunkable(processor(model)):
+
+        def whole(batches):
+            sp = processor(model)
+            for b in batches:
+                for at, texts in slices(b, "text", 1_000_000):
+                    yield results(sp, b.column("doc_id").slice(at, len(texts)), texts, sp.encode(texts, num_threads=1))
+
+        return rows.mapInArrow(whole, shape)
+
+    blocks = block_count(rows, docs_per_block)
+    dealt = packed(rows, blocks)
+
+    def joined(blobs: pa.Table, table: pa.Table) -> pa.Table:
+        sp = processor(model)
+        known: dict[str, list[int]] = {}
+        asked = requests(blobs, blocks)
+        for i, part in enumerate(table.column("part").to_pylist()):
+            known.update(zip(asked[part], chain.from_iterable(t.column("ids").to_pylist() for t in unpacked(table.slice(i, 1))), strict=True))
+        out = []
+        for t in unpacked(blobs):
+            for at, texts in slices(t, "text", 1_000_000):
+                out.append(results(sp, t.column("doc_id").slice(at, len(texts)), texts, encoded(sp, texts, known)))
+        return pa.Table.from_batches(out)
+
+    return dealt.groupBy("block").cogroup(chunk_table(dealt, model, blocks).groupBy("block")).applyInArrow(joined, shape)

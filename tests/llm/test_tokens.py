@@ -50,12 +50,12 @@ def test_token_counts_of_awkward_rows(spark):
     assert token_counts.token_counts(empty(spark), WORDS).count() == 0
 
 
-def test_segmenter_equals_the_library():
+def test_chunks_give_the_library_ids():
     sp, texts = SentencePieceProcessor(model_file=PIECES), invented(1, 3000, ALPHABET, 30)
-    segmenter = pieces.Segmenter(PIECES, {" the": sp.encode("the")}, memory=20)
     assert pieces.chunkable(sp)
-    for i in range(0, 3000, 100):
-        assert segmenter.encode(texts[i : i + 100]) == sp.encode(texts[i : i + 100])
+    distinct = sorted({c for t in texts for c in pieces.chunks(t)})
+    table = dict(zip(distinct, pieces.segments(sp, distinct), strict=True))
+    assert pieces.encoded(sp, texts, table) == sp.encode(texts)
 
 
 def digests(sp, text):
@@ -63,13 +63,35 @@ def digests(sp, text):
     return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("table_rows", [0, 50, 200_000])
-def test_encoding_and_decoding_documents(spark, table_rows):
+@pytest.mark.parametrize("docs_per_block", [7, 6000])
+def test_encoding_and_decoding_documents(spark, docs_per_block):
     sp, docs = SentencePieceProcessor(model_file=PIECES), documents(spark, 150)
     want = {r["doc_id"]: digests(sp, r["text"]) for r in docs.collect()}
-    got = pieces.encode(docs, PIECES, table_rows=table_rows, digests=True).collect()
+    got = pieces.encode(docs, PIECES, digests=True, docs_per_block=docs_per_block).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == want
+
+
+def test_the_table_answers_every_request_of_a_block(spark):
+    docs, sp = documents(spark, 60), SentencePieceProcessor(model_file=PIECES)
+    dealt = pieces.packed(pieces.text_docs(docs), 3)
+    rows, blobs, seen = pieces.chunk_table(dealt, PIECES, 4).toArrow(), dealt.toArrow(), set()
+    for block in range(3):
+        mine = blobs.filter([b == block for b in blobs.column("block").to_pylist()])
+        asked = pieces.requests(mine, 4)
+        for i in range(rows.num_rows):
+            if rows.column("block")[i].as_py() == block:
+                part = rows.column("part")[i].as_py()
+                assert [x for t in pieces.unpacked(rows.slice(i, 1)) for x in t.column("ids").to_pylist()] == pieces.segments(sp, asked[part])
+                seen.add((block, part))
+    assert rows.num_rows == len(seen) == 12
+
+
+def test_a_model_with_crossing_pieces_is_left_to_the_library(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "chunkable", lambda sp: False)
+    sp, docs = SentencePieceProcessor(model_file=PIECES), documents(spark, 30)
+    want = {r["doc_id"]: digests(sp, r["text"]) for r in docs.collect()}
+    got = pieces.encode(docs, PIECES, digests=True).collect()
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == want
-    assert pieces.chunk_table(docs, PIECES, table_rows).count() <= table_rows
 
 
 def test_encoding_awkward_rows(spark):
