@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", settings:
     return fit([(ids[i].values.to_numpy(), share[i].values.to_numpy(), y) for i, y in enumerate(got.column("y").to_pylist())], s)
 
 
-def scores(docs: DataFrame, model: Model, *more: str, memory: int = 300_000) -> DataFrame:
+def scores(docs: DataFrame, model: Model, *more: str, memory: int = 200_000) -> DataFrame:
     """Every row's doc_id, text and named columns with a score: the probability of class 1.
 
     Null texts count as empty; a text without words has the score of the bias alone. Equal texts have equal scores;

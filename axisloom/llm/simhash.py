@@ -178,7 +178,7 @@ def part_counts(fp: np.ndarray, parts: int) -> np.ndarray:
     return np.stack([np.bitwise_count(fp & m) for m in masks], axis=1).astype(np.int64)
 
 
-def links(nodes: DataFrame, radius: int, parts: int, block_rows: int = 8192, similarity: float | None = None, rows_per_group: int = 40_000) -> DataFrame:
+def links(nodes: DataFrame, radius: int, parts: int, block_rows: int | None = None, similarity: float | None = None, rows_per_group: int = 20_000) -> DataFrame:
     """(a, b) edges whose components are those of all pairs of nodes within the radius (and similar enough, if asked for).
 
     nodes: (node, fp), and with similarity also (sketch, size_class). parts: population counts that make up a tile's
@@ -198,6 +198,8 @@ def links(nodes: DataFrame, radius: int, parts: int, block_rows: int = 8192, sim
 
     key = ["c", *(f"p{i}" for i in range(parts))]
     counts = {tuple(r[k] for k in key): r["n"] for r in nodes.mapInArrow(tiles, f"c long{shape}").groupBy(*key).agg(F.count("*").alias("n")).collect()}
+    # Without parts a tile holds a large share of all rows: larger blocks then mean fewer copies of each row.
+    block_rows = block_rows or (8192 if parts else min(131_072, max(8192, max(counts.values(), default=0) * 4 // 3)))
     tiling = Tiling(counts, parts, radius, block_rows, checked)
     copies = sum(n * tiling.guest[t] for t, n in counts.items()) + sum(n * sum(tiling.home.get(tuple(x + d for x, d in zip(t, s, strict=True)), 0) for s in tiling.steps) for t, n in counts.items())
     groups = max(1, -(-copies // rows_per_group))
@@ -255,7 +257,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, verify_shing
     usable = nodes.where(F.col("node").isNotNull())
     if parts is None:
         parts = 0 if radius > 4 else 3 if usable.count() < 4_000_000 else 4
-    edges = links(usable, radius, parts, block_rows or (8192 if parts else 32768), similarity if verify_shingle else None)
+    edges = links(usable, radius, parts, block_rows, similarity if verify_shingle else None)
     found = components(edges)
     classed = nodes.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
     return prints.join(classed, key).select("doc_id", "fp", "component_id")
