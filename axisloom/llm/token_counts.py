@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from axisloom.llm.common import fresh_path, slices, text_docs
+from axisloom.llm.common import fresh_path, saved, slices, text_docs
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
 #: Characters for which lower-casing, composition and classes are the same everywhere; other texts go to the library whole.
@@ -117,4 +117,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, fold
     missing = digested.join(known, "digest", "left_anti").withColumn("rank", F.row_number().over(one)).where("rank = 1")
     missing.select("digest", "text").mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Stored, so that both sides of the join are plain shuffles, which Spark splits where copies make a digest hot.
+    counts = saved(counts)
     return digested.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
