@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from axisloom.llm import neighbours, winnowing
 from tests.llm.helpers import SF, awkward, documents, empty
@@ -118,6 +119,12 @@ def test_edited_texts_and_likeness(spark, per_range):
         assert r["near_next"] == winnowing.likeness(a[0], c[0])
 
 
+def test_ranges_count_the_cuts_below(spark):
+    cuts = sorted({int(x) for x in np.random.default_rng(1).integers(0, 5000, 300)})
+    got = spark.range(-5, 5100, 7).select("id", winnowing.range_of(F.col("id"), cuts).alias("r")).collect()
+    assert all(r["r"] == sum(c <= r["id"] for c in cuts) for r in got)
+
+
 def test_fingerprints_of_awkward_rows(spark):
     got = winnowing.edited_fingerprints(awkward(spark), rows_per_range=3).collect()
     assert len(got) == 11
