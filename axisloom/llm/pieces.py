@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
+from itertools import chain, pairwise
 from zlib import crc32
 
 import pyarrow as pa
@@ -63,6 +63,12 @@ def encoded(sp, texts: list[str], table: dict[str, list[int]]) -> list[list[int]
     return [list(chain.from_iterable(map(table.__getitem__, chunks(t)))) if MARK not in t else sp.encode(t, num_threads=1) for t in texts]
 
 
+def as_lists(column: pa.ListArray) -> list[list[int]]:
+    """The lists of a column, cut from its values at once."""
+    values, ends = column.values.to_numpy().tolist(), column.offsets.to_numpy().tolist()
+    return [values[a:b] for a, b in pairwise(ends)]
+
+
 def requests(blobs: pa.Table, parts: int) -> dict[int, list[str]]:
     """The distinct chunks of a block's texts, sorted, by part of the chunks' hashes. The same for the same block always."""
     found: set[str] = set()
@@ -90,8 +96,8 @@ def chunk_table(dealt: DataFrame, model: str, parts: int) -> DataFrame:
     def of_part(rows: pa.Table) -> pa.Table:
         asked = [[c for t in unpacked(rows.slice(i, 1)) for c in t.column("chunk").to_pylist()] for i in range(rows.num_rows)]
         distinct = sorted(set(chain.from_iterable(asked)))
-        ids = dict(zip(distinct, segments(processor(model), distinct), strict=True))
-        data = [blob(pa.table({"ids": pa.array([ids[c] for c in x], pa.list_(pa.int32()))})) for x in asked]
+        ids, at = pa.array(segments(processor(model), distinct), pa.list_(pa.int32())), {c: i for i, c in enumerate(distinct)}
+        data = [blob(pa.table({"ids": ids.take(pa.array(map(at.__getitem__, x), pa.int64()))})) for x in asked]
         return pa.table({"block": rows.column("block"), "part": rows.column("part"), "data": pa.array(data, pa.binary())})
 
     return dealt.groupBy("block").applyInArrow(of_block, "part long, block long, data binary").groupBy("part").applyInArrow(of_part, "block long, part long, data binary")
@@ -134,7 +140,7 @@ def encode(docs: DataFrame, model: str, decoded: bool = True, digests: bool = Fa
         known: dict[str, list[int]] = {}
         asked = requests(blobs, blocks)
         for i, part in enumerate(table.column("part").to_pylist()):
-            known.update(zip(asked[part], chain.from_iterable(t.column("ids").to_pylist() for t in unpacked(table.slice(i, 1))), strict=True))
+            known.update(zip(asked[part], chain.from_iterable(as_lists(t.column("ids")) for t in unpacked(table.slice(i, 1))), strict=True))
         out = []
         for t in unpacked(blobs):
             for at, texts in slices(t, "text", 1_000_000):
