@@ -114,7 +114,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, fold
 
     known = cached(spark, cache).where(F.col("tokenizer") == version).select("digest")
     one = Window.partitionBy("digest").orderBy("doc_id")
-    missing = digested.join(known, "digest", "left_anti").withColumn("rank", F.row_number().over(one)).where("rank = 1")
+    # One text of each digest first: Spark then lets only one leave each task, and copies are not shuffled.
+    missing = digested.withColumn("rank", F.row_number().over(one)).where("rank = 1").join(known, "digest", "left_anti")
     missing.select("digest", "text").mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # Stored, so that both sides of the join are plain shuffles, which Spark splits where copies make a digest hot.
