@@ -10,12 +10,16 @@
    numpy, again in small tiles sorted by population count.
 4. A job does not return its pairs but a spanning forest of them: the same components, at most one edge a row.
 5. Connected components over the forests give the groups.
+
+With verification, what is compared is a wide fingerprint of the set of distinct shingles, so that no line that repeats
+inside a text can outvote the rest, and the radius follows from the similarity asked for (`radii`).
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,12 @@ from axisloom.llm.common import components, saved, slices, text_docs, words
 BITS = 64
 #: Bins of the one-permutation sketch of a document's shingle set, one byte each.
 BINS = 256
+#: 64-bit words of the fingerprint of a document's shingle set.
+WIDE = 4
+#: Ratio of the sizes in a size class.
+CLASS = 1.25
+#: The share of pairs at the least similarity that each of the two radii may lose.
+LOSS = 1e-6
 #: Sides of the small numpy tiles.
 TILE = 1024
 
@@ -52,6 +62,54 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def wide_simhash(distinct: np.ndarray) -> np.ndarray:
+    """WIDE words of SimHash of distinct hashes, each word by hashes scattered anew."""
+    out = [simhash(distinct)]
+    for i in range(1, WIDE):
+        h = distinct * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(simhash(h ^ (h >> np.uint64(29))))
+    return np.array(out, np.uint64)
+
+
+def size_class(n: int) -> int:
+    return -1 if n == 0 else int(math.log(n) / math.log(CLASS))
+
+
+def binomial(n: int, p: float) -> np.ndarray:
+    """Probabilities of 0 to n."""
+    return np.array([math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
+
+
+def flips(a: int, b: int, common: int) -> float:
+    """How likely one bit differs between the SimHashes of sets of a and b members with so many in common."""
+    k = np.arange(common + 1)
+    mine, theirs = (np.array([binomial(n - common, 0.5)[max(0, n // 2 + 1 - i) :].sum() for i in k]) for n in (a, b))
+    return float(binomial(common, 0.5) @ (mine * (1 - theirs) + theirs * (1 - mine)))
+
+
+@lru_cache
+def flip_table(similarity: float, largest: int = 80) -> dict[int, float]:
+    """For each size class of the larger set: the likeliest flip among pairs that reach the similarity. Exact up to a size."""
+    out: dict[int, float] = {}
+    for b in range(1, largest + 1):
+        for a in range(math.ceil(similarity * b - 1e-9), b + 1):
+            common = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+            out[size_class(b)] = max(out.get(size_class(b), 0.0), flips(a, b, common) if common <= a else 0.0)
+    return out
+
+
+def radii(similarity: float, size: int) -> tuple[int, int]:
+    """Radii for the first word and for all words, between sets of which the larger is in that size class.
+
+    Bits flip independently, so of pairs at the similarity the binomial tail beyond either radius is LOSS at most. Sets
+    too large for flip_table flip as their angle says, or as the largest ones of the table if those do so more often.
+    """
+    table = flip_table(similarity)
+    p = table.get(size, max(math.acos(2 * similarity / (1 + similarity)) / math.pi, table[max(table)], table[max(table) - 1])) if size >= 0 else 0.0
+    return tuple(int(np.argmax(np.cumsum(binomial(n, p)[::-1])[::-1] <= LOSS)) - 1 if p else 0 for n in (BITS, BITS * WIDE))
+
+
 def sketch(hashes: np.ndarray) -> tuple[bytes, int]:
     """One-permutation minimum hashing of the distinct hashes: BINS bytes (0 for an empty bin), and how many there are."""
     distinct = np.unique(hashes)
@@ -87,10 +145,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[label[far]]
 
 
-def linked(fp: np.ndarray, node: np.ndarray, others: np.ndarray, other: np.ndarray, radius: int, sketches=None, similarity: float = 0.0):
+def linked(fp: np.ndarray, node: np.ndarray, others: np.ndarray, other: np.ndarray, radius: int, sketches=None, similarity: float = 0.0, wide=None, wide_radius: int = 0):
     """A spanning forest, as node ids, of the pairs within radius bits between two sets of fingerprints.
 
-    sketches: (rows, rows) of BINS bytes for either set; then pairs must reach the similarity too.
+    sketches: (rows, rows) of BINS bytes for either set; then pairs must reach the similarity too, after that they are
+    within wide_radius by all words, of which wide has the (rows, rows) further ones.
     """
     p, q = np.argsort(np.bitwise_count(fp), kind="stable"), np.argsort(np.bitwise_count(others), kind="stable")
     fp, node, others, other = fp[p], node[p], others[q], other[q]
@@ -106,6 +165,10 @@ def linked(fp: np.ndarray, node: np.ndarray, others: np.ndarray, other: np.ndarr
                 a, b = np.nonzero(near)
             else:
                 a, b = np.nonzero(near & (node[i : i + TILE, None] != other[None, j : j + TILE]))
+                apart = np.bitwise_count(x[a] ^ y[b]).astype(np.int64)
+                for w in range(WIDE - 1):
+                    apart += np.bitwise_count(wide[0][p[i + a], w] ^ wide[1][q[j + b], w])
+                a, b = a[apart <= wide_radius], b[apart <= wide_radius]
                 sure = np.concatenate(
                     [np.empty(0, bool)] + [alike(sketches[0][p[i + a[k : k + 4096]]], sketches[1][q[j + b[k : k + 4096]]]) >= similarity for k in range(0, len(a), 4096)]
                 )
@@ -119,25 +182,31 @@ def linked(fp: np.ndarray, node: np.ndarray, others: np.ndarray, other: np.ndarr
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, verify_shingle: int | None = None) -> DataFrame:
-    """(doc_id, fp) for every row; with verify_shingle also the sketch, size and size class of that shingle set."""
-    more = ", sketch binary, size_class int" if verify_shingle else ""
+    """(doc_id, fp) for every row; with verify_shingle also digest, wide fingerprint, sketch and size class of that shingle set."""
+    more = ", digest binary, first long, wide binary, sketch binary, size_class int" if verify_shingle else ""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
             for at, texts in slices(batch, "text"):
-                fp, sk, cl = [], [], []
+                fp, dg, fw, wd, sk, cl = [], [], [], [], [], []
                 for text in texts:
                     tokens = words(text)
                     fp.append(simhash(shingle_hashes(tokens, shingle)))
                     if verify_shingle:
-                        s, n = sketch(shingle_hashes(tokens, verify_shingle))
+                        distinct = np.unique(shingle_hashes(tokens, verify_shingle))
+                        s, n = sketch(distinct)
+                        w = wide_simhash(distinct)
+                        dg.append(xxhash.xxh3_128_digest(distinct.tobytes()))
+                        fw.append(w[0])
+                        wd.append(w[1:].tobytes())
                         sk.append(s)
-                        cl.append(-1 if n == 0 else int(math.log(n) / math.log(1.25)))
+                        cl.append(size_class(n))
                 cols = [ids.slice(at, len(texts)), pa.array(np.array(fp, np.uint64).view(np.int64))]
                 names = ["doc_id", "fp"]
                 if verify_shingle:
-                    cols, names = [*cols, pa.array(sk, pa.binary()), pa.array(cl, pa.int32())], [*names, "sketch", "size_class"]
+                    cols += [pa.array(dg, pa.binary()), pa.array(np.array(fw, np.uint64).view(np.int64)), pa.array(wd, pa.binary()), pa.array(sk, pa.binary()), pa.array(cl, pa.int32())]
+                    names += ["digest", "first", "wide", "sketch", "size_class"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return text_docs(docs).mapInArrow(run, f"doc_id long, fp long{more}")
@@ -153,6 +222,7 @@ class Tiling:
         #: One of each tile and its mirror image; the tile itself first.
         self.steps = [s for s in steps if s >= (0,) * (parts + 1)]
         self.code = {t: i for i, t in enumerate(sorted(counts))}
+        self.classes = [t[0] for t in sorted(counts)]
         guests = {t: sum(counts.get(tuple(x - d for x, d in zip(t, s, strict=True)), 0) for s in self.steps) for t in counts}
         self.home = {t: -(-n // block_rows) for t, n in counts.items()}
         self.guest = {t: -(-n // block_rows) for t, n in guests.items()}
@@ -181,7 +251,7 @@ def part_counts(fp: np.ndarray, parts: int) -> np.ndarray:
 def links(nodes: DataFrame, radius: int, parts: int, block_rows: int | None = None, similarity: float | None = None, rows_per_group: int = 20_000) -> DataFrame:
     """(a, b) edges whose components are those of all pairs of nodes within the radius (and similar enough, if asked for).
 
-    nodes: (node, fp), and with similarity also (sketch, size_class). parts: population counts that make up a tile's
+    nodes: (node, fp), and with similarity also (wide, sketch, size_class); then the radius is that of `radii`. parts: population counts that make up a tile's
     key, 0 for none. The tile table that the driver gathers has at most (64 / parts + 1) ** parts rows for each size
     class (and a set has about 5 classes for each power of three of its size), whatever the number of documents.
     """
@@ -204,7 +274,8 @@ def links(nodes: DataFrame, radius: int, parts: int, block_rows: int | None = No
     copies = sum(n * tiling.guest[t] for t, n in counts.items()) + sum(n * sum(tiling.home.get(tuple(x + d for x, d in zip(t, s, strict=True)), 0) for s in tiling.steps) for t, n in counts.items())
     groups = max(1, -(-copies // rows_per_group))
     held = nodes.sparkSession.sparkContext.broadcast(tiling)
-    extra = ", sketch binary" if checked else ""
+    also = ["wide", "sketch"] if checked else []
+    extra = "".join(f", {c} binary" for c in also)
 
     def deal(batches):
         t = held.value
@@ -220,44 +291,49 @@ def links(nodes: DataFrame, radius: int, parts: int, block_rows: int | None = No
                 job = (tile * 1_000_003 + h) * 1_000_003 + g
                 taken = b.take(pa.array(row))
                 cols = [pa.array((job * -7046029254386353131 >> 20) % groups), pa.array(job), pa.array(side.astype(np.int8)), taken.column("node"), taken.column("fp")]
-                yield pa.RecordBatch.from_arrays(cols + ([taken.column("sketch")] if checked else []), ["grp", "job", "side", "node", "fp"] + (["sketch"] if checked else []))
+                yield pa.RecordBatch.from_arrays(cols + [taken.column(c) for c in also], ["grp", "job", "side", "node", "fp", *also])
 
     def compare(rows: pa.Table) -> pa.Table:
         job, side = rows.column("job").to_numpy(), rows.column("side").to_numpy()
         node, fp = rows.column("node").to_numpy(), rows.column("fp").to_numpy().view(np.uint64)
         order = np.lexsort((side, job))
         cut = np.flatnonzero(np.diff(job[order])) + 1
-        sk = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS) if checked else None
+        if checked:
+            sk = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+            wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE - 1)
         out = [(np.empty(0, np.int64),) * 2]
         for part in np.split(order, cut):
             home, guest = np.split(part, [int((side[part] == 0).sum())])
-            if len(home) and len(guest):
-                out.append(linked(fp[home], node[home], fp[guest], node[guest], radius, (sk[home], sk[guest]) if checked else None, similarity or 0.0))
+            if len(home) and len(guest) and checked:
+                near, far = radii(similarity, held.value.classes[int(job[part[0]]) // 1_000_003**2])
+                out.append(linked(fp[home], node[home], fp[guest], node[guest], near, (sk[home], sk[guest]), similarity, (wide[home], wide[guest]), far))
+            elif len(home) and len(guest):
+                out.append(linked(fp[home], node[home], fp[guest], node[guest], radius))
         a, b = forest(np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    dealt = nodes.select("node", "fp", *(["sketch", "size_class"] if checked else [])).mapInArrow(deal, f"grp long, job long, side byte, node long, fp long{extra}")
+    dealt = nodes.select("node", "fp", *([*also, "size_class"] if checked else [])).mapInArrow(deal, f"grp long, job long, side byte, node long, fp long{extra}")
     return dealt.groupBy("grp").applyInArrow(compare, "a long, b long")
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, verify_shingle: int | None = None, similarity: float = 0.8, parts: int | None = None, block_rows: int | None = None) -> DataFrame:
     """Every row of docs with its fingerprint and its near-duplicate class.
 
-    Returns (doc_id, fp long, component_id): component_id is the smallest doc_id reachable over links of `radius` bits
-    or fewer between fingerprints of `shingle`-word shingles. With verify_shingle, links must also reach `similarity`
-    between the sets of verify_shingle-word shingles, as their sketches of 256 bins estimate it (standard error 0.025).
+    Returns (doc_id, fp long, component_id): fp is of `shingle`-word shingles, and component_id is the smallest doc_id
+    reachable over links. A link is `radius` bits or fewer between fingerprints. With verify_shingle neither decides:
+    then a link is a `similarity` or more between the sets of verify_shingle-word shingles, as their sketches of 256
+    bins estimate it (standard error 0.025) among the pairs within the radii that lose 2e-6 at most of such sets.
     Null and empty texts have fingerprint zero (and, with verification, the empty set: they are alike). A null doc_id
     takes no part in links: its class is that of its equals with an id, or null. Repeated rows give repeated rows; an
     empty table gives none; columns other than doc_id and text are ignored.
     """
-    key = ["fp", "sketch", "size_class"] if verify_shingle else ["fp"]
     prints = saved(fingerprints(docs, shingle, verify_shingle))
-    nodes = prints.groupBy(*key).agg(F.min("doc_id").alias("node"))
-    nodes = saved(nodes)
+    key, more = ("digest", ["first", "wide", "sketch", "size_class"]) if verify_shingle else ("fp", [])
+    nodes = saved(prints.groupBy(key, *more).agg(F.min("doc_id").alias("node")))
     usable = nodes.where(F.col("node").isNotNull())
-    if parts is None:
-        parts = 0 if radius > 4 else 3 if usable.count() < 4_000_000 else 4
-    edges = links(usable, radius, parts, block_rows, similarity if verify_shingle else None)
+    if parts is None or verify_shingle:
+        parts = 0 if verify_shingle or radius > 4 else 3 if usable.count() < 4_000_000 else 4
+    edges = links(usable.withColumnRenamed("first", "fp"), radius if not verify_shingle else 0, parts, block_rows, similarity if verify_shingle else None)
     found = components(edges)
-    classed = nodes.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
+    classed = nodes.join(found, "node", "left").select(key, F.coalesce("component", "node").alias("component_id"))
     return prints.join(classed, key).select("doc_id", "fp", "component_id")

@@ -33,11 +33,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id.
 
-    Fingerprints of three-word shingles within 14 bits are candidates, and texts whose five-word shingle sets are alike
-    by 0.8 or more are linked. Rows without an id, which no group can name, stay; so do all rows of an id that stays.
+    Texts whose sets of five-word shingles are alike by 0.8 or more are linked; candidates are pairs of wide fingerprints
+    of these sets, within the radius that the binomial tail at 0.8 gives. Rows without an id, which no group can name, stay; so do all rows of an id that stays.
     Texts without words are one group.
     """
-    groups = simhash.near_groups(docs, shingle=3, radius=14, verify_shingle=5, similarity=0.8)
+    groups = simhash.near_groups(docs, verify_shingle=5, similarity=0.8)
     gone = groups.where("doc_id != component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

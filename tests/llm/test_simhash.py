@@ -120,3 +120,35 @@ def test_components_of_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(1, 2), (2, 2), (None, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {1: 1, 2: 1}
+
+
+def test_lines_that_repeat_inside_a_text_do_not_hide_near_copies(spark):
+    rng = np.random.default_rng(11)
+    pool = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(0, 240, 2):
+        text, line = list(rng.choice(pool, 400)), list(rng.choice(pool, 12))
+        if i % 4:
+            other = list(rng.choice(pool, 12))
+            pair = text + line * 10, text + other * 10
+        else:
+            pair = text + line, text + line * (10 + i % 3 * 15)
+        rows += [(i + j, " ".join(t)) for j, t in enumerate(pair)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 14, 5, 0.8).collect()}
+    assert [i for i in range(0, 240, 2) if got[i + 1] != i] == []
+    assert all(got[i] == i for i in range(0, 240, 2))
+
+
+@pytest.mark.parametrize(("size", "common"), [(5, 4), (9, 8), (36, 32), (90, 80), (450, 400)])
+def test_radii_hold_pairs_at_the_least_similarity(size, common):
+    rng = np.random.default_rng(size)
+    other = common if size == 5 else size
+    far = simhash.radii(0.8, simhash.size_class(size))
+    apart = []
+    for _ in range(1000):
+        h = rng.integers(0, 2**63, size + other - common, dtype=np.uint64)
+        a, b = simhash.wide_simhash(h[:size]), simhash.wide_simhash(h[-other:])
+        n = np.bitwise_count(a ^ b)
+        apart.append((int(n[0]), int(n.sum())))
+    assert max(a for a, _ in apart) <= far[0] < 32
+    assert max(b for _, b in apart) <= far[1] < 110
