@@ -1,13 +1,14 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Bigram counts are quantised to floor(log_base(count)); the filter holds, for each bigram, its hash with every level from 1
+Bigram counts are quantised to floor(log_base(count)); the filter holds, for each bigram, its hash with every level from 0
 up to its own. A probe asks level after level until one is missing, so a count comes back as a power of the base (too
-large where the filter errs, never too small). Probabilities interpolate the bigram's share of its context with the
-add-one share of the word.
+large where the filter errs, never too small), and a pair that was seen once is told from one that was not.
+Probabilities interpolate the bigram's share of its context with the add-one share of the word.
 
 Counting: tasks hash the bigrams of the training texts, sum them, and send them on in blobs by segment of the hash; each
-segment is summed, then set into its own part of the filter. The filter's size follows the corpus up to `max_bits`, its
-proven bound; beyond that the base grows, which empties the rarest levels first (counts below the base are level 0).
+segment is summed and becomes its own part of the filter, as large as it needs to be. The filter stays a table of
+segments that grows with the corpus: blocks of documents send the distinct bigrams they ask for to the segments that own
+them, and get the levels back. Only where `max_bits` is given, counts below some base are left out to keep to it.
 
 Word counts are exact: documents are dealt into blocks, each block sends its distinct words with their counts, these are
 summed over all blocks, and each block gets the totals of its own words back beside its texts. No task or driver holds
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisloom.llm.common import saved, slices, split_hash, text_docs, words
+from axisloom.llm.common import slices, split_hash, text_docs, words
 
 START, END = np.uint64(0x53746172745F5F31), np.uint64(0x456E645F5F5F5F31)
 BITS_PER_ENTRY, PROBES = 12, 5
@@ -34,8 +35,8 @@ BITS_PER_ENTRY, PROBES = 12, 5
 
 @dataclass
 class Settings:
-    #: The filter has at most so many bits (64 MB).
-    max_bits: int = 1 << 29
+    #: The filter has at most so many bits (None: as many as it needs).
+    max_bits: int | None = None
     #: Weight of the bigram share.
     weight: float = 0.25
     docs_per_block: int = 4000
@@ -63,28 +64,38 @@ def token_pairs(texts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return before, np.concatenate([np.concatenate([t, [END]]) for t in texts])
 
 
-def positions(key: np.ndarray, level: int, segments: int, width: int) -> np.ndarray:
-    """PROBES bit positions for each bigram hash at a level, all in the hash's own segment."""
+def by_segment(keys: np.ndarray, segments: int) -> list[tuple[int, np.ndarray]]:
+    """(segment, indexes of its keys, in order) of every segment that has any."""
+    of = keys % np.uint64(segments)
+    order = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(1, segments, dtype=np.uint64))
+    return [(int(of[p[0]]), p) for p in np.split(order, cuts) if len(p)]
+
+
+def positions(key: np.ndarray, level: int, width: np.ndarray | int) -> np.ndarray:
+    """PROBES bit positions in its segment for each bigram hash at a level."""
     h = mixed(key + np.uint64(level * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
     step = (h >> np.uint64(32)) | np.uint64(1)
-    inside = (h[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) % np.uint64(width)
-    return (key % np.uint64(segments) * np.uint64(width))[:, None] + inside
+    return (h[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) % np.asarray(width, np.uint64).reshape(-1, 1)
 
 
 class Filter:
-    """The bits, in as many segments of `width` bits as there were counting groups."""
+    """The bits of one segment or of all, each segment with its own width; levels below `least` are not held."""
 
-    def __init__(self, bits: np.ndarray, segments: int, width: int, log_base: int):
-        self.bits, self.segments, self.width, self.log_base = bits, segments, width, log_base
+    def __init__(self, bits: np.ndarray, widths: np.ndarray, log_base: int = 1, least: int = 0):
+        self.bits, self.widths, self.log_base, self.least = bits, np.asarray(widths, np.uint64), log_base, least
+        self.first = np.cumsum(self.widths) - self.widths
 
     def has(self, key: np.ndarray, level: int) -> np.ndarray:
-        at = positions(key, level, self.segments, self.width)
+        segment = key % np.uint64(len(self.widths))
+        at = positions(key, level, self.widths[segment]) + self.first[segment][:, None]
         return ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
 
     def levels(self, key: np.ndarray) -> np.ndarray:
-        """The highest level up to which all levels are present."""
-        out, left, level = np.zeros(len(key), np.int64), np.arange(len(key)), 0
-        while len(left) and self.width:
+        """The highest level up to which all levels that are held are present; one below the least if none is."""
+        level = self.least - 1
+        out, left = np.full(len(key), level, np.int64), np.arange(len(key))
+        while len(left):
             level += 1
             left = left[self.has(key[left], level)] if level * self.log_base < 64 else left[:0]
             out[left] = level
@@ -92,10 +103,7 @@ class Filter:
 
 
 def bigram_counts(docs: DataFrame, learn: str, segments: int, held_rows: int = 3_000_000) -> DataFrame:
-    """(segment, hashes binary, counts binary, histogram array<long>, rows): bigrams of the texts where `learn` is true.
-
-    hashes, counts: those that occur twice or more. histogram: how many have each floor(log2(count)).
-    """
+    """(segment, hashes binary, counts binary): bigrams of the texts where `learn` is true, summed in each task."""
 
     def run(batches):
         known: dict[bytes, int] = {}
@@ -118,66 +126,76 @@ def bigram_counts(docs: DataFrame, learn: str, segments: int, held_rows: int = 3
 
     def blobs(keys: np.ndarray) -> pa.RecordBatch:
         keys, n = np.unique(keys, return_counts=True)
-        of = keys % np.uint64(segments)
-        order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(1, segments, dtype=np.uint64))
-        parts = [p for p in np.split(order, cuts) if len(p)]
+        parts = by_segment(keys, segments)
         return pa.RecordBatch.from_arrays(
-            [pa.array([int(of[p[0]]) for p in parts], pa.int64()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([np.minimum(n[p], 2**32 - 1).astype(np.uint32).tobytes() for p in parts], pa.binary())],
+            [pa.array([i for i, _ in parts], pa.int64()), pa.array([keys[p].tobytes() for _, p in parts], pa.binary()), pa.array([np.minimum(n[p], 2**32 - 1).astype(np.uint32).tobytes() for _, p in parts], pa.binary())],
             ["segment", "hashes", "counts"],
         )
 
-    def summed(rows: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()])
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("counts").to_pylist()]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, n = keys[first], np.add.reduceat(n, first)
-        level = np.frexp(n.astype(np.float64))[1] - 1
-        often = n > 1
-        return pa.table(
-            {
-                "segment": rows.column("segment").slice(0, 1),
-                "hashes": pa.array([keys[often].tobytes()], pa.binary()),
-                "counts": pa.array([n[often].tobytes()], pa.binary()),
-                "histogram": pa.array([np.bincount(level, minlength=64).tolist()], pa.list_(pa.int64())),
-            }
-        )
+    return docs.where(learn).select("text").mapInArrow(run, "segment long, hashes binary, counts binary")
 
-    counted = docs.where(learn).select("text").mapInArrow(run, "segment long, hashes binary, counts binary")
-    return counted.groupBy("segment").applyInArrow(summed, "segment long, hashes binary, counts binary, histogram array<long>")
 
+def summed_levels(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, floor(log2(count))) of the distinct bigrams of a segment."""
+    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()])
+    n = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("counts").to_pylist()]).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.frexp(np.add.reduceat(n, first).astype(np.float64))[1] - 1
 
-def bloom_filter(docs: DataFrame, learn: str, tokens: int, s: Settings) -> Filter:
-    """The filter of the training texts' bigrams."""
-    segments = max(1, tokens // s.tokens_per_segment)
-    counts = saved(bigram_counts(docs, learn, segments))
-    histograms = [r["histogram"] for r in counts.select("histogram").collect()]
-    by_level = np.array(histograms, np.int64).reshape(-1, 64)
-    log_base = 1
-    while True:
-        entries = by_level @ (np.arange(64) // log_base)
-        width = -(-int(entries.max(initial=0)) * BITS_PER_ENTRY // 64) * 64
-        if width * segments <= s.max_bits:
+
+def width_of(entries: int) -> int:
+    return -(-max(entries, 1) * BITS_PER_ENTRY // 64) * 64
+
+
+def fitting(counts: DataFrame, segments: int, max_bits: int | None) -> tuple[int, int]:
+    """(log_base, least level held) with which the filter keeps to max_bits; (1, 0), which leaves nothing out, if that does."""
+    if max_bits is None:
+        return 1, 0
+
+    def histogram(rows: pa.Table) -> pa.Table:
+        return pa.table({"histogram": pa.array([np.bincount(summed_levels(rows)[1], minlength=64).tolist()], pa.list_(pa.int64()))})
+
+    by_level = np.array([r["histogram"] for r in counts.groupBy("segment").applyInArrow(histogram, "histogram array<long>").collect()], np.int64).reshape(-1, 64)
+    log_base, least = 1, 0
+    while log_base < 64:
+        entries = by_level @ (np.arange(64) // log_base + 1 - least)
+        if sum(map(width_of, entries.tolist())) + (segments - len(entries)) * width_of(0) <= max_bits:
             break
-        log_base += 1
+        log_base, least = log_base + least, 1
+    return log_base, least
 
-    def build(batches):
-        for b in batches:
-            for where, hashes, n in zip(b.column("segment").to_pylist(), b.column("hashes").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                keys = np.frombuffer(hashes, np.uint64)
-                level = (np.frexp(np.frombuffer(n, np.int64).astype(np.float64))[1] - 1) // log_base
-                bits = np.zeros(width, bool)
-                for k in range(1, int(level.max(initial=0)) + 1):
-                    bits[(positions(keys[level >= k], k, segments, width) - np.uint64(where * width)).ravel()] = True
-                yield pa.RecordBatch.from_arrays([pa.array([where], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
 
-    whole = np.zeros(segments * width // 8, np.uint8)
-    if width:
-        for r in counts.select("segment", "hashes", "counts").mapInArrow(build, "segment long, bits binary").toLocalIterator():
-            whole[r["segment"] * width // 8 : (r["segment"] + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
-    return Filter(whole, segments, width, log_base)
+def filter_table(docs: DataFrame, learn: str, segments: int, max_bits: int | None) -> tuple[DataFrame, int, int]:
+    """The filter of the training texts' bigrams as (segment, width long, bits binary), its log_base and its least level."""
+    counts = bigram_counts(docs, learn, segments)
+    log_base, least = fitting(counts, segments, max_bits)
+
+    def build(rows: pa.Table) -> pa.Table:
+        keys, level = summed_levels(rows)
+        level = level // log_base
+        width = width_of(int((level + 1 - least).sum()))
+        bits = np.zeros(width, bool)
+        for k in range(least, int(level.max(initial=0)) + 1):
+            bits[positions(keys[level >= k], k, width).ravel()] = True
+        return pa.table({"segment": rows.column("segment").slice(0, 1), "width": pa.array([width], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    return counts.groupBy("segment").applyInArrow(build, "segment long, width long, bits binary"), log_base, least
+
+
+def segment_count(tokens: int, s: Settings) -> int:
+    return max(1, tokens // s.tokens_per_segment)
+
+
+def bloom_filter(docs: DataFrame, learn: str, tokens: int, s: Settings) -> Filter:
+    """The filter gathered into one object, for corpora that allow it; score() leaves it a table."""
+    segments = segment_count(tokens, s)
+    found, log_base, least = filter_table(docs, learn, segments, s.max_bits)
+    rows = {r["segment"]: r for r in found.collect()}
+    empty = bytes(width_of(0) // 8)
+    bits = b"".join(bytes(rows[i]["bits"]) if i in rows else empty for i in range(segments))
+    return Filter(np.frombuffer(bits, np.uint8), np.array([rows[i]["width"] if i in rows else width_of(0) for i in range(segments)]), log_base, least)
 
 
 def vocabulary_size(docs: DataFrame, learn: str, segments: int) -> tuple[int, int, int]:
@@ -237,7 +255,8 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, settings: Setti
     blocks = max(1, n_docs // s.docs_per_block)
     texts, n_words, distinct = vocabulary_size(rows, learn, max(1, blocks // 4))
     total, below = n_words + texts, float(n_words + texts + distinct + (texts > 0) + 1)
-    held = docs.sparkSession.sparkContext.broadcast(bloom_filter(rows, learn, total, s))
+    segments = segment_count(total, s)
+    filters, log_base, least = filter_table(rows, learn, segments, s.max_bits)
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long").alias("block")
     dealt = rows.select(block, "doc_id", "text", "held_out").repartition(blocks, "block")
 
@@ -252,21 +271,61 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, settings: Setti
     counts = dealt.groupBy("block").applyInArrow(block_words, "block long, word binary, n long")
     counts = counts.select("block", "word", F.sum("n").over(Window.partitionBy("word")).alias("c"))
 
+    def distinct_pairs(texts: pa.ChunkedArray, known: dict[bytes, int]) -> np.ndarray:
+        """Sorted hashes of the distinct bigrams of a block."""
+        held = []
+        for _, cut in pieces(texts):
+            held.append(np.unique(pair_hash(*token_pairs([np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in cut]))))
+        return np.unique(np.concatenate(held)) if held else np.empty(0, np.uint64)
+
+    def pieces(texts: pa.ChunkedArray):
+        whole = pa.record_batch([pa.concat_arrays(texts.chunks) if len(texts) else pa.array([], pa.string())], names=["text"])
+        return ((at, list(map(words, part))) for at, part in slices(whole, "text", 1_000_000))
+
+    def block_pairs(t: pa.Table) -> pa.Table:
+        known: dict[bytes, int] = {}
+        for _, cut in pieces(t.column("text")):
+            for w in set(chain.from_iterable(cut)).difference(known):
+                known[w] = word_hash(w)
+        keys = distinct_pairs(t.column("text"), known)
+        parts = by_segment(keys, segments)
+        block = t.column("block")[0].as_py()
+        return pa.table({"segment": pa.array([i for i, _ in parts], pa.int64()), "block": pa.array([block] * len(parts), pa.int64()), "hashes": pa.array([keys[p].tobytes() for _, p in parts], pa.binary())})
+
+    def answered(asked: pa.Table, held: pa.Table) -> pa.Table:
+        of = Filter(np.frombuffer(held.column("bits")[0].as_py(), np.uint8), np.array([held.column("width")[0].as_py()]), log_base, least) if held.num_rows else None
+        out = []
+        for x in asked.column("hashes"):
+            keys = np.frombuffer(x.as_buffer(), np.uint64)
+            out.append((of.levels(keys) if of else np.full(len(keys), least - 1)).astype(np.int8).tobytes())
+        return pa.table({"block": asked.column("block"), "segment": asked.column("segment"), "levels": pa.array(out, pa.binary())})
+
+    asked = dealt.groupBy("block").applyInArrow(block_pairs, "segment long, block long, hashes binary")
+    levels = asked.groupBy("segment").cogroup(filters.groupBy("segment")).applyInArrow(answered, "block long, segment long, levels binary")
+    counts = counts.unionByName(levels, allowMissingColumns=True)
+
     def scored(t: pa.Table, dictionary: pa.Table) -> pa.Table:
+        replies = dictionary.filter(dictionary.column("levels").is_valid())
+        dictionary = dictionary.filter(dictionary.column("levels").is_null())
         known = dictionary.column("word").to_pylist()
         c = np.concatenate([dictionary.column("c").to_numpy() if known else np.empty(0, np.int64), [texts, texts]]).astype(np.int64)
         h = np.concatenate([np.fromiter(map(word_hash, known), np.uint64, len(known)), np.array([END, START])])
         at = {w: i for i, w in enumerate(known)}
         end, start = len(known), len(known) + 1
+        keys = distinct_pairs(t.column("text"), dict(zip(known, h[:end].tolist(), strict=True)))
+        found = np.full(len(keys), least - 1, np.int8)
+        where = dict(by_segment(keys, segments))
+        for i, x in zip(replies.column("segment").to_pylist(), replies.column("levels").to_pylist(), strict=True):
+            found[where[i]] = np.frombuffer(x, np.int8)
         out: list[tuple] = []
-        for _, part in slices(pa.record_batch([pa.concat_arrays(t.column("text").chunks) if t.num_rows else pa.array([], pa.string())], names=["text"]), "text", 1_000_000):
-            ids = [np.fromiter(map(at.__getitem__, w), np.int64, len(w)) for w in map(words, part)]
+        for _, cut in pieces(t.column("text")):
+            ids = [np.fromiter(map(at.__getitem__, w), np.int64, len(w)) for w in cut]
             size = np.array([len(i) + 1 for i in ids])
             cur = np.concatenate([np.append(i, end) for i in ids])
             prev = np.concatenate([np.concatenate([[start], i]) for i in ids])
             single = (c[cur] + 1) / below
-            level = held.value.levels(pair_hash(h[prev], h[cur]))
-            share = np.where(level > 0, np.minimum(2.0 ** (level * held.value.log_base) / np.maximum(c[prev], 1), 1.0), 0.0)
+            level = found[np.searchsorted(keys, pair_hash(h[prev], h[cur]))].astype(np.int64)
+            share = np.where(level >= least, np.minimum(2.0 ** (level * log_base) / np.maximum(c[prev], 1), 1.0), 0.0)
             p = np.where(c[prev] > 0, s.weight * share + (1 - s.weight) * single, single)
             first = np.cumsum(size) - size
             out += zip(size.tolist(), np.add.reduceat(c[cur] > 0, first, dtype=np.int64).tolist(), np.add.reduceat(np.log10(single), first).tolist(), np.add.reduceat(np.log10(p), first).tolist(), strict=True)

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from axisloom.llm import language_model, mixing, quality
@@ -97,6 +98,42 @@ def test_a_repeated_pair_is_likelier(spark):
     assert got[100]["score"] > got[101]["score"]
 
 
+def test_a_pair_seen_once_is_told_from_one_never_seen(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "alpha delta"), (4, "alpha delta")], "doc_id long, text string")
+    found = language_model.bloom_filter(docs, "true", 12, language_model.Settings())
+    h = {w: np.array([language_model.word_hash(w)], np.uint64) for w in (b"alpha", b"beta", b"gamma", b"delta")}
+    level = lambda a, b: int(found.levels(language_model.pair_hash(h[a], h[b]))[0])
+    assert level(b"alpha", b"beta") == level(b"gamma", b"delta") == 0
+    assert level(b"alpha", b"delta") == 1
+    assert level(b"gamma", b"beta") == level(b"beta", b"alpha") == -1
+
+
+@pytest.mark.parametrize("segment", [150, 3000])
+def test_scores_hold_every_bigram(spark, segment):
+    docs = documents(spark, 200)
+    rows = [(r["doc_id"], words_of(r["text"])) for r in docs.collect()]
+    learned = [w for i, w in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    pairs, c = Counter(p for w in learned for p in zip(["<"] + w, w + [">"], strict=True)), Counter(x for w in learned for x in w)
+    c["<"] = c[">"] = len(learned)
+    n = sum(map(len, learned)) + len(learned)
+    below = n + len(c) - 1 + 1
+    got = {r["doc_id"]: r["score"] for r in language_model.score(docs, settings=language_model.Settings(docs_per_block=30, tokens_per_segment=segment)).collect()}
+    off = []
+    for i, w in rows:
+        want = 0.0
+        for a, b in zip(["<"] + w, w + [">"], strict=True):
+            single = (c[b] + 1) / below
+            share = min(1.0, 2.0 ** int(math.log2(pairs[a, b])) / c[a]) if pairs[a, b] else 0.0
+            want += math.log10(0.25 * share + 0.75 * single if c[a] else single)
+        off.append(abs(got[i] - want) / len(w or [0]))
+    assert np.median(off) < 0.005
+    assert max(off) < 0.05
+
+
+def words_of(text):
+    return language_model.words(text or "")
+
+
 def labelled(spark, docs):
     return docs.join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("lang").alias("domain"))
 
