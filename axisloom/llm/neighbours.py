@@ -33,12 +33,12 @@ class Settings:
     #: A vector is also put into lists within this ratio of its nearest centroid's distance, `copies` lists at most.
     boundary: float = 1.15
     copies: int = 4
-    #: A query searches lists within this ratio of its nearest centroid's distance, `probes` at most (or what it takes
-    #: to reach min_rows vectors).
+    #: A query searches lists within this ratio of its nearest centroid's distance, and what it takes to reach min_rows
+    #: vectors; `probes` lists at most, if that is given.
     ratio: float = 1.35
-    probes: int = 64
+    probes: int | None = None
     min_rows: int = 2000
-    #: Longer lists are searched in parts of this size.
+    #: Lists are searched in groups of about so many vectors, longer lists in parts of this size.
     part_rows: int = 20_000
     degree: int = 16
     rounds: int = 10
@@ -80,6 +80,12 @@ class CentroidGraph:
         self.edges = np.array([[*sorted(e), *[i] * (width - len(e))] for i, e in enumerate(edges)], np.int64).reshape(k, width)
         self.entry = np.unique(np.linspace(0, k - 1, min(k, max(8, int(k**0.5)))).astype(np.int64))
 
+    def all(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, distances) of all centroids for each query, nearest first."""
+        cost = (self.c**2).sum(1) - 2 * q @ self.c.T
+        found = np.argsort(cost, axis=1, kind="stable")
+        return found, np.sqrt((np.take_along_axis(cost, found, 1) + (q**2).sum(1)[:, None]).clip(0))
+
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of `beam` centroids near each query, nearest first."""
         k, n = len(self.c), len(q)
@@ -184,21 +190,27 @@ def nearest(vectors: DataFrame, modulus: int = 20, k: int = 20, settings: Settin
     sizes = np.zeros(len(graph.c), np.int64)
     for r in lists.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
-    parts = np.maximum(1, -(-sizes // s.part_rows))
+    # Short lists are searched together, so that a query goes to a group once, however many of its lists it asks for.
+    group, filled_to = np.zeros(len(sizes), np.int64), 0
+    for i in range(1, len(sizes)):
+        filled_to += sizes[i - 1]
+        new = filled_to + sizes[i] > s.part_rows
+        group[i], filled_to = group[i - 1] + new, 0 if new else filled_to
+    parts = np.maximum(1, -(-np.bincount(group, weights=sizes).astype(np.int64) // s.part_rows))
 
     def probe(batches):
         for b in batches:
-            for at in range(0, len(b), 2048):
-                piece = b.slice(at, 2048)
+            for at in range(0, len(b), 512):
+                piece = b.slice(at, 512)
                 x = matrix(piece.column("v"))
                 x = x * (top / np.sqrt((x**2).sum(1)))[:, None]
                 x = np.concatenate([x, np.zeros((len(x), 1))], 1)
-                found, far = held.value.search(x, min(len(sizes), max(s.probes, 16)))
+                found, far = held.value.search(x, min(len(sizes), max(s.probes, 16))) if s.probes else held.value.all(x)
                 got = np.where(found >= 0, sizes[found], 0)
                 before = np.cumsum(got, axis=1) - got
                 near = (found >= 0) & ((far <= s.ratio * far[:, :1]) | (before < s.min_rows))
                 r, c = np.nonzero(near)
-                of = found[r, c]
+                r, of = np.unique(np.stack([r, group[found[r, c]]]), axis=1)
                 again = np.repeat(np.arange(len(r)), parts[of])
                 segment = np.arange(len(again)) - np.repeat(np.cumsum(parts[of]) - parts[of], parts[of])
                 taken = piece.take(pa.array(r[again]))
@@ -207,16 +219,23 @@ def nearest(vectors: DataFrame, modulus: int = 20, k: int = 20, settings: Settin
     asking = rows.where(F.col("vec_id") % modulus == 0).select(F.col("vec_id").alias("query_id"), "v").distinct()
     asked = asking.join(entries.select("v", "uid"), "v").select("query_id", "uid")
     queries = entries.join(asked.select("uid").distinct(), "uid", "left_semi").select("uid", "v").mapInArrow(probe, "list long, part long, uid long, v array<double>")
-    of_part = F.create_map(*[F.lit(int(x)) for kv in enumerate(parts) if kv[1] > 1 for x in kv]) if parts.max() > 1 else None
-    cut = F.pmod(F.xxhash64("uid"), F.coalesce(of_part[F.col("list")], F.lit(1))) if of_part is not None else F.lit(0)
-    both = lists.select("list", cut.cast("long").alias("part"), "uid", "v", "ids").unionByName(queries.withColumn("ids", F.lit(None).cast("array<long>")))
+
+    def place(batches):
+        for b in batches:
+            of = group[b.column("list").to_numpy()]
+            uid = b.column("uid").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            cut = (uid % parts[of].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(cut), b.column("uid"), b.column("v"), b.column("ids")], ["list", "part", "uid", "v", "ids"])
+
+    placed = lists.mapInArrow(place, "list long, part long, uid long, v array<double>, ids array<long>")
+    both = placed.unionByName(queries.withColumn("ids", F.lit(None).cast("array<long>")))
 
     def search(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         ask = rows.column("ids").is_null().to_numpy()
         uid, x = rows.column("uid").to_numpy(), matrix(rows.column("v"))
         q, here = np.flatnonzero(ask), np.flatnonzero(~ask)
-        here = here[np.argsort(uid[here], kind="stable")]
+        here = here[np.unique(uid[here], return_index=True)[1]]
         members = rows.column("ids").take(pa.array(here)).to_pylist()
         out: list[tuple[int, int, float]] = []
         for i in range(0, len(q) if len(here) else 0, 512):

@@ -45,6 +45,16 @@ def test_recall_where_lists_are_pruned(spark):
     assert hits >= 0.9 * 20 * len(want)
 
 
+def test_recall_over_several_hundred_lists(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(12_000, 32))
+    rows = [(i, x[i].tolist()) for i in range(len(x))]
+    got = found(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), settings=neighbours.Settings(list_rows=30, min_rows=200, part_rows=3000)))
+    want = brute_nearest(rows, 20)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.99 * 20 * len(want)
+
+
 def test_graph_search_finds_nearest_centroids():
     rng = np.random.default_rng(9)
     c, q = rng.normal(size=(400, 8)), rng.normal(size=(50, 8))
