@@ -65,7 +65,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"), k=8, window=5, share=4)
 
 
 QUERIES = {

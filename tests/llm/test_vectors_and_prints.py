@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from axisloom.llm import neighbours, winnowing
+from axisloom.llm import neighbours, queries, winnowing
 from tests.llm.helpers import SF, awkward, documents, empty
 
 
@@ -145,3 +145,18 @@ def test_fingerprints_of_awkward_rows(spark):
     assert one["near_next"] == 1.0
     prints = winnowing.fingerprint(awkward(spark)).collect()
     assert all(len(r["hashes"]) == len(r["positions"]) for r in prints)
+
+
+def test_op10_sees_what_short_texts_keep(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnop ")
+    rows = [(n, "".join(rng.choice(letters, n))) for n in range(1, 300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op10_winnowing(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    assert [n for n, r in got.items() if r["near_edited"] == 0] == []
+    for n in (5, 20, 31, 200):
+        k, window = winnowing.setting(n, 8, 5, 4)
+        mine, following = (winnowing.winnow(dict(rows)[i], k, window) for i in (n, n - 1))
+        assert got[n]["fingerprint"] == winnowing.as_text(*mine)
+        assert got[n]["near_next"] == winnowing.likeness(mine[0], following[0])
