@@ -1,45 +1,45 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Bigram counts are quantised to floor(log_base(count)); the filter holds, for each bigram, its hash with every level from 0
-up to its own. A probe asks level after level until one is missing, so a count comes back as a power of the base (too
-large where the filter errs, never too small), and a pair that was seen once is told from one that was not.
-Probabilities interpolate the bigram's share of its context with the add-one share of the word.
-
-Counting: tasks hash the bigrams of the training texts, sum them, and send them on in blobs by segment of the hash; each
-segment is summed and becomes its own part of the filter, as large as it needs to be. The filter stays a table of
-segments that grows with the corpus: blocks of documents send the distinct bigrams they ask for to the segments that own
-them, and get the levels back. Only where `max_bits` is given, counts below some base are left out to keep to it.
-
-Word counts are exact: documents are dealt into blocks, each block sends its distinct words with their counts, these are
-summed over all blocks, and each block gets the totals of its own words back beside its texts. No task or driver holds
-the vocabulary.
+Bigram counts are quantised to floor(log2(count)); the filter holds, for each bigram, its hash with every level from 0 up
+to its own. A probe asks level after level until one is missing, so a count comes back as its level (too high where the
+filter errs, never too low), and a pair that was seen once (level 0) is told from one that was not (no level).
+Probabilities are those of a Dirichlet prior: (c(u w) + strength * p(w)) / (c(u) + strength), p(w) the add-one share.
+
+1. Texts are tokenised once, where they are read, into blocks of about `tokens_per_block` tokens: a table of word hashes.
+2. Each block sends its distinct words and bigrams, with their counts in training texts, to the segments that own them.
+3. Each segment builds its part of the filter, as large as its bigrams need, and sums the words exactly. The filter is a
+   table of segments that grows with the corpus; it is not broadcast, as no bound on its size could be kept.
+4. Blocks get the levels and counts of what they asked for, and score their texts.
+
+A segment has a bounded number of tokens, whatever the corpus; a word or bigram that every block has adds one entry for
+each block to its segment. Words are told apart by 64 bits of hash, bigrams of one segment by 32 bits, which for two
+million of them errs more seldom than the filter by far.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisloom.llm.common import slices, split_hash, text_docs, words
+from axisloom.llm.common import fresh_path, slices, split_hash, text_docs, words
 
 START, END = np.uint64(0x53746172745F5F31), np.uint64(0x456E645F5F5F5F31)
 BITS_PER_ENTRY, PROBES = 12, 5
+LOW = np.uint64(0xFFFFFFFF)
 
 
 @dataclass
 class Settings:
-    #: The filter has at most so many bits (None: as many as it needs).
-    max_bits: int | None = None
-    #: Weight of the bigram share.
-    weight: float = 0.25
-    docs_per_block: int = 4000
+    #: How many tokens of evidence the add-one share of a word weighs against its context's bigrams.
+    strength: float = 256.0
+    tokens_per_block: int = 1_000_000
     tokens_per_segment: int = 2_000_000
 
 
@@ -50,286 +50,255 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 7)
+
+
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * np.uint64(0x9E3779B97F4A7C15) + second)
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 7)
+def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of a hash by its upper half, so that sorted hashes have sorted segments."""
+    return (h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
+
+
+def pair_keys(h: np.ndarray, segments: int) -> np.ndarray:
+    """Segment and the lower half of the hash, in one number."""
+    return segment_of(h, segments) << np.uint64(32) | h & LOW
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of sorted or small numbers by place, which a shuffle then compresses well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
-def token_pairs(texts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(before, token) hashes of texts given as arrays of word hashes; each text ends with END and begins after START."""
-    before = np.concatenate([np.concatenate([[START], t]) for t in texts])
-    return before, np.concatenate([np.concatenate([t, [END]]) for t in texts])
+def from_planes(data, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
-def by_segment(keys: np.ndarray, segments: int) -> list[tuple[int, np.ndarray]]:
-    """(segment, indexes of its keys, in order) of every segment that has any."""
-    of = keys % np.uint64(segments)
-    order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(1, segments, dtype=np.uint64))
-    return [(int(of[p[0]]), p) for p in np.split(order, cuts) if len(p)]
+def gaps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
 
 
-def positions(key: np.ndarray, level: int, width: np.ndarray | int) -> np.ndarray:
-    """PROBES bit positions in its segment for each bigram hash at a level."""
-    h = mixed(key + np.uint64(level * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return (h[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) % np.asarray(width, np.uint64).reshape(-1, 1)
+def positions(key: np.ndarray, level: int, width: int) -> np.ndarray:
+    """PROBES bit positions below width for each key at a level."""
+    h = mixed(key.astype(np.uint64) + np.uint64((level + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+    step = h >> np.uint64(32) | np.uint64(1)
+    return ((h[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) & LOW) * np.uint64(width) >> np.uint64(32)
 
 
 class Filter:
-    """The bits of one segment or of all, each segment with its own width; levels below `least` are not held."""
+    """The bits of one segment."""
 
-    def __init__(self, bits: np.ndarray, widths: np.ndarray, log_base: int = 1, least: int = 0):
-        self.bits, self.widths, self.log_base, self.least = bits, np.asarray(widths, np.uint64), log_base, least
-        self.first = np.cumsum(self.widths) - self.widths
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.width = bits, 8 * len(bits)
 
-    def has(self, key: np.ndarray, level: int) -> np.ndarray:
-        segment = key % np.uint64(len(self.widths))
-        at = positions(key, level, self.widths[segment]) + self.first[segment][:, None]
+    @staticmethod
+    def of(keys: np.ndarray, level: np.ndarray) -> Filter:
+        """A filter of distinct keys, each held at all levels up to its own, with BITS_PER_ENTRY for each of these."""
+        width = -(-max(int((level + 1).sum()), 1) * BITS_PER_ENTRY // 64) * 64
+        bits = np.zeros(width, bool)
+        for k in range(int(level.max(initial=-1)) + 1):
+            bits[positions(keys[level >= k], k, width)] = True
+        return Filter(np.packbits(bits, bitorder="little"))
+
+    def has(self, keys: np.ndarray, level: int) -> np.ndarray:
+        at = positions(keys, level, self.width)
         return ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
 
-    def levels(self, key: np.ndarray) -> np.ndarray:
-        """The highest level up to which all levels that are held are present; one below the least if none is."""
-        level = self.least - 1
-        out, left = np.full(len(key), level, np.int64), np.arange(len(key))
-        while len(left):
-            level += 1
-            left = left[self.has(key[left], level)] if level * self.log_base < 64 else left[:0]
-            out[left] = level
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The highest level up to which all are present, -1 if none is."""
+        out = np.full(len(keys), -1, np.int8)
+        for lo in range(0, len(keys), 500_000):
+            level, left = 0, np.arange(lo, min(lo + 500_000, len(keys)))
+            while len(left) and level < 64:
+                left = left[self.has(keys[left], level)]
+                out[left] = level
+                level += 1
         return out
 
 
-def bigram_counts(docs: DataFrame, learn: str, segments: int, held_rows: int = 3_000_000) -> DataFrame:
-    """(segment, hashes binary, counts binary): bigrams of the texts where `learn` is true, summed in each task."""
+def counts_of(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts that have a level; 0 for level -1."""
+    return np.where(level < 0, 0.0, (3.0 * 2.0 ** level.astype(np.float64) - 1) / 2)
+
+
+def tokenised(rows: DataFrame, tokens_per_block: int) -> DataFrame:
+    """Blocks of rows (doc_id, text, held_out), as they are read: the table that all later steps read.
+
+    words: the sorted hashes of a block's distinct words; at: each token's place among them, text after text; size: the
+    words of each text; n_texts and n_words: how many are in texts that are not held out. A block ends with the text
+    that makes it reach tokens_per_block.
+    """
+
+    def block(number: int, held: list[tuple], known: dict[bytes, int]) -> pa.RecordBatch:
+        ids, out, size = (list(chain.from_iterable(h[i] for h in held)) for i in range(3))
+        h = np.fromiter(map(word_hash, known), np.uint64, len(known))
+        order = np.argsort(h, kind="stable")
+        rank = np.empty(len(h), np.uint32)
+        rank[order] = np.arange(len(h), dtype=np.uint32)
+        places = rank[np.concatenate([x[3] for x in held])]
+        learned = [n for n, o in zip(size, out, strict=True) if not o]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([TaskContext.get().partitionId() << 32 | number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([out], pa.list_(pa.bool_())), pa.array([size], pa.list_(pa.int64())),
+                pa.array([h[order].tobytes()], pa.binary()), pa.array([places.tobytes()], pa.binary()), pa.array([len(learned)], pa.int64()), pa.array([sum(learned)], pa.int64()),
+            ],
+            ["block", "doc_id", "held_out", "size", "words", "at", "n_texts", "n_words"],
+        )
 
     def run(batches):
-        known: dict[bytes, int] = {}
-        held: list[np.ndarray] = []
-        size = 0
+        number, tokens, held, known = 0, 0, [], {}
         for b in batches:
-            for _, texts in slices(b, "text", 1_000_000):
+            for first, texts in slices(b, "text", 1_000_000):
                 cut = list(map(words, texts))
-                if len(known) > 500_000:
-                    known.clear()
                 for w in set(chain.from_iterable(cut)).difference(known):
-                    known[w] = word_hash(w)
-                held.append(pair_hash(*token_pairs([np.fromiter(map(known.__getitem__, c), np.uint64, len(c)) for c in cut])))
-                size += len(held[-1])
-                if size > held_rows:
-                    yield blobs(np.concatenate(held))
-                    held, size = [], 0
+                    known[w] = len(known)
+                size = list(map(len, cut))
+                at = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.uint32, sum(size))
+                held.append((b.column("doc_id").slice(first, len(texts)).to_pylist(), b.column("held_out").slice(first, len(texts)).to_pylist(), size, at))
+                tokens += len(at) + len(texts)
+                if tokens >= tokens_per_block:
+                    yield block(number, held, known)
+                    number, tokens, held, known = number + 1, 0, [], {}
         if held:
-            yield blobs(np.concatenate(held))
-
-    def blobs(keys: np.ndarray) -> pa.RecordBatch:
-        keys, n = np.unique(keys, return_counts=True)
-        parts = by_segment(keys, segments)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([i for i, _ in parts], pa.int64()), pa.array([keys[p].tobytes() for _, p in parts], pa.binary()), pa.array([np.minimum(n[p], 2**32 - 1).astype(np.uint32).tobytes() for _, p in parts], pa.binary())],
-            ["segment", "hashes", "counts"],
-        )
-
-    return docs.where(learn).select("text").mapInArrow(run, "segment long, hashes binary, counts binary")
-
-
-def summed_levels(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, floor(log2(count))) of the distinct bigrams of a segment."""
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()])
-    n = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("counts").to_pylist()]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.frexp(np.add.reduceat(n, first).astype(np.float64))[1] - 1
+            yield block(number, held, known)
+
+    return rows.select("doc_id", "text", "held_out").mapInArrow(run, "block long, doc_id array<long>, held_out array<boolean>, size array<long>, words binary, at binary, n_texts long, n_words long")
+
+
+class Block:
+    """One row of the tokenised table: its texts as places among words, an end after each."""
+
+    def __init__(self, row: pa.Table | pa.RecordBatch, i: int, segments: int):
+        self.words = np.frombuffer(row.column("words")[i].as_py(), np.uint64)
+        self.size = np.array(row.column("size")[i].as_py(), np.int64)
+        self.held = np.array(row.column("held_out")[i].as_py(), bool)
+        at = np.frombuffer(row.column("at")[i].as_py(), np.uint32).astype(np.int64)
+        #: After the words: END, then START.
+        self.end = len(self.words)
+        self.stop = np.cumsum(self.size + 1)
+        self.now = np.full(len(at) + len(self.size), self.end)
+        self.now[np.delete(np.arange(len(self.now)), self.stop - 1)] = at
+        self.before = np.concatenate([[self.end + 1], self.now[:-1]])
+        self.before[self.stop[:-1]] = self.end + 1
+        h = np.concatenate([self.words, [END, START]])
+        self.pairs = pair_keys(pair_hash(h[self.before], h[self.now]), segments)
+        self.learned = np.repeat(~self.held, self.size + 1)
+        self.word_cuts = np.searchsorted(segment_of(self.words, segments), np.arange(segments + 1, dtype=np.uint64))
+
+    def requests(self, segments: int) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
+        """(segment, words, counts, bigrams, counts) of every segment that owns any: sorted gaps, and counts in training texts."""
+        n = np.bincount(self.now[self.learned], minlength=self.end + 1)[: self.end].astype(np.uint32)
+        pairs, where = np.unique(self.pairs, return_inverse=True)
+        m = np.bincount(where[self.learned], minlength=len(pairs)).astype(np.uint32)
+        cuts = np.searchsorted(pairs, np.arange(segments + 1, dtype=np.uint64) << np.uint64(32))
+        out = []
+        for i in range(segments):
+            a, b, c, d = self.word_cuts[i], self.word_cuts[i + 1], cuts[i], cuts[i + 1]
+            if b > a or d > c:
+                out.append((i, planes(gaps(self.words[a:b])), planes(n[a:b]), planes(gaps((pairs[c:d] & LOW).astype(np.uint32))), planes(m[c:d])))
+        return out
 
 
-def width_of(entries: int) -> int:
-    return -(-max(entries, 1) * BITS_PER_ENTRY // 64) * 64
+def requested(tokens: DataFrame, segments: int) -> DataFrame:
+    """(segment, block, words, word_counts, pairs, pair_counts): what each block asks of each segment, and tells it."""
 
+    def run(batches):
+        for b in batches:
+            for i in range(len(b)):
+                found = Block(b, i, segments).requests(segments)
+                cols = [pa.array([x[j] for x in found], pa.binary()) for j in range(1, 5)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([b.column("block")[i].as_py()] * len(found), pa.int64()), *cols], ["segment", "block", "words", "word_counts", "pairs", "pair_counts"])
 
-def fitting(counts: DataFrame, segments: int, max_bits: int | None) -> tuple[int, int]:
-    """(log_base, least level held) with which the filter keeps to max_bits; (1, 0), which leaves nothing out, if that does."""
-    if max_bits is None:
-        return 1, 0
+    return tokens.select("block", "held_out", "size", "words", "at").mapInArrow(run, "segment long, block long, words binary, word_counts binary, pairs binary, pair_counts binary")
 
-    def histogram(rows: pa.Table) -> pa.Table:
-        return pa.table({"histogram": pa.array([np.bincount(summed_levels(rows)[1], minlength=64).tolist()], pa.list_(pa.int64()))})
 
-    by_level = np.array([r["histogram"] for r in counts.groupBy("segment").applyInArrow(histogram, "histogram array<long>").collect()], np.int64).reshape(-1, 64)
-    log_base, least = 1, 0
-    while log_base < 64:
-        entries = by_level @ (np.arange(64) // log_base + 1 - least)
-        if sum(map(width_of, entries.tolist())) + (segments - len(entries)) * width_of(0) <= max_bits:
-            break
-        log_base, least = log_base + least, 1
-    return log_base, least
+def keys_of(column, kind) -> list[np.ndarray]:
+    return [np.cumsum(from_planes(x.as_buffer(), kind), dtype=kind) for x in column]
 
 
-def filter_table(docs: DataFrame, learn: str, segments: int, max_bits: int | None) -> tuple[DataFrame, int, int]:
-    """The filter of the training texts' bigrams as (segment, width long, bits binary), its log_base and its least level."""
-    counts = bigram_counts(docs, learn, segments)
-    log_base, least = fitting(counts, segments, max_bits)
+def filters(asked: DataFrame) -> DataFrame:
+    """(segment, bits binary): the filter of the training texts' bigrams."""
 
     def build(rows: pa.Table) -> pa.Table:
-        keys, level = summed_levels(rows)
-        level = level // log_base
-        width = width_of(int((level + 1 - least).sum()))
-        bits = np.zeros(width, bool)
-        for k in range(least, int(level.max(initial=0)) + 1):
-            bits[positions(keys[level >= k], k, width).ravel()] = True
-        return pa.table({"segment": rows.column("segment").slice(0, 1), "width": pa.array([width], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        keys = np.concatenate(keys_of(rows.column("pairs"), np.uint32))
+        n = np.concatenate([from_planes(x.as_buffer(), np.uint32) for x in rows.column("pair_counts")])
+        keys, n = keys[n > 0], n[n > 0].astype(np.float64)
+        distinct, where = np.unique(keys, return_inverse=True)
+        level = np.frexp(np.bincount(where, weights=n, minlength=len(distinct)))[1] - 1
+        return pa.table({"segment": rows.column("segment").slice(0, 1), "bits": pa.array([Filter.of(distinct, level).bits.tobytes()], pa.binary())})
 
-    return counts.groupBy("segment").applyInArrow(build, "segment long, width long, bits binary"), log_base, least
+    return asked.groupBy("segment").applyInArrow(build, "segment long, bits binary")
 
 
-def segment_count(tokens: int, s: Settings) -> int:
-    return max(1, tokens // s.tokens_per_segment)
+def answered(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(block, segment, counts, levels, distinct): totals of the words and levels of the bigrams that a block asked for.
 
-
-def bloom_filter(docs: DataFrame, learn: str, tokens: int, s: Settings) -> Filter:
-    """The filter gathered into one object, for corpora that allow it; score() leaves it a table."""
-    segments = segment_count(tokens, s)
-    found, log_base, least = filter_table(docs, learn, segments, s.max_bits)
-    rows = {r["segment"]: r for r in found.collect()}
-    empty = bytes(width_of(0) // 8)
-    bits = b"".join(bytes(rows[i]["bits"]) if i in rows else empty for i in range(segments))
-    return Filter(np.frombuffer(bits, np.uint8), np.array([rows[i]["width"] if i in rows else width_of(0) for i in range(segments)]), log_base, least)
-
-
-def vocabulary_size(docs: DataFrame, learn: str, segments: int) -> tuple[int, int, int]:
-    """(texts, words in all, distinct words) of the training texts; distinct by 64-bit hash.
-
-    Each task sends the hashes of its distinct words once or a few times, in blobs by segment.
+    counts and levels are in the order of the request; distinct: how many words of training texts the segment has, once
+    for each segment.
     """
 
-    def run(batches):
-        known: set[bytes] = set()
-        n = texts_seen = 0
-        for b in batches:
-            for _, texts in slices(b, "text", 1_000_000):
-                for t in texts:
-                    w = words(t)
-                    n += len(w)
-                    known.update(w)
-                texts_seen += len(texts)
-                if len(known) > 600_000:
-                    yield blobs(known, n, texts_seen)
-                    known, n, texts_seen = set(), 0, 0
-        if texts_seen:
-            yield blobs(known, n, texts_seen)
-
-    def blobs(known: set[bytes], n: int, texts_seen: int) -> pa.RecordBatch:
-        keys = np.fromiter(map(word_hash, known), np.uint64, len(known))
-        of = keys % np.uint64(segments)
-        parts = [(i, keys[of == np.uint64(i)]) for i in range(segments)]
-        parts = [(i, p) for i, p in parts if len(p) or not i]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([i for i, _ in parts], pa.int64()), pa.array([p.tobytes() for _, p in parts], pa.binary()), pa.array([0 if i else n for i, _ in parts], pa.int64()), pa.array([0 if i else texts_seen for i, _ in parts], pa.int64())],
-            ["segment", "hashes", "n", "texts"],
-        )
+    def answer(asks: pa.Table, own: pa.Table) -> pa.Table:
+        asked_words = keys_of(asks.column("words"), np.uint64)
+        n = np.concatenate([from_planes(x.as_buffer(), np.uint32) for x in asks.column("word_counts")])
+        distinct, where = np.unique(np.concatenate(asked_words), return_inverse=True)
+        totals = np.bincount(where, weights=n, minlength=len(distinct)).astype(np.int64)
+        asked_pairs = keys_of(asks.column("pairs"), np.uint32)
+        level = Filter(np.frombuffer(own.column("bits")[0].as_buffer(), np.uint8)).levels(np.concatenate(asked_pairs))
+        counts = np.split(totals[where], np.cumsum([len(x) for x in asked_words])[:-1])
+        levels = np.split(level, np.cumsum([len(x) for x in asked_pairs])[:-1])
+        first = np.zeros(asks.num_rows, np.int64)
+        first[0] = (totals > 0).sum()
+        return pa.table({"block": asks.column("block"), "segment": asks.column("segment"), "counts": pa.array(map(planes, counts), pa.binary()), "levels": pa.array([x.tobytes() for x in levels], pa.binary()), "distinct": pa.array(first)})
 
-    def summed(rows: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]))
-        return pa.table({"distinct": [len(keys)], "n": [int(np.sum(rows.column("n").to_numpy()))], "texts": [int(np.sum(rows.column("texts").to_numpy()))]})
+    return asked.groupBy("segment").cogroup(held.groupBy("segment")).applyInArrow(answer, "block long, segment long, counts binary, levels binary, distinct long")
 
-    found = docs.where(learn).select("text").mapInArrow(run, "segment long, hashes binary, n long, texts long").groupBy("segment").applyInArrow(summed, "distinct long, n long, texts long")
-    r = found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("texts", "n", "distinct"))).first()
-    return r["texts"], r["n"], r["distinct"]
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, settings: Settings | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Texts whose crc32(doc_id) mod modulus is not remainder are learned from. Tokens are the words of a text and one end.
-    base_score sums log10((c + 1) / (N + V + 1)); score sums log10 of `weight` times the bigram's share of its context
-    plus the rest times that unigram share, which stands alone where the context was never seen. Null texts count as
+    base_score sums log10((c + 1) / (N + V + 1)), which is p(w); score sums log10((c(u w) + strength * p(w)) / (c(u) +
+    strength)), u the token before (a start before the first) and c(u w) as the filter gives it. Null texts count as
     empty (one token, the end); a null doc_id hashes as the empty text; repeated rows are scored and counted each; an
     empty table gives no rows; columns other than doc_id and text are ignored.
     """
     s = settings or Settings()
     rows = text_docs(docs).withColumn("held_out", split_hash(F.col("doc_id")) % modulus == remainder)
-    learn = "NOT held_out"
-    n_docs = rows.count()
-    blocks = max(1, n_docs // s.docs_per_block)
-    texts, n_words, distinct = vocabulary_size(rows, learn, max(1, blocks // 4))
-    total, below = n_words + texts, float(n_words + texts + distinct + (texts > 0) + 1)
-    segments = segment_count(total, s)
-    filters, log_base, least = filter_table(rows, learn, segments, s.max_bits)
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long").alias("block")
-    dealt = rows.select(block, "doc_id", "text", "held_out").repartition(blocks, "block")
-
-    def block_words(t: pa.Table) -> pa.Table:
-        mine: Counter = Counter()
-        others: set[bytes] = set()
-        for text, out in zip(t.column("text").to_pylist(), t.column("held_out").to_pylist(), strict=True):
-            (others if out else mine).update(words(text))
-        mine.update(dict.fromkeys(others.difference(mine), 0))
-        return pa.table({"block": pa.array([t.column("block")[0].as_py()] * len(mine), pa.int64()), "word": pa.array(list(mine), pa.binary()), "n": pa.array(list(mine.values()), pa.int64())})
-
-    counts = dealt.groupBy("block").applyInArrow(block_words, "block long, word binary, n long")
-    counts = counts.select("block", "word", F.sum("n").over(Window.partitionBy("word")).alias("c"))
-
-    def distinct_pairs(texts: pa.ChunkedArray, known: dict[bytes, int]) -> np.ndarray:
-        """Sorted hashes of the distinct bigrams of a block."""
-        held = []
-        for _, cut in pieces(texts):
-            held.append(np.unique(pair_hash(*token_pairs([np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in cut]))))
-        return np.unique(np.concatenate(held)) if held else np.empty(0, np.uint64)
-
-    def pieces(texts: pa.ChunkedArray):
-        whole = pa.record_batch([pa.concat_arrays(texts.chunks) if len(texts) else pa.array([], pa.string())], names=["text"])
-        return ((at, list(map(words, part))) for at, part in slices(whole, "text", 1_000_000))
-
-    def block_pairs(t: pa.Table) -> pa.Table:
-        known: dict[bytes, int] = {}
-        for _, cut in pieces(t.column("text")):
-            for w in set(chain.from_iterable(cut)).difference(known):
-                known[w] = word_hash(w)
-        keys = distinct_pairs(t.column("text"), known)
-        parts = by_segment(keys, segments)
-        block = t.column("block")[0].as_py()
-        return pa.table({"segment": pa.array([i for i, _ in parts], pa.int64()), "block": pa.array([block] * len(parts), pa.int64()), "hashes": pa.array([keys[p].tobytes() for _, p in parts], pa.binary())})
-
-    def answered(asked: pa.Table, held: pa.Table) -> pa.Table:
-        of = Filter(np.frombuffer(held.column("bits")[0].as_py(), np.uint8), np.array([held.column("width")[0].as_py()]), log_base, least) if held.num_rows else None
-        out = []
-        for x in asked.column("hashes"):
-            keys = np.frombuffer(x.as_buffer(), np.uint64)
-            out.append((of.levels(keys) if of else np.full(len(keys), least - 1)).astype(np.int8).tobytes())
-        return pa.table({"block": asked.column("block"), "segment": asked.column("segment"), "levels": pa.array(out, pa.binary())})
-
-    asked = dealt.groupBy("block").applyInArrow(block_pairs, "segment long, block long, hashes binary")
-    levels = asked.groupBy("segment").cogroup(filters.groupBy("segment")).applyInArrow(answered, "block long, segment long, levels binary")
-    counts = counts.unionByName(levels, allowMissingColumns=True)
-
-    def scored(t: pa.Table, dictionary: pa.Table) -> pa.Table:
-        replies = dictionary.filter(dictionary.column("levels").is_valid())
-        dictionary = dictionary.filter(dictionary.column("levels").is_null())
-        known = dictionary.column("word").to_pylist()
-        c = np.concatenate([dictionary.column("c").to_numpy() if known else np.empty(0, np.int64), [texts, texts]]).astype(np.int64)
-        h = np.concatenate([np.fromiter(map(word_hash, known), np.uint64, len(known)), np.array([END, START])])
-        at = {w: i for i, w in enumerate(known)}
-        end, start = len(known), len(known) + 1
-        keys = distinct_pairs(t.column("text"), dict(zip(known, h[:end].tolist(), strict=True)))
-        found = np.full(len(keys), least - 1, np.int8)
-        where = dict(by_segment(keys, segments))
-        for i, x in zip(replies.column("segment").to_pylist(), replies.column("levels").to_pylist(), strict=True):
-            found[where[i]] = np.frombuffer(x, np.int8)
-        out: list[tuple] = []
-        for _, cut in pieces(t.column("text")):
-            ids = [np.fromiter(map(at.__getitem__, w), np.int64, len(w)) for w in cut]
-            size = np.array([len(i) + 1 for i in ids])
-            cur = np.concatenate([np.append(i, end) for i in ids])
-            prev = np.concatenate([np.concatenate([[start], i]) for i in ids])
-            single = (c[cur] + 1) / below
-            level = found[np.searchsorted(keys, pair_hash(h[prev], h[cur]))].astype(np.int64)
-            share = np.where(level >= least, np.minimum(2.0 ** (level * log_base) / np.maximum(c[prev], 1), 1.0), 0.0)
-            p = np.where(c[prev] > 0, s.weight * share + (1 - s.weight) * single, single)
-            first = np.cumsum(size) - size
-            out += zip(size.tolist(), np.add.reduceat(c[cur] > 0, first, dtype=np.int64).tolist(), np.add.reduceat(np.log10(single), first).tolist(), np.add.reduceat(np.log10(p), first).tolist(), strict=True)
-        cols = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-        return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": cols[0], "n_known": cols[1], "train_tokens": pa.array([total] * t.num_rows, pa.int64()), "base_score": cols[2], "score": cols[3]})
-
-    return dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    tokens = written(tokenised(rows, s.tokens_per_block), "tokens")
+    size = tokens.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_texts", "n_words")), F.coalesce(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x) + F.size("size")), F.lit(0)).alias("all")).first()
+    texts, total, segments = size["n_texts"], size["n_texts"] + size["n_words"], max(1, size["all"] // s.tokens_per_segment)
+    asked = requested(tokens, segments).repartition(segments, "segment")
+    replies = written(answered(asked, filters(asked)), "replies")
+    distinct = replies.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("n")).first()["n"] + (texts > 0)
+    below = float(total + distinct + 1)
+
+    def scored(mine: pa.Table, got: pa.Table) -> pa.Table:
+        block = Block(mine, 0, segments)
+        got = got.sort_by("segment")
+        c = np.concatenate([*(from_planes(x.as_buffer(), np.int64) for x in got.column("counts")), [texts, texts]])
+        level = np.concatenate([np.frombuffer(x.as_buffer(), np.int8) for x in got.column("levels")])
+        pairs = np.unique(block.pairs)
+        single = (c[block.now] + 1) / below
+        context = c[block.before]
+        both = np.minimum(counts_of(level)[np.searchsorted(pairs, block.pairs)], context)
+        p = (both + s.strength * single) / (context + s.strength)
+        first = block.stop - block.size - 1
+        sums = [np.add.reduceat(x, first) for x in ((c[block.now] > 0).astype(np.int64), np.log10(single), np.log10(p))]
+        return pa.table({
+            "doc_id": pa.array(mine.column("doc_id")[0].as_py(), pa.int64()), "held_out": pa.array(block.held), "n_tokens": pa.array(block.size + 1), "n_known": pa.array(sums[0]),
+            "train_tokens": pa.array(np.full(len(first), total, np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2]),
+        })
+
+    mine = tokens.select("block", "doc_id", "held_out", "size", "words", "at")
+    return mine.groupBy("block").cogroup(replies.select("block", "segment", "counts", "levels").groupBy("block")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
