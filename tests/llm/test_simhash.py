@@ -33,10 +33,10 @@ def brute_groups(prints, radius):
     return label
 
 
-@pytest.mark.parametrize(("radius", "parts"), [(2, 3), (2, 4), (0, 3), (3, 2), (6, 0)])
-def test_groups_are_those_of_all_pairs(spark, radius, parts):
+@pytest.mark.parametrize(("radius", "block_rows"), [(2, 16), (2, 8192), (0, 16), (3, 7), (6, 64)])
+def test_groups_are_those_of_all_pairs(spark, radius, block_rows):
     docs = documents(spark, 400)
-    got = {r["doc_id"]: (r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_groups(docs, radius=radius, parts=parts, block_rows=16).collect()}
+    got = {r["doc_id"]: (r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_groups(docs, radius=radius, block_rows=block_rows).collect()}
     want = {r["doc_id"]: brute_fingerprint(r["text"]) for r in docs.collect()}
     assert {k: v[0] for k, v in got.items()} == want
     least = defaultdict(lambda: 1 << 60)
@@ -46,54 +46,81 @@ def test_groups_are_those_of_all_pairs(spark, radius, parts):
     assert {k: v[1] for k, v in got.items()} == {i: label[f] for i, f in want.items()}
 
 
-def test_verified_groups_keep_near_copies_and_leave_others(spark):
-    words = [f"w{i}" for i in range(3000)]
-    rng = np.random.default_rng(1)
-    rows, twins = [], []
-    for i in range(60):
-        text = list(rng.choice(words, 300))
-        rows.append((3 * i, " ".join(text)))
-        near = list(text)
-        near[150] = "changed"
-        rows.append((3 * i + 1, " ".join(near)))
-        far = list(text)
-        for j in range(0, 300, 12):
-            far[j] = f"other{j}"
-        rows.append((3 * i + 2, " ".join(far)))
-        twins.append(3 * i)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 14, 5, 0.8).collect()}
-    assert all(got[t + 1] == t for t in twins)
-    assert all(got[t + 2] == t + 2 for t in twins)
-
-
-def test_verified_groups_against_exact_similarity(spark):
-    docs = documents(spark, 500)
-    rows = docs.collect()
-    sets = {r["doc_id"]: simhash.shingle_hashes(simhash.words(r["text"]), 5) for r in rows}
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs, 3, 14, 5, 0.8).collect()}
-    ids = sorted(sets)
-    held = {i: set(sets[i].tolist()) for i in ids}
-    missed = wrong = close = 0
-    for n, i in enumerate(ids):
-        for j in ids[n + 1 :]:
-            a, b = held[i], held[j]
-            if min(len(a), len(b)) < 0.6 * max(len(a), len(b)):
-                continue
-            sim = len(a & b) / max(1, len(a | b))
-            close += sim >= 0.86
-            missed += sim >= 0.86 and got[i] != got[j]
-            wrong += sim < 0.6 and got[i] == got[j]
-    assert close > 10
-    assert not missed
-    assert not wrong
-
-
-def test_one_permutation_sketch_estimates_similarity():
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 2**63, 4000, dtype=np.uint64)
-    other = np.concatenate([base[:3400], rng.integers(0, 2**63, 600, dtype=np.uint64)])
-    a, b = (np.frombuffer(simhash.sketch(x)[0], np.uint8)[None] for x in (base, other))
-    assert abs(float(simhash.alike(a, b)[0]) - 3400 / 4600) < 0.1
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 6])
+def test_fingerprints_within_the_radius_share_a_tile(radius):
+    rng = np.random.default_rng(radius)
+    for n in (10, 10_000_000, 20_000_000_000):
+        masks = simhash.runs_of_bits(radius, n)
+        for _ in range(300):
+            flips = sum({1 << int(b) for b in rng.choice(64, radius, replace=False)})
+            assert any(flips & m == 0 for m in masks)
+
+
+def test_near_pairs_are_all_pairs_within_the_radius():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    fp = np.unique(np.concatenate([base ^ np.uint64(1 << int(b)) for b in rng.integers(0, 63, 90)]))
+    fp = fp[np.argsort(np.bitwise_count(fp), kind="stable")]
+    for r in (0, 2, 5):
+        want = {(i, j) for i in range(len(fp)) for j in range(len(fp)) if (int(fp[i]) ^ int(fp[j])).bit_count() <= r}
+        assert {(int(i), int(j)) for a, b in simhash.near_pairs(fp, fp, r) for i, j in zip(a, b, strict=True)} == want
+        assert {(int(i), int(j)) for a, b in simhash.near_pairs(fp, None, r) for i, j in zip(a, b, strict=True)} == {(i, j) for i, j in want if i < j}
+
+
+def exact_classes(rows, similarity=0.8):
+    """{position: least position} over links of exact Jaccard similarity of five-word shingle sets, and the pairs linked."""
+    w = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} if x else set() for x in w]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s or {()}:
+            holders[g].append(i)
+    common = defaultdict(int)
+    for h in holders.values():
+        for x, i in enumerate(h):
+            for j in h[x + 1 :]:
+                common[i, j] += 1
+    pairs = [(i, j) for (i, j), n in common.items() if n >= similarity * (len(sets[i] | sets[j]) or 1) - 1e-9]
+    root = list(range(len(rows)))
+    for i, j in pairs:
+        while root[i] != i:
+            i = root[i]
+        while root[j] != j:
+            j = root[j]
+        root[max(i, j)] = min(i, j)
+    for i in range(len(root)):
+        root[i] = root[root[i]]
+    return root, pairs
+
+
+@pytest.mark.parametrize("block_rows", [5, 8192])
+def test_classes_are_those_of_exact_similarity(spark, block_rows):
+    docs = documents(spark, 600)
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    root, pairs = exact_classes(rows)
+    assert len(pairs) > 20
+    got = {r["doc_id"]: (r["class_id"], r["kept"]) for r in simhash.classes(docs, 5, 0.8, block_rows).collect()}
+    assert got == {rows[i][0]: (rows[r][0], r == i) for i, r in enumerate(root)}
+
+
+def test_classes_of_a_ladder_of_edits(spark):
+    """Copies with ever more words changed: exactly those at 0.8 or more of some other copy hang together."""
+    rng = np.random.default_rng(4)
+    pool = [f"w{i}" for i in range(4000)]
+    rows = []
+    for g in range(40):
+        text = list(rng.choice(pool, 200))
+        for step in (0, 1, 3, 5, 8, 12):
+            copy = list(text)
+            for at in rng.choice(200, step, replace=False):
+                copy[at] = str(rng.choice(pool))
+            rows.append((10 * g + step % 10 + (step > 9) * 7, " ".join(copy)))
+    root, pairs = exact_classes(rows)
+    got = {r["doc_id"]: r["class_id"] for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    together = [got[rows[i][0]] == got[rows[j][0]] for i, j in pairs]
+    assert np.mean(together) > 0.999
+    apart = [(i, j) for i in range(len(rows)) for j in range(i) if root[i] != root[j] and got[rows[i][0]] == got[rows[j][0]]]
+    assert not apart
 
 
 def test_awkward_rows(spark):
@@ -105,13 +132,26 @@ def test_awkward_rows(spark):
     assert by_id[3] == by_id[4] == by_id[5] == (0, 3)
     assert by_id[None][1] is None
     assert simhash.near_groups(empty(spark)).count() == 0
-    assert simhash.near_groups(awkward(spark), 3, 14, 5).count() == 11
+    assert simhash.classes(awkward(spark)).count() == 11
+    assert simhash.classes(empty(spark)).count() == 0
+
+
+def test_repeated_ids_and_null_ids_keep_one_row_of_each_class(spark):
+    a, b, x, y = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue cyan pink grey", "sun moon star sky sea land")
+    rows = [(3, a), (5, a), (5, b), (7, x), (7, x), (None, a), (None, y), (None, y), (8, None), (9, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, hash int")
+    got = [(r["doc_id"], r["text"]) for r in simhash.deduplicated(docs).collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (5, b), (7, x), (None, y), (8, None)], key=str)
+    assert simhash.deduplicated(docs).columns == docs.columns
+    near = {(r["doc_id"], r["component_id"]) for r in simhash.near_groups(docs).collect()}
+    assert (5, 3) in near
+    assert (None, 3) in near
+    assert (None, None) in near
 
 
 def test_a_dense_group_gives_a_forest_not_its_pairs(spark):
     fp = [0] + [1 << i for i in range(60)]
-    nodes = spark.createDataFrame([(i, f) for i, f in enumerate(fp)], "node long, fp long")
-    edges = simhash.links(nodes, 2, 3, block_rows=8)
+    edges = simhash.links(spark.createDataFrame([(f,) for f in fp], "fp long"), 2, 61, block_rows=8)
     assert edges.count() < 60 * 40
     assert {r["component"] for r in components(edges).collect()} == {0}
 
@@ -134,7 +174,7 @@ def test_lines_that_repeat_inside_a_text_do_not_hide_near_copies(spark):
         else:
             pair = text + line, text + line * (10 + i % 3 * 15)
         rows += [(i + j, " ".join(t)) for j, t in enumerate(pair)]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 14, 5, 0.8).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [i for i in range(0, 240, 2) if got[i + 1] != i] == []
     assert all(got[i] == i for i in range(0, 240, 2))
 
