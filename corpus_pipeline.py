@@ -31,15 +31,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id.
+    """One row of each near-duplicate class: that with the smallest id, rows without an id last; of equal rows one.
 
-    Texts whose sets of five-word shingles are alike by 0.8 or more are linked; candidates are pairs of wide fingerprints
-    of these sets, within the radius that the binomial tail at 0.8 gives. Rows without an id, which no group can name, stay; so do all rows of an id that stays.
-    Texts without words are one group.
+    Texts whose sets of five-word shingles are alike by 0.8 or more are linked (simhash.classes). Texts without words are
+    one class.
     """
-    groups = simhash.near_groups(docs, verify_shingle=5, similarity=0.8)
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return simhash.deduplicated(docs.select(*COLUMNS), shingle=5, similarity=0.8)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
