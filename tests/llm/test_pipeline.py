@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from axisloom.llm import quality, secrets, simhash
+from axisloom.llm import quality, secrets
 from tests.llm.helpers import SF, awkward, documents, empty
+from tests.llm.test_simhash import exact_classes
 
 
 def test_stages_do_what_their_operators_decide(spark, tmp_path):
@@ -19,8 +20,9 @@ def test_stages_do_what_their_operators_decide(spark, tmp_path):
     ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
     model = quality.train(start, labels, learn_from=~quality.held_out())
     assert ids(good) == {r["doc_id"] for r in quality.scores(start, model).collect() if r["score"] >= 0.3}
-    groups = simhash.near_groups(good, 3, 14, 5, 0.8).collect()
-    assert ids(single) == {r["doc_id"] for r in groups if r["doc_id"] == r["component_id"]}
+    rows = sorted((r["doc_id"], r["text"]) for r in good.collect())
+    root, _ = exact_classes(rows)
+    assert ids(single) == {rows[i][0] for i, r in enumerate(root) if i == r}
     assert ids(clean) == ids(single)
     assert all(not secrets.base_spans(r["text"]) and r["n_chars"] == len(r["text"]) for r in clean.collect())
     assert ids(mix) == ids(clean)
