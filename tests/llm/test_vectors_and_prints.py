@@ -34,25 +34,45 @@ def test_recall_on_the_embeddings(spark):
     assert hits >= 0.9 * 20 * len(want)
 
 
-def test_recall_where_lists_are_pruned(spark):
+def share_found(spark, x, **settings):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = found(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), settings=neighbours.Settings(**settings)))
+    want = brute_nearest(rows, 20)
+    assert got.keys() == want.keys()
+    for q, hits in got.items():
+        assert len({i for i, _ in hits}) == len(hits)
+        assert all(abs(s - float((x[i] * x[q]).sum())) < 1e-9 for i, s in hits)
+    return sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / (20 * len(want))
+
+
+def test_recall_where_lists_follow_clusters(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(60, 24))
     x = (centres[rng.integers(0, 60, 6000)] + 0.35 * rng.normal(size=(6000, 24))) * rng.uniform(0.8, 1.2, (6000, 1))
-    rows = [(i, x[i].tolist()) for i in range(6000)]
-    got = found(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), settings=neighbours.Settings(list_rows=60, min_rows=300, probes=16, part_rows=50)))
-    want = brute_nearest(rows, 20)
-    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
-    assert hits >= 0.9 * 20 * len(want)
+    assert share_found(spark, x, part_rows=500) >= 0.9
 
 
-def test_recall_over_several_hundred_lists(spark):
+def test_recall_without_any_structure(spark):
+    """Default settings; 110 lists of vectors that point anywhere."""
     rng = np.random.default_rng(12)
-    x = rng.normal(size=(12_000, 32))
-    rows = [(i, x[i].tolist()) for i in range(len(x))]
-    got = found(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), settings=neighbours.Settings(list_rows=30, min_rows=200, part_rows=3000)))
-    want = brute_nearest(rows, 20)
-    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
-    assert hits >= 0.99 * 20 * len(want)
+    assert share_found(spark, rng.normal(size=(12_000, 32))) >= 0.9
+
+
+def test_a_fixed_ratio_prunes(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16))
+    assert share_found(spark, x, ratio=1.0) < share_found(spark, x, ratio=1.2) <= share_found(spark, x, ratio=100.0) == 1
+
+
+def test_widening_search_holds_all_lists_within_the_ratio():
+    rng = np.random.default_rng(3)
+    c, q = rng.normal(size=(300, 6)), rng.normal(size=(40, 6))
+    d = np.sqrt(((q[:, None] - c[None]) ** 2).sum(2))
+    for ratio in (1.0, 1.3, 3.0, 99.0):
+        r, i = neighbours.CentroidGraph(c).within(q, ratio)
+        got, want = set(zip(r.tolist(), i.tolist(), strict=True)), {(a, b) for a in range(40) for b in np.flatnonzero(d[a] <= ratio * d[a].min() + 1e-12)}
+        assert len(got & want) >= 0.97 * len(want)
+        assert len(got) == len(r)
 
 
 def test_graph_search_finds_nearest_centroids():
