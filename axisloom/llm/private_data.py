@@ -4,30 +4,69 @@ Fixed patterns find the protected entities. The corpus then tells how strongly t
 pointwise mutual information of term and entity, as a share of the information content of the entity. A term that is
 found with one entity and nowhere else has share 1. Terms over a threshold are generalised to their class (number, name,
 word), those over a second one removed, wherever they stand beside that entity; texts without entities are left alone.
+
+Work is linear in a text but for running sums over its matches, which cost the power 1.5 of their number in array copies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisloom.llm.common import saved, text_docs
 
 #: The base kinds in the order in which spans at one place are listed; terms come last.
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 #: As the contract's patterns, with possessive repeats (no backtracking, no recursion) and a guard that a match starts
-#: where its first run starts or where the last match ended: within one run, later starts fail as the first one does.
+#: where its first run starts or where the last match ended: within one run, later starts fail as the first one does. A
+#: card's least number of digits is part of its pattern, as a run that has fewer of them has no start that has enough.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A cheap condition without which a kind cannot occur.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 MARK = "\ue000"
 TERM = r"[\p{L}\p{N}]{3,}+"
+MATCHES = "array<struct<start:int,stop:int,value:string>>"
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
+#: Code points in the pieces that a text is cut into, so that a place in it is found without reading all that is before.
+PIECE = 1000
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), value being computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each place of an array of ints, op over all before it, from 0; op is associative.
+
+    Within runs of about the root of the array's length, and over the runs.
+    """
+    none = F.expr("cast(array() as array<int>)")
+
+    def grown(acc: Column, x: Column) -> Column:
+        return F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def scan(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, F.struct(start.alias("at"), none.alias("out")), grown, lambda acc: acc["out"])
+
+    def whole(xs: Column) -> Column:
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs).cast("double"))).cast("int"))
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), step), lambda i: F.slice(xs, i + 1, step))
+
+        def joined(runs: Column) -> Column:
+            ends = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), op))
+            return F.flatten(F.zip_with(runs, scan(ends, F.lit(0)), scan))
+
+        return bound(runs, joined)
+
+    return bound(values, whole)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -36,16 +75,15 @@ def matches(text: Column, pattern: str) -> Column:
     Matches are put between marks and the text is split at the marks, so that every second part is a match. A mark in
     the text itself counts as a line feed, which no pattern here takes.
     """
-    parts = F.split(F.regexp_replace(F.translate(text, MARK, "\n"), pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)").alias("found"))
 
-    def step(acc: Column, part: Column) -> Column:
-        stop = acc["at"] + F.char_length(part)
-        grown = F.when(acc["odd"], F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), stop.alias("stop"), part.alias("value"))))).otherwise(acc["found"])
-        return F.struct(stop.alias("at"), (~acc["odd"]).alias("odd"), grown.alias("found"))
+    def found(parts: Column) -> Column:
+        at = running(F.transform(parts, lambda p: F.char_length(p)), lambda a, b: a + b)
+        marked = F.transform(parts, lambda p, i: F.struct(p.alias("p"), (i % 2 == 1).alias("odd")))
+        every = F.zip_with(marked, at, lambda m, a: F.struct(a.alias("start"), (a + F.char_length(m["p"])).alias("stop"), m["p"].alias("value"), m["odd"].alias("odd")))
+        return F.transform(F.filter(every, lambda m: m["odd"]), lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value")))
 
-    none = F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)")
-    return F.when(F.size(parts) > 1, F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(none)
+    parts = F.split(F.regexp_replace(F.translate(text, MARK, "\n"), pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    return bound(parts, lambda p: F.when(F.size(p) > 1, found(p)).otherwise(F.expr(f"cast(array() as {MATCHES})")))
 
 
 def luhn(value: Column) -> Column:
@@ -85,115 +123,125 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of(i, k) for i, k in enumerate(KINDS[:4]))))
 
 
-def text_key() -> Column:
-    """What tells rows apart: rows of one id and text are alike in everything."""
-    return F.struct(F.col("doc_id"), F.xxhash64("text"), F.crc32(F.col("text").cast("binary")))
+def entity(kind: Column, value: Column) -> Column:
+    """What a span protects: cards and phone numbers by their digits, others in lower case."""
+    return F.concat_ws(":", kind.cast("string"), F.when(kind >= 2, F.regexp_replace(value, "[^0-9]", "")).otherwise(F.lower(value)))
 
 
-def contexts(rows: DataFrame, words: int, reach: int) -> DataFrame:
-    """(key, entity, place, term, start, stop): the nearest `words` terms on either side of every protected entity.
+def contexts(own: DataFrame, words: int) -> DataFrame:
+    """(row, entity, place, term, written, start, stop): the nearest `words` terms on either side of every entity.
 
-    Terms are looked for within `reach` code points; one that the reach cuts, or that overlaps a base span, is none.
-    rows: (key, spans with the text around each entity).
+    own: (row, text, base). Terms are runs of three letters and digits or more that overlap no base span. Terms and spans
+    of a text are put in one order, in which windows look back and ahead.
+    """
+    tokens = F.transform(matches(F.col("text"), TERM), lambda m: F.struct(m["start"].alias("start"), F.lit(4).alias("kind"), m["stop"].alias("stop"), m["value"].alias("value")))
+    rows = own.select("row", F.explode(F.concat("base", tokens)).alias("t")).select("row", "t.*")
+    base = F.col("kind") < 4
+    ahead, back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind")), Window.partitionBy("row").orderBy("start", "kind")
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("next", F.min(F.when(base, F.col("start"))).over(so_far(ahead)))
+    rows = rows.withColumn("last", F.max(F.when(base, F.col("stop"))).over(so_far(back)))
+    clear = (F.coalesce("last", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("stop")) >= F.col("stop"))
+    rows = rows.where(base | clear).withColumn("term", F.when(~base, F.struct("value", "start", "stop")))
+    order = "ignore nulls over (partition by row order by start, kind)"
+    near = [F.expr(f"{way}(term, {i}) {order}") for way in ("lag", "lead") for i in range(1, words + 1)]
+    met = rows.withColumn("near", F.array(*near)).where(base)
+    met = met.select("row", entity(F.col("kind"), F.col("value")).alias("entity"), F.col("start").alias("place"), F.explode(F.array_compact("near")).alias("m"))
+    return met.select("row", "entity", "place", F.lower("m.value").alias("term"), F.col("m.value").alias("written"), "m.start", "m.stop")
+
+
+def term_counts(docs: DataFrame, wanted: DataFrame, most_bytes: int = 64_000_000) -> DataFrame:
+    """(term, n_term): occurrences over all texts of the wanted terms. Counts leave each task summed.
+
+    Wanted terms are broadcast, so that no other leaves a task, where they take up most_bytes at most (16 bytes and the
+    term each); more of them meet the counts after these are shuffled. The result is the same.
     """
-    one = rows.select("key", "spans", F.posexplode("sides").alias("n", "side")).select("key", "spans", F.col("side.*"))
-    whole = F.filter(
-        matches(F.col("around"), TERM),
-        lambda m: ((m["start"] > 0) | F.col("from_edge")) & ((m["stop"] < F.char_length("around")) | F.col("to_edge")),
-    )
-    nearest = F.when(F.col("after"), F.slice(whole, 1, words)).otherwise(F.slice(F.reverse(whole), 1, words))
-    terms = one.select("key", "spans", "entity", "place", "offset", F.explode(nearest).alias("m"))
-    terms = terms.select("key", "entity", "place", F.lower("m.value").alias("term"), F.col("m.value").alias("written"), (F.col("m.start") + F.col("offset")).alias("start"), (F.col("m.stop") + F.col("offset")).alias("stop"), "spans")
-    clear = ~F.exists("spans", lambda s: (s["start"] < F.col("stop")) & (F.col("start") < s["stop"]))
-    return terms.where(clear).drop("spans")
-
-
-def sides(text: Column, spans: Column, reach: int) -> Column:
-    """For each entity, the text within reach before and after it."""
-
-    def of(s: Column) -> Column:
-        low = F.greatest(s["start"] - reach, F.lit(0))
-        entity = F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))
-        before = F.struct(
-            entity.alias("entity"), s["start"].alias("place"), low.alias("offset"), F.substring(text, low + 1, s["start"] - low).alias("around"),
-            (low == 0).alias("from_edge"), F.lit(True).alias("to_edge"), F.lit(False).alias("after"),
-        )
-        after = F.struct(
-            entity.alias("entity"), s["start"].alias("place"), s["stop"].alias("offset"), F.substring(text, s["stop"] + 1, F.lit(reach)).alias("around"),
-            F.lit(True).alias("from_edge"), (s["stop"] + reach >= F.char_length(text)).alias("to_edge"), F.lit(True).alias("after"),
-        )
-        return F.array(before, after)
-
-    return F.flatten(F.transform(spans, of))
-
-
-def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, n_term): occurrences over all texts of the wanted terms. Counts leave each task summed."""
     found = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term")).where(F.char_length("term") >= 3)
-    return found.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    wanted = saved(wanted.select("term").distinct())
+    size = wanted.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0)).alias("n")).first()["n"]
+    if size <= most_bytes:
+        return found.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    return found.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
 
 
-def revealing(met: DataFrame, terms: DataFrame, total: int, generalise: float, remove: float, support: int) -> DataFrame:
-    """(entity, term, share, removed): terms whose share of the entity's information is at least `generalise`.
+def shares(met: DataFrame, entities: DataFrame, terms: DataFrame, total: int, support: int) -> DataFrame:
+    """(entity, term, n_both, n_entity, n_term, surroundings, share) of pairs with so many surroundings or more.
 
     share = PMI(term; entity) / IC(entity), with p(entity) its occurrences, p(term) the term's and p(both) the term's
-    places beside the entity, each over `total` terms. support: distinct surroundings that a pair must be met in, so
-    that copies of one text are no evidence.
+    places beside the entity, each over `total` terms. entities: (entity, n_entity). surroundings: how many different sets of terms the pair was met
+    in, so that copies of one text are no evidence.
     """
     pairs = met.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.countDistinct("context").alias("surroundings"))
-    entities = met.select("entity", "key", "place").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     all_three = pairs.where(F.col("surroundings") >= support).join(entities, "entity").join(terms, "term")
     ic = -F.log2(F.col("n_entity") / F.lit(float(total)))
     pmi = F.log2(F.least(F.col("n_both"), F.col("n_term")) * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    scored = all_three.withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0))
-    return scored.where(F.col("share") >= generalise).select("entity", "term", "share", (F.col("share") >= remove).alias("removed"))
+    return all_three.withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0))
 
 
-def spans(docs: DataFrame, words: int = 5, reach: int = 100, generalise: float = 0.6, remove: float = 0.9, support: int = 2) -> DataFrame:
-    """(doc_id, key, base, terms): each row's base spans, and its revealing terms as (start, stop, removed, class).
-
-    Null and empty texts have neither; equal rows have equal spans; a null doc_id stays null; an empty table gives no
-    rows; columns other than doc_id and text are ignored. Offsets are code points, ends exclusive.
-    """
+def evidence(docs: DataFrame, words: int = 5, support: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found, met, shares): every row's base spans (row, doc_id, hash, base), the terms beside entities, and what they reveal."""
     rows = text_docs(docs)
-    found = rows.select("doc_id", text_key().alias("key"), "text", base_spans(F.col("text")).alias("base"))
-    n_terms = F.when(F.size("base") > 0, sides(F.col("text"), F.col("base"), reach))
-    found = saved(found.select("doc_id", "key", "base", n_terms.alias("sides"), (F.char_length(F.regexp_replace("text", r"[\p{L}\p{N}]+", "")) + 1).cast("long").alias("terms_about")))
+    found = rows.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
+    n_terms = (F.char_length(F.regexp_replace("text", r"[\p{L}\p{N}]+", "")) + 1).cast("long")
+    found = saved(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("hash"), "base", F.when(F.size("base") > 0, F.col("text")).alias("text"), n_terms.alias("terms_about")))
     total = int(found.agg(F.coalesce(F.sum("terms_about"), F.lit(1))).first()[0])
-    own = found.where("sides IS NOT NULL").select("key", F.col("base").alias("spans"), "sides").dropDuplicates(["key"])
-    met = contexts(own, words, reach)
-    beside = met.groupBy("key", "entity", "place").agg(F.xxhash64(F.array_sort(F.collect_list("term"))).alias("context"))
-    met = saved(met.join(beside, ["key", "entity", "place"]))
-    bad = saved(revealing(met, term_counts(rows, met), total, generalise, remove, support))
+    met = contexts(found.where("text IS NOT NULL").select("row", "text", "base"), words)
+    beside = F.collect_list("term").over(Window.partitionBy("row", "entity", "place"))
+    met = saved(met.withColumn("context", F.xxhash64(F.array_sort(beside))))
+    entities = found.select(F.explode("base").alias("s")).groupBy(entity(F.col("s.kind"), F.col("s.value")).alias("entity")).agg(F.count("*").alias("n_entity"))
+    return found.select("row", "doc_id", "hash", "base"), met, shares(met, entities, term_counts(rows, met), total, support)
+
+
+def spans(docs: DataFrame, words: int = 5, generalise: float = 0.6, remove: float = 0.9, support: int = 2) -> DataFrame:
+    """(row, doc_id, hash, base, terms): each row's base spans, and its revealing terms as (start, stop, removed, class).
+
+    A term is revealing beside an entity if its share of the entity's information is `generalise` or more, in `support`
+    different surroundings or more; from `remove` on it is removed. Null and empty texts have neither; equal rows have
+    equal spans; a null doc_id stays null; an empty table gives no rows; columns other than doc_id and text are ignored.
+    Offsets are code points, ends exclusive.
+    """
+    found, met, told = evidence(docs, words, support)
+    bad = saved(told.where(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed")))
     kind = F.when(F.col("written").rlike(r"^\p{N}+$"), "number").when(F.col("written").rlike(r"^\p{Lu}"), "name").otherwise("word")
-    hits = met.join(bad, ["entity", "term"]).groupBy("key", "start", "stop").agg(F.max("removed").alias("removed"), F.max(kind).alias("class"))
-    terms = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "removed", "class"))).alias("terms"))
+    hits = met.join(bad, ["entity", "term"]).groupBy("row", "start", "stop").agg(F.max("removed").alias("removed"), F.max(kind).alias("class"))
+    terms = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "removed", "class"))).alias("terms"))
     none = F.expr("cast(array() as array<struct<start:int,stop:int,removed:boolean,class:string>>)")
-    return found.select("doc_id", "key", "base").join(terms, "key", "left").withColumn("terms", F.coalesce("terms", none))
+    return found.join(terms, "row", "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, text): protected entities give way to <EMAIL>, <IP>, <CARD> or <PHONE>, revealing terms to their class or to nothing.
 
-    Of spans that overlap, the one that starts first is replaced, and the listed kind order decides at one start.
+    Of spans that overlap, all is replaced, by the mark of the one that starts first; the listed kind order decides at
+    one start. Null texts come back as empty, texts without spans as they are, repeated rows each; a null doc_id stays
+    null; an empty table gives no rows; columns other than doc_id and text are ignored.
     """
-    rows = text_docs(docs)
-    found = spans(rows, **options).select("key", "base", "terms").dropDuplicates(["key"])
+    rows = text_docs(docs).withColumn("hash", F.xxhash64("text")).withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    found = spans(docs, **options).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "hash", "base", "terms").dropDuplicates(["id", "hash"])
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), names[s["kind"]].alias("mark")))
-    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.when(s["removed"], "").otherwise(F.concat(F.lit("<"), F.upper(s["class"]), F.lit(">"))).alias("mark")))
-    cuts = F.array_sort(F.concat(base, terms))
-    text = F.col("text")
+    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), names[s["kind"]].alias("mark")))
+    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["stop"].alias("stop"), F.when(s["removed"], "").otherwise(F.concat(F.lit("<"), F.upper(s["class"]), F.lit(">"))).alias("mark")))
+    cuts = found.select("id", "hash", F.array_sort(F.concat(base, terms)).alias("cuts")).where(F.size("cuts") > 0)
+    return rows.join(cuts, ["id", "hash"], "left").select("doc_id", F.when(F.size("cuts") > 0, cut_out(F.col("text"), F.col("cuts"))).otherwise(F.col("text")).alias("text"))
+
+
+def cut_out(text: Column, cuts: Column) -> Column:
+    """A text with the marks of sorted cuts in place of what they cover."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-    def step(acc: Column, c: Column) -> Column:
-        grown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, c["start"] - acc["at"]), c["mark"])
-        return F.when(c["start"] < acc["at"], acc).otherwise(F.struct(c["stop"].alias("at"), grown.alias("out")))
+    def part(p: Column, a: Column, b: Column) -> Column:
+        i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        tail = F.coalesce(F.get(p, j), F.lit(""))
+        one = F.substring(tail, a % PIECE + 1, b - a)
+        more = F.concat(F.substring(F.get(p, i), a % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(p, i + 2, j - i - 1), ""), F.substring(tail, F.lit(1), b % PIECE))
+        return F.when(i == j, one).otherwise(more)
 
-    def rest(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
+    def done(p: Column) -> Column:
+        before = running(F.transform(cuts, lambda c: c["stop"]), lambda a, b: F.greatest(a, b))
+        each = F.zip_with(cuts, before, lambda c, at: F.when(c["start"] >= at, F.concat(part(p, at, c["start"]), c["mark"])).otherwise(""))
+        return F.concat(F.array_join(each, ""), part(p, F.array_max(F.transform(cuts, lambda c: c["stop"])), F.char_length(text)))
 
-    clean = F.aggregate("cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
-    return rows.withColumn("key", text_key()).join(found.select("key", cuts.alias("cuts")), "key", "left").select("doc_id", F.when(F.size("cuts") > 0, clean).otherwise(text).alias("text"))
+    return bound(pieces, done)
 
 
 def listed(base: Column, terms: Column | None = None) -> Column:
@@ -201,16 +249,17 @@ def listed(base: Column, terms: Column | None = None) -> Column:
     names = F.array(*map(F.lit, KINDS))
     every = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
     if terms is not None:
-        every = F.array_sort(F.concat(every, F.transform(terms, lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["stop"].alias("stop")))))
+        every = F.array_sort(F.concat(every, F.transform(terms, lambda s: F.struct(s["start"].alias("start"), F.when(s["removed"], 5).otherwise(4).alias("kind"), s["stop"].alias("stop")))))
     return F.array_join(F.transform(every, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, n_terms, base_sha256, spans) of every row."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, n_generalised, n_removed, base_sha256, spans) of every row; see `spans`."""
 
     def counted(i: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
 
     n = [counted(i) for i in range(4)]
+    acts = [F.size(F.filter("terms", lambda s: s["removed"] == removed)).cast("long").alias(f"n_{kind}") for removed, kind in ((False, "generalised"), (True, "removed"))]
     found = spans(docs, **options)
-    return found.select("doc_id", *n, F.size("terms").cast("long").alias("n_terms"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("base"), F.col("terms")).alias("spans"))
+    return found.select("doc_id", *n, *acts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("base"), F.col("terms")).alias("spans"))

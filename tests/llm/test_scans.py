@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -61,7 +64,8 @@ def test_revealing_terms_are_found_beside_their_entity_only(spark):
     got = {r["doc_id"]: r for r in private_data.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, text in rows:
         at = text.find("Zorblax")
-        assert (f"term:{at}:{at + 7}" in got[i]["spans"].split(",")) == (i % 6 == 0)
+        assert (f"removed:{at}:{at + 7}" in got[i]["spans"].split(",")) == (i % 6 == 0)
+        assert got[i]["n_removed"] == (i % 6 == 0)
         if i % 6:
             assert got[i]["spans"] == ""
     clean = {r["doc_id"]: r["text"] for r in private_data.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -70,6 +74,67 @@ def test_revealing_terms_are_found_beside_their_entity_only(spark):
     assert clean[1] == rows[1][1]
 
 
+def brute_shares(rows, words, support):
+    """{(entity, term): share} from plain loops over whole texts."""
+    near, terms_of, n_term, n_entity, total = Counter(), defaultdict(set), Counter(), Counter(), 0
+    for i, text in rows:
+        total += len(re.sub(r"[^\W_]+", "", text)) + 1
+        n_term.update(w for w in re.split(r"[\W_]+", text.lower()) if len(w) >= 3)
+        base = [(int(a), int(b), private_data.KINDS.index(k)) for k, a, b in (x.split(":") for x in brute_private(text).split(",") if x)]
+        terms = [m for m in re.finditer(r"[^\W_]{3,}", text) if not any(a < m.end() and m.start() < b for a, b, _ in base)]
+        for a, b, k in base:
+            value = re.sub("[^0-9]", "", text[a:b]) if k > 1 else text[a:b].lower()
+            before, after = [m for m in terms if m.start() < a][-words:], [m for m in terms if m.start() >= a][:words]
+            around = [m[0].lower() for m in before + after]
+            n_entity[f"{k}:{value}"] += 1
+            for w in around:
+                near[f"{k}:{value}", w] += 1
+                terms_of[f"{k}:{value}", w].add(tuple(sorted(around)))
+    out = {}
+    for (e, w), n in near.items():
+        if len(terms_of[e, w]) >= support:
+            out[e, w] = math.log2(min(n, n_term[w]) * total / (n_entity[e] * n_term[w])) / -math.log2(n_entity[e] / total)
+    return out
+
+
+def test_shares_of_information_against_plain_counts(spark):
+    rng = random.Random(6)
+    parts = [f"plain{i}" for i in range(20)] + ["q@r.example", "+1 (212) 555-0100", "+12125550100", "10.0.0.7", "x7", "Ünïcode"]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for words, support in ((5, 2), (2, 1)):
+        got = {(r["entity"], r["term"]): r["share"] for r in private_data.evidence(docs, words, support)[2].collect()}
+        want = brute_shares(rows, words, support)
+        assert got.keys() == want.keys()
+        assert len(got) > 20
+        assert all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-12) for k in want)
+    assert private_data.term_counts(docs, docs.select(F.lit("plain3").alias("term")), 0).collect() == private_data.term_counts(docs, docs.select(F.lit("plain3").alias("term"))).collect()
+
+
+def test_a_text_of_very_many_entities_takes_linear_time(spark):
+    text = " ".join(f"10.{i % 200}.{i // 200 % 200}.7 word{i % 50}" for i in range(100_000)) + " 123, 45" * 100_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    assert docs.select(F.size(private_data.base_spans(F.col("text"))).alias("n")).first()["n"] == 100_000
+    assert time.monotonic() - began < 30
+    clean = private_data.sanitised(docs, generalise=9.0).first()["text"]
+    assert clean.startswith("<IP> word0 <IP> word1 ")
+    assert clean.count("<IP>") == 100_000
+    assert clean.endswith(" 123, 45")
+
+
+def test_sanitised_replaces_all_of_spans_that_overlap(spark):
+    text = "call +1 (212) 555-0100.1.2.3 or 4111 1111 1111 1111.2.3.4 now " + "ü" * 2500 + " a@b.c end"
+    got = private_data.sanitised(spark.createDataFrame([(1, text), (2, None), (None, "no one")], "doc_id long, text string")).collect()
+    want, at = "", 0
+    spans = sorted((int(a), private_data.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in brute_private(text).split(",")))
+    for a, k, b in spans:
+        if a >= at:
+            want += text[at:a] + f"<{private_data.KINDS[k].upper()}>"
+        at = max(at, b)
+    assert {r["doc_id"]: r["text"] for r in got} == {1: want + text[at:], 2: "", None: "no one"}
+
+
 def test_private_awkward_rows(spark):
     got = private_data.digest(awkward(spark)).collect()
     assert len(got) == 11
