@@ -1,8 +1,8 @@
 """Token counts behind a digest cache: normalised content and tokenizer version are looked up, only distinct misses encoded.
 
-The cache is a table (tokenizer string, digest binary, n_tokens long) of Parquet files. A run digests every text,
-anti-joins the digests to the cache, encodes one text for each distinct digest that is left, appends those counts, and
-joins counts back to rows by digest.
+The cache is a table (tokenizer string, digest binary, n_tokens long) of Parquet files. A run digests every text and
+anti-joins the bare digests to the cache; only texts of digests that are left move, one for each, and are encoded. Their
+counts are appended, and counts are joined back to rows by digest.
 """
 
 from __future__ import annotations
@@ -75,8 +75,17 @@ class WordCounter:
         return [sum(map(self.known.__getitem__, c)) if c is not None else whole.popleft() for c in cut]
 
 
+def folds_spaces(path: str) -> bool:
+    """Whether the tokenizer's own normaliser makes one space of every white-space run, as its file says."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        steps = (json.load(f).get("normalizer") or {}).get("normalizers") or []
+    return any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} and s.get("content") == " " for s in steps)
+
+
 def normalised(text):
-    """What the digest covers: white-space runs of plain text count as one space, which this kind of tokenizer drops too."""
+    """What the digest covers where the tokenizer folds white space: a space for every run of these four."""
     return F.regexp_replace(text, "[ \\n\\t\\r]+", " ")
 
 
@@ -90,19 +99,36 @@ def cached(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], CACHE)
 
 
-def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, folds_spaces: bool = True) -> DataFrame:
+def misses(digested: DataFrame, missing: DataFrame, most_bytes: int = 64_000_000) -> DataFrame:
+    """(digest, text): one text of each missing digest.
+
+    digested: (doc_id, text, digest). Of texts with one digest, one leaves each task. The digests (160 bytes each) are broadcast, so that
+    no other text moves, where they take up most_bytes at most; more of them meet the texts where these are shuffled to.
+    """
+    n = missing.count()
+    if not n:
+        return digested.select("digest", "text").where("false")
+    one = Window.partitionBy("digest").orderBy("doc_id")
+    first = lambda df: df.withColumn("rank", F.row_number().over(one)).where("rank = 1").select("digest", "text")
+    if n * 160 <= most_bytes:
+        return first(digested.join(F.broadcast(missing), "digest", "left_semi"))
+    return first(digested).join(missing, "digest", "left_semi")
+
+
+def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for every row of docs, and new counts appended to the cache.
 
     tokenizer: path of a `tokenizers` .json file, the same on all workers. cache: path of the cache in storage that all
-    workers share; by default a new one for this call. folds_spaces: whether the tokenizer drops white space, so that
-    its amount is left out of the digest. Null texts count as empty (no bytes, no tokens); repeated rows are encoded
-    once and give a row each; a null doc_id stays null; an empty table gives no rows and an empty append; columns other
-    than doc_id and text are ignored. Two runs that append the same digest at once leave two equal rows; reads take one.
+    workers share; by default the one named in the session's axisloom.token.cache, or else a new one for this call. Where
+    the tokenizer folds white space, its amount is left out of the digest. Null texts count as empty (no bytes, no
+    tokens); repeated rows are encoded once and give a row each; a null doc_id stays null; an empty table gives no rows
+    and an empty append; columns other than doc_id and text are ignored. Two runs that append the same digest at once
+    leave two equal rows; reads take one.
     """
     spark = docs.sparkSession
-    cache = cache or fresh_path(spark, "token-cache")
+    cache = cache or spark.conf.get("axisloom.token.cache", None) or fresh_path(spark, "token-cache")
     version = tokenizer_version(tokenizer)
-    content = normalised(F.col("text")) if folds_spaces else F.col("text")
+    content = normalised(F.col("text")) if folds_spaces(tokenizer) else F.col("text")
     digested = text_docs(docs).withColumn("digest", F.unhex(F.sha2(F.concat(F.lit(version), F.lit("\n"), content), 256)))
 
     def encode(batches):
@@ -112,12 +138,11 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, fold
             for at, texts in slices(b, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(texts), pa.string()), digests.slice(at, len(texts)), pa.array(counter.counts(texts), pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
+    # Stored: rows without their texts are read twice more.
+    rows = saved(digested.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"))
     known = cached(spark, cache).where(F.col("tokenizer") == version).select("digest")
-    one = Window.partitionBy("digest").orderBy("doc_id")
-    # One text of each digest first: Spark then lets only one leave each task, and copies are not shuffled.
-    missing = digested.withColumn("rank", F.row_number().over(one)).where("rank = 1").join(known, "digest", "left_anti")
-    missing.select("digest", "text").mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
+    missing = saved(rows.select("digest").distinct().join(known, "digest", "left_anti"))
+    misses(digested, missing).mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    # Stored, so that both sides of the join are plain shuffles, which Spark splits where copies make a digest hot.
-    counts = saved(counts)
-    return digested.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
+    # Both sides of the join are plain shuffles, which Spark splits where copies make a digest hot.
+    return rows.join(saved(counts), "digest").select("doc_id", "n_bytes", "n_tokens")
