@@ -358,7 +358,7 @@ _INIT = {
     "data": _DATASETS,
     "init": f"SELECT ridx, CAST((((ridx * 2654435761 + 32 * 40503) % 4294967296) // 65536) % {STATES} AS INT) AS state FROM tile",
     "cells": "SELECT dataset, barcode, sum(cnt) + 1 AS x FROM data GROUP BY ALL",
-    "prior": "SELECT dataset, barcode, x / sum(x) OVER (PARTITION BY dataset) * count(*) OVER (PARTITION BY dataset) AS prior FROM cells",
+    "prior": "SELECT dataset, barcode, x / sum(x) OVER (PARTITION BY dataset) AS prior FROM cells",
     "sums": "SELECT d.dataset AS dataset, d.barcode AS barcode, i.state AS state, sum(d.cnt)::DOUBLE AS suffstat FROM data d JOIN init i ON d.ridx = i.ridx GROUP BY ALL",
     "emi": f"SELECT p.dataset AS dataset, p.barcode AS barcode, CAST(k.i AS INT) AS state, coalesce(s.suffstat, 0) AS suffstat, prior FROM prior p CROSS JOIN range({STATES}) k(i) LEFT JOIN sums s ON s.dataset = p.dataset AND s.barcode = p.barcode AND s.state = k.i",
 }
@@ -401,7 +401,7 @@ def em_first_posterior(spark, sf):
 def em_first_trans(spark, sf):
     x = Inputs(spark, sf)
     sums, _ = em.statistics(em.expectation(_initial(x), x.datasets, x.tile, _OPTIONS))
-    return em.chain_tables(spark, em.m_step(sums, STATES, _OPTIONS))[1].select("i", "j", r4("p", "p"))
+    return em.chain_tables(spark, em.m_step(sums, Chain.uniform(STATES), _OPTIONS))[1].select("i", "j", r4("p", "p"))
 
 
 @query(oracle("SELECT d.dataset AS dataset, d.barcode AS barcode, p.state AS state, round(sum(d.cnt * p.p), 4) AS suffstat FROM data d JOIN post p ON d.ridx = p.ridx GROUP BY ALL", "tile", "counts", **_POST))

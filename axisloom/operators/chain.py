@@ -51,10 +51,13 @@ def log(x: np.ndarray) -> np.ndarray:
 def blocked(likelihood: DataFrame, n_states: int, block_rows: int, chain_of: DataFrame | None = None) -> DataFrame:
     """(chain, block, ridx, ll array): a row for each region, states in order.
 
-    chain_of: (ridx, chain) cuts the axis into chains, such as chromosomes; otherwise there is one, named "".
+    likelihood: (ridx, ll array), or (ridx, state, ll) with a row for each state. chain_of: (ridx, chain) cuts the axis
+    into chains, such as chromosomes; otherwise there is one, named "".
     """
     shipped(likelihood.sparkSession)
-    wide = likelihood.groupBy("ridx").agg(F.array_sort(F.collect_list(F.struct("state", "ll"))).alias("x")).select("ridx", F.transform("x", lambda s: s["ll"]).alias("ll"))
+    wide = likelihood
+    if "state" in likelihood.columns:
+        wide = likelihood.groupBy("ridx").agg(F.array_sort(F.collect_list(F.struct("state", "ll"))).alias("x")).select("ridx", F.transform("x", lambda s: s["ll"]).alias("ll"))
     wide = wide.withColumn("chain", F.lit("")) if chain_of is None else wide.join(chain_of.select("ridx", "chain"), "ridx")
     return wide.select("chain", F.expr(f"ridx div {block_rows}").alias("block"), "ridx", "ll")
 
@@ -90,8 +93,6 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top, axis=axis)
 
 
-
-
 def _matrices(blocks: DataFrame, chain: Chain, best: bool) -> dict[str, list[tuple[int, np.ndarray]]]:
     trans, fold, k = chain.trans, _max_transfer if best else _transfer, len(chain.start)
     firsts = blocks.groupBy("chain").agg(F.min("block").alias("first"))
@@ -129,13 +130,68 @@ def boundaries(blocks: DataFrame, chain: Chain, best: bool = False) -> tuple[dic
     return ends, whole
 
 
+def _in_logs(ll: np.ndarray, chain: Chain, into: np.ndarray | None, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """What _rescaled gives, in logarithms, where its products would vanish."""
+    n, k = ll.shape
+    la = log(chain.trans)
+    forward, backward = np.empty((n, k)), np.empty((n, k))
+    forward[0] = ll[0] + (log(chain.start) if into is None else _logsumexp(into[:, None] + la, 0))
+    for t in range(1, n):
+        forward[t] = ll[t] + _logsumexp(forward[t - 1][:, None] + la, 0)
+    backward[-1] = after
+    for t in range(n - 2, -1, -1):
+        backward[t] = _logsumexp(la + (ll[t + 1] + backward[t + 1])[None], 1)
+    total = float(_logsumexp(forward[-1] + after, 0))
+    p = np.exp(forward + backward - total)
+    xi = np.zeros((k, k))
+    for t in range(0 if into is not None else 1, n):
+        was = into if t == 0 else forward[t - 1]
+        xi += np.exp(was[:, None] + la + (ll[t] + backward[t])[None] - total)
+    return p / p.sum(1, keepdims=True), xi, total
+
+
+def _rescaled(ll: np.ndarray, chain: Chain, into: np.ndarray | None, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(posteriors, expected transitions, log-likelihood) of a block between the log vectors that come in from both sides.
+
+    Products are scaled to 1 at each region. The log-likelihood is a chain's that begins and ends with the block.
+    """
+    n, k = ll.shape
+    top = ll.max(axis=1)
+    e = np.exp(ll - top[:, None])
+    forward, backward, scale = np.empty((n, k)), np.empty((n, k)), np.empty(n)
+    first = None if into is None else np.exp(into - into.max())
+    x = chain.start if first is None else first @ chain.trans
+    for t in range(n):
+        x = x * e[t]
+        scale[t] = x.sum()
+        if not scale[t] > 0:
+            return _in_logs(ll, chain, into, after)
+        forward[t] = x / scale[t]
+        x = forward[t] @ chain.trans
+    y = np.exp(after - after.max())
+    for t in range(n - 1, -1, -1):
+        backward[t] = y / y.sum()
+        y = chain.trans @ (e[t] * backward[t])
+        if not y.any():
+            return _in_logs(ll, chain, into, after)
+    p = forward * backward
+    whole = p.sum(axis=1)
+    if whole.min() < 1e-200:
+        return _in_logs(ll, chain, into, after)
+    ahead = e * backward / (scale * whole)[:, None]
+    xi = (forward[:-1].T @ ahead[1:]) * chain.trans
+    if first is not None:
+        xi += first[:, None] * chain.trans * ahead[0][None]
+    return p / whole[:, None], xi, float((np.log(scale) + top).sum())
+
+
 def posteriors(blocks: DataFrame, chain: Chain, boundary: str = "exact") -> DataFrame:
     """Rows of three kinds from one pass over the blocks:
 
     post (ridx, state, p); start and trans (state, other, p), summed by block: expected first states and transitions;
     score (p): log-likelihoods that sum to the total's.
     """
-    k, trans = len(chain.start), chain.trans
+    k = len(chain.start)
     if boundary == "restart":
         ends, whole = None, {}
     elif boundary == "exact":
@@ -149,21 +205,7 @@ def posteriors(blocks: DataFrame, chain: Chain, boundary: str = "exact") -> Data
         r, ll = _ordered(rows)
         name, block, n = r.chain.iloc[0], int(r.block.iloc[0]), len(r)
         into, after = (None, np.zeros(k)) if ends is None else ends[name, block]
-        la, after = log(trans), np.asarray(after)
-        forward, backward = np.empty((n, k)), np.empty((n, k))
-        forward[0] = ll[0] + (log(chain.start) if into is None else _logsumexp(np.asarray(into)[:, None] + la, 0))
-        for t in range(1, n):
-            forward[t] = ll[t] + _logsumexp(forward[t - 1][:, None] + la, 0)
-        backward[-1] = after
-        for t in range(n - 2, -1, -1):
-            backward[t] = _logsumexp(la + (ll[t + 1] + backward[t + 1])[None], 1)
-        total = float(_logsumexp(forward[-1] + after, 0))
-        p = np.exp(forward + backward - total)
-        p /= p.sum(1, keepdims=True)
-        xi = np.zeros((k, k))
-        for t in range(0 if into is not None else 1, n):
-            was = np.asarray(into) if t == 0 else forward[t - 1]
-            xi += np.exp(was[:, None] + la + (ll[t] + backward[t])[None] - total)
+        p, xi, total = _rescaled(ll, chain, None if into is None else np.asarray(into), np.asarray(after))
         states = np.arange(k)
         parts = [pd.DataFrame({"kind": "post", "ridx": np.repeat(r.ridx.to_numpy(), k), "state": np.tile(states, n), "other": 0, "p": p.ravel()})]
         if into is None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisloom.operators.chain import Chain, blocked, decode, posteriors
-from axisloom.operators.emission import emission_table, initial_states, log_likelihood, state_sums
+from axisloom.operators.emission import emission_table, initial_states, likelihoods, state_sums
 from axisloom.plans.scratch import stored
 
 
@@ -37,14 +38,15 @@ class Options:
     tolerance: float | None = None
 
 
-def m_step(stats: dict[tuple[str, int, int], float], n_states: int, o: Options) -> Chain:
-    """Start and transitions from expected counts: plus prior - 1 + 1e-6 where not zero, normalised."""
-    start = np.array([stats.get(("start", i, 0), 0.0) for i in range(n_states)])
-    trans = np.array([[stats.get(("trans", i, j), 0.0) for j in range(n_states)] for i in range(n_states)])
-    start = np.where(start == 0, 0, np.maximum(start + o.start_prior - 1 + 1e-6, 0))
-    trans = np.where(trans == 0, 0, np.maximum(trans + o.trans_prior - 1 + 1e-6, 0))
+def m_step(stats: dict[tuple[str, int, int], float], chain: Chain, o: Options) -> Chain:
+    """Start and transitions from expected counts plus prior - 1 + 1e-6, normalised; what is zero in `chain` stays zero."""
+    k = range(len(chain.start))
+    start = np.array([stats.get(("start", i, 0), 0.0) for i in k])
+    trans = np.array([[stats.get(("trans", i, j), 0.0) for j in k] for i in k])
+    start = np.where(chain.start == 0, 0, np.maximum(start + o.start_prior - 1 + 1e-6, 0))
+    trans = np.where(chain.trans == 0, 0, np.maximum(trans + o.trans_prior - 1 + 1e-6, 0))
     rows = trans.sum(1, keepdims=True)
-    return Chain(start / start.sum(), np.where(rows > 0, trans / np.where(rows > 0, rows, 1), 1 / n_states))
+    return Chain(start / start.sum(), np.where(rows > 0, trans / np.where(rows > 0, rows, 1), chain.trans))
 
 
 def statistics(passed: DataFrame) -> tuple[dict[tuple[str, int, int], float], float]:
@@ -62,7 +64,7 @@ def initial_model(counts: DataFrame, regions: DataFrame, n_states: int, seed: in
 
 
 def expectation(model: Model, counts: DataFrame, regions: DataFrame, o: Options, chain_of: DataFrame | None = None) -> DataFrame:
-    blocks = blocked(log_likelihood(counts, regions, model.emission, model.n_states), model.n_states, o.block_rows, chain_of)
+    blocks = blocked(likelihoods(counts, regions, model.emission, model.n_states), model.n_states, o.block_rows, chain_of)
     # The exact scan reads the likelihoods twice; one row a region is little against the counts that they come from.
     return posteriors(stored(blocks) if o.boundary == "exact" else blocks, model.chain, o.boundary)
 
@@ -81,7 +83,7 @@ def fit(counts: DataFrame, regions: DataFrame, n_states: int, iterations: int =
         passed = stored(expectation(model, counts, regions, o, chain_of))
         sums, score = statistics(passed)
         grown = score - model.score
-        chain = m_step(sums, n_states, o)
+        chain = m_step(sums, model.chain, o)
         weights = passed.where("kind = 'post' AND p > 0").select("ridx", "state", "p")
         emission = model.emission.drop("suffstat").join(state_sums(counts, weights), ["dataset", "barcode", "state"], "left")
         emission = emission.select("dataset", "barcode", "state", F.coalesce("suffstat", F.lit(0.0)).alias("suffstat"), "prior")
@@ -96,15 +98,22 @@ def score(model: Model, counts: DataFrame, regions: DataFrame, o: Options | None
     return statistics(expectation(model, counts, regions, o or Options(), chain_of))[1]
 
 
-def fit_seeds(counts: DataFrame, regions: DataFrame, n_states: int, seeds: list[int], iterations: int = 10, options: Options | None = None, chain_of: DataFrame | None = None) -> tuple[Model, dict[int, float]]:
-    """The model with the best score over the seeds (the first of equals), and every seed's score."""
-    best, scores = None, {}
-    for seed in [seeds] if isinstance(seeds, int) else seeds:
+def fit_seeds(counts: DataFrame, regions: DataFrame, n_states: int, seeds: list[int], iterations: int = 10, options: Options | None = None, chain_of: DataFrame | None = None, at_once: int = 4) -> tuple[Model, dict[int, float]]:
+    """The model with the best score over the seeds (the first of equals), and every seed's score.
+
+    Fits run `at_once` at a time as Spark jobs beside each other, so that the small steps of one leave no machine idle.
+    """
+    seeds = [seeds] if isinstance(seeds, int) else list(seeds)
+
+    def one(seed: int) -> Model:
         model = fit(counts, regions, n_states, iterations, seed, options, chain_of)
-        scores[seed] = model.score = score(model, counts, regions, options, chain_of)
-        if best is None or model.score > best.score:
-            best = model
-    return best, scores
+        model.score = score(model, counts, regions, options, chain_of)
+        return model
+
+    with ThreadPoolExecutor(max(1, min(at_once, len(seeds)))) as pool:
+        models = list(pool.map(one, seeds))
+    best = max(models, key=lambda m: m.score)
+    return best, {seed: m.score for seed, m in zip(seeds, models, strict=True)}
 
 
 def posterior(model: Model, counts: DataFrame, regions: DataFrame, o: Options | None = None, chain_of: DataFrame | None = None) -> DataFrame:
@@ -115,7 +124,7 @@ def posterior(model: Model, counts: DataFrame, regions: DataFrame, o: Options |
 def predict(model: Model, counts: DataFrame, regions: DataFrame, algorithm: str = "map", o: Options | None = None, chain_of: DataFrame | None = None) -> DataFrame:
     """(ridx, state) by decoder: map or viterbi."""
     o = o or Options()
-    blocks = stored(blocked(log_likelihood(counts, regions, model.emission, model.n_states), model.n_states, o.block_rows, chain_of))
+    blocks = stored(blocked(likelihoods(counts, regions, model.emission, model.n_states), model.n_states, o.block_rows, chain_of))
     return decode(blocks, model.chain, algorithm, o.boundary)
 
 

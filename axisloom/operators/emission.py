@@ -1,18 +1,25 @@
 """Dirichlet-multinomial emissions.
 
-For integer counts, lgamma(a + m) - lgamma(a) is the sum of ln(a + k) over k < m, so tables of running sums replace the
-gamma function: one over (dataset, barcode, state, count), one over (dataset, state, depth).
+The gamma function is Stirling's series in column expressions. Gains of a cell are computed once for each of its distinct
+counts, with the states of a count in one array, and joined to the counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def initial_states(regions: DataFrame, n_states: int, seed: int = 32) -> DataFrame:
     """(ridx, state): a state for each region from a multiplicative hash of its index, the same in any engine."""
-    return regions.select("ridx", (F.pmod(F.col("ridx") * 2654435761 + seed * 40503, F.lit(1 << 32)) / 65536).cast("long").alias("h")).select("ridx", F.pmod("h", F.lit(n_states)).cast("int").alias("state"))
+    low = F.pmod(F.col("ridx"), F.lit(1 << 32))
+    # By halves, so that no product leaves 64 bits.
+    high = F.pmod(F.floor(low / 65536) * 2654435761, F.lit(1 << 32)) * 65536
+    h = F.floor(F.pmod(high + low % 65536 * 2654435761 + seed * 40503, F.lit(1 << 32)) / 65536)
+    return regions.select("ridx", F.pmod(h, F.lit(n_states)).cast("int").alias("state"))
 
 
 def state_sums(counts: DataFrame, states: DataFrame) -> DataFrame:
@@ -24,49 +31,59 @@ def state_sums(counts: DataFrame, states: DataFrame) -> DataFrame:
 def emission_table(counts: DataFrame, sums: DataFrame, n_states: int, prior_weight: float = 1.0) -> DataFrame:
     """(dataset, barcode, state, suffstat, prior) for every cell and state.
 
-    prior: (cell total + 1), normalised over the dataset's cells, times prior_weight times the number of cells, so that
-    it is prior_weight on average.
+    prior: (cell total + 1), normalised over the dataset's cells, times prior_weight; so a dataset's priors sum to that.
     """
     cells = counts.groupBy("dataset", "barcode").agg((F.sum("cnt") + 1).alias("x"))
-    whole = Window.partitionBy("dataset")
-    prior = F.col("x") / F.sum("x").over(whole) * F.count("*").over(whole) * F.lit(float(prior_weight))
-    every = cells.withColumn("prior", prior).select("dataset", "barcode", "prior", F.explode(F.sequence(F.lit(0), F.lit(n_states - 1))).alias("state"))
+    whole = cells.groupBy("dataset").agg(F.sum("x").alias("whole"))
+    every = cells.join(whole, "dataset").withColumn("prior", F.col("x") / F.col("whole") * F.lit(float(prior_weight)))
+    every = every.select("dataset", "barcode", "prior", F.explode(F.sequence(F.lit(0), F.lit(n_states - 1))).alias("state"))
     return every.join(sums, ["dataset", "barcode", "state"], "left").select("dataset", "barcode", "state", F.coalesce("suffstat", F.lit(0.0)).alias("suffstat"), "prior")
 
 
-def rising_logs(parameters: DataFrame, keys: list[str], highest: DataFrame, limits: list[str]) -> DataFrame:
-    """keys, m, value = sum of ln(a + k) for k < m, m from 1 to the highest of the limit key. parameters: keys and a."""
-    rows = parameters.join(highest, limits).select(*keys, "a", F.explode(F.sequence(F.lit(1).cast("long"), F.col("top"))).alias("m"))
-    return rows.select(*keys, "m", F.sum(F.log(F.col("a") + F.col("m") - 1)).over(Window.partitionBy(*keys).orderBy("m")).alias("value"))
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function of a positive number: Stirling's series at x + 8, less the factors between."""
+    z = x + 8
+    below = reduce(lambda a, i: a * (x + i), range(1, 8), x)
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5))) - 1 / (1680 * F.pow(z, F.lit(7)))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(below)
 
 
-def log_likelihood(counts: DataFrame, regions: DataFrame, emission: DataFrame, n_states: int, cap: int | None = None, min_depth: int = 0) -> DataFrame:
-    """(ridx, state, ll): the log-likelihood of every region in every state, summed over datasets.
+def rise(a: Column, m: Column) -> Column:
+    """log_gamma(a + m) - log_gamma(a)."""
+    return log_gamma(a + m) - log_gamma(a)
+
+
+def by_state(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys and an array of the values in the order of the states."""
+    pairs = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("state", value))).alias("x"))
+    return pairs.select(*keys, F.transform("x", lambda p: p[value]).alias(value))
+
+
+def likelihoods(counts: DataFrame, regions: DataFrame, emission: DataFrame, n_states: int, cap: int | None = None, min_depth: int = 0) -> DataFrame:
+    """(ridx, ll array): the log-likelihood of every region in every state, states in order, summed over datasets.
 
     counts: (dataset, ridx, barcode, cnt). alpha = suffstat + prior. cap: counts are cut at it; min_depth: a dataset's
     region with a smaller depth counts 0. Regions without counts have 0. No multinomial coefficient.
     """
     if cap:
         counts = counts.withColumn("cnt", F.least("cnt", F.lit(cap)).cast("long"))
-    depth = counts.groupBy("dataset", "ridx").agg(F.sum("cnt").alias("n"))
-    if min_depth:
-        depth = depth.where(F.col("n") >= min_depth)
-        counts = counts.join(depth.select("dataset", "ridx"), ["dataset", "ridx"], "left_semi")
     alpha = emission.select("dataset", "barcode", "state", (F.col("suffstat") + F.col("prior")).alias("a"))
-    top = counts.groupBy("dataset", "barcode").agg(F.max("cnt").alias("top"))
-    lut = rising_logs(alpha, ["dataset", "barcode", "state"], top, ["dataset", "barcode"])
-    # The states of a count stand together in one row, so that counts are joined once and not once for each state.
-    wide = lut.groupBy("dataset", "barcode", "m").pivot("state", list(range(n_states))).agg(F.first("value"))
-    met = counts.join(wide.withColumnRenamed("m", "cnt"), ["dataset", "barcode", "cnt"])
-    gains = met.groupBy("dataset", "ridx").agg(*(F.sum(str(k)).alias(f"g{k}") for k in range(n_states)))
-    alpha0 = alpha.groupBy("dataset", "state").agg(F.sum("a").alias("a"))
-    deepest = depth.groupBy("dataset").agg(F.max("n").alias("top"))
-    loss = rising_logs(alpha0, ["dataset", "state"], deepest, ["dataset"]).groupBy("dataset", "m").pivot("state", list(range(n_states))).agg(F.first("value"))
-    loss = loss.select("dataset", F.col("m").alias("n"), *(F.col(str(k)).alias(f"l{k}") for k in range(n_states)))
-    each = gains.join(depth, ["dataset", "ridx"]).join(loss, ["dataset", "n"])
-    sums = each.groupBy("ridx").agg(*(F.sum(F.col(f"g{k}") - F.col(f"l{k}")).alias(f"x{k}") for k in range(n_states)))
-    full = regions.select("ridx").join(sums, "ridx", "left").select("ridx", F.posexplode(F.array(*(F.coalesce(f"x{k}", F.lit(0.0)) for k in range(n_states)))).alias("state", "ll"))
-    return full
+    distinct = counts.select("dataset", "barcode", "cnt").distinct()
+    lut = distinct.join(by_state(alpha, ["dataset", "barcode"], "a"), ["dataset", "barcode"])
+    lut = lut.select("dataset", "barcode", "cnt", F.transform("a", lambda a: rise(a, F.col("cnt"))).alias("gain"))
+    met = counts.join(lut, ["dataset", "barcode", "cnt"])
+    gains = met.groupBy("dataset", "ridx").agg(F.sum("cnt").alias("n"), *(F.sum(F.get("gain", F.lit(k))).alias(f"g{k}") for k in range(n_states)))
+    if min_depth:
+        gains = gains.where(F.col("n") >= min_depth)
+    alpha0 = by_state(alpha.groupBy("dataset", "state").agg(F.sum("a").alias("a")), ["dataset"], "a")
+    each = gains.join(alpha0, "dataset").withColumn("loss", F.transform("a", lambda a: rise(a, F.col("n"))))
+    sums = each.groupBy("ridx").agg(*(F.sum(F.col(f"g{k}") - F.get("loss", F.lit(k))).alias(f"x{k}") for k in range(n_states)))
+    return regions.select("ridx").join(sums, "ridx", "left").select("ridx", F.array(*(F.coalesce(f"x{k}", F.lit(0.0)) for k in range(n_states))).alias("ll"))
+
+
+def log_likelihood(counts: DataFrame, regions: DataFrame, emission: DataFrame, n_states: int, cap: int | None = None, min_depth: int = 0) -> DataFrame:
+    """(ridx, state, ll): `likelihoods` with a row for each state."""
+    return likelihoods(counts, regions, emission, n_states, cap, min_depth).select("ridx", F.posexplode("ll").alias("state", "ll"))
 
 
 def depth_breaks(totals: DataFrame, step: float = 0.05) -> list[float]:

@@ -163,10 +163,42 @@ def test_em_recovers_two_states_and_is_stored(spark, tmp_path):
         files.read_model(spark, str(tmp_path / "none"))
 
 
-def test_m_step_keeps_zeros():
-    c = em.m_step({("start", 0, 0): 1.0, ("trans", 0, 1): 3.0, ("trans", 1, 1): 2.0}, 2, em.Options())
-    assert c.start.tolist() == [1, 0]
-    assert c.trans.tolist() == [[0, 1], [0, 1]]
+def test_m_step_keeps_zeros_of_the_model_and_only_those():
+    """A parameter that is zero stays zero; one whose statistics vanish does not."""
+    was = ch.Chain(np.array([0.5, 0.5, 0.0]), np.array([[0.5, 0.5, 0.0], [0.3, 0.3, 0.4], [0.0, 0.0, 1.0]]))
+    c = em.m_step({("start", 0, 0): 1.0, ("trans", 0, 1): 3.0, ("trans", 1, 1): 2.0}, was, em.Options())
+    assert np.allclose(c.start, np.array([1 + 1e-6, 1e-6, 0]) / (1 + 2e-6), rtol=1e-12)
+    assert np.allclose(c.trans[0], np.array([1e-6, 3 + 1e-6, 0]) / (3 + 2e-6), rtol=1e-12)
+    assert np.allclose(c.trans[1], np.array([1e-6, 2 + 1e-6, 1e-6]) / (2 + 3e-6), rtol=1e-12)
+    assert c.trans[2].tolist() == [0, 0, 1]
+
+
+def test_priors_of_a_dataset_sum_to_their_weight(spark):
+    counts = spark.createDataFrame([("d", 0, "a", 3), ("d", 1, "b", 5), ("e", 0, "a", 1)], "dataset string, ridx long, barcode string, cnt long")
+    states = spark.range(2).select(F.col("id").alias("ridx"), F.lit(0).alias("state"))
+    rows = emission.emission_table(counts, emission.state_sums(counts, states), 2, 3.0).collect()
+    assert {(r["dataset"], r["barcode"]): round(r["prior"], 12) for r in rows} == {("d", "a"): 1.2, ("d", "b"): 1.8, ("e", "a"): 3.0}
+
+
+def test_log_gamma(spark):
+    xs = [1e-9, 1e-3, 0.5, 1.0, 2.5, 8.0, 77.7, 1e4, 1e9]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", emission.log_gamma(F.col("x")).alias("y")).collect()
+    assert all(math.isclose(r["y"], math.lgamma(r["x"]), rel_tol=1e-13, abs_tol=2e-11) for r in rows)
+
+
+def test_products_that_vanish_are_taken_in_logs():
+    c = ch.Chain(np.array([1.0, 0.0]), np.array([[0.5, 0.5], [0.0, 1.0]]))
+    ll = np.zeros((6, 2))
+    ll[0, 0], ll[3, 1] = -2000.0, -5000.0
+    got = ch._rescaled(ll, c, None, np.zeros(2))
+    want = ch._in_logs(ll, c, None, np.zeros(2))
+    assert np.allclose(got[0], want[0])
+    assert np.allclose(got[1], want[1])
+    assert math.isclose(got[2], want[2])
+    rng = np.random.default_rng(3)
+    ll, into, after = rng.normal(-4, 3, (40, K)), rng.normal(0, 2, K), rng.normal(0, 2, K)
+    for a, b in zip(ch._rescaled(ll, some_chain(), into, after)[:2], ch._in_logs(ll, some_chain(), into, after)[:2], strict=True):
+        assert np.allclose(a, b, atol=1e-12)
 
 
 @pytest.mark.parametrize("length", [1, 2, 9, 300])
