@@ -34,6 +34,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 class Inputs:
     """The views of one folder and what most queries start from."""
 
@@ -468,6 +472,130 @@ def log_fold_emission(spark, sf):
     return enrich.log_fold_emission(_initial(Inputs(spark, sf)).emission).select("dataset", "barcode", "state", r4("value", "value"))
 
 
+# ---------------------------------------------------------------- a fixed chain over whole chromosomes, region by region in SQL
+
+_CHAIN = Chain(np.array([0.5, 0.3, 0.2]), np.array([[0.8, 0.15, 0.05], [0.1, 0.7, 0.2], [0.25, 0.05, 0.7]]))
+#: Many blocks to a chromosome, so that their boundaries are put to the test.
+_BLOCKS = em.Options(block_rows=100)
+_K = range(STATES)
+
+
+def _a(i: int, j: int) -> str:
+    return f"{_CHAIN.trans[i, j]}::DOUBLE"
+
+
+def _listed(f: Callable[[int], str], sep: str = ", ") -> str:
+    return sep.join(f(i) for i in _K)
+
+
+def _forward_backward(ll: str) -> dict[str, str]:
+    """CTEs over (chain, ridx, l0, l1, ...): forward and backward vectors that sum to 1 at each region, posteriors and scores."""
+    norm = lambda xs: ", ".join(f"({x}) / ({' + '.join(xs)}) AS {{}}{i}" for i, x in enumerate(xs))
+    into = [f"({' + '.join(f'f{i} * {_a(i, j)}' for i in _K)}) * e{j}" for j in _K]
+    first = [f"{_CHAIN.start[j]}::DOUBLE * e{j}" for j in _K]
+    back = [" + ".join(f"{_a(i, j)} * e{j} * b{j}" for j in _K) for i in _K]
+    return {
+        "obs": f"SELECT chain, t, ridx, top, {_listed(lambda i: f'exp(l{i} - top) AS e{i}')} FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY ridx) AS t, greatest({_listed(lambda i: f'l{i}')}) AS top FROM ({ll}))",
+        "last": "SELECT chain, max(t) AS t FROM obs GROUP BY chain",
+        "fw": f"""SELECT chain, t, {norm(first).format(*['f'] * STATES)}, ln({' + '.join(first)}) + top AS s FROM obs WHERE t = 1
+            UNION ALL SELECT o.chain, o.t, {norm(into).format(*['f'] * STATES)}, s + ln({' + '.join(into)}) + o.top FROM fw JOIN obs o ON o.chain = fw.chain AND o.t = fw.t + 1""",
+        "bw": f"""SELECT chain, t, {_listed(lambda i: f'1.0::DOUBLE / {STATES} AS b{i}')} FROM last
+            UNION ALL SELECT bw.chain, bw.t - 1, {norm(back).format(*['b'] * STATES)} FROM bw JOIN obs o ON o.chain = bw.chain AND o.t = bw.t WHERE bw.t > 1""",
+        "prob": f"SELECT o.ridx AS ridx, o.chain AS chain, {_listed(lambda i: f'f{i} * b{i} / ({_listed(lambda j: f"f{j} * b{j}", " + ")}) AS p{i}')} FROM obs o JOIN fw ON fw.chain = o.chain AND fw.t = o.t JOIN bw ON bw.chain = o.chain AND bw.t = o.t",
+    }
+
+
+_WIDE = "SELECT t.chrom AS chain, ll.ridx AS ridx, " + _listed(lambda i: f"max(CASE WHEN state = {i} THEN ll END) AS l{i}") + " FROM ll JOIN tile t ON t.ridx = ll.ridx GROUP BY ALL"
+_BY_DATASET = (
+    "SELECT concat(d.dataset, ':', t.chrom) AS chain, t.ridx AS ridx, " + _listed(lambda i: f"coalesce(max(CASE WHEN e.state = {i} THEN x END), 0) AS l{i}")
+    + " FROM tile t CROSS JOIN (SELECT DISTINCT dataset FROM data) d LEFT JOIN each e ON e.ridx = t.ridx AND e.dataset = d.dataset GROUP BY ALL"
+)
+_LONG = " UNION ALL ".join(f"SELECT ridx, chain, CAST({i} AS INT) AS state, p{i} AS p FROM prob" for i in _K)
+
+
+def _chained(query: str, ll: str = _WIDE, **more: str) -> str:
+    each = _LL["each"].replace("SELECT gain.ridx", "SELECT gain.dataset AS dataset, gain.ridx")
+    sql = _recursive(oracle(query, "tile", "counts", **(_LL | {"each": each} | _forward_backward(ll) | more)))
+    return sql.replace(" obs AS (", " obs AS MATERIALIZED (").replace(" ll AS (", " ll AS MATERIALIZED (")
+
+
+def _fixed(x: Inputs) -> em.Model:
+    model = _initial(x)
+    model.chain = _CHAIN
+    return model
+
+
+@query(_chained(f"SELECT ridx, state, round(p, 4) AS p FROM ({_LONG})"))
+def chain_posterior(spark, sf):
+    x = Inputs(spark, sf)
+    return em.posterior(_fixed(x), x.datasets, x.tile, _BLOCKS, _by_chrom(x)).select("ridx", "state", r4("p", "p"))
+
+
+@query(_chained("SELECT round(sum(s), 3) AS score FROM fw JOIN last ON fw.chain = last.chain AND fw.t = last.t"))
+def chain_score(spark, sf):
+    x = Inputs(spark, sf)
+    passed = em.expectation(_fixed(x), x.datasets, x.tile, _BLOCKS, _by_chrom(x))
+    return passed.where("kind = 'score'").agg(F.round(F.sum("p"), 3).alias("score"))
+
+
+@query(_chained(
+    "SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(sum(x), 3) AS n FROM pairs GROUP BY ALL",
+    pairs=" UNION ALL ".join(
+        f"SELECT {i} AS i, {j} AS j, f{i} * {_a(i, j)} * e{j} * b{j} / ({' + '.join(f'f{k} * {_a(k, m)} * e{m} * b{m}' for k in _K for m in _K)}) AS x FROM fw JOIN obs o ON o.chain = fw.chain AND o.t = fw.t + 1 JOIN bw ON bw.chain = o.chain AND bw.t = o.t"
+        for i in _K for j in _K
+    ),
+))
+def chain_transitions(spark, sf):
+    x = Inputs(spark, sf)
+    passed = em.expectation(_fixed(x), x.datasets, x.tile, _BLOCKS, _by_chrom(x)).where("kind = 'trans'")
+    return passed.groupBy(F.col("state").alias("i"), F.col("other").alias("j")).agg(F.round(F.sum("p"), 3).alias("n"))
+
+
+@query(_chained(
+    "SELECT o.ridx AS ridx, CAST(w.state AS INT) AS state FROM way w JOIN obs o ON o.chain = w.chain AND o.t = w.t",
+    vit="SELECT chain, t, " + _listed(lambda j: f"ln({_CHAIN.start[j]}::DOUBLE) + ln(e{j}) + top AS v{j}, -1 AS q{j}") + " FROM obs WHERE t = 1 UNION ALL SELECT o.chain, o.t, "
+    + _listed(lambda j: f"greatest({_listed(lambda i: f'v{i} + ln({_a(i, j)})')}) + ln(e{j}) + o.top, " + f"list_position([{_listed(lambda i: f'v{i} + ln({_a(i, j)})')}], greatest({_listed(lambda i: f'v{i} + ln({_a(i, j)})')})) - 1")
+    + " FROM vit JOIN obs o ON o.chain = vit.chain AND o.t = vit.t + 1",
+    way="SELECT v.chain AS chain, v.t AS t, " + f"list_position([{_listed(lambda i: f'v{i}')}], greatest({_listed(lambda i: f'v{i}')})) - 1 AS state FROM vit v JOIN last ON last.chain = v.chain AND last.t = v.t"
+    + " UNION ALL SELECT w.chain, w.t - 1, CASE w.state " + _listed(lambda i: f"WHEN {i} THEN q{i}", " ") + " END FROM way w JOIN vit v ON v.chain = w.chain AND v.t = w.t WHERE w.t > 1",
+))
+def chain_viterbi(spark, sf):
+    x = Inputs(spark, sf)
+    return em.predict(_fixed(x), x.datasets, x.tile, "viterbi", _BLOCKS, _by_chrom(x)).select("ridx", "state")
+
+
+@query(_chained(f"SELECT ridx, state, round(avg(p), 4) AS mean, round(stddev_pop(p), 4) AS sd FROM ({_LONG}) GROUP BY ALL", _BY_DATASET))
+def chain_robust(spark, sf):
+    x = Inputs(spark, sf)
+    return em.robust_posterior(_fixed(x), x.datasets, x.tile, _BLOCKS, _by_chrom(x)).select("ridx", "state", r4("mean", "mean"), r4("sd", "sd"))
+
+
+_CALLED = "SELECT ridx, " + _listed(lambda i: f"p{i}") + f", list_position([{_listed(lambda i: f'p{i}')}], greatest({_listed(lambda i: f'p{i}')})) - 1 AS state FROM prob"
+
+
+@query(_chained(
+    f"SELECT t.ridx AS ridx, t.chrom AS chrom, t.start AS start, t.stop AS stop, {_listed(lambda i: f'round(p{i}, 4) AS Prob_state_{i}')}, round(greatest({_listed(lambda i: f'p{i}')}), 4) AS Prob_max, CAST(state AS INT) AS state, concat('state_', state) AS name, "
+    "CAST(coalesce(sum(CASE WHEN dataset = 'a' THEN cnt END), 0) AS BIGINT) AS readdepth_0, CAST(coalesce(sum(CASE WHEN dataset = 'b' THEN cnt END), 0) AS BIGINT) AS readdepth_1 FROM tile t JOIN called c ON c.ridx = t.ridx LEFT JOIN data d ON d.ridx = t.ridx GROUP BY ALL",
+    called=_CALLED,
+))
+def chain_segmentation(spark, sf):
+    x = Inputs(spark, sf)
+    found = segments.segments(x.tile, em.posterior(_fixed(x), x.datasets, x.tile, _BLOCKS, _by_chrom(x)), x.datasets, STATES)
+    return found.select("ridx", "chrom", "start", "stop", *(r4(f"Prob_state_{i}", f"Prob_state_{i}") for i in _K), r4("Prob_max", "Prob_max"), "state", "name", "readdepth_0", "readdepth_1")
+
+
+@query(_chained("SELECT concat('state_', state) AS name, count(*) AS n FROM called GROUP BY ALL", called=_CALLED))
+def chain_frequency(spark, sf):
+    return segments.state_frequency(chain_segmentation(spark, sf))
+
+
+@query(" UNION ALL ".join(f"SELECT CAST({i} AS INT) AS i, CAST({j} AS INT) AS j, round({_a(i, j)}, 4) AS p FROM (SELECT count(*) AS n FROM events) WHERE n > 0" for i in _K for j in _K))
+def model_store_chain(spark, sf):
+    path = fresh_path(spark, "model")
+    files.write_model(_fixed(Inputs(spark, sf)), path)
+    return em.chain_tables(spark, files.read_model(spark, path).chain)[1].select("i", "j", r4("p", "p"))
+
+
 # ---------------------------------------------------------------- segments
 
 _SEGP = f"""SELECT *, concat('state_', CAST(state AS VARCHAR)) AS name, 0.6::DOUBLE + 0.4::DOUBLE / (1 + readdepth) AS Prob_max,
@@ -640,10 +768,6 @@ _PATHS = {
 }
 
 
-def _recursive(sql: str) -> str:
-    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 def _two_state_counts(spark, sf) -> DataFrame:
     x = Inputs(spark, sf)
     return enrich.feature_state_counts(x.genes, x.seg.withColumn("state", F.col("state") % 2), 9000).drop("feature")

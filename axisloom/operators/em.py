@@ -128,13 +128,13 @@ def predict(model: Model, counts: DataFrame, regions: DataFrame, algorithm: str
     return decode(blocks, model.chain, algorithm, o.boundary)
 
 
-def robust_posterior(model: Model, counts: DataFrame, regions: DataFrame, o: Options | None = None) -> DataFrame:
+def robust_posterior(model: Model, counts: DataFrame, regions: DataFrame, o: Options | None = None, chain_of: DataFrame | None = None) -> DataFrame:
     """(ridx, state, mean, sd): posteriors of each dataset alone, their mean and population deviation over datasets."""
     o = o or Options()
     every = []
     for name in sorted(r["dataset"] for r in counts.select("dataset").distinct().collect()):
         own = Model(model.n_states, model.chain, model.emission.where(F.col("dataset") == name))
-        every.append(posterior(own, counts.where(F.col("dataset") == name), regions, o))
+        every.append(posterior(own, counts.where(F.col("dataset") == name), regions, o, chain_of))
     rows = every[0]
     for more in every[1:]:
         rows = rows.unionByName(more)
