@@ -41,15 +41,21 @@ def between_states(segments: DataFrame, state: int, n_states: int, top: int = 15
     return out
 
 
-def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def average_ranks(df: DataFrame, columns: Sequence[str], pieces: int = 256) -> DataFrame:
     """(column, row, r): ranks within each column, equal values sharing their mean rank; nulls have none. df has a `row` key.
 
-    Ranks come from counts of distinct values, so equal values are summed before they are ordered.
+    Ranks come from counts of distinct values, so equal values are summed before they are ordered. Values are ordered
+    within pieces between approximate quantiles of the column, and the pieces before are added, so no task orders a column.
     """
     long = df.select("row", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("v")).select("row", "v.*").where("x IS NOT NULL")
     values = long.groupBy("column", "x").agg(F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("column").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return long.join(values.select("column", "x", (below + (F.col("n") + 1) / 2).alias("r")), ["column", "x"]).select("column", "row", "r")
+    cuts = values.groupBy("column").agg(F.percentile_approx("x", F.array(*(F.lit(i / pieces) for i in range(1, pieces))), F.lit(20 * pieces)).alias("cuts"))
+    placed = values.join(cuts, "column").select("column", "x", "n", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("piece"))
+    so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = placed.groupBy("column", "piece").agg(F.sum("n").alias("n")).select("column", "piece", so_far(Window.partitionBy("column").orderBy("piece")).alias("before"))
+    below = so_far(Window.partitionBy("column", "piece").orderBy("x")).alias("below")
+    ranks = placed.select("column", "piece", "x", "n", below).join(before, ["column", "piece"])
+    return long.join(ranks.select("column", "x", (F.col("before") + F.col("below") + (F.col("n") + 1) / 2).alias("r")), ["column", "x"]).select("column", "row", "r")
 
 
 def spearman(df: DataFrame, score: str, columns: Sequence[str], n: int) -> DataFrame:

@@ -12,10 +12,15 @@ from axisloom.operators.intervals import overlap_join
 from axisloom.operators.tiling import bin_offsets
 
 
+def binned(fragments: DataFrame, width: int) -> DataFrame:
+    """(chrom, barcode, further columns, bin): a row for every bin that a fragment overlaps, by arithmetic."""
+    keep = [c for c in fragments.columns if c not in ("start", "stop", "bin")]
+    return fragments.where("stop > start").select(*keep, F.explode(F.expr(f"sequence(start div {width}, (stop - 1) div {width})")).alias("bin"))
+
+
 def fragments_in_tile(fragments: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
     """A fragment counts once in every bin that it overlaps: arithmetic instead of a join. sizes: (chrom, size)."""
-    bins = fragments.where("stop > start").select("chrom", "barcode", F.explode(F.expr(f"sequence(start div {width}, (stop - 1) div {width})")).alias("bin"))
-    counts = bins.groupBy("chrom", "bin", "barcode").agg(F.count("*").alias("cnt"))
+    counts = binned(fragments.select("chrom", "start", "stop", "barcode"), width).groupBy("chrom", "bin", "barcode").agg(F.count("*").alias("cnt"))
     return counts.join(F.broadcast(bin_offsets(sizes, width)), "chrom").where(F.col("bin") < F.ceil(F.col("size") / width)).select((F.col("offset") + F.col("bin")).alias("ridx"), "barcode", "cnt")
 
 

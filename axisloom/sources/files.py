@@ -51,27 +51,31 @@ def write_alignments(reads: DataFrame, path: str) -> None:
 def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
     """(row, col, val), 0-based, of a coordinate-matrix text: % comments, one line of sizes, then 1-based triplets.
 
-    The line of sizes is the first one that is no comment. Files are read in pieces, so it is found by its place in the
-    file: the least line offset that Spark's reader reports for that file.
+    The line of sizes is the first one that is no comment, in a file that has comments (of a folder of part files the
+    first), or in the first file if none has any. Files are read in pieces, so it is found by its place in the file: the
+    least line offset that Spark's reader reports for that file.
     """
     lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"))
-    lines = lines.where(~F.startswith("value", F.lit("%")) & (F.trim("value") != ""))
-    heads = lines.groupBy("file").agg(F.min("at").alias("at"))
+    comment = F.startswith("value", F.lit("%"))
+    files = lines.groupBy("file").agg(F.max(comment).alias("told"), F.min(F.when(~comment & (F.trim("value") != ""), F.col("at"))).alias("at"))
+    any_told = files.agg(F.max("told").alias("any"), F.min("file").alias("least"))
+    heads = files.join(F.broadcast(any_told), how="cross").where(F.col("told") | (~F.col("any") & (F.col("file") == F.col("least")))).select("file", "at")
+    lines = lines.where(~comment & (F.trim("value") != ""))
     part = F.split(F.trim("value"), r"\s+")
     body = lines.join(F.broadcast(heads), ["file", "at"], "left_anti")
     return body.select((part[0].cast("long") - 1).alias("row"), (part[1].cast("long") - 1).alias("col"), part[2].cast("long").alias("val"))
 
 
 def write_coordinates(matrix: DataFrame, path: str, n_rows: int, n_cols: int) -> None:
-    """Triplets (row, col, val), 0-based, as one text file with its line of sizes.
+    """Triplets (row, col, val), 0-based, as text: a folder of part files, sorted by row and column over all of them.
 
-    The format is one sequence, so one task writes it; for large matrices use the matrix store.
+    The first part begins with the comment and the line of sizes, so the parts one after the other are one such file.
     """
     n = matrix.count()
     spark = matrix.sparkSession
     head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate integer general", -1, -1), (1, f"{n_rows} {n_cols} {n}", -1, -1)], "part int, value string, r long, c long")
     body = matrix.select(F.lit(2).alias("part"), F.concat_ws(" ", (F.col("row") + 1).cast("string"), (F.col("col") + 1).cast("string"), F.col("val").cast("string")).alias("value"), F.col("row").alias("r"), F.col("col").alias("c"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("part", "r", "c").select("value").write.text(path)
+    head.unionByName(body).repartitionByRange("part", "r", "c").sortWithinPartitions("part", "r", "c").select("value").write.text(path)
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:

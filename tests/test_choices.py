@@ -231,3 +231,46 @@ def test_streamed_counts_equal_batch_counts(spark, tmp_path):
     q.awaitTermination()
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(spark.table("tiles")) == rows(tile_counts(frag, 10)) == [("c", 0, "a", 1), ("c", 1, "a", 2), ("c", 2, "a", 1), ("c", 4, "b", 1)]
+
+
+def test_windows_of_a_stream_close_behind_the_watermark(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    batches = [[("c", 0, 15, "a", at(1, 5)), ("c", 3, 4, "a", at(1, 50))], [("c", 2, 3, "b", at(3, 30))], [("c", 0, 1, "a", at(1, 1)), ("c", 5, 6, "b", at(5, 0))]]
+    shape = "chrom string, start long, stop long, barcode string, ts timestamp"
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if not i:
+            stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
+        q = tile_counts(stream, 10, "ts").writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = sorted((r["from"].hour, r["bin"], r["barcode"], r["cnt"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, 0, "a", 2), (1, 1, "a", 1), (3, 0, "b", 1)]
+
+
+def test_ranks_do_not_depend_on_the_pieces(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).integers(0, 300, 2000).astype(float)
+    df = spark.createDataFrame([(i, float(v), float(-v) if i % 7 else None) for i, v in enumerate(x)], "row long, a double, b double")
+    for pieces in (2, 64, 1000):
+        got = {(r["column"], r["row"]): r["r"] for r in contrast.average_ranks(df, ["a", "b"], pieces).collect()}
+        assert all(got["a", i] == (x < v).sum() + ((x == v).sum() + 1) / 2 for i, v in enumerate(x))
+        assert len(got) == 2000 + sum(i % 7 > 0 for i in range(2000))
+
+
+def test_coordinate_text_in_parts_is_one_sequence(spark, tmp_path):
+    rows = [(i * 7 % 50, i, i + 1) for i in range(300)]
+    matrix = spark.createDataFrame(rows, "row long, col long, val long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files.write_coordinates(matrix, str(tmp_path / "m"), 50, 300)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "m").glob("part-*"))
+    text = "".join(p.read_text() for p in parts).split("\n")
+    assert len(parts) > 1
+    assert text[1] == "50 300 300"
+    assert [tuple(map(int, x.split())) for x in text[2:-1]] == sorted((r + 1, c + 1, v) for r, c, v in rows)
+    assert sorted(tuple(r) for r in files.read_coordinates(spark, str(tmp_path / "m")).collect()) == sorted(rows)
+    (tmp_path / "plain.txt").write_text("2 2 1\n1 2 5\n")
+    assert [tuple(r) for r in files.read_coordinates(spark, str(tmp_path / "plain.txt")).collect()] == [(0, 1, 5)]
