@@ -204,10 +204,12 @@ def fitted_ratio(entries: DataFrame, graph: CentroidGraph, top: float, k: int, s
                 x = matrix(b.column("v").slice(at, 4096))
                 scores = ask.value @ x.T
                 r, c = best_of(scores, min(k + 1, len(x)))
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(scores[r, c]), b.column("v").slice(at, 4096).take(pa.array(c))], ["q", "score", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(scores[r, c]), b.column("uid").slice(at, 4096).take(pa.array(c))], ["q", "score", "uid"])
 
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "v")
-    found = entries.select("v").mapInArrow(run, "q long, score double, v binary").withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1).toArrow()
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "uid")
+    best = entries.select("uid", "v").mapInArrow(run, "q long, score double, uid long").withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
+    # k + 1 rows for each of 4 * trials queries at most.
+    found = entries.select("uid", "v").join(F.broadcast(saved(best.select("q", "uid"))), "uid").select("q", "v").toArrow()
     q, x = found.column("q").to_numpy(), matrix(found.column("v"))
     other = np.any(ask.value[q] != x, axis=1)
     q, x = q[other], x[other]

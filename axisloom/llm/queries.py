@@ -16,11 +16,13 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked at two or fewer differing bits; see simhash.near_groups for edge cases."""
     found = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base patterns and runs that the models of made samples find random; see secrets.scan for edge cases."""
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
@@ -29,7 +31,10 @@ TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 
 
 def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages are the domains: `source` says nothing of a text here, and a language is what the texts show."""
+    """Languages are the domains: `source` says nothing of a text here, and a language is what the texts show.
+
+    See mixing.soft_mix for edge cases.
+    """
     docs = table(spark, sf_dir, "documents")
     labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("lang").alias("domain"))
     domains, rows = mixing.soft_mix(docs, labelled, TARGETS)
@@ -37,23 +42,28 @@ def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th vec_id among all rows; see neighbours.nearest for edge cases."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), modulus=20, k=20)
 
 
 def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base patterns and revealing terms, generalised or removed; see private_data.spans for edge cases."""
     return private_data.digest(table(spark, sf_dir, "documents"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every text, and whether there are more than 2048; see token_counts.token_counts for edge cases."""
     found = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return found.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids and decoded text; see pieces.encode for edge cases."""
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), digests=True)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of quality 1, learned from rows that are not held out; see quality.train and quality.scores for edge cases."""
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), learn_from=~quality.held_out())
     scored = quality.scores(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score")
@@ -61,10 +71,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores, learned from rows that are not held out; see language_model.score for edge cases."""
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 8-grams in windows of 5, of every text and its edited text; see winnowing.edited_fingerprints for edge cases."""
     return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"), k=8, window=5, share=4)
 
 

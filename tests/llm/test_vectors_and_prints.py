@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from axisloom.llm import neighbours, queries, winnowing
@@ -149,6 +150,38 @@ def test_edited_texts_and_likeness(spark, per_range):
         assert r["near_next"] == winnowing.likeness(a[0], c[0])
 
 
+@pytest.mark.parametrize("per_range", [2, 7, 500])
+def test_ties_repeated_rows_and_null_ids_have_an_order(spark, per_range):
+    rng = np.random.default_rng(per_range)
+    texts = ["", "short", "a text that is long enough to hold some of the fingerprints", "another text, not quite so long", None, "é" * 40]
+    ids = [None, 1, 1, 2, 3, 7, 7, 7, -5, 900_000_000_000]
+    rows = [(ids[rng.integers(len(ids))], texts[rng.integers(len(texts))]) for _ in range(90)]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    key = lambda r: (r[0] is not None, r[0] if r[0] is not None else signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)), (r[1] or "").encode())
+    order = sorted(rows, key=key, reverse=True)
+    want = []
+    for n, (i, text) in enumerate(order):
+        text, following = text or "", order[(n + 1) % len(order)][1] or ""
+        edited = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
+        want.append((i or 0, hashlib.sha256(edited.encode()).hexdigest(), round(winnowing.likeness(winnowing.winnow(text, 8, 5)[0], winnowing.winnow(following, 8, 5)[0]), 9)))
+    got = winnowing.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8, 5, per_range).collect()
+    assert sorted((r["doc_id"] or 0, r["edited_sha256"], round(r["near_next"], 9)) for r in got) == sorted(want)
+
+
+def test_ranges_follow_the_order_of_keys(spark):
+    rng = np.random.default_rng(6)
+    ids = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 300)] + [5] * 200 + list(range(400))
+    rows = [(i, f"t{n}") for n, i in enumerate(ids)] + [(None, f"n{n}") for n in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for per_range, quantiles in ((10, 4), (3, 16), (10_000, 4096)):
+        found = winnowing.in_ranges(docs, per_range, quantiles).collect()
+        known = sorted((r for r in found if r["doc_id"] is not None), key=lambda r: -r["doc_id"])
+        unknown = sorted((r for r in found if r["doc_id"] is None), key=lambda r: -r["key"])
+        places = [r["range"] for r in known + unknown]
+        assert places == sorted(places)
+        assert len(set(places)) > (0 if per_range > 1000 else 40)
+
+
 def test_ranges_count_the_cuts_below(spark):
     cuts = sorted({int(x) for x in np.random.default_rng(1).integers(0, 5000, 300)})
     got = spark.range(-5, 5100, 7).select("id", winnowing.range_of(F.col("id"), cuts).alias("r")).collect()
