@@ -254,7 +254,10 @@ def listed(base: Column, terms: Column | None = None) -> Column:
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, n_generalised, n_removed, base_sha256, spans) of every row; see `spans`."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, n_private, n_generalised, n_removed, base_sha256, spans) of every row; see `spans`.
+
+    n_private: all base spans; spans lists these and then, as generalised or removed, the terms.
+    """
 
     def counted(i: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
@@ -262,4 +265,4 @@ def digest(docs: DataFrame, **options) -> DataFrame:
     n = [counted(i) for i in range(4)]
     acts = [F.size(F.filter("terms", lambda s: s["removed"] == removed)).cast("long").alias(f"n_{kind}") for removed, kind in ((False, "generalised"), (True, "removed"))]
     found = spans(docs, **options)
-    return found.select("doc_id", *n, *acts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("base"), F.col("terms")).alias("spans"))
+    return found.select("doc_id", *n, F.size("base").cast("long").alias("n_private"), *acts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("base"), F.col("terms")).alias("spans"))
