@@ -2,42 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axisloom.plans.scratch import fresh_path
+from axisloom.plans.scratch import stored as saved
 from axisloom.plans.ship import shipped
 
+__all__ = ["blob", "components", "fresh_path", "saved", "slices", "smallest", "split_hash", "table", "text_docs", "words"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests) a temporary one is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-checkpoints-", dir="/tmp")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of its own for each call, in the folder that driver and executors share."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder; later jobs read those files, also after an executor is lost."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_docs(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long, text with null as empty, and the named columns; any other columns are left out."""
     shipped(docs.sparkSession)
@@ -63,6 +42,16 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = 4_000_000):
         yield at, held
 
 
+def smallest(df: DataFrame, n: int, *on: str) -> DataFrame:
+    """At most n of df's distinct rows, those with the smallest hashes of the columns `on`; about n rows move.
+
+    Rows are kept by a bound on the hash that leaves n of them with a margin of six deviations, before they are sorted.
+    """
+    share = min(1.0, (n + 6 * n**0.5 + 100) / max(df.count(), 1))
+    hashed = df.withColumn("smallest_hash", F.pmod(F.xxhash64(*on), F.lit(1 << 62)))
+    return hashed.where(F.col("smallest_hash") <= int(share * (1 << 62))).distinct().orderBy("smallest_hash", *df.columns).limit(n).drop("smallest_hash")
+
+
 def split_hash(column) -> object:
     """crc32 of the decimal text of an id; null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")))
@@ -94,51 +83,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
 
 
-def block_count(rows: DataFrame, docs_per_block: int) -> int:
-    return max(1, rows.count() // docs_per_block)
-
-
 def blob(table: pa.Table) -> bytes:
     """A table as a compressed Arrow stream."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
         w.write_table(table.combine_chunks())
     return sink.getvalue().to_pybytes()
-
-
-def packed(rows: DataFrame, blocks: int, held_bytes: int = 32_000_000) -> DataFrame:
-    """(block, data binary): rows dealt into blocks by the hash of doc_id, and partitioned by block.
-
-    data: blobs of rows of one block; compressed, texts take a third of the room in a shuffle. A task lets go of its
-    rows whenever they add up to held_bytes.
-    """
-    names = rows.columns
-
-    def blobs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held).combine_chunks()
-        where = t.column("block").to_numpy()
-        order = np.argsort(where, kind="stable")
-        parts = np.split(order, np.flatnonzero(np.diff(where[order])) + 1)
-        data = [blob(t.take(pa.array(part)).drop_columns("block")) for part in parts]
-        return pa.RecordBatch.from_arrays([pa.array([int(where[part[0]]) for part in parts], pa.int64()), pa.array(data, pa.binary())], ["block", "data"])
-
-    def run(batches):
-        held, size = [], 0
-        for b in batches:
-            if len(b):
-                held.append(b)
-                size += b.nbytes
-            if size > held_bytes:
-                yield blobs(held)
-                held, size = [], 0
-        if held:
-            yield blobs(held)
-
-    keyed = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long").alias("block"), *names)
-    return keyed.mapInArrow(run, "block long, data binary").repartition(blocks, "block")
-
-
-def unpacked(blobs: pa.Table):
-    """The record batches that a group of packed rows holds, one after the other."""
-    for data in blobs.column("data"):
-        yield from (b for b in pa.ipc.open_stream(data.as_buffer()) if len(b))

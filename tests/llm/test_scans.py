@@ -172,21 +172,54 @@ def test_secret_digest_on_documents_and_awkward_rows(spark):
     assert secrets.scan(empty(spark)).count() == 0
 
 
-def test_markov_models_tell_random_strings_from_identifiers(spark):
+def test_models_of_made_samples_tell_random_strings_from_identifiers(spark):
+    docs = documents(spark)
+    judge = secrets.trained(secrets.made_samples(docs, 400))
+    rng = random.Random(40)
+    texts = [r["text"] for r in docs.collect()][:300]
+    plain = [v for t in texts for v in secrets.identifiers(t, rng)]
+    assert len(plain) > 1000
+    assert sum(secrets.gain(v, judge.ratio) >= judge.least for v in plain) <= 0.004 * len(plain)
+    for name, alphabet in secrets.ALPHABETS.items():
+        noise = ["".join(rng.choices(alphabet, k=32)) for _ in range(200)]
+        assert sum(secrets.gain(v, judge.ratio) >= judge.least for v in noise) >= (150 if name in ("HEX", "hex", "lower") else 185), name
+    clean = [t for t in texts if not secrets.base_spans(t)]
+    assert sum(bool(secrets.scored_spans(t, judge, [])) for t in clean) <= 0.01 * len(clean)
+
+
+def test_gains_are_log_ratios_of_smoothed_counts(spark):
+    rows = [("AbAbZ", True), ("ab_ab", False), ("ab", False), (None, True), ("x", None)]
+    got = secrets.ratio_table(secrets.counted(spark.createDataFrame(rows, "value string, random boolean")))
+    k, code = secrets.K, {chr(c): i for i, c in enumerate(secrets.ALPHABET, 1)} | {"\0": 0}
+
+    def log_p(value, random):
+        seen = Counter(p for v, r in rows if v is not None and r is random for p in zip("\0" + v, v + "\0", strict=True))
+        after = Counter()
+        for (a, _), n in seen.items():
+            after[a] += n
+        return sum(math.log((seen[a, b] + 1) / (after[a] + k)) for a, b in zip("\0" + value, value + "\0", strict=True))
+
+    for value in ("AbAb", "ab_ab", "Zz9"):
+        assert math.isclose(secrets.gain(value, got), log_p(value, True) - log_p(value, False))
+    assert code["A"] == 1
+
+
+def test_own_samples_set_the_threshold_and_rests_of_runs_are_scored(spark):
     rng = random.Random(4)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    noise = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(20, 40)))
-    parts = ["get", "value", "index", "table", "row", "count", "user", "name", "list", "parse", "token", "buffer", "2", "v1"]
+    letters = secrets.ALPHABETS["base62"]
+    noise = lambda n=30: "".join(rng.choice(letters) for _ in range(n))
+    parts = ["get", "value", "index", "table", "row", "count", "user", "name", "list", "parse", "buffer", "2", "v1"]
     plain = lambda: "_".join(rng.choice(parts) for _ in range(rng.randint(5, 8)))
     samples = spark.createDataFrame([(noise(), True) for _ in range(800)] + [(plain(), False) for _ in range(800)] + [(None, True)], "value string, random boolean")
-    ratio = secrets.ratio_table(secrets.counted(samples))
-    hits = sum(bool(secrets.scored_spans(f"x {noise()}1a y", ratio, [], 12.0, 0.6)) for _ in range(300))
-    false = sum(bool(secrets.scored_spans(f"x {plain()}_1a y", ratio, [], 12.0, 0.6)) for _ in range(300))
-    assert hits >= 290
-    assert false <= 5
-    rows = [(1, f"see {noise()}1a here"), (2, f"see {plain()}_v1 here")]
-    got = {r["doc_id"]: r["n_markov"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), samples).collect()}
-    assert got == {1: 1, 2: 0}
+    head, tail = noise(24) + "G", "G" + noise(24)
+    rows = [(1, f"see {noise()} here"), (2, f"see {plain()}_v1 here"), (3, f"{head}{'0a' * 14}{tail}")]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), samples).collect()}
+    assert {i: r["n_markov"] for i, r in got.items()} == {1: 1, 2: 0, 3: 2}
+    assert got[3]["n_hex"] == 1
+    clean = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), samples, texts=True).collect()
+    assert all(head not in r["text"] and tail not in r["text"] for r in clean)
+    empty_judge = secrets.trained(samples.where("false"))
+    assert empty_judge.least == 12.0
 
 
 def test_redaction_joins_overlapping_spans():
