@@ -8,11 +8,13 @@ domains' totals alone, so each is one aggregate over the documents; the driver h
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisloom.llm.common import saved, text_docs
+from axisloom.llm.common import saved, smallest, text_docs
 
 
 def row_key() -> list[Column]:
@@ -34,7 +36,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, buckets: int = 4096, max_ro
     domain, "all".
     """
     sample = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).dropna().distinct()
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(max_rows)
+    sample = saved(smallest(sample, max_rows, "doc_id"))
     counted = hashed_words(text_docs(docs).join(F.broadcast(sample), "doc_id"), buckets, "doc_id", "domain")
     found = counted.groupBy("domain", "bucket").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).collect()
     domains = sorted({r["domain"] for r in found}) or ["all"]
@@ -70,13 +72,19 @@ def posteriors(docs: DataFrame, domains: list[str], weights: DataFrame, priors:
     return powers.select("doc_id", "text_hash", "tokens", *((F.col(f"e{i}") / whole).alias(f"p{i}") for i in k))
 
 
-def rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, least: float = 0.0, rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
+def rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, least: float = 0.0, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """members with a rate: r >= least that minimises the whitened squares of (expected domain tokens - targets).
 
     members: (tokens, p0, p1, ...), stored. targets: shares by domain, scaled to sum to 1; a domain left out has share 0.
     total: the tokens to end up with; by default as many as there are, and with least > 0 the fewest with which no
     domain has to shrink. Whitening by the Gram matrix of the memberships makes the step length 1 right for any data.
+    It ends where the totals meet the targets or move no more, both within tolerance of the total; then bounds on the rates
+    hold what is left, and a warning tells how much that is. A warning also tells of an end by `rounds`, and of a target
+    for a domain that is none of `domains`: its share goes to the others.
     """
+    absent = sorted(d for d, x in targets.items() if x > 0 and d not in domains)
+    if absent:
+        warnings.warn(f"no labelled document is of {', '.join(absent)}: the other domains share what was meant for these", stacklevel=2)
     k = range(len(domains))
     a = [F.col("tokens") * F.col(f"p{i}") for i in k]
     sums = members.agg(*(F.coalesce(F.sum(x), F.lit(0.0)).alias(f"s{i}") for i, x in enumerate(a)), *(F.coalesce(F.sum(a[i] * a[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in k for j in k if i <= j)).first()
@@ -90,9 +98,10 @@ def rates(members: DataFrame, domains: list[str], targets: dict[str, float], tot
     inverse = np.linalg.pinv(gram) if gram.any() else gram
     start = max(1.0, least)
     held, rate, sums_now, pending = members.withColumn("rate", F.lit(start)), F.col("rate"), now * start, 0
+    moved, close = np.inf, tolerance * max(total, 1.0)
     for _ in range(rounds):
         off = sums_now - want
-        if np.abs(off).max(initial=0) <= tolerance * max(total, 1.0):
+        if np.abs(off).max(initial=0) <= close or moved <= 0.01 * close:
             break
         back = inverse @ off
         rate = F.greatest(F.lit(float(least)), rate - sum((a[i] * float(back[i]) for i in k), F.lit(0.0)))
@@ -100,7 +109,10 @@ def rates(members: DataFrame, domains: list[str], targets: dict[str, float], tot
         if pending == 6:
             held, rate, pending = saved(held.withColumn("rate", rate)), F.col("rate"), 0
         r = held.agg(*(F.sum(a[i] * rate).alias(f"s{i}") for i in k)).first()
-        sums_now = np.array([r[f"s{i}"] for i in k])
+        after = np.array([r[f"s{i}"] for i in k])
+        moved, sums_now = float(np.abs(after - sums_now).max(initial=0)), after
+    if (left := float(np.abs(sums_now - want).max(initial=0))) > close:
+        warnings.warn(f"domain totals are {left:.6g} tokens from their targets at most, of {total:.6g}" + ("" if moved <= 0.01 * close else f", after {rounds} rounds"), stacklevel=2)
     return held.withColumn("rate", rate)
 
 
@@ -123,7 +135,11 @@ def soft_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], to
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, least: float = 0.0) -> DataFrame:
-    """docs with each row as many times as its copies say; with least >= 1 every row stays at least once."""
+    """docs with each row as many times as its copies say; with least >= 1 every row stays at least once.
+
+    All columns of docs are kept, also ones that are named as the operator's own; null texts count as empty and stay null,
+    as do null ids; rows alike in id and text have equal copies; an empty table gives none. Warnings as in `rates`.
+    """
     _, rows = soft_mix(docs, labelled, targets, total, least)
     times = rows.select("doc_id", "text_hash", "copies").dropDuplicates(["doc_id", "text_hash"])
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))

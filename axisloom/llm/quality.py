@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisloom.llm.common import slices, split_hash, text_docs
+from axisloom.llm.common import slices, smallest, split_hash, text_docs
 
 
 @dataclass
@@ -104,22 +104,25 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], settings: Settings) -> M
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", settings: Settings | None = None, learn_from=None) -> Model:
     """A model of a 0/1 column of labels, from labelled rows for which learn_from (a condition on doc_id) holds.
 
-    At most settings.max_rows labelled ids are used, those with the smallest hashes; their texts are reduced to bags of
-    buckets where they are read. Null labels, ids without a text and texts without a label are left out.
+    At most settings.max_rows labels are used, those with the smallest hashes of their ids; their texts are reduced to
+    bags of buckets where they are read, and of an id that has several texts one is taken, that of the smallest hash, before
+    anything is gathered. Null labels, ids without a text and texts without a label are left out.
     """
     s = settings or Settings()
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
     if learn_from is not None:
         known = known.where(learn_from)
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(s.max_rows)
+    sample = smallest(known, s.max_rows, "doc_id")
 
     def run(batches):
         for b in batches:
             held = [bag(t, s) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([h[0] for h in held], pa.list_(pa.int32())), pa.array([h[1] for h in held], pa.list_(pa.float32()))], ["doc_id", "y", "ids", "share"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("hash"), pa.array([h[0] for h in held], pa.list_(pa.int32())), pa.array([h[1] for h in held], pa.list_(pa.float32()))], ["doc_id", "y", "hash", "ids", "share"])
 
-    got = text_docs(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, ids array<int>, share array<float>").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("y", "ascending")]).slice(0, 2 * s.max_rows)
+    met = text_docs(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("hash"), "text")
+    bags = met.mapInArrow(run, "doc_id long, y int, hash long, ids array<int>, share array<float>")
+    one = bags.groupBy("doc_id", "y").agg(F.min_by(F.struct("ids", "share"), "hash").alias("bag"))
+    got = one.select("doc_id", "y", "bag.ids", "bag.share").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     ids, share = got.column("ids"), got.column("share")
     return fit([(ids[i].values.to_numpy(), share[i].values.to_numpy(), y) for i, y in enumerate(got.column("y").to_pylist())], s)
 

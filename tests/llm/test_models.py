@@ -171,3 +171,37 @@ def test_mixing_keeps_every_row_and_awkward_rows(spark):
     assert got.count() >= 11
     assert mixing.mixed(empty(spark), marks, {"x": 1.0}).count() == 0
     assert mixing.soft_mix(docs, marks.where("false"), {})[1].count() == 11
+
+
+def test_mixing_tells_what_it_cannot_meet(spark):
+    members = spark.createDataFrame([(i, 10, 1.0, 0.0) for i in range(5)] + [(9, 10, 0.0, 1.0)], "doc_id long, tokens long, p0 double, p1 double")
+    with pytest.warns(UserWarning, match="no labelled document is of z"):
+        mixing.rates(members, ["a", "b"], {"a": 0.5, "z": 0.5})
+    with pytest.warns(UserWarning, match="from their targets"):
+        got = mixing.rates(members, ["a", "b"], {"a": 0.5, "b": 0.5}, total=60.0, least=1.0).toPandas()
+    assert (got.rate >= 1).all()
+    with pytest.warns(UserWarning, match="after 1 rounds"):
+        mixing.rates(members, ["a", "b"], {"a": 0.1, "b": 0.9}, total=100.0, least=1.0, rounds=1)
+
+
+def test_an_id_with_many_texts_is_learned_from_once(spark):
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(500)] + [(2, "another one"), (2, "another one")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, quality int")
+    seen = []
+    real, quality.fit = quality.fit, lambda rows, s: seen.extend(rows) or real(rows, s)
+    try:
+        quality.train(docs, labels)
+    finally:
+        quality.fit = real
+    assert len(seen) == 2
+
+
+def test_smallest_takes_few_rows_by_hash(spark):
+    from axisloom.llm.common import smallest
+
+    rows = spark.range(5000).selectExpr("id % 2500 AS a", "'x' AS b")
+    got = smallest(rows, 40, "a").collect()
+    assert len(got) == len({r["a"] for r in got}) == 40
+    assert [r["a"] for r in smallest(rows.repartition(7), 40, "a").collect()] == [r["a"] for r in got]
+    assert smallest(rows, 10_000, "a").count() == 2500
+    assert smallest(rows.where("false"), 5, "a").count() == 0
