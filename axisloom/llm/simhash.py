@@ -4,8 +4,9 @@
    of exact copies, however large, is one row.
 2. Fingerprints that can be near meet in tiles. For a small radius these are exact: of m runs of bits, two fingerprints
    within the radius agree in m - radius at least, so each is sent to a tile for every choice of that many runs.
-3. Tiles with one fingerprint are left out before anything is sent; of tiles with the same members one is kept; a tile
-   with more than `block_rows` rows is cut into blocks, and its work becomes one job for each pair of blocks.
+3. Tiles with one fingerprint are left out before anything is sent; of tiles with the same members one is kept. In a tile
+   with more than `block_rows` rows, rows that hang together with its least one are not compared with each other, only
+   with the rest; it is cut into blocks, and its work becomes one job for each pair of blocks.
 4. A job sorts its rows by population count and compares them in numpy, in small tiles; pairs of small tiles whose counts
    differ by more than the radius are skipped. It returns a spanning forest of its links, not its pairs.
 5. Connected components over the forests give the groups.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -187,23 +189,38 @@ def in_order(rows: pa.Table, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return order, np.cumsum(new), side[order]
 
 
-def tile_jobs(keys: DataFrame, block_rows: int, rows_per_group: int, payload: DataFrame | None = None) -> DataFrame:
-    """(grp, key, low, high, side, node, payload columns): the rows of each job, jobs dealt into groups.
+def tile_jobs(keys: DataFrame, block_rows: int, rows_per_group: int, star: Callable[[DataFrame], DataFrame], payload: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(jobs, edges): the rows (grp, key, low, high, side, node, payload columns) of each job, and links (a, b) found on the way.
 
-    keys: (key, node), distinct. A tile is a key with two nodes or more. payload: (node, ...).
+    keys: (key, node), distinct. A tile is a key with two nodes or more. In a tile of more than block_rows rows each is
+    first held against the tile's least node: star gives the links among such pairs (node, least). Rows that hang together
+    with the least node by these links need not be compared with each other any more, only with the rest. payload: (node, ...).
     """
     h = F.xxhash64("node")
     tiles = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum((h / 4).cast("long") % (1 << 40)).alias("s"), F.min("node").alias("least"), F.max("node").alias("most"))
-    tiles = tiles.where("n > 1").groupBy("n", "s", "least", "most").agg(F.min("key").alias("key"))
-    tiles = saved(tiles.select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"), "n"))
-    copies = tiles.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0)).alias("x")).first()["x"]
-    met = keys.join(tiles, "key").withColumn("b", F.pmod(h, F.col("blocks")).cast("int"))
+    tiles = saved(tiles.where("n > 1").groupBy("n", "s", "least", "most").agg(F.min("key").alias("key")).select("key", "n", "least"))
+    large = tiles.where(F.col("n") > block_rows)
+    edges = keys.sparkSession.createDataFrame([], "a long, b long")
+    met = keys.join(tiles.select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("open"), F.lit(0).alias("closed")), "key").withColumn("settled", F.lit(False))
+    if large.count():
+        held = keys.join(large.select("key", "least"), "key")
+        edges = saved(star(held.where("node != least").select("node", "least").distinct()))
+        found = components(edges)
+        own, lead = found.withColumnRenamed("component", "own"), found.select(F.col("node").alias("least"), F.col("component").alias("lead"))
+        held = held.join(own, "node", "left").join(lead, "least", "left")
+        held = held.select("key", "node", F.coalesce(F.col("own") == F.col("lead"), F.col("node") == F.col("least")).alias("settled"))
+        size = held.groupBy("key").agg(F.count_if(~F.col("settled")).alias("n"), F.count_if("settled").alias("m")).where("n > 0")
+        size = size.select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("open"), F.ceil(F.col("m") / block_rows).cast("int").alias("closed"))
+        met = met.where("open = 1").unionByName(held.join(size, "key"))
+    met = met.withColumn("b", F.when(F.col("settled"), F.col("open") + F.pmod(h, F.greatest("closed", F.lit(1)))).otherwise(F.pmod(h, F.col("open"))).cast("int"))
+    met = saved(met.withColumn("others", F.when(F.col("settled"), F.col("open")).otherwise(F.col("open") + F.col("closed"))).select("key", "node", "b", "others"))
+    copies = met.agg(F.coalesce(F.sum("others"), F.lit(0)).alias("x")).first()["x"]
     if payload is not None:
         met = met.join(payload, "node")
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     met = met.withColumn("low", F.least("b", "other")).withColumn("high", F.greatest("b", "other")).withColumn("side", ((F.col("b") == F.col("high")) & (F.col("low") < F.col("high"))).cast("int"))
     grp = F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(1, -(-copies // rows_per_group))))
-    return met.select(grp.alias("grp"), "key", "low", "high", "side", "node", *([c for c in payload.columns if c != "node"] if payload is not None else []))
+    return met.select(grp.alias("grp"), "key", "low", "high", "side", "node", *([c for c in payload.columns if c != "node"] if payload is not None else [])), edges
 
 
 def runs_of_bits(radius: int, n: int) -> list[int]:
@@ -249,8 +266,12 @@ def links(nodes: DataFrame, radius: int, n: int, block_rows: int = 8192, rows_pe
         a, b = forest(*(np.concatenate([np.empty(0, np.uint64), *(f[i] for f in found)]) for i in (0, 1)))
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
+    def star(pairs: DataFrame) -> DataFrame:
+        return pairs.where(F.bit_count(F.col("node").bitwiseXOR(F.col("least"))) <= radius).select(F.col("node").alias("a"), F.col("least").alias("b"))
+
     keys = nodes.select(tile.alias("key"), F.col("fp").alias("node"))
-    return tile_jobs(keys, block_rows, rows_per_group).groupBy("grp").applyInArrow(compare, "a long, b long")
+    jobs, edges = tile_jobs(keys, block_rows, rows_per_group, star)
+    return jobs.groupBy("grp").applyInArrow(compare, "a long, b long").unionByName(edges)
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, block_rows: int = 8192) -> DataFrame:
@@ -419,7 +440,20 @@ def set_links(nodes: DataFrame, similarity: float, block_rows: int = 8192, rows_
         far = found.root != np.arange(len(once))
         return pa.table({"a": pa.array(once[far], pa.int64()), "b": pa.array(once[found.root[far]], pa.int64())})
 
-    return tile_jobs(keys, block_rows, rows_per_group, nodes.select("node", "members")).select(*(c.split()[0] for c in shape.split(", "))).groupBy("grp").applyInArrow(compare, "a long, b long")
+    def near(batches):
+        for b in batches:
+            a, m = ([np.frombuffer(x, np.uint32) for x in b.column(c).to_pylist()] for c in ("members", "least_members"))
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, m, strict=True)]
+            yes = [i for i, n in enumerate(both) if n >= similarity * (len(a[i]) + len(m[i]) - n) - 1e-9]
+            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(yes, pa.int64())), b.column("least").take(pa.array(yes, pa.int64()))], ["a", "b"])
+
+    def star(pairs: DataFrame) -> DataFrame:
+        sets = nodes.select("node", "members")
+        both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("least"), F.col("members").alias("least_members")), "least")
+        return both.select("node", "least", "members", "least_members").mapInArrow(near, "a long, b long")
+
+    jobs, edges = tile_jobs(keys, block_rows, rows_per_group, star, nodes.select("node", "members"))
+    return jobs.select(*(c.split()[0] for c in shape.split(", "))).groupBy("grp").applyInArrow(compare, "a long, b long").unionByName(edges)
 
 
 def classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block_rows: int = 8192) -> DataFrame:

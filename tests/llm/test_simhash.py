@@ -3,6 +3,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from axisloom.llm import simhash
 from axisloom.llm.common import components
@@ -103,6 +104,37 @@ def test_classes_are_those_of_exact_similarity(spark, block_rows):
     assert got == {rows[i][0]: (rows[r][0], r == i) for i, r in enumerate(root)}
 
 
+def test_a_large_group_of_near_copies_is_not_compared_pair_by_pair(spark):
+    rng = np.random.default_rng(9)
+    pool = [f"w{i}" for i in range(4000)]
+    text = list(rng.choice(pool, 300))
+    rows = [(0, " ".join(text))]
+    for i in range(1, 300):
+        copy = list(text)
+        copy[rng.integers(300)] = f"n{i}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = simhash.shingle_sets(docs, 5)
+    nodes = sets.select(F.col("row").alias("node"), "bands", "members")
+    keys = nodes.select(F.explode("bands").alias("key"), "node")
+    sent = []
+    real = simhash.tile_jobs
+
+    def seen(*args):
+        jobs, edges = real(*args)
+        sent.append(jobs.count())
+        return jobs, edges
+
+    simhash.tile_jobs = seen
+    try:
+        found = components(simhash.set_links(nodes, 0.8, block_rows=20)).collect()
+    finally:
+        simhash.tile_jobs = real
+    assert len({r["component"] for r in found}) == 1
+    assert len(found) == 300
+    assert sent[0] < 0.1 * keys.count()
+
+
 def test_classes_of_a_ladder_of_edits(spark):
     """Copies with ever more words changed: exactly those at 0.8 or more of some other copy hang together."""
     rng = np.random.default_rng(4)
