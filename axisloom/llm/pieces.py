@@ -1,28 +1,34 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
 A chunk is a run of white-space markers with the marks that follow it. Where no piece of the model has a marker after
-another character, no piece crosses from one chunk into the next, so a text's ids are its chunks' ids in order.
+another character, no piece crosses from one chunk into the next, so a text's ids are its chunks' ids in order, and the
+decoded text is that of its chunks.
 
-1. Documents are dealt into blocks of about `docs_per_block`, packed and compressed, so a block is a few rows.
+1. Texts form blocks of about `chars_per_block` where they are read.
 2. Each block sends its distinct chunks, by the hash of the chunk, so equal ones of all blocks meet; each is segmented
-   once.
-3. The ids come back to every block that has the chunk, and are joined to the block's texts by position.
+   and decoded once.
+3. The ids come back to every block that has the chunk, and are joined to the block's texts, which move once, compressed.
 
-No task holds more than a block's texts and chunks, and nothing is broadcast or gathered by the driver.
+How many parts of the hash there are follows from the size of the texts, so no task holds more than a block's texts or a
+part's chunks, and there are never more blobs than chunks. Nothing is broadcast or gathered by the driver. A reply says
+which request it answers; a block that was read in another order meanwhile, which has other requests, segments those
+chunks itself.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain, pairwise
+from itertools import chain
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisloom.llm.common import blob, block_count, packed, slices, text_docs, unpacked
+from axisloom.llm.common import blob, slices, text_docs
 
 MARK = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
@@ -58,52 +64,98 @@ def segments(sp, distinct: list[str]) -> list[list[int]]:
     return [[lone] if c == " " else ids for c, ids in zip(distinct, sp.encode([c[1:] for c in distinct], num_threads=1), strict=True)]
 
 
-def encoded(sp, texts: list[str], table: dict[str, list[int]]) -> list[list[int]]:
-    """Ids of whole texts, exactly as the library's encode gives them, from a table of all their chunks."""
-    return [list(chain.from_iterable(map(table.__getitem__, chunks(t)))) if MARK not in t else sp.encode(t, num_threads=1) for t in texts]
+def inside(sp, ids: list[list[int]]) -> list[str]:
+    """What chunks decode to behind another one, where no space is taken off."""
+    first = segments(sp, [" a"])[0]
+    cut = len(sp.decode(first))
+    return [t[cut:] for t in sp.decode([first + x for x in ids], num_threads=1)]
 
 
-def as_lists(column: pa.ListArray) -> list[list[int]]:
-    """The lists of a column, cut from its values at once."""
-    values, ends = column.values.to_numpy().tolist(), column.offsets.to_numpy().tolist()
-    return [values[a:b] for a, b in pairwise(ends)]
+def whole(sp, texts: list[str]) -> list[tuple[str, str]]:
+    """(decimal ids, decoded text) of texts that go to the library whole."""
+    ids = sp.encode(texts, num_threads=1)
+    return [(",".join(map(str, x)), t) for x, t in zip(ids, sp.decode(ids, num_threads=1) if texts else [], strict=True)]
 
 
-def requests(blobs: pa.Table, parts: int) -> dict[int, list[str]]:
-    """The distinct chunks of a block's texts, sorted, by part of the chunks' hashes. The same for the same block always."""
-    found: set[str] = set()
-    for t in unpacked(blobs):
-        for text in t.column("text").to_pylist():
-            found.update(chunks(text))
+def opened(data: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
+
+
+def places(x: np.ndarray) -> bytes:
+    """uint32 numbers, compressed by the place of their bytes."""
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+
+
+def from_places(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    raw = pa.Codec("zstd").decompress(data[8:], decompressed_size=4 * n, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def dealt(batches, chars_per_block: int):
+    """(block, [(doc_ids, texts), ...]) of a task's rows as they come; a block ends with the text that fills it."""
+    number, size, held = 0, 0, []
+    for b in batches:
+        for first, texts in slices(b, "text", 500_000):
+            held.append((b.column("doc_id").slice(first, len(texts)), texts))
+            size += sum(map(len, texts)) + 10 * len(texts)
+            if size >= chars_per_block:
+                yield TaskContext.get().partitionId() << 32 | number, held
+                number, size, held = number + 1, 0, []
+    if held:
+        yield TaskContext.get().partitionId() << 32 | number, held
+
+
+def requests(texts, parts: int) -> dict[int, list[str]]:
+    """The distinct chunks of a block's texts by part of their hashes, in the order in which they appear."""
+    found = dict.fromkeys(chain.from_iterable(map(chunks, texts)))
     by_part: dict[int, list[str]] = {}
-    for c in sorted(found):
+    for c in found:
         by_part.setdefault(crc32(c.encode("utf-8", "surrogatepass")) % parts, []).append(c)
     return by_part
 
 
-def chunk_table(dealt: DataFrame, model: str, parts: int) -> DataFrame:
-    """(block, part, data): the ids of the distinct chunks of each block, in blobs, in the order of the block's requests.
+def named(asked: list[str]) -> bytes:
+    """A digest of a request."""
+    return hashlib.sha256("\0".join(asked).encode("utf-8", "surrogatepass")).digest()[:12]
+
 
-    dealt: blocks as common.packed makes them. A block sends its chunks on in one sorted blob for each of `parts` parts
-    of the chunks' hashes. A part sees all blocks' chunks, segments each distinct one once, and answers every block.
+def chunk_table(rows: DataFrame, model: str, parts: int, chars_per_block: int) -> DataFrame:
+    """(block, part, request, size, ids, text): the number of ids of each chunk of a block's request, the ids, and what it decodes to.
+
+    A block sends its chunks on in one blob for each part of the chunks' hashes that it has any of. A part sees all
+    blocks' chunks, segments each distinct one once, and answers every block in the order of its request. Decoded text is
+    left out where it is the chunk itself.
     """
 
-    def of_block(rows: pa.Table) -> pa.Table:
-        asked = requests(rows, parts)
-        data = [blob(pa.table({"chunk": pa.array(x, pa.string())})) for x in asked.values()]
-        return pa.table({"part": pa.array(list(asked), pa.int64()), "block": pa.array([rows.column("block")[0].as_py()] * len(data), pa.int64()), "data": pa.array(data, pa.binary())})
+    def ask(batches):
+        for block, held in dealt(batches, chars_per_block):
+            found = requests(chain.from_iterable(texts for _, texts in held), parts)
+            blobs = [blob(pa.table({"chunk": pa.array(x, pa.string())})) for x in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([block] * len(found), pa.int64()), pa.array(blobs, pa.binary())], ["part", "block", "data"])
 
-    def of_part(rows: pa.Table) -> pa.Table:
-        asked = [[c for t in unpacked(rows.slice(i, 1)) for c in t.column("chunk").to_pylist()] for i in range(rows.num_rows)]
-        distinct = sorted(set(chain.from_iterable(asked)))
-        ids, at = pa.array(segments(processor(model), distinct), pa.list_(pa.int32())), {c: i for i, c in enumerate(distinct)}
-        data = [blob(pa.table({"ids": ids.take(pa.array(map(at.__getitem__, x), pa.int64()))})) for x in asked]
-        return pa.table({"block": rows.column("block"), "part": rows.column("part"), "data": pa.array(data, pa.binary())})
+    def answer(rows: pa.Table) -> pa.Table:
+        sp = processor(model)
+        asked = [opened(x).column("chunk").to_pylist() for x in rows.column("data")]
+        known = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(asked)))}
+        distinct = list(known)
+        ids = segments(sp, distinct)
+        size = np.array(list(map(len, ids)), np.int64)
+        flat, first = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), np.cumsum(size) - size
+        text = pa.array([None if t == c else t for t, c in zip(inside(sp, ids), distinct, strict=True)], pa.string())
+        out = []
+        for x in asked:
+            at = np.fromiter(map(known.__getitem__, x), np.int64, len(x))
+            n = size[at]
+            take = np.arange(int(n.sum())) + np.repeat(first[at] - (np.cumsum(n) - n), n)
+            out.append((named(x), places(n), places(flat[take]), blob(pa.table({"text": text.take(pa.array(at))}))))
+        return pa.table({"block": rows.column("block"), "part": rows.column("part"), **{c: pa.array([o[i] for o in out], pa.binary()) for i, c in enumerate(("request", "size", "ids", "text"))}})
 
-    return dealt.groupBy("block").applyInArrow(of_block, "part long, block long, data binary").groupBy("part").applyInArrow(of_part, "block long, part long, data binary")
+    asked = rows.mapInArrow(ask, "part long, block long, data binary")
+    return asked.groupBy("part").applyInArrow(answer, "block long, part long, request binary, size binary, ids binary, text binary")
 
 
-def encode(docs: DataFrame, model: str, decoded: bool = True, digests: bool = False, docs_per_block: int = 5000) -> DataFrame:
+def encode(docs: DataFrame, model: str, decoded: bool = True, digests: bool = False, chars_per_block: int = 6_000_000, chars_per_part: int = 12_000_000) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) for every row of docs, as the library encodes and decodes.
 
     model: path of a sentencepiece model, the same on all workers. digests: (doc_id, n_tokens, ids_sha256,
@@ -114,37 +166,77 @@ def encode(docs: DataFrame, model: str, decoded: bool = True, digests: bool = Fa
     """
     shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string"
 
-    def results(sp, ids: pa.Array, texts: list[str], found: list[list[int]]) -> pa.RecordBatch:
-        back = sp.decode(found, num_threads=1) if texts and (decoded or digests) else [None] * len(texts)
+    def results(ids: pa.Array, dec: list[str], back: list[str]) -> pa.RecordBatch:
         if digests:
-            cols = [pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in found], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string())]
+            cols = [pa.array([x.count(",") + bool(x) for x in dec], pa.int64()), *(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in xs], pa.string()) for xs in (dec, back))]
             return pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        return pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.int32())), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
+        lists = [list(map(int, x.split(","))) if x else [] for x in dec]
+        return pa.RecordBatch.from_arrays([ids, pa.array(lists, pa.list_(pa.int32())), pa.array(back if decoded else [None] * len(back), pa.string())], ["doc_id", "ids", "decoded"])
 
     rows = text_docs(docs)
     if not chunkable(processor(model)):
 
-        def whole(batches):
+        def plain(batches):
             sp = processor(model)
             for b in batches:
                 for at, texts in slices(b, "text", 1_000_000):
-                    yield results(sp, b.column("doc_id").slice(at, len(texts)), texts, sp.encode(texts, num_threads=1))
-
-        return rows.mapInArrow(whole, shape)
-
-    blocks = block_count(rows, docs_per_block)
-    dealt = packed(rows, blocks)
-
-    def joined(blobs: pa.Table, table: pa.Table) -> pa.Table:
-        sp = processor(model)
-        known: dict[str, list[int]] = {}
-        asked = requests(blobs, blocks)
-        for i, part in enumerate(table.column("part").to_pylist()):
-            known.update(zip(asked[part], chain.from_iterable(as_lists(t.column("ids")) for t in unpacked(table.slice(i, 1))), strict=True))
-        out = []
-        for t in unpacked(blobs):
-            for at, texts in slices(t, "text", 1_000_000):
-                out.append(results(sp, t.column("doc_id").slice(at, len(texts)), texts, encoded(sp, texts, known)))
-        return pa.Table.from_batches(out)
-
-    return dealt.groupBy("block").cogroup(chunk_table(dealt, model, blocks).groupBy("block")).applyInArrow(joined, shape)
+                    found = whole(sp, texts)
+                    yield results(b.column("doc_id").slice(at, len(texts)), [f[0] for f in found], [f[1] for f in found])
+
+        return rows.mapInArrow(plain, shape)
+
+    rows = rows.select("doc_id", "text")
+    parts = max(1, (rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0) // chars_per_part)
+
+    def pack(batches):
+        for block, held in dealt(batches, chars_per_block):
+            data = blob(pa.table({"doc_id": pa.chunked_array([i for i, _ in held]), "text": pa.array(chain.from_iterable(t for _, t in held), pa.string())}))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
+
+    def joined(mine: pa.Table, got: pa.Table) -> pa.Table:
+        sp, out = processor(model), []
+        replies = {(p, r): i for i, (p, r) in enumerate(zip(got.column("part").to_pylist(), got.column("request").to_pylist(), strict=True))}
+        for data in mine.column("data"):
+            docs = opened(data)
+            texts = docs.column("text").to_pylist()
+            dec: dict[str, str] = {}
+            mid: dict[str, str] = {}
+            for part, asked in requests(texts, parts).items():
+                i = replies.get((part, named(asked)))
+                if i is None:
+                    found = segments(sp, asked)
+                    dec.update(zip(asked, (",".join(map(str, x)) for x in found), strict=True))
+                    mid.update(zip(asked, inside(sp, found), strict=True))
+                    continue
+                size, ids = (from_places(got.column(c)[i].as_py()) for c in ("size", "ids"))
+                digits, ends = list(map(str, ids.tolist())), np.cumsum(size).tolist()
+                dec.update(zip(asked, (",".join(digits[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+                mid.update(zip(asked, asked, strict=True))
+                text = opened(got.column("text")[i]).column("text").combine_chunks()
+                mid.update((asked[k], text[k].as_py()) for k in np.flatnonzero(text.is_valid().to_numpy(zero_copy_only=False)).tolist())
+            heads: dict[str, str] = {}
+            ids, back = [], []
+            for t in texts:
+                x = chunks(t)
+                if not x:
+                    one = whole(sp, [t])[0] if t else ("", "")
+                    ids.append(one[0])
+                    back.append(one[1])
+                    continue
+                # A text's first chunk loses its first space, as the library's decode takes it off.
+                if x[0] not in heads:
+                    heads[x[0]] = sp.decode(list(map(int, dec[x[0]].split(","))))
+                ids.append(",".join(map(dec.__getitem__, x)))
+                back.append(heads[x[0]] + "".join(map(mid.__getitem__, x[1:])))
+            out.append(results(docs.column("doc_id").combine_chunks(), ids, back))
+        return pa.Table.from_batches(out) if out else EMPTY[digests]
+
+    replies = chunk_table(rows, model, parts, chars_per_block)
+    return rows.mapInArrow(pack, "block long, data binary").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(joined, shape)
+
+
+#: What a block has that no task packed.
+EMPTY = {
+    False: pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "decoded": pa.array([], pa.string())}),
+    True: pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids_sha256": pa.array([], pa.string()), "decoded_sha256": pa.array([], pa.string())}),
+}
