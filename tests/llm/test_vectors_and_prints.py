@@ -123,6 +123,21 @@ def test_winnowing_against_its_definition(k, w):
         assert (h.tolist(), p.tolist()) == brute_winnow(text, k, w)
 
 
+def test_what_is_selected_again_is_what_winnowing_selects():
+    rng = np.random.default_rng(2)
+    for n in [*range(30), 60, 200]:
+        for _ in range(20):
+            text = "".join(rng.choice(list("abc"), n))
+            kept = int(rng.integers(0, n + 1))
+            other = text[:kept] + "".join(rng.choice(list("abc"), rng.integers(0, 12)))
+            for k, window in ((3, 4), (1, 1), (8, 5), (2, 9)):
+                hashes, positions, same = winnowing.reselected(other, kept, winnowing.selected(text, k, window), k, window)
+                want = winnowing.winnow(other, k, window)
+                assert positions.tolist() == want[1].tolist()
+                assert hashes.tolist() == want[0].tolist()
+                assert positions[:same].tolist() == winnowing.winnow(text, k, window)[1][:same].tolist()
+
+
 def test_shared_runs_share_a_fingerprint():
     rng = np.random.default_rng(2)
     letters = list("abcdefghijklmnop ")
