@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axisloom.functions.columns import NO_BARCODE
@@ -113,7 +113,8 @@ def multi_matrix(datasets: dict[str, DataFrame], min_cell: int | None = None, ma
 def group_tracks(fragments: DataFrame, groups: DataFrame, width: int) -> DataFrame:
     """(grp, chrom, bin, cpm): fragment starts of each group in bins, for a million of the group's."""
     counts = fragments.join(groups, "barcode").groupBy("grp", "chrom", F.expr(f"start div {width}").alias("bin")).agg(F.count("*").alias("n"))
-    return counts.select("grp", "chrom", "bin", (F.col("n") * 1e6 / F.sum("n").over(Window.partitionBy("grp"))).alias("cpm"))
+    whole = counts.groupBy("grp").agg(F.sum("n").alias("whole"))
+    return counts.join(whole, "grp").select("grp", "chrom", "bin", (F.col("n") * 1e6 / F.col("whole")).alias("cpm"))
 
 
 def group_profile(profile: DataFrame, groups: DataFrame, factors: DataFrame, scale: float = 1e4) -> DataFrame:
