@@ -27,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Texts without words have the score of the labels' shares alone.
     """
     model = quality.train(docs, table(spark, sf_dir, "labels"), learn_from=~quality.held_out())
-    return quality.scores(docs.select(*COLUMNS), model, *COLUMNS[2:]).where(F.col("score") >= LEAST_QUALITY).select(*COLUMNS)
+    return quality.scores(docs.select(*COLUMNS), model, *COLUMNS[2:], memory=50_000).where(F.col("score") >= LEAST_QUALITY).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), digests=True)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row.
+
+    Blocks are a third of the operator's usual size, as workers have run the stages before.
+    """
+    return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), digests=True, chars_per_block=2_000_000, chars_per_part=4_000_000)
 
 
 STAGES = [
