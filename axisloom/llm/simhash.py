@@ -308,7 +308,7 @@ def bands(members: np.ndarray) -> list[int]:
 class Sets:
     """Shingle sets of a text's words, by hashes that are combined from those of the words, with a bounded memory of words."""
 
-    def __init__(self, shingle: int, memory: int = 500_000):
+    def __init__(self, shingle: int, memory: int = 50_000):
         self.n, self.known, self.memory = shingle, {}, memory
 
     def of(self, text: str) -> np.ndarray:
@@ -338,7 +338,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         sets = Sets(shingle)
         for batch in batches:
-            for at, texts in slices(batch, "text"):
+            for at, texts in slices(batch, "text", 1_000_000):
                 found = [sets.of(t) for t in texts]
                 members = [np.unique((x >> np.uint64(32)).astype(np.uint32)) for x in found]
                 cols = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), pa.array([len(m) for m in members], pa.int32()), pa.array(map(bands, members), pa.list_(pa.int64())), pa.array([m.tobytes() for m in members], pa.binary())]
@@ -409,7 +409,7 @@ class Verifier:
             a, b, apart = a[rest], b[rest], apart[rest]
 
 
-def set_links(nodes: DataFrame, similarity: float, block_rows: int = 8192, rows_per_group: int = 10_000) -> DataFrame:
+def set_links(nodes: DataFrame, similarity: float, block_rows: int = 4096, rows_per_group: int = 3000) -> DataFrame:
     """(a, b) edges whose components are those of all pairs of nodes whose sets are similar and that share a band.
 
     nodes: (node, bands, members), of distinct sets.
@@ -456,7 +456,7 @@ def set_links(nodes: DataFrame, similarity: float, block_rows: int = 8192, rows_
     return jobs.select(*(c.split()[0] for c in shape.split(", "))).groupBy("grp").applyInArrow(compare, "a long, b long").unionByName(edges)
 
 
-def classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block_rows: int = 8192) -> DataFrame:
+def classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block_rows: int = 4096) -> DataFrame:
     """(doc_id, text_hash, class_id, kept) for every row of docs: its class by similarity of shingle sets.
 
     Rows are linked if their sets of `shingle`-word shingles (the whole sequence of shorter texts) have a Jaccard
