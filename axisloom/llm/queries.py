@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisloom.llm import language_model, mixing, neighbours, pieces, private_data, quality, secrets, simhash, token_counts, winnowing
+from axisloom.llm import hard_negatives, language_id, language_model, mixing, neighbours, pieces, private_data, quality, secrets, simhash, token_counts, whitening, winnowing
 from axisloom.llm.common import table
 
 
@@ -80,12 +80,50 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"), k=8, window=5, share=4)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from rows that are not held out; see language_id.train and language_id.predict for edge cases."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.train(docs, learn_from=~language_id.held_out()))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vec_id, every seventh row with the next label; see hard_negatives.mined for edge cases."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"), modulus=50, label=label)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every row; see whitening.whitened for edge cases."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), components=8)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_duplicates, op2_secret_scan, op3_soft_mixing, op4_nearest_neighbours, op5_private_data,
         op6_token_counts, op7_sentencepiece, op8_quality, op9_language_model, op10_winnowing,
+        op11_language_id, op12_hard_negatives, op13_whitening,
     )
 }
-#: None of the ten can be written in SQL as a whole; their tests hold them against brute force, round trips or held-out rows.
-ORACLE_SQL: dict[str, str] = {}
+#: The others cannot be written in SQL as a whole; their tests hold them against brute force, round trips or held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op12_hard_negatives": """
+        WITH r AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [floor(256 * c::DOUBLE) FOR c IN embedding] AS x
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.x, r.x)::BIGINT AS score
+            FROM (SELECT * FROM r WHERE vec_id % 50 = 0) a JOIN r ON a.vec_id <> r.vec_id),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+               s.vec_id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) <= 3
+    """,
+}
