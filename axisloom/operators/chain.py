@@ -1,8 +1,11 @@
 """The hidden Markov chain along the regions, as a blocked scan.
 
-A chain is cut into blocks of consecutive regions. Pass 1 gives each block's K x K transfer matrix, pass 2 runs the block
-between the exact vectors that the driver has folded from these matrices (K x K numbers for each block). With
+A chain is cut into blocks of consecutive regions. Pass 1 gives each block's K x K transfer matrix; an associative scan
+over these matrices, level by level as grouped Spark jobs, gives the exact vectors that come into each block from both
+sides; pass 2 runs all blocks between their vectors. Nothing that grows with the axis is collected or broadcast. With
 boundary="restart" each block is a chain of its own that begins with the start vector, and pass 1 falls away.
+
+Several models run over one axis at once, each with its own likelihoods and chain: `track` names the model.
 """
 
 from __future__ import annotations
@@ -10,10 +13,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axisloom.plans.scratch import stored
 from axisloom.plans.ship import shipped
 
 
@@ -49,22 +53,32 @@ def log(x: np.ndarray) -> np.ndarray:
 
 
 def blocked(likelihood: DataFrame, n_states: int, block_rows: int, chain_of: DataFrame | None = None) -> DataFrame:
-    """(chain, block, ridx, ll array): a row for each region, states in order.
+    """(track, chain, block, ridx, ll array): a row for each region of each track, states in order.
 
-    likelihood: (ridx, ll array), or (ridx, state, ll) with a row for each state. chain_of: (ridx, chain) cuts the axis
-    into chains, such as chromosomes; otherwise there is one, named "".
+    likelihood: (ridx, ll array), or (ridx, state, ll) with a row for each state; and track, where there are several.
+    chain_of: (ridx, chain) cuts the axis into chains, such as chromosomes; otherwise there is one, named "".
     """
     shipped(likelihood.sparkSession)
-    wide = likelihood
-    if "state" in likelihood.columns:
-        wide = likelihood.groupBy("ridx").agg(F.array_sort(F.collect_list(F.struct("state", "ll"))).alias("x")).select("ridx", F.transform("x", lambda s: s["ll"]).alias("ll"))
+    wide = likelihood if "track" in likelihood.columns else likelihood.withColumn("track", F.lit(""))
+    if "state" in wide.columns:
+        wide = wide.groupBy("track", "ridx").agg(F.array_sort(F.collect_list(F.struct("state", "ll"))).alias("x")).select("track", "ridx", F.transform("x", lambda s: s["ll"]).alias("ll"))
     wide = wide.withColumn("chain", F.lit("")) if chain_of is None else wide.join(chain_of.select("ridx", "chain"), "ridx")
-    return wide.select("chain", F.expr(f"ridx div {block_rows}").alias("block"), "ridx", "ll")
+    return wide.select("track", "chain", F.expr(f"ridx div {block_rows}").alias("block"), "ridx", "ll")
+
+
+def _ordered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ridx, likelihoods) in the order of the regions."""
+    ridx, ll = rows.column("ridx").to_numpy(), rows.column("ll").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(ridx, kind="stable")
+    return ridx[order], ll.reshape(len(ridx), -1)[order]
 
 
-def _ordered(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    rows = rows.sort_values("ridx")
-    return rows, np.array(rows.ll.tolist(), float)
+def _numbers(x: np.ndarray | None) -> bytes | None:
+    return None if x is None else np.ascontiguousarray(x, float).tobytes()
+
+
+def _vector(x: bytes | None) -> np.ndarray | None:
+    return None if x is None else np.frombuffer(x, float)
 
 
 def _transfer(ll: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -93,41 +107,148 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top, axis=axis)
 
 
-def _matrices(blocks: DataFrame, chain: Chain, best: bool) -> dict[str, list[tuple[int, np.ndarray]]]:
-    trans, fold, k = chain.trans, _max_transfer if best else _transfer, len(chain.start)
-    firsts = blocks.groupBy("chain").agg(F.min("block").alias("first"))
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        r, ll = _ordered(rows)
-        # The first block of a chain begins with the start vector, not with a transition.
-        m = fold(ll[1:], trans) + 0.0 if rows["first"].iloc[0] == rows.block.iloc[0] else fold(ll, trans)
-        head = ll[0] if rows["first"].iloc[0] == rows.block.iloc[0] else np.zeros(k)
-        return pd.DataFrame({"chain": [r.chain.iloc[0]], "block": [r.block.iloc[0]], "head": [head.tolist()], "m": [m.ravel().tolist()]})
-
-    found = blocks.join(F.broadcast(firsts), "chain").groupBy("chain", "block").applyInPandas(one, "chain string, block long, head array<double>, m array<double>")
-    out: dict[str, list] = {}
-    for r in sorted(found.collect(), key=lambda r: (r["chain"], r["block"])):
-        out.setdefault(r["chain"], []).append((r["block"], np.array(r["head"]), np.array(r["m"]).reshape(k, k)))
-    return out
-
-
-def boundaries(blocks: DataFrame, chain: Chain, best: bool = False) -> tuple[dict[tuple[str, int], tuple[list[float], list[float]]], dict[str, float]]:
-    """For each block the log vectors that come into it from both sides, and each chain's log-likelihood (or best path's)."""
-    k = len(chain.start)
-    add = (lambda v, m: (v[:, None] + m).max(0)) if best else (lambda v, m: _logsumexp(v[:, None] + m, 0))
-    back = (lambda m, w: (m + w[None]).max(1)) if best else (lambda m, w: _logsumexp(m + w[None], 1))
-    ends, whole = {}, {}
-    for name, parts in _matrices(blocks, chain, best).items():
-        into, v = [], None
-        for i, (_, head, m) in enumerate(parts):
-            into.append(v)
-            v = add(log(chain.start) + head, m) if i == 0 else add(v, m)
-        whole[name] = float(v.max() if best else _logsumexp(v, 0))
-        w = np.zeros(k)
-        for i in range(len(parts) - 1, -1, -1):
-            ends[name, parts[i][0]] = (None if into[i] is None else into[i].tolist(), w.tolist())
-            w = back(parts[i][2], w)
-    return ends, whole
+#: Blocks, or groups of them, that one task folds: the fan-out of the scan.
+FAN = 64
+KEYS = ["track", "chain", "block"]
+_PARTS = "track string, chain string, block long, m binary, v binary"
+_ENDS = "track string, chain string, block long, into binary, after binary, whole double"
+_PICKS = "track string, chain string, block long, before int, last int"
+
+
+@dataclass
+class Algebra:
+    """How vectors and matrices of logarithms are multiplied: by sums over paths, or by the best path."""
+
+    best: bool = False
+
+    def along(self, v: np.ndarray, m: np.ndarray) -> np.ndarray:
+        x = v[:, None] + m
+        return x.max(axis=0) if self.best else _logsumexp(x, 0)
+
+    def back(self, m: np.ndarray, w: np.ndarray) -> np.ndarray:
+        x = m + w[None]
+        return x.max(axis=1) if self.best else _logsumexp(x, 1)
+
+    def after(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.stack([self.along(row, b) for row in a])
+
+    def total(self, v: np.ndarray) -> float:
+        return float(v.max() if self.best else _logsumexp(v, 0))
+
+
+def of_track(chains: Chain | dict[str, Chain], track: str) -> Chain:
+    return chains if isinstance(chains, Chain) else chains[track]
+
+
+def transfers(blocks: DataFrame, chains: Chain | dict[str, Chain], best: bool) -> DataFrame:
+    """(track, chain, block, m, v): log transfer matrix of each block, and the log vector after it if a chain begins with it."""
+    algebra, fold = Algebra(best), _max_transfer if best else _transfer
+
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
+        track, name, block = (k.as_py() for k in key)
+        c, (_, ll) = of_track(chains, track), _ordered(rows)
+        first, rest = fold(ll[:1], c.trans), fold(ll[1:], c.trans)
+        m, v = algebra.after(first, rest), algebra.along(log(c.start) + ll[0], rest)
+        return pa.table({"track": [track], "chain": [name], "block": [block], "m": [_numbers(m)], "v": [_numbers(v)]}, schema=_arrow(_PARTS))
+
+    return blocks.groupBy(*KEYS).applyInArrow(one, _PARTS)
+
+
+def _arrow(shape: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in shape.split(", "))])
+
+
+def _children(rows: pa.Table) -> tuple[list[dict], list[np.ndarray], list[np.ndarray]]:
+    """Rows in order, their matrices and their first vectors."""
+    rows = rows.select(["track", "chain", "block", "m", "v"]).sort_by("block").to_pylist()
+    v = [_vector(r["v"]) for r in rows]
+    return rows, [_vector(r["m"]).reshape(len(x), -1) for r, x in zip(rows, v, strict=True)], v
+
+
+def _levels(parts: DataFrame, best: bool) -> list[DataFrame]:
+    """parts, and from each level the products over runs of FAN blocks, until one run holds a chain."""
+    algebra = Algebra(best)
+
+    def fold(key: tuple, rows: pa.Table) -> pa.Table:
+        kids, m, v = _children(rows)
+        whole, into = m[0], v[0]
+        for x in m[1:]:
+            whole, into = algebra.after(whole, x), algebra.along(into, x)
+        return pa.table({"track": [kids[0]["track"]], "chain": [kids[0]["chain"]], "block": [kids[0]["block"] // FAN], "m": [_numbers(whole)], "v": [_numbers(into)]}, schema=_arrow(_PARTS))
+
+    levels = [stored(parts)]
+    most = levels[0].agg(F.max("block").alias("x")).first()["x"]
+    while most is not None and most >= FAN:
+        levels.append(stored(levels[-1].groupBy("track", "chain", F.expr(f"block div {FAN}")).applyInArrow(fold, _PARTS)))
+        most //= FAN
+    return levels
+
+
+def _down(levels: list[DataFrame], whole_chain, within, shape: str) -> DataFrame:
+    """From whole chains to their blocks: whole_chain(rows) for the last level, within(rows, of the group) for those before."""
+    found = levels[-1].groupBy("track", "chain").applyInArrow(whole_chain, shape)
+    for parts in reversed(levels[:-1]):
+        group = parts.withColumn("grp", F.expr(f"block div {FAN}"))
+        above = found.withColumnRenamed("block", "grp")
+        found = group.groupBy("track", "chain", "grp").cogroup(above.groupBy("track", "chain", "grp")).applyInArrow(within, shape)
+    return found
+
+
+def boundaries(blocks: DataFrame, chains: Chain | dict[str, Chain]) -> DataFrame:
+    """(track, chain, block, into, after, whole): the log vectors that come into each block from both sides.
+
+    into is null for a chain's first block, which has the chain's log-likelihood in whole; so has no other.
+    """
+    algebra = Algebra()
+
+    def between(rows: pa.Table, into: np.ndarray | None, after: np.ndarray | None) -> pa.Table:
+        kids, m, v = _children(rows)
+        ends = np.zeros(len(v[0])) if after is None else after
+        came, now = [], into
+        for x, first in zip(m, v, strict=True):
+            came.append(now)
+            now = first if now is None else algebra.along(now, x)
+        gone = [ends]
+        for x in m[:0:-1]:
+            gone.append(algebra.back(x, gone[-1]))
+        whole = [algebra.total((first if now is None else algebra.along(now, x)) + w) if now is None else None for x, first, now, w in zip(m, v, came, gone[::-1], strict=True)]
+        return pa.table({k: [r[k] for r in kids] for k in KEYS} | {"into": [_numbers(x) for x in came], "after": [_numbers(x) for x in gone[::-1]], "whole": whole}, schema=_arrow(_ENDS))
+
+    def within(key: tuple, rows: pa.Table, above: pa.Table) -> pa.Table:
+        r = above.to_pylist()[0]
+        return between(rows, _vector(r["into"]), _vector(r["after"]))
+
+    return _down(_levels(transfers(blocks, chains, False), False), lambda key, rows: between(rows, None, None), within, _ENDS)
+
+
+def picked(blocks: DataFrame, chains: Chain | dict[str, Chain]) -> DataFrame:
+    """(track, chain, block, before, last): the best path's state before each block (null for a chain's first) and at its end."""
+    algebra = Algebra(True)
+
+    def between(rows: pa.Table, before: int | None, last: int | None) -> pa.Table:
+        kids, m, v = _children(rows)
+        at = None
+        if before is not None:
+            at = np.full(len(v[0]), -np.inf)
+            at[before] = 0.0
+        came = []
+        for x, first in zip(m, v, strict=True):
+            came.append(at)
+            at = first if at is None else algebra.along(at, x)
+        last = int(at.argmax()) if last is None else last
+        ends, starts = [], []
+        for x, now in zip(reversed(m), reversed(came), strict=True):
+            ends.append(last)
+            last = None if now is None else int((now + x[:, last]).argmax())
+            starts.append(last)
+        return pa.table({k: [r[k] for r in kids] for k in KEYS} | {"before": starts[::-1], "last": ends[::-1]}, schema=_arrow(_PICKS))
+
+    def within(key: tuple, rows: pa.Table, above: pa.Table) -> pa.Table:
+        r = above.to_pylist()[0]
+        return between(rows, r["before"], r["last"])
+
+    return _down(_levels(transfers(blocks, chains, True), True), lambda key, rows: between(rows, None, None), within, _PICKS)
 
 
 def _in_logs(ll: np.ndarray, chain: Chain, into: np.ndarray | None, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -185,36 +306,40 @@ def _rescaled(ll: np.ndarray, chain: Chain, into: np.ndarray | None, after: np.n
     return p / whole[:, None], xi, float((np.log(scale) + top).sum())
 
 
-def posteriors(blocks: DataFrame, chain: Chain, boundary: str = "exact") -> DataFrame:
-    """Rows of three kinds from one pass over the blocks:
+def passes(blocks: DataFrame, chains: Chain | dict[str, Chain], boundary: str = "exact") -> DataFrame:
+    """(track, kind, ridx, p array): rows of four kinds from one pass over the blocks.
 
-    post (ridx, state, p); start and trans (state, other, p), summed by block: expected first states and transitions;
-    score (p): log-likelihoods that sum to the total's.
+    post: a region's posteriors, states in order; start and trans: expected first states, and transitions row by row, of a
+    block; score: log-likelihoods that sum to the total's. Blocks are read twice with boundary="exact".
     """
-    k = len(chain.start)
-    if boundary == "restart":
-        ends, whole = None, {}
-    elif boundary == "exact":
-        ends, whole = boundaries(blocks, chain)
-    else:
+    if boundary not in ("exact", "restart"):
         raise ValueError(f"unknown boundary {boundary!r}")
-    held = blocks.sparkSession.sparkContext.broadcast((ends, whole, chain))
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        ends, whole, chain = held.value
-        r, ll = _ordered(rows)
-        name, block, n = r.chain.iloc[0], int(r.block.iloc[0]), len(r)
-        into, after = (None, np.zeros(k)) if ends is None else ends[name, block]
-        p, xi, total = _rescaled(ll, chain, None if into is None else np.asarray(into), np.asarray(after))
-        states = np.arange(k)
-        parts = [pd.DataFrame({"kind": "post", "ridx": np.repeat(r.ridx.to_numpy(), k), "state": np.tile(states, n), "other": 0, "p": p.ravel()})]
+
+    def run(track: str, rows: pa.Table, into: np.ndarray | None, after: np.ndarray | None, whole: float | None) -> pa.Table:
+        ridx, ll = _ordered(rows)
+        p, xi, total = _rescaled(ll, of_track(chains, track), into, np.zeros(ll.shape[1]) if after is None else after)
+        kinds, at, out = ["post"] * len(ridx), ridx.tolist(), list(p)
         if into is None:
-            parts.append(pd.DataFrame({"kind": "start", "ridx": -1, "state": states, "other": 0, "p": p[0]}))
-            parts.append(pd.DataFrame({"kind": "score", "ridx": -1, "state": 0, "other": 0, "p": [total if ends is None else whole[name]]}))
-        parts.append(pd.DataFrame({"kind": "trans", "ridx": -1, "state": np.repeat(states, k), "other": np.tile(states, k), "p": xi.ravel()}))
-        return pd.concat(parts)
+            kinds, at, out = [*kinds, "start", "score"], [*at, -1, -1], [*out, p[0], [total if whole is None else whole]]
+        return pa.table({"track": [track] * (len(out) + 1), "kind": [*kinds, "trans"], "ridx": pa.array([*at, -1], pa.int64()), "p": pa.array([*out, xi.ravel()], pa.list_(pa.float64()))})
+
+    shape = "track string, kind string, ridx long, p array<double>"
+    if boundary == "restart":
+        return blocks.groupBy(*KEYS).applyInArrow(lambda key, rows: run(key[0].as_py(), rows, None, None, None), shape)
+
+    def between(key: tuple, rows: pa.Table, ends: pa.Table) -> pa.Table:
+        r = ends.to_pylist()[0]
+        return run(r["track"], rows, _vector(r["into"]), _vector(r["after"]), r["whole"])
+
+    return blocks.groupBy(*KEYS).cogroup(boundaries(blocks, chains).groupBy(*KEYS)).applyInArrow(between, shape)
 
-    return blocks.groupBy("chain", "block").applyInPandas(one, "kind string, ridx long, state int, other int, p double")
+
+def posteriors(blocks: DataFrame, chains: Chain | dict[str, Chain], boundary: str = "exact") -> DataFrame:
+    """`passes` with a row for each number: (track, kind, ridx, state, other, p); other is the state that trans leads to."""
+    trans, k = F.col("kind") == "trans", F.sqrt(F.size("p")).cast("int")
+    rows = passes(blocks, chains, boundary).select("track", "kind", "ridx", k.alias("k"), F.posexplode("p").alias("at", "p"))
+    state = F.when(trans, F.expr("at div k")).otherwise(F.col("at")).cast("int")
+    return rows.select("track", "kind", "ridx", state.alias("state"), F.when(trans, F.col("at") % F.col("k")).otherwise(0).cast("int").alias("other"), "p")
 
 
 def decoded_map(posterior: DataFrame) -> DataFrame:
@@ -222,49 +347,36 @@ def decoded_map(posterior: DataFrame) -> DataFrame:
     return posterior.groupBy("ridx").agg(F.max_by("state", F.struct("p", -F.col("state"))).alias("state"))
 
 
-def decoded_viterbi(blocks: DataFrame, chain: Chain) -> DataFrame:
-    """(ridx, state) of the likeliest path over each whole chain. The driver picks the states at the blocks' ends."""
-    k, la = len(chain.start), log(chain.trans)
-    picked: dict[tuple[str, int], tuple[int, int]] = {}
-    for name, parts in _matrices(blocks, chain, True).items():
-        into, v = [], log(chain.start) + parts[0][1]
-        for _, _, m in parts:
-            into.append(v)
-            v = (v[:, None] + m).max(0)
-        last = int(v.argmax())
-        for i in range(len(parts) - 1, -1, -1):
-            before = int((into[i] + parts[i][2][:, last]).argmax())
-            picked[name, parts[i][0]] = (before, last)
-            last = before
-    held = blocks.sparkSession.sparkContext.broadcast((picked, chain))
-    firsts = blocks.groupBy("chain").agg(F.min("block").alias("first"))
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        picked, chain = held.value
-        r, ll = _ordered(rows)
-        before, last = picked[r.chain.iloc[0], int(r.block.iloc[0])]
-        n, first = len(r), r["first"].iloc[0] == r.block.iloc[0]
-        v = np.full(k, -np.inf)
-        v[before] = 0.0
+def decoded_viterbi(blocks: DataFrame, chains: Chain | dict[str, Chain]) -> DataFrame:
+    """(track, ridx, state) of the likeliest path over each whole chain."""
+
+    def one(key: tuple, rows: pa.Table, ends: pa.Table) -> pa.Table:
+        r = ends.to_pylist()[0]
+        c, (ridx, ll) = of_track(chains, r["track"]), _ordered(rows)
+        n, k, la = len(ll), len(c.start), log(c.trans)
         back = np.zeros((n, k), int)
-        for t in range(n):
-            if t == 0 and first:
-                continue  # `before` is the state of the first region itself
+        if r["before"] is None:
+            v = log(c.start) + ll[0]
+        else:
+            v = la[r["before"]] + ll[0]
+        for t in range(1, n):
             m = v[:, None] + la
             back[t] = m.argmax(0)
             v = m.max(0) + ll[t]
-        path = np.empty(n, int)
-        path[-1] = last
+        path = np.empty(n, np.int32)
+        path[-1] = r["last"]
         for t in range(n - 1, 0, -1):
             path[t - 1] = back[t][path[t]]
-        return pd.DataFrame({"ridx": r.ridx, "state": path})
+        return pa.table({"track": [r["track"]] * n, "ridx": ridx, "state": path})
 
-    return blocks.join(F.broadcast(firsts), "chain").groupBy("chain", "block").applyInPandas(one, "ridx long, state int")
+    return blocks.groupBy(*KEYS).cogroup(picked(blocks, chains).groupBy(*KEYS)).applyInArrow(one, "track string, ridx long, state int")
 
 
 def decode(blocks: DataFrame, chain: Chain, algorithm: str = "map", boundary: str = "exact") -> DataFrame:
+    """(ridx, state) of one track."""
     if algorithm == "map":
-        return decoded_map(posteriors(blocks, chain, boundary).where("kind = 'post'").select("ridx", "state", "p"))
+        best = F.array_position("p", F.array_max("p")) - 1
+        return passes(blocks, chain, boundary).where("kind = 'post'").select("ridx", best.cast("int").alias("state"))
     if algorithm == "viterbi":
-        return decoded_viterbi(blocks, chain)
+        return decoded_viterbi(blocks, chain).select("ridx", "state")
     raise ValueError(f"unknown decoder {algorithm!r}")

@@ -1,17 +1,22 @@
-"""Expectation maximisation as Spark jobs: emissions stay in DataFrames, start and transitions (K, K x K) on the driver."""
+"""Expectation maximisation as Spark jobs: emissions stay in DataFrames, start and transitions (K, K x K) on the driver.
+
+Several models are fitted side by side over one reading of the counts: their states stand next to each other in one array
+for each cell and each region, and the chain's passes know them by track. Every round is written whole before the one
+before it is removed, so that a fit can be taken up again.
+"""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisloom.operators.chain import Chain, blocked, decode, posteriors
-from axisloom.operators.emission import emission_table, initial_states, likelihoods, state_sums
-from axisloom.plans.scratch import stored
+from axisloom.operators.chain import Chain, blocked, decode, passes, posteriors
+from axisloom.operators.emission import alphas, cell_priors, dataset_likelihoods, emission_table, first_state, initial_states, likelihoods, state_sums, summed_likelihoods, weighted_sums
+from axisloom.plans.scratch import fresh_path, removed, stored, whole, written
 
 
 @dataclass
@@ -36,6 +41,12 @@ class Options:
     boundary: str = "exact"
     #: Stop early once the log-likelihood grows by less; None runs all iterations.
     tolerance: float | None = None
+    #: Where rounds are kept; a fit that finds whole rounds of its own there goes on from the last. None: a fresh folder.
+    store: str | None = None
+
+
+#: Numbers of all models' states that one pass over the counts sums; more seeds than fit are taken in turns.
+WIDTH = 96
 
 
 def m_step(stats: dict[tuple[str, int, int], float], chain: Chain, o: Options) -> Chain:
@@ -49,8 +60,18 @@ def m_step(stats: dict[tuple[str, int, int], float], chain: Chain, o: Options) -
     return Chain(start / start.sum(), np.where(rows > 0, trans / np.where(rows > 0, rows, 1), chain.trans))
 
 
+def track_statistics(passed: DataFrame) -> dict[str, tuple[dict[tuple[str, int, int], float], float]]:
+    """For each track the sums of a pass's small kinds, K + K x K + 1 numbers, and the log-likelihood. passed: of chain.passes."""
+    sums = passed.where("kind != 'post'").select("track", "kind", F.size("p").alias("n"), F.posexplode("p").alias("at", "p")).groupBy("track", "kind", "n", "at").agg(F.sum("p").alias("p"))
+    out: dict[str, dict[tuple[str, int, int], float]] = {}
+    for r in sums.collect():
+        i, j = divmod(r["at"], round(r["n"] ** 0.5)) if r["kind"] == "trans" else (r["at"], 0)
+        out.setdefault(r["track"], {})[r["kind"], i, j] = r["p"]
+    return {t: (x, x.get(("score", 0, 0), float("-inf"))) for t, x in out.items()}
+
+
 def statistics(passed: DataFrame) -> tuple[dict[tuple[str, int, int], float], float]:
-    """Sums of the small kinds of a pass, K + K x K + 1 rows, and the log-likelihood."""
+    """Sums of the small kinds of one track's pass, K + K x K + 1 rows, and the log-likelihood. passed: of chain.posteriors."""
     rows = passed.where("kind != 'post'").groupBy("kind", "state", "other").agg(F.sum("p").alias("p")).collect()
     sums = {(r["kind"], r["state"], r["other"]): r["p"] for r in rows}
     return sums, sums.get(("score", 0, 0), float("-inf"))
@@ -69,28 +90,130 @@ def expectation(model: Model, counts: DataFrame, regions: DataFrame, o: Options,
     return posteriors(stored(blocks) if o.boundary == "exact" else blocks, model.chain, o.boundary)
 
 
+@dataclass
+class Fits:
+    """Models of several seeds as they are after some rounds.
+
+    cells: (dataset, barcode, prior, sums array), the sums of all seeds' states side by side.
+    """
+
+    n_states: int
+    seeds: list[int]
+    cells: DataFrame
+    chains: dict[str, Chain]
+    scores: dict[str, float]
+    rounds: dict[str, int]
+    done: set[str] = field(default_factory=set)
+
+    def of(self, seed: int) -> slice:
+        i = self.seeds.index(seed)
+        return slice(i * self.n_states, (i + 1) * self.n_states)
+
+    def sums(self, seed: int, column: str = "sums"):
+        return F.slice(column, self.of(seed).start + 1, self.n_states)
+
+    def model(self, seed: int) -> Model:
+        emission = self.cells.select("dataset", "barcode", F.posexplode(self.sums(seed)).alias("state", "suffstat"), "prior")
+        t = str(seed)
+        return Model(self.n_states, self.chains[t], emission.select("dataset", "barcode", "state", "suffstat", "prior"), self.scores[t], seed, self.rounds[t])
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """All but the cells: (track, kind, i, j, p)."""
+        rows = []
+        for t, c in self.chains.items():
+            rows += [(t, "start", i, 0, float(p)) for i, p in enumerate(c.start)] + [(t, "trans", i, j, float(p)) for i, row in enumerate(c.trans) for j, p in enumerate(row)]
+            rows += [(t, "score", 0, 0, self.scores[t]), (t, "rounds", 0, 0, float(self.rounds[t])), (t, "done", 0, 0, float(t in self.done))]
+        return spark.createDataFrame(rows, "track string, kind string, i int, j int, p double")
+
+
+def _first(counts: DataFrame, regions: DataFrame, n_states: int, seeds: list[int], o: Options) -> Fits:
+    states = regions.select("ridx", F.array(*((first_state(n_states, s) == k).cast("double") for s in seeds for k in range(n_states))).alias("p"))
+    width = n_states * len(seeds)
+    cells = cell_priors(counts, o.prior_weight).join(weighted_sums(counts, states, width), ["dataset", "barcode"], "left")
+    cells = cells.select("dataset", "barcode", "prior", F.coalesce("sums", F.array_repeat(F.lit(0.0), width)).alias("sums"))
+    tracks = list(map(str, seeds))
+    return Fits(n_states, seeds, cells, {t: Chain.uniform(n_states) for t in tracks}, dict.fromkeys(tracks, float("-inf")), dict.fromkeys(tracks, 0))
+
+
+def _taken_up(spark: SparkSession, n_states: int, seeds: list[int], iterations: int, store: str) -> tuple[Fits | None, int]:
+    """The last whole round of a store, and its number."""
+    for i in range(iterations, 0, -1):
+        if whole(spark, f"{store}/state-{i}") and whole(spark, f"{store}/cells-{i}"):
+            rows = spark.read.parquet(f"{store}/state-{i}").collect()
+            f = Fits(n_states, seeds, spark.read.parquet(f"{store}/cells-{i}"), {}, {}, {})
+            held = {(r["track"], r["kind"], r["i"], r["j"]): r["p"] for r in rows}
+            if {r["track"] for r in rows} != set(map(str, seeds)) or 1 + max(r["i"] for r in rows) != n_states:
+                raise ValueError(f"{store} holds a fit of other seeds or states")
+            k = range(n_states)
+            for t in map(str, seeds):
+                f.chains[t] = Chain(np.array([held[t, "start", x, 0] for x in k]), np.array([[held[t, "trans", x, y] for y in k] for x in k]))
+                f.scores[t], f.rounds[t] = held[t, "score", 0, 0], int(held[t, "rounds", 0, 0])
+                f.done |= {t} if held[t, "done", 0, 0] else set()
+            return f, i
+    return None, 0
+
+
+def _passed(f: Fits, live: list[int], counts: DataFrame, regions: DataFrame, o: Options, chain_of: DataFrame | None, path: str) -> DataFrame:
+    """chain.passes of the live seeds, each a track. The counts are read once for all of them."""
+    k = f.n_states
+    alpha = f.cells.select("dataset", "barcode", F.transform(F.flatten(F.array(*(f.sums(s) for s in live))), lambda x: x + F.col("prior")).alias("a"))
+    found = summed_likelihoods(counts, regions, alpha, k * len(live))
+    tracks = F.array(*(F.struct(F.lit(str(s)).alias("track"), F.slice("ll", i * k + 1, k).alias("ll")) for i, s in enumerate(live)))
+    rows = found.select("ridx", F.explode(tracks).alias("x")).select("x.track", "ridx", "x.ll")
+    # The exact scan reads the likelihoods twice; a row for each region and seed is little against the counts behind it.
+    return passes(written(blocked(rows, k, o.block_rows, chain_of), path), f.chains, o.boundary)
+
+
+def _round(f: Fits, counts: DataFrame, regions: DataFrame, o: Options, chain_of: DataFrame | None, scratch: str) -> Fits:
+    """One round of all seeds that are not done."""
+    live = [s for s in f.seeds if str(s) not in f.done]
+    k, spark = f.n_states, counts.sparkSession
+    passed = written(_passed(f, live, counts, regions, o, chain_of, f"{scratch}/blocks"), f"{scratch}/passed")
+    out = Fits(k, f.seeds, f.cells, dict(f.chains), dict(f.scores), dict(f.rounds), set(f.done))
+    for t, (sums, score) in track_statistics(passed).items():
+        grown = score - f.scores[t]
+        out.chains[t], out.scores[t], out.rounds[t] = m_step(sums, f.chains[t], o), score, f.rounds[t] + 1
+        if o.tolerance is not None and 0 <= grown < o.tolerance:
+            out.done.add(t)
+    order = F.array_sort(F.collect_list(F.struct(F.array_position(F.array(*(F.lit(str(s)) for s in live)), F.col("track")).alias("at"), "p")))
+    weights = passed.where("kind = 'post'").groupBy("ridx").agg(order.alias("x")).select("ridx", F.flatten(F.transform("x", lambda x: x["p"])).alias("p"))
+    new = weighted_sums(counts, weights, k * len(live)).withColumnRenamed("sums", "new")
+    cells = f.cells.join(new, ["dataset", "barcode"], "left").withColumn("new", F.coalesce("new", F.array_repeat(F.lit(0.0), k * len(live))))
+    parts = [F.slice("new", live.index(s) * k + 1, k) if s in live else f.sums(s) for s in f.seeds]
+    out.cells = cells.select("dataset", "barcode", "prior", F.flatten(F.array(*parts)).alias("sums"))
+    return out
+
+
+def _fitted(counts: DataFrame, regions: DataFrame, n_states: int, iterations: int, seeds: list[int], o: Options, chain_of: DataFrame | None) -> Fits:
+    spark = counts.sparkSession
+    store = o.store or fresh_path(spark, "fit")
+    f, at = _taken_up(spark, n_states, seeds, iterations, store) if o.store else (None, 0)
+    if f is None:
+        f = _first(counts, regions, n_states, seeds, o)
+        f.cells = written(f.cells, f"{store}/cells-0")
+    for i in range(at + 1, iterations + 1):
+        if len(f.done) == len(seeds):
+            break
+        scratch = f"{store}/scratch-{i}"
+        f = _round(f, counts, regions, o, chain_of, scratch)
+        f.cells = written(f.cells, f"{store}/cells-{i}")
+        # Written last: a round whose state is whole has its cells.
+        f.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{store}/state-{i}")
+        removed(spark, scratch, f"{store}/cells-{i - 1}", f"{store}/state-{i - 1}")
+    return f
+
+
+def _inputs(counts: DataFrame, regions: DataFrame, chain_of: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    return stored(counts), stored(regions.select("ridx")), chain_of if chain_of is None else stored(chain_of)
+
+
 def fit(counts: DataFrame, regions: DataFrame, n_states: int, iterations: int = 10, seed: int = 32, options: Options | None = None, chain_of: DataFrame | None = None) -> Model:
     """EM from the seed's initial model. counts: (dataset, ridx, barcode, cnt).
 
     chain_of: (ridx, chain) starts a chain anew, for instance on every chromosome; by default the axis is one chain.
+    With options.store a fit that was ended goes on from its last whole round; at most two rounds are kept on disk.
     """
-    o = options or Options()
-    counts, regions = stored(counts), stored(regions.select("ridx"))
-    chain_of = chain_of if chain_of is None else stored(chain_of)
-    model = initial_model(counts, regions, n_states, seed, o)
-    model.emission = stored(model.emission)
-    for i in range(iterations):
-        passed = stored(expectation(model, counts, regions, o, chain_of))
-        sums, score = statistics(passed)
-        grown = score - model.score
-        chain = m_step(sums, model.chain, o)
-        weights = passed.where("kind = 'post' AND p > 0").select("ridx", "state", "p")
-        emission = model.emission.drop("suffstat").join(state_sums(counts, weights), ["dataset", "barcode", "state"], "left")
-        emission = emission.select("dataset", "barcode", "state", F.coalesce("suffstat", F.lit(0.0)).alias("suffstat"), "prior")
-        model = Model(n_states, chain, stored(emission), score, seed, i + 1)
-        if o.tolerance is not None and 0 <= grown < o.tolerance:
-            break
-    return model
+    return _fitted(*_inputs(counts, regions, None)[:2], n_states, iterations, [seed], options or Options(), chain_of if chain_of is None else stored(chain_of)).model(seed)
 
 
 def score(model: Model, counts: DataFrame, regions: DataFrame, o: Options | None = None, chain_of: DataFrame | None = None) -> float:
@@ -98,22 +221,28 @@ def score(model: Model, counts: DataFrame, regions: DataFrame, o: Options | None
     return statistics(expectation(model, counts, regions, o or Options(), chain_of))[1]
 
 
-def fit_seeds(counts: DataFrame, regions: DataFrame, n_states: int, seeds: list[int], iterations: int = 10, options: Options | None = None, chain_of: DataFrame | None = None, at_once: int = 4) -> tuple[Model, dict[int, float]]:
+def fit_seeds(counts: DataFrame, regions: DataFrame, n_states: int, seeds: int | Sequence[int], iterations: int = 10, options: Options | None = None, chain_of: DataFrame | None = None) -> tuple[Model, dict[int, float]]:
     """The model with the best score over the seeds (the first of equals), and every seed's score.
 
-    Fits run `at_once` at a time as Spark jobs beside each other, so that the small steps of one leave no machine idle.
+    All seeds go through a round together: its jobs are as many as one seed's, and the counts are read once for as many
+    seeds as have WIDTH states between them. Each seed stops on its own.
     """
-    seeds = [seeds] if isinstance(seeds, int) else list(seeds)
-
-    def one(seed: int) -> Model:
-        model = fit(counts, regions, n_states, iterations, seed, options, chain_of)
-        model.score = score(model, counts, regions, options, chain_of)
-        return model
-
-    with ThreadPoolExecutor(max(1, min(at_once, len(seeds)))) as pool:
-        models = list(pool.map(one, seeds))
-    best = max(models, key=lambda m: m.score)
-    return best, {seed: m.score for seed, m in zip(seeds, models, strict=True)}
+    o = options or Options()
+    seeds = [seeds] if isinstance(seeds, int) else list(dict.fromkeys(seeds))
+    counts, regions, chain_of = _inputs(counts, regions, chain_of)
+    step, spark = max(1, WIDTH // n_states), counts.sparkSession
+    models: list[Model] = []
+    for i in range(0, len(seeds), step):
+        some = seeds[i : i + step]
+        own = Options(**(vars(o) | {"store": o.store and f"{o.store}/seeds-{i}"}))
+        f = _fitted(counts, regions, n_states, iterations, some, own, chain_of)
+        path = fresh_path(spark, "last-pass")
+        found = track_statistics(_passed(f, some, counts, regions, o, chain_of, path).where("kind = 'score'"))
+        removed(spark, path)
+        for s in some:
+            models.append(f.model(s))
+            models[-1].score = found[str(s)][1]
+    return max(models, key=lambda m: m.score), {m.seed: m.score for m in models}
 
 
 def posterior(model: Model, counts: DataFrame, regions: DataFrame, o: Options | None = None, chain_of: DataFrame | None = None) -> DataFrame:
@@ -129,16 +258,17 @@ def predict(model: Model, counts: DataFrame, regions: DataFrame, algorithm: str
 
 
 def robust_posterior(model: Model, counts: DataFrame, regions: DataFrame, o: Options | None = None, chain_of: DataFrame | None = None) -> DataFrame:
-    """(ridx, state, mean, sd): posteriors of each dataset alone, their mean and population deviation over datasets."""
-    o = o or Options()
-    every = []
-    for name in sorted(r["dataset"] for r in counts.select("dataset").distinct().collect()):
-        own = Model(model.n_states, model.chain, model.emission.where(F.col("dataset") == name))
-        every.append(posterior(own, counts.where(F.col("dataset") == name), regions, o, chain_of))
-    rows = every[0]
-    for more in every[1:]:
-        rows = rows.unionByName(more)
-    return rows.groupBy("ridx", "state").agg(F.avg("p").alias("mean"), F.stddev_pop("p").alias("sd"))
+    """(ridx, state, mean, sd): posteriors of each dataset alone, their mean and population deviation over datasets.
+
+    All datasets go through one pass, each a track of its own; without counts there are none, and no rows.
+    """
+    o, k = o or Options(), model.n_states
+    each = dataset_likelihoods(counts, alphas(model.emission), k).withColumnRenamed("dataset", "track")
+    grid = regions.select("ridx").join(F.broadcast(counts.select(F.col("dataset").alias("track")).distinct()), how="cross")
+    rows = grid.join(each, ["track", "ridx"], "left").select("track", "ridx", F.coalesce("x", F.array_repeat(F.lit(0.0), k)).alias("ll"))
+    blocks = blocked(rows, k, o.block_rows, chain_of)
+    found = passes(stored(blocks) if o.boundary == "exact" else blocks, model.chain, o.boundary).where("kind = 'post'")
+    return found.select("ridx", F.posexplode("p").alias("state", "p")).groupBy("ridx", "state").agg(F.avg("p").alias("mean"), F.stddev_pop("p").alias("sd"))
 
 
 def chain_tables(spark: SparkSession, chain: Chain) -> tuple[DataFrame, DataFrame]:

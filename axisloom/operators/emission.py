@@ -13,13 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def initial_states(regions: DataFrame, n_states: int, seed: int = 32) -> DataFrame:
-    """(ridx, state): a state for each region from a multiplicative hash of its index, the same in any engine."""
+def first_state(n_states: int, seed: int = 32) -> Column:
+    """A state for each region from a multiplicative hash of its ridx, the same in any engine."""
     low = F.pmod(F.col("ridx"), F.lit(1 << 32))
     # By halves, so that no product leaves 64 bits.
     high = F.pmod(F.floor(low / 65536) * 2654435761, F.lit(1 << 32)) * 65536
     h = F.floor(F.pmod(high + low % 65536 * 2654435761 + seed * 40503, F.lit(1 << 32)) / 65536)
-    return regions.select("ridx", F.pmod(h, F.lit(n_states)).cast("int").alias("state"))
+    return F.pmod(h, F.lit(n_states)).cast("int")
+
+
+def initial_states(regions: DataFrame, n_states: int, seed: int = 32) -> DataFrame:
+    """(ridx, state) of first_state."""
+    return regions.select("ridx", first_state(n_states, seed).alias("state"))
 
 
 def state_sums(counts: DataFrame, states: DataFrame) -> DataFrame:
@@ -28,15 +33,25 @@ def state_sums(counts: DataFrame, states: DataFrame) -> DataFrame:
     return counts.join(states, "ridx").groupBy("dataset", "barcode", "state").agg(F.sum(F.col("cnt") * weight).alias("suffstat"))
 
 
-def emission_table(counts: DataFrame, sums: DataFrame, n_states: int, prior_weight: float = 1.0) -> DataFrame:
-    """(dataset, barcode, state, suffstat, prior) for every cell and state.
+def weighted_sums(counts: DataFrame, weights: DataFrame, width: int) -> DataFrame:
+    """(dataset, barcode, sums array): counts summed by each of the weights of their region. weights: (ridx, p array of width)."""
+    found = counts.join(weights, "ridx").groupBy("dataset", "barcode").agg(*(F.sum(F.col("cnt") * F.get("p", F.lit(k))).alias(f"s{k}") for k in range(width)))
+    return found.select("dataset", "barcode", F.array(*(F.col(f"s{k}") for k in range(width))).alias("sums"))
+
+
+def cell_priors(counts: DataFrame, prior_weight: float = 1.0) -> DataFrame:
+    """(dataset, barcode, prior): (cell total + 1), normalised over the dataset's cells, times prior_weight.
 
-    prior: (cell total + 1), normalised over the dataset's cells, times prior_weight; so a dataset's priors sum to that.
+    So a dataset's priors sum to prior_weight.
     """
     cells = counts.groupBy("dataset", "barcode").agg((F.sum("cnt") + 1).alias("x"))
     whole = cells.groupBy("dataset").agg(F.sum("x").alias("whole"))
-    every = cells.join(whole, "dataset").withColumn("prior", F.col("x") / F.col("whole") * F.lit(float(prior_weight)))
-    every = every.select("dataset", "barcode", "prior", F.explode(F.sequence(F.lit(0), F.lit(n_states - 1))).alias("state"))
+    return cells.join(whole, "dataset").select("dataset", "barcode", (F.col("x") / F.col("whole") * F.lit(float(prior_weight))).alias("prior"))
+
+
+def emission_table(counts: DataFrame, sums: DataFrame, n_states: int, prior_weight: float = 1.0) -> DataFrame:
+    """(dataset, barcode, state, suffstat, prior) for every cell and state; priors as in cell_priors."""
+    every = cell_priors(counts, prior_weight).select("dataset", "barcode", "prior", F.explode(F.sequence(F.lit(0), F.lit(n_states - 1))).alias("state"))
     return every.join(sums, ["dataset", "barcode", "state"], "left").select("dataset", "barcode", "state", F.coalesce("suffstat", F.lit(0.0)).alias("suffstat"), "prior")
 
 
@@ -59,26 +74,44 @@ def by_state(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return pairs.select(*keys, F.transform("x", lambda p: p[value]).alias(value))
 
 
-def likelihoods(counts: DataFrame, regions: DataFrame, emission: DataFrame, n_states: int, cap: int | None = None, min_depth: int = 0) -> DataFrame:
-    """(ridx, ll array): the log-likelihood of every region in every state, states in order, summed over datasets.
+def alphas(emission: DataFrame) -> DataFrame:
+    """(dataset, barcode, a array) of an emission table: suffstat + prior, states in order."""
+    return by_state(emission.select("dataset", "barcode", "state", (F.col("suffstat") + F.col("prior")).alias("a")), ["dataset", "barcode"], "a")
 
-    counts: (dataset, ridx, barcode, cnt). alpha = suffstat + prior. cap: counts are cut at it; min_depth: a dataset's
-    region with a smaller depth counts 0. Regions without counts have 0. No multinomial coefficient.
+
+def dataset_likelihoods(counts: DataFrame, alpha: DataFrame, width: int, cap: int | None = None, min_depth: int = 0) -> DataFrame:
+    """(dataset, ridx, x array): the log-likelihood of every region that has counts. alpha: (dataset, barcode, a array of width).
+
+    cap: counts are cut at it; min_depth: a region with a smaller depth is left out. No multinomial coefficient.
     """
     if cap:
         counts = counts.withColumn("cnt", F.least("cnt", F.lit(cap)).cast("long"))
-    alpha = emission.select("dataset", "barcode", "state", (F.col("suffstat") + F.col("prior")).alias("a"))
-    distinct = counts.select("dataset", "barcode", "cnt").distinct()
-    lut = distinct.join(by_state(alpha, ["dataset", "barcode"], "a"), ["dataset", "barcode"])
+    lut = counts.select("dataset", "barcode", "cnt").distinct().join(alpha, ["dataset", "barcode"])
     lut = lut.select("dataset", "barcode", "cnt", F.transform("a", lambda a: rise(a, F.col("cnt"))).alias("gain"))
     met = counts.join(lut, ["dataset", "barcode", "cnt"])
-    gains = met.groupBy("dataset", "ridx").agg(F.sum("cnt").alias("n"), *(F.sum(F.get("gain", F.lit(k))).alias(f"g{k}") for k in range(n_states)))
+    gains = met.groupBy("dataset", "ridx").agg(F.sum("cnt").alias("n"), *(F.sum(F.get("gain", F.lit(k))).alias(f"g{k}") for k in range(width)))
     if min_depth:
         gains = gains.where(F.col("n") >= min_depth)
-    alpha0 = by_state(alpha.groupBy("dataset", "state").agg(F.sum("a").alias("a")), ["dataset"], "a")
+    alpha0 = alpha.groupBy("dataset").agg(*(F.sum(F.get("a", F.lit(k))).alias(f"a{k}") for k in range(width)))
+    alpha0 = alpha0.select("dataset", F.array(*(f"a{k}" for k in range(width))).alias("a"))
     each = gains.join(alpha0, "dataset").withColumn("loss", F.transform("a", lambda a: rise(a, F.col("n"))))
-    sums = each.groupBy("ridx").agg(*(F.sum(F.col(f"g{k}") - F.get("loss", F.lit(k))).alias(f"x{k}") for k in range(n_states)))
-    return regions.select("ridx").join(sums, "ridx", "left").select("ridx", F.array(*(F.coalesce(f"x{k}", F.lit(0.0)) for k in range(n_states))).alias("ll"))
+    return each.select("dataset", "ridx", F.array(*(F.col(f"g{k}") - F.get("loss", F.lit(k)) for k in range(width))).alias("x"))
+
+
+def summed_likelihoods(counts: DataFrame, regions: DataFrame, alpha: DataFrame, width: int, cap: int | None = None, min_depth: int = 0) -> DataFrame:
+    """(ridx, ll array): dataset_likelihoods summed over datasets, for every region; regions without counts have 0."""
+    each = dataset_likelihoods(counts, alpha, width, cap, min_depth)
+    sums = each.groupBy("ridx").agg(*(F.sum(F.get("x", F.lit(k))).alias(f"x{k}") for k in range(width)))
+    return regions.select("ridx").join(sums, "ridx", "left").select("ridx", F.array(*(F.coalesce(f"x{k}", F.lit(0.0)) for k in range(width))).alias("ll"))
+
+
+def likelihoods(counts: DataFrame, regions: DataFrame, emission: DataFrame, n_states: int, cap: int | None = None, min_depth: int = 0) -> DataFrame:
+    """(ridx, ll array): the log-likelihood of every region in every state, states in order, summed over datasets.
+
+    counts: (dataset, ridx, barcode, cnt). alpha = suffstat + prior. cap: counts are cut at it; min_depth: a dataset's
+    region with a smaller depth counts 0. Regions without counts have 0. No multinomial coefficient.
+    """
+    return summed_likelihoods(counts, regions, alphas(emission), n_states, cap, min_depth)
 
 
 def log_likelihood(counts: DataFrame, regions: DataFrame, emission: DataFrame, n_states: int, cap: int | None = None, min_depth: int = 0) -> DataFrame:

@@ -32,3 +32,27 @@ def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder: later jobs read the files, also after an executor is lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df as Parquet at the path, read again; unlike what `stored` leaves, it can be removed."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def whole(spark: SparkSession, path: str) -> bool:
+    """Whether a table at the path was written to its end."""
+    files, where = _at(spark, f"{path}/_SUCCESS")
+    return files.exists(where)
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete what is at the paths, if there is anything."""
+    for path in paths:
+        files, where = _at(spark, path)
+        files.delete(where, True)

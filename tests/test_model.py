@@ -253,3 +253,65 @@ def test_early_stop_needs_a_tolerance(spark):
     counts, regions = two_state_data(spark, 80)
     assert em.fit(counts, regions, 2, 3).iterations == 3
     assert em.fit(counts, regions, 2, 8, options=em.Options(tolerance=1e9)).iterations < 8
+
+
+@pytest.mark.parametrize("algorithm", ["map", "viterbi"])
+def test_tracks_run_beside_each_other_through_a_scan_of_many_levels(spark, algorithm, monkeypatch):
+    monkeypatch.setattr(ch, "FAN", 3)
+    rng = np.random.default_rng(11)
+    lls, chains = {t: rng.normal(-3, 2, (100, K)) for t in "ab"}, {"a": some_chain(1), "b": some_chain(2)}
+    rows = [(t, i, k, float(x[i, k])) for t, x in lls.items() for i in range(100) for k in range(K)]
+    names = spark.createDataFrame([(t, "x" if t < 31 else "y") for t in range(100)], "ridx long, chain string")
+    blocks = ch.blocked(spark.createDataFrame(rows, "track string, ridx long, state int, ll double"), K, 2, names)
+    found = ch.decoded_viterbi(blocks, chains) if algorithm == "viterbi" else ch.posteriors(blocks, chains)
+    for t, x in lls.items():
+        own = found.where(F.col("track") == t)
+        parts = [x[:31], x[31:]]
+        if algorithm == "viterbi":
+            path = {r["ridx"]: r["state"] for r in own.collect()}
+            assert [path[i] for i in range(100)] == [s for p in parts for s in best_path(p, chains[t])]
+        else:
+            post, score, xi = passed(own)
+            want = [sequential(p, chains[t]) for p in parts]
+            assert np.allclose(post, np.concatenate([w[0] for w in want]), atol=1e-10)
+            assert math.isclose(score, sum(w[1] for w in want), rel_tol=1e-10)
+            assert np.allclose(xi, sum(w[2] for w in want), atol=1e-9)
+
+
+def test_seeds_together_are_as_each_alone_and_stop_on_their_own(spark, monkeypatch):
+    counts, regions = two_state_data(spark, 80)
+    o = em.Options(block_rows=30, tolerance=5.0)
+    alone = {s: em.fit(counts, regions, 2, 6, s, o) for s in (1, 2, 3)}
+    for width in (96, 4):
+        monkeypatch.setattr(em, "WIDTH", width)
+        best, scores = em.fit_seeds(counts, regions, 2, [1, 2, 3], 6, o)
+        assert scores == {s: pytest.approx(em.score(m, counts, regions, o), rel=1e-9) for s, m in alone.items()}
+        assert np.allclose(best.chain.trans, alone[best.seed].chain.trans)
+        assert best.iterations == alone[best.seed].iterations
+    together = em._fitted(counts, regions, 2, 6, [1, 2, 3], o, None)
+    assert {int(t): n for t, n in together.rounds.items()} == {s: m.iterations for s, m in alone.items()}
+
+
+def test_a_fit_goes_on_from_its_last_whole_round(spark, tmp_path):
+    counts, regions = two_state_data(spark, 80)
+    store = str(tmp_path / "fit")
+    straight = em.fit(counts, regions, 2, 4)
+    em.fit(counts, regions, 2, 2, options=em.Options(store=store))
+    assert sorted(p.name for p in (tmp_path / "fit").iterdir()) == ["cells-2", "state-2"]
+    # A round that was ended while its cells were written.
+    (tmp_path / "fit" / "cells-3").mkdir()
+    resumed = em.fit(counts, regions, 2, 4, options=em.Options(store=store))
+    assert sorted(p.name for p in (tmp_path / "fit").iterdir()) == ["cells-4", "state-4"]
+    assert resumed.iterations == 4
+    assert math.isclose(resumed.score, straight.score, rel_tol=1e-12)
+    assert np.allclose(resumed.chain.trans, straight.chain.trans)
+    a, b = ({(r["barcode"], r["state"]): r["suffstat"] for r in m.emission.collect()} for m in (resumed, straight))
+    assert a == pytest.approx(b)
+    with pytest.raises(ValueError, match="other seeds"):
+        em.fit(counts, regions, 2, 4, seed=5, options=em.Options(store=store))
+
+
+def test_no_counts_give_no_robust_posteriors(spark):
+    counts, regions = two_state_data(spark, 20)
+    model = em.initial_model(counts, regions, 2)
+    assert em.robust_posterior(model, counts.where("false"), regions).count() == 0
