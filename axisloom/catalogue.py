@@ -422,44 +422,6 @@ def _fitted(x: Inputs, iterations: int = 3) -> em.Model:
     return em.fit(x.datasets, x.tile, STATES, iterations, chain_of=_by_chrom(x))
 
 
-@query()
-def segmentation(spark, sf):
-    x = Inputs(spark, sf)
-    post = em.posterior(_fitted(x), x.datasets, x.tile, chain_of=_by_chrom(x))
-    return segments.segments(x.tile, post, x.datasets, STATES)
-
-
-@query()
-def state_frequency(spark, sf):
-    return segments.state_frequency(segmentation(spark, sf))
-
-
-@query()
-def viterbi_path(spark, sf):
-    x = Inputs(spark, sf)
-    return em.predict(_fitted(x, 2), x.datasets, x.tile, "viterbi", chain_of=_by_chrom(x))
-
-
-@query()
-def score(spark, sf):
-    x = Inputs(spark, sf)
-    found = em.score(_fitted(x, 2), x.datasets, x.tile, chain_of=_by_chrom(x))
-    return spark.createDataFrame([(float(found),)], "score double")
-
-
-@query()
-def robust_posterior(spark, sf):
-    x = Inputs(spark, sf)
-    return em.robust_posterior(_fitted(x, 1), x.datasets, x.tile)
-
-
-@query()
-def fit_multi_seed(spark, sf):
-    x = Inputs(spark, sf)
-    best, scores = em.fit_seeds(x.datasets, x.tile, STATES, [32, 33], 1, chain_of=_by_chrom(x))
-    return spark.createDataFrame([(k, float(v), k == best.seed) for k, v in scores.items()], "seed int, score double, best boolean")
-
-
 @query(oracle("SELECT ridx, CAST(arg_max(state, p - state * 1e-12) AS INT) AS state FROM post GROUP BY ridx", "tile", "counts", **_POST))
 def map_call(spark, sf):
     x = Inputs(spark, sf)
@@ -488,20 +450,24 @@ def _listed(f: Callable[[int], str], sep: str = ", ") -> str:
     return sep.join(f(i) for i in _K)
 
 
-def _forward_backward(ll: str) -> dict[str, str]:
-    """CTEs over (chain, ridx, l0, l1, ...): forward and backward vectors that sum to 1 at each region, posteriors and scores."""
+def _forward_backward(ll: str, at: str = "", a: Callable[[int, int], str] = _a, start: Callable[[int], str] = lambda i: f"{_CHAIN.start[i]}::DOUBLE", held: str = "") -> dict[str, str]:
+    """CTEs over (chain, ridx, l0, l1, ...): forward and backward vectors that sum to 1 at each region, posteriors and scores.
+
+    a, start: the chain's numbers, or columns of `held`, a table of one row. at: what the CTEs' names end in.
+    """
     norm = lambda xs: ", ".join(f"({x}) / ({' + '.join(xs)}) AS {{}}{i}" for i, x in enumerate(xs))
-    into = [f"({' + '.join(f'f{i} * {_a(i, j)}' for i in _K)}) * e{j}" for j in _K]
-    first = [f"{_CHAIN.start[j]}::DOUBLE * e{j}" for j in _K]
-    back = [" + ".join(f"{_a(i, j)} * e{j} * b{j}" for j in _K) for i in _K]
+    into = [f"({' + '.join(f'f{i} * {a(i, j)}' for i in _K)}) * e{j}" for j in _K]
+    first = [f"{start(j)} * e{j}" for j in _K]
+    back = [" + ".join(f"{a(i, j)} * e{j} * b{j}" for j in _K) for i in _K]
+    more = f" CROSS JOIN {held}" if held else ""
     return {
-        "obs": f"SELECT chain, t, ridx, top, {_listed(lambda i: f'exp(l{i} - top) AS e{i}')} FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY ridx) AS t, greatest({_listed(lambda i: f'l{i}')}) AS top FROM ({ll}))",
-        "last": "SELECT chain, max(t) AS t FROM obs GROUP BY chain",
-        "fw": f"""SELECT chain, t, {norm(first).format(*['f'] * STATES)}, ln({' + '.join(first)}) + top AS s FROM obs WHERE t = 1
-            UNION ALL SELECT o.chain, o.t, {norm(into).format(*['f'] * STATES)}, s + ln({' + '.join(into)}) + o.top FROM fw JOIN obs o ON o.chain = fw.chain AND o.t = fw.t + 1""",
-        "bw": f"""SELECT chain, t, {_listed(lambda i: f'1.0::DOUBLE / {STATES} AS b{i}')} FROM last
-            UNION ALL SELECT bw.chain, bw.t - 1, {norm(back).format(*['b'] * STATES)} FROM bw JOIN obs o ON o.chain = bw.chain AND o.t = bw.t WHERE bw.t > 1""",
-        "prob": f"SELECT o.ridx AS ridx, o.chain AS chain, {_listed(lambda i: f'f{i} * b{i} / ({_listed(lambda j: f"f{j} * b{j}", " + ")}) AS p{i}')} FROM obs o JOIN fw ON fw.chain = o.chain AND fw.t = o.t JOIN bw ON bw.chain = o.chain AND bw.t = o.t",
+        f"obs{at}": f"SELECT chain, t, ridx, top, {_listed(lambda i: f'exp(l{i} - top) AS e{i}')} FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY ridx) AS t, greatest({_listed(lambda i: f'l{i}')}) AS top FROM ({ll}))",
+        f"last{at}": f"SELECT chain, max(t) AS t FROM obs{at} GROUP BY chain",
+        f"fw{at}": f"""SELECT chain, t, {norm(first).format(*['f'] * STATES)}, ln({' + '.join(first)}) + top AS s FROM obs{at}{more} WHERE t = 1
+            UNION ALL SELECT o.chain, o.t, {norm(into).format(*['f'] * STATES)}, s + ln({' + '.join(into)}) + o.top FROM fw{at} fw JOIN obs{at} o ON o.chain = fw.chain AND o.t = fw.t + 1{more}""",
+        f"bw{at}": f"""SELECT chain, t, {_listed(lambda i: f'1.0::DOUBLE / {STATES} AS b{i}')} FROM last{at}
+            UNION ALL SELECT bw.chain, bw.t - 1, {norm(back).format(*['b'] * STATES)} FROM bw{at} bw JOIN obs{at} o ON o.chain = bw.chain AND o.t = bw.t{more} WHERE bw.t > 1""",
+        f"prob{at}": f"SELECT o.ridx AS ridx, o.chain AS chain, o.t AS t, {_listed(lambda i: f'f{i} * b{i} / ({_listed(lambda j: f"f{j} * b{j}", " + ")}) AS p{i}')} FROM obs{at} o JOIN fw{at} fw ON fw.chain = o.chain AND fw.t = o.t JOIN bw{at} bw ON bw.chain = o.chain AND bw.t = o.t",
     }
 
 
@@ -551,13 +517,21 @@ def chain_transitions(spark, sf):
     return passed.groupBy(F.col("state").alias("i"), F.col("other").alias("j")).agg(F.round(F.sum("p"), 3).alias("n"))
 
 
+def _viterbi(at: str = "", a: Callable[[int, int], str] = _a, start: Callable[[int], str] = lambda i: f"{_CHAIN.start[i]}::DOUBLE", held: str = "") -> dict[str, str]:
+    more = f" CROSS JOIN {held}" if held else ""
+    ahead = lambda j: _listed(lambda i: f"v{i} + ln({a(i, j)})")
+    return {
+        f"vit{at}": f"SELECT chain, t, {_listed(lambda j: f'ln({start(j)}) + ln(e{j}) + top AS v{j}, -1 AS q{j}')} FROM obs{at}{more} WHERE t = 1 UNION ALL SELECT o.chain, o.t, "
+        + _listed(lambda j: f"greatest({ahead(j)}) + ln(e{j}) + o.top, list_position([{ahead(j)}], greatest({ahead(j)})) - 1")
+        + f" FROM vit{at} vit JOIN obs{at} o ON o.chain = vit.chain AND o.t = vit.t + 1{more}",
+        f"way{at}": f"SELECT v.chain AS chain, v.t AS t, list_position([{_listed(lambda i: f'v{i}')}], greatest({_listed(lambda i: f'v{i}')})) - 1 AS state FROM vit{at} v JOIN last{at} l ON l.chain = v.chain AND l.t = v.t"
+        f" UNION ALL SELECT w.chain, w.t - 1, CASE w.state {_listed(lambda i: f'WHEN {i} THEN q{i}', ' ')} END FROM way{at} w JOIN vit{at} v ON v.chain = w.chain AND v.t = w.t WHERE w.t > 1",
+    }
+
+
 @query(_chained(
     "SELECT o.ridx AS ridx, CAST(w.state AS INT) AS state FROM way w JOIN obs o ON o.chain = w.chain AND o.t = w.t",
-    vit="SELECT chain, t, " + _listed(lambda j: f"ln({_CHAIN.start[j]}::DOUBLE) + ln(e{j}) + top AS v{j}, -1 AS q{j}") + " FROM obs WHERE t = 1 UNION ALL SELECT o.chain, o.t, "
-    + _listed(lambda j: f"greatest({_listed(lambda i: f'v{i} + ln({_a(i, j)})')}) + ln(e{j}) + o.top, " + f"list_position([{_listed(lambda i: f'v{i} + ln({_a(i, j)})')}], greatest({_listed(lambda i: f'v{i} + ln({_a(i, j)})')})) - 1")
-    + " FROM vit JOIN obs o ON o.chain = vit.chain AND o.t = vit.t + 1",
-    way="SELECT v.chain AS chain, v.t AS t, " + f"list_position([{_listed(lambda i: f'v{i}')}], greatest({_listed(lambda i: f'v{i}')})) - 1 AS state FROM vit v JOIN last ON last.chain = v.chain AND last.t = v.t"
-    + " UNION ALL SELECT w.chain, w.t - 1, CASE w.state " + _listed(lambda i: f"WHEN {i} THEN q{i}", " ") + " END FROM way w JOIN vit v ON v.chain = w.chain AND v.t = w.t WHERE w.t > 1",
+    **_viterbi(),
 ))
 def chain_viterbi(spark, sf):
     x = Inputs(spark, sf)
@@ -573,9 +547,14 @@ def chain_robust(spark, sf):
 _CALLED = "SELECT ridx, " + _listed(lambda i: f"p{i}") + f", list_position([{_listed(lambda i: f'p{i}')}], greatest({_listed(lambda i: f'p{i}')})) - 1 AS state FROM prob"
 
 
-@query(_chained(
+_SEGMENTED = (
     f"SELECT t.ridx AS ridx, t.chrom AS chrom, t.start AS start, t.stop AS stop, {_listed(lambda i: f'round(p{i}, 4) AS Prob_state_{i}')}, round(greatest({_listed(lambda i: f'p{i}')}), 4) AS Prob_max, CAST(state AS INT) AS state, concat('state_', state) AS name, "
-    "CAST(coalesce(sum(CASE WHEN dataset = 'a' THEN cnt END), 0) AS BIGINT) AS readdepth_0, CAST(coalesce(sum(CASE WHEN dataset = 'b' THEN cnt END), 0) AS BIGINT) AS readdepth_1 FROM tile t JOIN called c ON c.ridx = t.ridx LEFT JOIN data d ON d.ridx = t.ridx GROUP BY ALL",
+    "CAST(coalesce(sum(CASE WHEN dataset = 'a' THEN cnt END), 0) AS BIGINT) AS readdepth_0, CAST(coalesce(sum(CASE WHEN dataset = 'b' THEN cnt END), 0) AS BIGINT) AS readdepth_1 FROM tile t JOIN called c ON c.ridx = t.ridx LEFT JOIN data d ON d.ridx = t.ridx GROUP BY ALL"
+)
+
+
+@query(_chained(
+    _SEGMENTED,
     called=_CALLED,
 ))
 def chain_segmentation(spark, sf):
@@ -596,6 +575,120 @@ def model_store_chain(spark, sf):
     return em.chain_tables(spark, files.read_model(spark, path).chain)[1].select("i", "j", r4("p", "p"))
 
 
+# ---------------------------------------------------------------- fitted models, round by round in SQL
+
+_PAIR = [(i, j) for i in _K for j in _K]
+
+
+def _held_chain(at: str) -> dict:
+    return {"at": at, "a": lambda i, j: f"c.a{i}{j}", "start": lambda i: f"c.s{i}", "held": f"c{at} c"}
+
+
+def _likelihood_ctes(at: str) -> dict[str, str]:
+    """From the emissions emi{at}: likelihoods of datasets and of regions."""
+    return {
+        f"alpha0{at}": f"SELECT dataset, state, sum(suffstat + prior) AS a FROM emi{at} GROUP BY ALL",
+        f"gain{at}": f"SELECT d.dataset AS dataset, d.ridx AS ridx, e.state AS state, sum(lgamma(e.suffstat + e.prior + d.cnt) - lgamma(e.suffstat + e.prior)) AS g FROM data d JOIN emi{at} e ON d.dataset = e.dataset AND d.barcode = e.barcode GROUP BY ALL",
+        f"each{at}": f"SELECT g.dataset AS dataset, g.ridx AS ridx, g.state AS state, g + lgamma(a) - lgamma(n + a) AS x FROM gain{at} g JOIN n ON g.dataset = n.dataset AND g.ridx = n.ridx JOIN alpha0{at} z ON g.dataset = z.dataset AND g.state = z.state",
+    }
+
+
+def _rounds(rounds: int, seed: int = 32, name: str = "") -> dict[str, str]:
+    """CTEs of EM by chromosome from a seed's initial model: emissions, chains and passes after 0, 1, ... rounds.
+
+    After r rounds there are emi, c (one row: s0, ..., a00, ...), obs, last, fw, bw and prob, each with {name}_{r}.
+    """
+    first = f"{name}_0"
+    out = {
+        f"init{name}": _INIT["init"].replace("32 * 40503", f"{seed} * 40503"), f"sums{name}": _INIT["sums"].replace("JOIN init i", f"JOIN init{name} i"),
+        f"emi{first}": _INIT["emi"].replace("LEFT JOIN sums s", f"LEFT JOIN sums{name} s"),
+        f"c{first}": f"SELECT {_listed(lambda i: f'1.0::DOUBLE / {STATES} AS s{i}')}, {', '.join(f'1.0::DOUBLE / {STATES} AS a{i}{j}' for i, j in _PAIR)}",
+    }
+    for r in range(rounds + 1):
+        at, after = f"{name}_{r}", f"{name}_{r + 1}"
+        wide = f"SELECT t.chrom AS chain, t.ridx AS ridx, {_listed(lambda i: f'coalesce(sum(CASE WHEN e.state = {i} THEN x END), 0) AS l{i}')} FROM tile t LEFT JOIN each{at} e ON e.ridx = t.ridx GROUP BY ALL"
+        out |= _likelihood_ctes(at) | _forward_backward(wide, **_held_chain(at))
+        if r == rounds:
+            break
+        moved = lambda i, j: f"f{i} * c.a{i}{j} * e{j} * b{j}"
+        every = " + ".join(moved(i, j) for i, j in _PAIR)
+        out |= {
+            f"xi{at}": f"SELECT {', '.join(f'sum({moved(i, j)} / ({every})) + 1e-6::DOUBLE AS x{i}{j}' for i, j in _PAIR)} FROM fw{at} f JOIN obs{at} o ON o.chain = f.chain AND o.t = f.t + 1 JOIN bw{at} b ON b.chain = o.chain AND b.t = o.t CROSS JOIN c{at} c",
+            f"one{at}": f"SELECT {_listed(lambda i: f'sum(p{i}) + 1e-6::DOUBLE AS y{i}')} FROM prob{at} WHERE t = 1",
+            f"c{after}": f"SELECT {_listed(lambda i: f'y{i} / ({_listed(lambda k: f"y{k}", " + ")}) AS s{i}')}, {', '.join(f'x{i}{j} / ({_listed(lambda k: f"x{i}{k}", " + ")}) AS a{i}{j}' for i, j in _PAIR)} FROM xi{at} CROSS JOIN one{at}",
+            f"emi{after}": "SELECT p.dataset AS dataset, p.barcode AS barcode, state, suffstat, prior FROM prior p JOIN ("
+            + " UNION ALL ".join(f"SELECT dataset, barcode, CAST({i} AS INT) AS state, sum(cnt * p{i}) AS suffstat FROM data d JOIN prob{at} q ON q.ridx = d.ridx GROUP BY ALL" for i in _K)
+            + ") x ON x.dataset = p.dataset AND x.barcode = p.barcode",
+        }
+    return out
+
+
+_DATA = {k: (_LL[k] if k == "n" else _INIT[k]) for k in ("data", "cells", "prior", "n")}
+
+
+def _after(query: str, rounds: int, **more: str) -> str:
+    ctes = _DATA | _rounds(rounds) | more
+    sql = _recursive(oracle(query, "tile", "counts", **ctes))
+    for name in ctes:
+        sql = sql.replace(f" {name} AS (", f" {name} AS MATERIALIZED (")
+    return sql
+
+
+def _fitted(x: Inputs, iterations: int = 3) -> em.Model:
+    return em.fit(x.datasets, x.tile, STATES, iterations, chain_of=_by_chrom(x))
+
+
+_CALLED_3 = _CALLED.replace("FROM prob", "FROM prob_3")
+
+
+@query(_after(_SEGMENTED, 3, called=_CALLED_3))
+def segmentation(spark, sf):
+    x = Inputs(spark, sf)
+    found = segments.segments(x.tile, em.posterior(_fitted(x), x.datasets, x.tile, chain_of=_by_chrom(x)), x.datasets, STATES)
+    return found.select("ridx", "chrom", "start", "stop", *(r4(f"Prob_state_{i}", f"Prob_state_{i}") for i in _K), r4("Prob_max", "Prob_max"), "state", "name", "readdepth_0", "readdepth_1")
+
+
+@query(_after("SELECT concat('state_', state) AS name, count(*) AS n FROM called GROUP BY ALL", 3, called=_CALLED_3))
+def state_frequency(spark, sf):
+    return segments.state_frequency(segmentation(spark, sf))
+
+
+@query(_after("SELECT o.ridx AS ridx, CAST(w.state AS INT) AS state FROM way_2 w JOIN obs_2 o ON o.chain = w.chain AND o.t = w.t", 2, **_viterbi(**_held_chain("_2"))))
+def viterbi_path(spark, sf):
+    x = Inputs(spark, sf)
+    return em.predict(_fitted(x, 2), x.datasets, x.tile, "viterbi", chain_of=_by_chrom(x))
+
+
+@query(_after("SELECT round(sum(s), 3) AS score FROM fw_2 f JOIN last_2 l ON f.chain = l.chain AND f.t = l.t", 2))
+def score(spark, sf):
+    x = Inputs(spark, sf)
+    found = em.score(_fitted(x, 2), x.datasets, x.tile, chain_of=_by_chrom(x))
+    return spark.createDataFrame([(round(found, 3),)], "score double")
+
+
+@query(_after(
+    f"SELECT ridx, state, round(avg(p), 4) AS mean, round(stddev_pop(p), 4) AS sd FROM ({_LONG.replace('FROM prob', 'FROM prob_each')}) GROUP BY ALL", 1,
+    **_forward_backward(_BY_DATASET.replace("concat(d.dataset, ':', t.chrom)", "d.dataset").replace("LEFT JOIN each e", "LEFT JOIN each_1 e"), **(_held_chain("_1") | {"at": "_each"})),
+))
+def robust_posterior(spark, sf):
+    x = Inputs(spark, sf)
+    return em.robust_posterior(_fitted(x, 1), x.datasets, x.tile).select("ridx", "state", r4("mean", "mean"), r4("sd", "sd"))
+
+
+_SEEDS = (32, 33)
+
+
+@query(_after(
+    "SELECT seed, score, score = max(score) OVER () AS best FROM (" + " UNION ALL ".join(
+        f"SELECT CAST({seed} AS INT) AS seed, round(sum(s), 3) AS score FROM fw_s{seed}_1 f JOIN last_s{seed}_1 l ON f.chain = l.chain AND f.t = l.t" for seed in _SEEDS) + ")",
+    0, **{k: v for seed in _SEEDS for k, v in _rounds(1, seed, f"_s{seed}").items()},
+))
+def fit_multi_seed(spark, sf):
+    x = Inputs(spark, sf)
+    best, scores = em.fit_seeds(x.datasets, x.tile, STATES, _SEEDS, 1, chain_of=_by_chrom(x))
+    return spark.createDataFrame([(k, round(v, 3), k == best.seed) for k, v in scores.items()], "seed int, score double, best boolean")
+
+
 # ---------------------------------------------------------------- segments
 
 _SEGP = f"""SELECT *, concat('state_', CAST(state AS VARCHAR)) AS name, 0.6::DOUBLE + 0.4::DOUBLE / (1 + readdepth) AS Prob_max,
@@ -953,7 +1046,7 @@ def overlapping_sets(spark, sf):
     return intervals.overlapping(x.seg.select("ridx", "chrom", "start", "stop"), x.genes.select("chrom", "start", "stop", "geneset"), ["ridx", "geneset"]).select("ridx", "geneset")
 
 
-@query()
+@query(oracle("SELECT ridx, CAST(arg_max(state, (ll, -state)) AS INT) AS state FROM ll GROUP BY ridx", "tile", "counts", **_LL))
 def decoded_restart(spark, sf):
     """Independent blocks, decoded by posterior: the form in which each block begins with the start vector."""
     x = Inputs(spark, sf)
