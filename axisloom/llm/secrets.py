@@ -15,13 +15,14 @@ import hashlib
 import random
 import re
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisloom.llm.common import saved, slices, smallest, text_docs
+from axisloom.llm.common import lean, saved, slices, smallest, text_docs
 from axisloom.plans.ship import shipped
 
 #: The base patterns, in the order in which spans at one place are listed.
@@ -32,13 +33,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: What the models look at, and their alphabet; every other byte ends a run.
 LEAST = 16
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 K = len(ALPHABET) + 1
 CODE = np.zeros(256, np.int64)
 CODE[list(ALPHABET)] = np.arange(1, K)
 
 
+@cache
+def candidates(shortest: int) -> re.Pattern:
+    return re.compile(rf"[A-Za-z0-9+/_=-]{{{shortest},}}")
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns: leftmost and non-overlapping within a kind, failing matches dropped."""
     low = text.lower()
@@ -104,7 +109,7 @@ def identifiers(text: str, rng: random.Random) -> list[str]:
             "_".join(w), "-".join(w), "/".join(w), "_".join(w).upper(), w[0] + "".join(x.title() for x in w[1:]), "".join(x.title() for x in w), "".join(w),
             "_".join([*w, year]), "-".join([year, *w]), "/".join([*w[:-1], year, w[-1]]), "=".join(w[:2]) + "_" + year, "+".join(w), w[0] + "-" * rng.randint(3, 30) + w[-1], rng.choice("-_=") * rng.randint(LEAST, 80),
         )))
-    return [x for x in out if len(x) >= LEAST and re.fullmatch(CANDIDATE, x)]
+    return [x for x in out if len(x) >= LEAST and candidates(LEAST).fullmatch(x)]
 
 
 def made_samples(docs: DataFrame, max_docs: int = 4000) -> DataFrame:
@@ -171,29 +176,41 @@ def trained(samples: DataFrame, false_share: float = 0.001) -> Judge:
     return Judge(ratio, 12.0 if least is None else max(float(np.nextafter(least, np.inf)), 1e-9))
 
 
-def scored_spans(text: str, judge: Judge, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs, or what base spans leave of them, of LEAST characters or more, whose gain is enough."""
-    found = []
-    for m in CANDIDATE.finditer(text):
+def united(spans: list[tuple[int, int, int]]) -> list[list[int]]:
+    """Runs of overlapping spans as [start, end], in order."""
+    runs: list[list[int]] = []
+    for s, _, e in sorted(spans):
+        if runs and s < runs[-1][1]:
+            runs[-1][1] = max(e, runs[-1][1])
+        else:
+            runs.append([s, e])
+    return runs
+
+
+def scored_spans(text: str, judge: Judge, base: list[tuple[int, int, int]], shortest: int = LEAST) -> list[tuple[int, int, int]]:
+    """Runs, or what base spans leave of them, of `shortest` characters or more, whose gain is enough.
+
+    Runs and base spans are walked side by side, so time is linear in the text.
+    """
+    found, held, i = [], united(base), 0
+    for m in candidates(shortest).finditer(text):
         at, stop = m.start(), m.end()
-        for s, _, e in base:
-            if s < stop and e > at:
-                found.append((at, min(s, stop)))
-                at = max(at, e)
+        while i < len(held) and held[i][1] <= at:
+            i += 1
+        while i < len(held) and held[i][0] < stop:
+            found.append((at, held[i][0]))
+            at = max(at, held[i][1])
+            if held[i][1] > stop:
+                break  # it may reach into the next run
+            i += 1
         found.append((at, stop))
-    return [(a, 3, b) for a, b in found if b - a >= LEAST and gain(text[a:b], judge.ratio) >= judge.least]
+    return [(a, 3, b) for a, b in found if b - a >= shortest and gain(text[a:b], judge.ratio) >= judge.least]
 
 
 def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "<SECRET>") -> str:
     """Each run of overlapping spans gives way to one mark."""
     out, at = [], 0
-    runs: list[list[int]] = []
-    for s, _, e in sorted(spans):
-        if runs and s < runs[-1][1]:
-            runs[-1][1] = max(e, runs[-1][1])
-        else:
-            runs.append([s, e])
-    for s, e in runs:
+    for s, e in united(spans):
         out += [text[at:s], mark]
         at = e
     return "".join(out) + text[at:]
@@ -203,11 +220,12 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def scan(docs: DataFrame, samples: DataFrame | None = None, texts: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, samples: DataFrame | None = None, texts: bool = False, more: tuple[str, ...] = (), shortest: int = LEAST) -> DataFrame:
     """Secrets of every row: (doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans), or with texts the row redacted.
 
     samples: (value, random) labelled strings to train on and to set the threshold with; by default those of made_samples.
-    texts: return (doc_id, text with the spans redacted, and the columns named in more) instead. Offsets are code points,
+    shortest: the models look at runs of so many characters or more; shorter strings are too like words to be told apart
+    (README has the shares missed by length). texts: return (doc_id, text with the spans redacted, and the columns named in more) instead. Offsets are code points,
     ends exclusive. Null and empty texts have no spans; equal texts have equal spans; repeated rows give repeated rows; a
     null doc_id stays null; an empty table gives no rows; columns that are not named are ignored.
     """
@@ -220,7 +238,7 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, texts: bool = False,
         for b in batches:
             for at, piece in slices(b, "text", 2_000_000):
                 base = [base_spans(t) for t in piece]
-                found = [s + scored_spans(t, judge, s) for s, t in zip(base, piece, strict=True)]
+                found = [s + scored_spans(t, judge, s, shortest) for s, t in zip(base, piece, strict=True)]
                 if texts:
                     cols = {n: b.column(n).slice(at, len(piece)) for n in names}
                     cols["text"] = pa.array([redact(t, s) if s else t for t, s in zip(piece, found, strict=True)], pa.string())
@@ -230,4 +248,4 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, texts: bool = False,
                     digest = [hashlib.sha256(listed(s).encode()).hexdigest() for s in base]
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(piece)), *n, pa.array(digest), pa.array(list(map(listed, found)))], ["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"])
 
-    return rows.mapInArrow(run, shape)
+    return rows.mapInArrow(lean(run), shape)
