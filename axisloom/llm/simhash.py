@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisloom.llm.common import components, fresh_path, saved, slices, text_docs, words
+from axisloom.llm.common import components, fresh_path, lean, saved, slices, text_docs, words
 
 BITS = 64
 #: 64-bit words of the fingerprint of a document's shingle set.
@@ -197,8 +197,8 @@ def tile_jobs(keys: DataFrame, block_rows: int, rows_per_group: int, star: Calla
     with the least node by these links need not be compared with each other any more, only with the rest. payload: (node, ...).
     """
     h = F.xxhash64("node")
-    tiles = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum((h / 4).cast("long") % (1 << 40)).alias("s"), F.min("node").alias("least"), F.max("node").alias("most"))
-    tiles = saved(tiles.where("n > 1").groupBy("n", "s", "least", "most").agg(F.min("key").alias("key")).select("key", "n", "least"))
+    tiles = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 24)).alias("s"), F.min("node").alias("least"), F.max("node").alias("most"))
+    tiles = saved(tiles.where("n > 1").groupBy("n", "x", "s", "least", "most").agg(F.min("key").alias("key")).select("key", "n", "least"))
     large = tiles.where(F.col("n") > block_rows)
     edges = keys.sparkSession.createDataFrame([], "a long, b long")
     met = keys.join(tiles.select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("open"), F.lit(0).alias("closed")), "key").withColumn("settled", F.lit(False))
@@ -251,7 +251,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 fp = np.array([simhash(shingle_hashes(words(text), shingle)) for text in texts], np.uint64)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return text_docs(docs).mapInArrow(run, "doc_id long, fp long")
+    return text_docs(docs).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def links(nodes: DataFrame, radius: int, n: int, block_rows: int = 8192, rows_per_group: int = 50_000) -> DataFrame:
@@ -271,7 +271,7 @@ def links(nodes: DataFrame, radius: int, n: int, block_rows: int = 8192, rows_pe
 
     keys = nodes.select(tile.alias("key"), F.col("fp").alias("node"))
     jobs, edges = tile_jobs(keys, block_rows, rows_per_group, star)
-    return jobs.groupBy("grp").applyInArrow(compare, "a long, b long").unionByName(edges)
+    return jobs.groupBy("grp").applyInArrow(lean(compare), "a long, b long").unionByName(edges)
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, block_rows: int = 8192) -> DataFrame:
@@ -345,7 +345,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in ("doc_id", "text_hash")), *cols], ["doc_id", "text_hash", "digest", "size", "bands", "members"])
 
     rows = text_docs(docs).withColumn("text_hash", F.xxhash64("text"))
-    found = rows.mapInArrow(run, "doc_id long, text_hash long, digest binary, size int, bands array<long>, members binary").withColumn("row", F.monotonically_increasing_id())
+    found = rows.mapInArrow(lean(run), "doc_id long, text_hash long, digest binary, size int, bands array<long>, members binary").withColumn("row", F.monotonically_increasing_id())
     path = fresh_path(docs.sparkSession, "shingle-sets")
     found.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(found.schema).parquet(path)
@@ -453,7 +453,7 @@ def set_links(nodes: DataFrame, similarity: float, block_rows: int = 4096, rows_
         return both.select("node", "least", "members", "least_members").mapInArrow(near, "a long, b long")
 
     jobs, edges = tile_jobs(keys, block_rows, rows_per_group, star, nodes.select("node", "members"))
-    return jobs.select(*(c.split()[0] for c in shape.split(", "))).groupBy("grp").applyInArrow(compare, "a long, b long").unionByName(edges)
+    return jobs.select(*(c.split()[0] for c in shape.split(", "))).groupBy("grp").applyInArrow(lean(compare), "a long, b long").unionByName(edges)
 
 
 def classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block_rows: int = 4096) -> DataFrame:
