@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from axisloom.plans.scratch import fresh_path
 from axisloom.plans.scratch import stored as saved
 from axisloom.plans.ship import shipped
 
-__all__ = ["blob", "components", "fresh_path", "saved", "slices", "smallest", "split_hash", "table", "text_docs", "words"]
+__all__ = ["blob", "components", "fresh_path", "lean", "saved", "slices", "smallest", "split_hash", "table", "text_docs", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +86,45 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
 
 
+#: glibc's number for the size from which memory is mapped on its own, and so given back when it is freed.
+MMAP_THRESHOLD = -3
+
+
+def lean(work):
+    """A task's function that gives its memory back to the system when it ends.
+
+    Workers are used again by later tasks and stages, and would keep what the largest of them took.
+    """
+
+    def settle() -> None:
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(MMAP_THRESHOLD, 1 << 20)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    def whole(*given):
+        settle()
+        out = work(*given)
+        give_back()
+        return out
+
+    def batches(given):
+        settle()
+        yield from work(given)
+        give_back()
+
+    if inspect.isgeneratorfunction(work):
+        return batches
+    # Spark counts a function's arguments.
+    return (lambda a: whole(a)) if len(inspect.signature(work).parameters) == 1 else (lambda a, b: whole(a, b))
+
+
 def blob(table: pa.Table) -> bytes:
     """A table as a compressed Arrow stream."""
     sink = pa.BufferOutputStream()

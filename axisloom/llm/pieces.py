@@ -18,6 +18,7 @@ chunks itself.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from itertools import chain
 from zlib import crc32
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisloom.llm.common import blob, slices, text_docs
+from axisloom.llm.common import blob, lean, slices, text_docs
 
 MARK = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
@@ -82,14 +83,39 @@ def opened(data: pa.BinaryScalar) -> pa.Table:
 
 
 def places(x: np.ndarray) -> bytes:
-    """uint32 numbers, compressed by the place of their bytes."""
-    return len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+    """uint32 numbers by the place of their bytes, which compresses well."""
+    return np.ascontiguousarray(np.asarray(x).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
 def from_places(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    raw = pa.Codec("zstd").decompress(data[8:], decompressed_size=4 * n, asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def packed(*sections: bytes) -> bytes:
+    """Sections behind their lengths, compressed together: a few bytes more than what they hold, however small they are."""
+    raw = b"".join(len(x).to_bytes(4, "little") + x for x in sections)
+    return len(raw).to_bytes(4, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def unpacked(data: bytes) -> list[bytes]:
+    raw = pa.Codec("zstd").decompress(data[4:], decompressed_size=int.from_bytes(data[:4], "little"), asbytes=True)
+    out, at = [], 0
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 4], "little")
+        out.append(raw[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+def strings(x: list[str]) -> tuple[bytes, bytes]:
+    """(lengths in bytes, bytes) of strings."""
+    data = [t.encode("utf-8", "surrogatepass") for t in x]
+    return places(np.fromiter(map(len, data), np.uint32, len(data))), b"".join(data)
+
+
+def from_strings(sizes: bytes, data: bytes) -> list[str]:
+    ends = [0, *np.cumsum(from_places(sizes), dtype=np.int64).tolist()]
+    return [data[a:b].decode("utf-8", "surrogatepass") for a, b in itertools.pairwise(ends)]
 
 
 def dealt(batches, chars_per_block: int):
@@ -121,7 +147,7 @@ def named(asked: list[str]) -> bytes:
 
 
 def chunk_table(rows: DataFrame, model: str, parts: int, chars_per_block: int) -> DataFrame:
-    """(block, part, request, size, ids, text): the number of ids of each chunk of a block's request, the ids, and what it decodes to.
+    """(block, part, request, reply): the number of ids of each chunk of a block's request, the ids, and what it decodes to.
 
     A block sends its chunks on in one blob for each part of the chunks' hashes that it has any of. A part sees all
     blocks' chunks, segments each distinct one once, and answers every block in the order of its request. Decoded text is
@@ -131,28 +157,29 @@ def chunk_table(rows: DataFrame, model: str, parts: int, chars_per_block: int) -
     def ask(batches):
         for block, held in dealt(batches, chars_per_block):
             found = requests(chain.from_iterable(texts for _, texts in held), parts)
-            blobs = [blob(pa.table({"chunk": pa.array(x, pa.string())})) for x in found.values()]
+            blobs = [packed(*strings(x)) for x in found.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([block] * len(found), pa.int64()), pa.array(blobs, pa.binary())], ["part", "block", "data"])
 
     def answer(rows: pa.Table) -> pa.Table:
         sp = processor(model)
-        asked = [opened(x).column("chunk").to_pylist() for x in rows.column("data")]
+        asked = [from_strings(*unpacked(x.as_py())) for x in rows.column("data")]
         known = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(asked)))}
         distinct = list(known)
         ids = segments(sp, distinct)
         size = np.array(list(map(len, ids)), np.int64)
         flat, first = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), np.cumsum(size) - size
-        text = pa.array([None if t == c else t for t, c in zip(inside(sp, ids), distinct, strict=True)], pa.string())
+        text = inside(sp, ids)
         out = []
         for x in asked:
             at = np.fromiter(map(known.__getitem__, x), np.int64, len(x))
             n = size[at]
             take = np.arange(int(n.sum())) + np.repeat(first[at] - (np.cumsum(n) - n), n)
-            out.append((named(x), places(n), places(flat[take]), blob(pa.table({"text": text.take(pa.array(at))}))))
-        return pa.table({"block": rows.column("block"), "part": rows.column("part"), **{c: pa.array([o[i] for o in out], pa.binary()) for i, c in enumerate(("request", "size", "ids", "text"))}})
+            other = [i for i, k in enumerate(at.tolist()) if text[k] != x[i]]
+            out.append((named(x), packed(places(n), places(flat[take]), places(np.array(other, np.uint32)), *strings([text[at[i]] for i in other]))))
+        return pa.table({"block": rows.column("block"), "part": rows.column("part"), **{c: pa.array([o[i] for o in out], pa.binary()) for i, c in enumerate(("request", "reply"))}})
 
-    asked = rows.mapInArrow(ask, "part long, block long, data binary")
-    return asked.groupBy("part").applyInArrow(answer, "block long, part long, request binary, size binary, ids binary, text binary")
+    asked = rows.mapInArrow(lean(ask), "part long, block long, data binary")
+    return asked.groupBy("part").applyInArrow(lean(answer), "block long, part long, request binary, reply binary")
 
 
 def encode(docs: DataFrame, model: str, decoded: bool = True, digests: bool = False, chars_per_block: int = 6_000_000, chars_per_part: int = 12_000_000) -> DataFrame:
@@ -208,12 +235,12 @@ def encode(docs: DataFrame, model: str, decoded: bool = True, digests: bool = Fa
                     dec.update(zip(asked, (",".join(map(str, x)) for x in found), strict=True))
                     mid.update(zip(asked, inside(sp, found), strict=True))
                     continue
-                size, ids = (from_places(got.column(c)[i].as_py()) for c in ("size", "ids"))
+                size, ids, other, *text = unpacked(got.column("reply")[i].as_py())
+                size, ids, other = map(from_places, (size, ids, other))
                 digits, ends = list(map(str, ids.tolist())), np.cumsum(size).tolist()
                 dec.update(zip(asked, (",".join(digits[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
                 mid.update(zip(asked, asked, strict=True))
-                text = opened(got.column("text")[i]).column("text").combine_chunks()
-                mid.update((asked[k], text[k].as_py()) for k in np.flatnonzero(text.is_valid().to_numpy(zero_copy_only=False)).tolist())
+                mid.update((asked[k], t) for k, t in zip(other.tolist(), from_strings(*text), strict=True))
             heads: dict[str, str] = {}
             ids, back = [], []
             for t in texts:
@@ -232,7 +259,7 @@ def encode(docs: DataFrame, model: str, decoded: bool = True, digests: bool = Fa
         return pa.Table.from_batches(out) if out else EMPTY[digests]
 
     replies = chunk_table(rows, model, parts, chars_per_block)
-    return rows.mapInArrow(pack, "block long, data binary").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(joined, shape)
+    return rows.mapInArrow(lean(pack), "block long, data binary").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lean(joined), shape)
 
 
 #: What a block has that no task packed.
