@@ -256,6 +256,27 @@ def custom_barcode(spark, sf):
     return met.groupBy("barcode", F.coalesce("grouped", F.lit(False)).alias("grouped")).agg(F.count("*").alias("n"))
 
 
+def _tag_and_strand(reads):
+    """Barcode and strand of a read, from its tag and its flag together."""
+    return reads["tag_cb"] + (reads["flag"] & 16 != 0).map({True: "-", False: "+"})
+
+
+@query(oracle("SELECT barcode, count(*) AS n, count(DISTINCT rname) AS chroms FROM (SELECT *, coalesce(concat(NULLIF(tag_cb, ''), CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END), 'dummy') AS barcode FROM (SELECT qname, rname, flag, coalesce(tag_cb, '') AS tag_cb FROM aln) WHERE tag_cb <> '') GROUP BY ALL UNION ALL SELECT 'dummy', count(*), count(DISTINCT rname) FROM aln WHERE tag_cb IS NULL HAVING count(*) > 0", "aln"))
+def read_rule_barcode(spark, sf):
+    reads = Inputs(spark, sf).aln.withColumn("barcode", C.barcode_of_read(_tag_and_strand, "tag_cb", "flag"))
+    return reads.groupBy("barcode").agg(F.count("*").alias("n"), F.count_distinct("rname").alias("chroms"))
+
+
+@query(oracle("SELECT kind, chrom, size FROM sizes CROSS JOIN (VALUES ('sizes'), ('tsv')) v(kind)", "sizes"))
+def chrom_sizes_by_suffix(spark, sf):
+    """From a list of sizes, and from fragments, by the file's suffix."""
+    x, path = Inputs(spark, sf), fresh_path(spark, "suffix")
+    x.sizes.write.csv(f"{path}/genome.sizes", sep="\t")
+    x.frag.select("chrom", "start", "stop", "barcode", "dup").write.csv(f"{path}/fragments.tsv", sep="\t")
+    found = [files.genome_sizes(spark, f"{path}/{name}").select(F.lit(name.split(".")[1]).alias("kind"), "chrom", "size") for name in ("genome.sizes", "fragments.tsv")]
+    return found[0].unionByName(found[1])
+
+
 # ---------------------------------------------------------------- matrices
 
 
@@ -297,6 +318,14 @@ def pseudobulk(spark, sf):
     return matrix.pseudobulk(x.counts, x.groups)
 
 
+@query(oracle("SELECT g.grp AS grp, count(DISTINCT g.barcode) AS n_cells, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS cnt FROM cellgroup g LEFT JOIN counts c ON c.barcode = g.barcode AND g.grp <> 'g2' GROUP BY ALL", "counts", "cellgroup"))
+def pseudobulk_cells(spark, sf):
+    """Every group's column, that of a group of which no cell was counted too."""
+    x = Inputs(spark, sf)
+    counted = x.counts.join(x.groups.where("grp = 'g2'"), "barcode", "left_anti")
+    return matrix.bulk_cells(counted, x.groups)
+
+
 @query(oracle("SELECT grp, CAST(sum(cnt) AS BIGINT) AS cnt FROM counts c JOIN cellgroup g ON c.barcode = g.barcode GROUP BY ALL", "counts", "cellgroup"))
 def collapse_groups(spark, sf):
     x = Inputs(spark, sf)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import colorsys
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,20 @@ def barcode(rule: str | Callable[[Column], Column], qname: str = "qname", tags:
     return F.coalesce(found, F.lit(NO_BARCODE))
 
 
+def barcode_of_read(rule: Callable[[pd.DataFrame], pd.Series], *columns: str) -> Column:
+    """The barcode of a read by a function of the whole read: it gets the named columns of many reads at once, as a frame.
+
+    Columns may be name, flag, position, tags or any other; a null is a read without a barcode. Rules that column
+    expressions can state are faster with `barcode`.
+    """
+
+    @F.pandas_udf("string")
+    def found(reads: pd.DataFrame) -> pd.Series:
+        return rule(reads)
+
+    return F.coalesce(found(F.struct(*columns)), F.lit(NO_BARCODE))
+
+
 def usable_read(min_mapq: int = 30, max_length: int = 2000, only_with_barcode: bool = False, code: str = "barcode") -> Column:
     """Template within max_length, mapping quality min_mapq or more and, if asked for, a barcode."""
     fine = (F.abs("tlen") <= max_length) & (F.col("mapq") >= min_mapq)

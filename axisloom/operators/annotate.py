@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axisloom.operators.intervals import overlap_join
+from axisloom.operators.quantiles import percentiles
 
 
 def annotated(segments: DataFrame, intervals: DataFrame, labels: Sequence[str], how: str = "max", width: int = 10_000) -> DataFrame:
@@ -44,5 +45,6 @@ def state_label_counts(segments: DataFrame, label: str) -> DataFrame:
 
 def state_boxes(segments: DataFrame, label: str) -> DataFrame:
     """(state, q25, q50, q75) of an annotation."""
-    q = F.percentile(label, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return segments.groupBy("state").agg(q.alias("q")).select("state", *(F.col("q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))))
+    found = percentiles(segments, label, [0.25, 0.5, 0.75], "state")
+    kind = segments.schema["state"].dataType.simpleString()
+    return segments.sparkSession.createDataFrame([(state, *map(float, q)) for state, q in found.items()], f"state {kind}, q25 double, q50 double, q75 double")

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from axisloom.operators.quantiles import percentiles
+
 
 def first_state(n_states: int, seed: int = 32) -> Column:
     """A state for each region from a multiplicative hash of its ridx, the same in any engine."""
@@ -121,9 +123,8 @@ def log_likelihood(counts: DataFrame, regions: DataFrame, emission: DataFrame, n
 
 def depth_breaks(totals: DataFrame, step: float = 0.05) -> list[float]:
     """Read-depth quantiles at step, 2 * step, ... below 1; a bounded handful of numbers."""
-    n = round(1 / step) - 1
-    found = totals.agg(F.percentile("total", F.array(*(F.lit(round(step * (i + 1), 6)) for i in range(n)))).alias("q")).first()["q"]
-    return [round(q, 6) for q in found or []]
+    shares = [round(step * (i + 1), 6) for i in range(round(1 / step) - 1)]
+    return [round(q, 6) for q in percentiles(totals, "total", shares).get(None, [])]
 
 
 def depth_bins(totals: DataFrame, breaks: list[float]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,42 +58,65 @@ def enrichment(counts: DataFrame, keys: list[str], stationary: DataFrame, mode:
     return rows.select(*keys, "state", value.alias("value"))
 
 
-def visits(chain: Chain, length: int, state: int, frequencies: int = 4096) -> np.ndarray:
-    """P(visits = 0..length) of the state in `length` steps from stationarity.
+def generating(chain: Chain, state: int, n: int, lo: int, hi: int, lengths: list[int]) -> np.ndarray:
+    """(lengths x frequencies lo..hi-1) values of the generating functions of the state's visits, at the n-th roots of unity.
 
-    Its generating function at each root of unity is a product of matrices, by repeated squaring; the inverse transform
-    gives the distribution. Frequencies are taken in runs, so memory stays at runs x K x K.
+    lengths rise. A walk from stationarity goes on from each length to the next, by matrix powers from one ladder of squares.
     """
-    k, n = len(chain.start), length + 1
-    out = np.empty(n, complex)
-    pi = chain.stationary()
-    for lo in range(0, n, frequencies):
-        z = np.exp(-2j * np.pi * np.arange(lo, min(lo + frequencies, n)) / n)
-        mark = np.ones((len(z), k), complex)
-        mark[:, state] = z
-        step = chain.trans[None] * mark[:, None, :]
-        v, power, left = pi[None] * mark, step, length - 1
-        while left > 0:
-            if left & 1:
-                v = (v[:, None, :] @ power)[:, 0]
-            left >>= 1
-            power = power @ power if left else power
-        out[lo : lo + len(z)] = v.sum(1)
-    return np.fft.ifft(out).real.clip(0)
-
-
-def null_distribution(lengths: DataFrame, chain: Chain) -> DataFrame:
-    """(length, state, visits, p) for each length above 0; one task for each (length, state)."""
-    shipped(lengths.sparkSession)
     k = len(chain.start)
-    pairs = lengths.where("length > 0").select("length").distinct().select("length", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("state"))
+    z = np.exp(-2j * np.pi * np.arange(lo, hi) / n)
+    mark = np.ones((hi - lo, k), complex)
+    mark[:, state] = z
+    ladder = [chain.trans[None] * mark[:, None, :]]
+    v, at, out = chain.stationary()[None] * mark, 1, np.empty((len(lengths), hi - lo), complex)
+    for i, length in enumerate(lengths):
+        left, j = length - at, 0
+        while left >> j:
+            if j == len(ladder):
+                ladder.append(ladder[-1] @ ladder[-1])
+            if left >> j & 1:
+                v = (v[:, None, :] @ ladder[j])[:, 0]
+            j += 1
+        at, out[i] = length, v.sum(1)
+    return out
+
+
+def visits(chain: Chain, length: int, state: int, frequencies: int = 4096) -> np.ndarray:
+    """P(visits = 0..length) of the state in `length` steps from stationarity, by the inverse transform."""
+    n = length + 1
+    parts = [generating(chain, state, n, lo, min(lo + frequencies, n), [length])[0] for lo in range(0, n, frequencies)]
+    return np.fft.ifft(np.concatenate(parts)).real.clip(0)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        length, state = int(rows.length.iloc[0]), int(rows.state.iloc[0])
-        p = visits(chain, length, state)
-        return pd.DataFrame({"length": length, "state": state, "visits": np.arange(length + 1), "p": p})
 
-    return pairs.groupBy("length", "state").applyInPandas(one, "length long, state int, visits long, p double")
+def null_distribution(lengths: DataFrame, chain: Chain, frequencies: int = 512) -> DataFrame:
+    """(length, state, visits, p) for each length above 0.
+
+    Lengths between two powers of two share their roots of unity and one ladder of matrix powers; runs of `frequencies`
+    roots are tasks of their own. Each (length, state) then takes one transform.
+    """
+    shipped(lengths.sparkSession)
+    k = len(chain.start)
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("length") + 1.0))).cast("long")
+    some = lengths.where("length > 0").select("length").distinct().withColumn("n", F.when(size > F.col("length"), size).otherwise(2 * size))
+    runs = some.groupBy("n").agg(F.array_sort(F.collect_list("length")).alias("lengths"))
+    runs = runs.withColumn("lo", F.explode(F.expr(f"sequence(0L, n - 1, {frequencies}L)"))).withColumn("state", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+
+    def at_roots(rows: pa.Table) -> pa.Table:
+        out = []
+        for r in rows.to_pylist():
+            hi = min(r["lo"] + frequencies, r["n"])
+            found = generating(chain, r["state"], r["n"], r["lo"], hi, r["lengths"])
+            out += [{"length": length, "state": r["state"], "lo": r["lo"], "values": v.tobytes()} for length, v in zip(r["lengths"], found, strict=True)]
+        return pa.Table.from_pylist(out, schema=pa.schema([("length", pa.int64()), ("state", pa.int32()), ("lo", pa.int64()), ("values", pa.binary())]))
+
+    def inverse(key: tuple, rows: pa.Table) -> pa.Table:
+        length, values = key[0].as_py(), rows.sort_by("lo").column("values").to_pylist()
+        p = np.fft.ifft(np.frombuffer(b"".join(values), complex)).real[: length + 1].clip(0)
+        at = np.arange(length + 1)
+        return pa.table({"length": pa.array(np.full(len(at), length)), "state": pa.array(np.full(len(at), key[1].as_py(), np.int32)), "visits": pa.array(at), "p": pa.array(p)})
+
+    found = runs.groupBy("n", "lo", "state").applyInArrow(at_roots, "length long, state int, lo long, values binary")
+    return found.groupBy("length", "state").applyInArrow(inverse, "length long, state int, visits long, p double")
 
 
 def pvalues(counts: DataFrame, keys: list[str], chain: Chain, stationary: DataFrame) -> DataFrame:

@@ -1,27 +1,67 @@
-"""Interval joins on buckets: equi-joins that Spark can shuffle, with the overlap as a condition."""
+"""Interval joins on buckets of the intervals' own scale: equi-joins that Spark can shuffle, with the overlap as a condition.
+
+An interval's level is the least one whose buckets, `width` * 2^level wide, are no shorter than it is. A pair meets at the
+level of its longer interval: that one waits in the bucket in which it begins, the other one asks in each bucket in which
+an interval that overlaps it may begin, three at most. So an interval of any length makes one row, and three more for each
+coarser level that the other side has; no pair meets twice. Buckets that very many intervals share are left to AQE's skew
+handling, as both joins are sort-merge joins whose sides it can split.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def buckets(df: DataFrame, width: int, start: str = "start", stop: str = "stop") -> DataFrame:
-    """A row for each bucket that an interval touches; intervals without length touch none."""
-    return df.where(F.col(stop) > F.col(start)).withColumn("bucket", F.explode(F.sequence(F.expr(f"{start} div {width}"), F.expr(f"({stop} - 1) div {width}"))))
+def level(start: str, stop: str, width: int) -> Column:
+    """The least level whose buckets are no shorter than the interval."""
+    length = F.col(stop) - F.col(start)
+    guess = F.ceil(F.log2(F.greatest(length / width, F.lit(1.0)))).cast("int")
+    # A power of two may come out of the logarithm a little too small.
+    return F.when(F.pow(F.lit(2.0), guess) * width < length, guess + 1).otherwise(guess)
+
+
+def waiting(df: DataFrame, start: str, width: int) -> DataFrame:
+    """Each interval in the bucket of its own level in which it begins."""
+    return df.withColumn("bucket", F.floor(F.col(start) / (width * F.pow(F.lit(2.0), "level"))))
+
+
+def asking(df: DataFrame, levels: list[int], start: str, stop: str, width: int, strictly: bool) -> DataFrame:
+    """A row for each bucket, of the levels that are coarser than the interval's own (or as coarse), where a partner may begin."""
+
+    def named(lv: int):
+        return lambda b: F.struct(F.lit(lv).alias("level"), b.alias("bucket"))
+
+    every = []
+    for lv in levels:
+        size = width << lv
+        at = F.floor(F.col(start) / size)
+        found = F.array_distinct(F.array(at - 1, at, F.floor((F.col(stop) - 1) / size)))
+        coarser = F.col("level") < lv if strictly else F.col("level") <= lv
+        every.append(F.when(coarser, F.transform(found, named(lv))).otherwise(F.expr("cast(array() as array<struct<level: int, bucket: bigint>>)")))
+    return df.withColumn("at", F.explode(F.flatten(F.array(*every)))).withColumn("level", F.col("at.level")).withColumn("bucket", F.col("at.bucket")).drop("at")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, width: int = 10_000) -> DataFrame:
     """Pairs of left and right intervals of one chromosome that share at least one position, each once.
 
-    Both have chrom, start and stop; right's come back as r_start and r_stop, and no other column may be in both. A pair
-    meets in every bucket that both touch and is kept in the first of these. width: about the length of the longer side.
+    Both have chrom, start and stop; right's come back as r_start and r_stop, and no other column may be in both, nor be
+    called level or bucket. width: that of the finest buckets; results do not depend on it. Intervals without length
+    overlap nothing.
     """
-    a = buckets(left, width)
-    b = buckets(right.withColumnsRenamed({"start": "r_start", "stop": "r_stop"}), width, "r_start", "r_stop")
-    first = F.greatest(F.expr(f"start div {width}"), F.expr(f"r_start div {width}"))
-    met = a.join(b, ["chrom", "bucket"]).where((F.col("start") < F.col("r_stop")) & (F.col("r_start") < F.col("stop")) & (F.col("bucket") == first))
-    return met.drop("bucket")
+    a = left.where(F.col("stop") > F.col("start")).withColumn("level", level("start", "stop", width))
+    b = right.withColumnsRenamed({"start": "r_start", "stop": "r_stop"}).where(F.col("r_stop") > F.col("r_start")).withColumn("level", level("r_start", "r_stop", width))
+    # At most as many levels as a length has bits.
+    present = {(r["side"], r["level"]) for r in a.select(F.lit(0).alias("side"), "level").union(b.select(F.lit(1), "level")).distinct().collect()}
+    ours, theirs = (sorted(lv for s, lv in present if s == side) or [0] for side in (0, 1))
+    overlap = (F.col("start") < F.col("r_stop")) & (F.col("r_start") < F.col("stop"))
+    keys = ["chrom", "level", "bucket"]
+    met = asking(a, theirs, "start", "stop", width, False).join(waiting(b, "r_start", width), keys).where(overlap).drop("level", "bucket")
+    longer = [lv for lv in ours if lv > theirs[0]]
+    if longer:
+        coarse = waiting(a.where(F.col("level").isin(longer)), "start", width)
+        met = met.unionByName(coarse.join(asking(b, longer, "r_start", "r_stop", width, True), keys).where(overlap).drop("level", "bucket"))
+    return met
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: int = 10_000) -> DataFrame:

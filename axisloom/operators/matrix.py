@@ -66,6 +66,13 @@ def group_totals(counts: DataFrame, groups: DataFrame, all_regions: bool = True)
     return bulk.groupBy("grp").agg(F.sum("cnt").alias("cnt")) if all_regions else bulk
 
 
+def bulk_cells(counts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(grp, n_cells, cnt): the cell table of `pseudobulk`'s matrix, with every group; one without counts has a zero column."""
+    of = groups.select("barcode", "grp").distinct()
+    size = of.groupBy("grp").agg(F.count("barcode").alias("n_cells"))
+    return size.join(group_totals(counts, groups), "grp", "left").select("grp", "n_cells", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+
+
 def subset_cells(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     return counts.join(wanted.select("barcode").distinct(), "barcode", "left_semi")
 

@@ -315,3 +315,15 @@ def test_no_counts_give_no_robust_posteriors(spark):
     counts, regions = two_state_data(spark, 20)
     model = em.initial_model(counts, regions, 2)
     assert em.robust_posterior(model, counts.where("false"), regions).count() == 0
+
+
+def test_null_distributions_share_their_powers(spark):
+    c = some_chain(8)
+    lengths = [1, 2, 3, 4, 7, 8, 31, 32, 33, 150]
+    rows = spark.createDataFrame([(n,) for n in [*lengths, 0, 8, 8]], "length long")
+    got: dict = {}
+    for r in enrich.null_distribution(rows, c, frequencies=16).collect():
+        got.setdefault((r["length"], r["state"]), {})[r["visits"]] = r["p"]
+    assert set(got) == {(n, s) for n in lengths for s in range(K)}
+    for (n, s), p in got.items():
+        assert np.allclose([p[v] for v in range(n + 1)], enrich.visits(c, n, s), atol=1e-12)
