@@ -997,6 +997,14 @@ def fragments(spark, sf):
     return files.read_fragments(spark, path)
 
 
+@query(oracle("SELECT chrom, start, stop, barcode, dup FROM frag", "frag"))
+def fragments_block_gzip(spark, sf):
+    """Written in compressed blocks and read by ranges of 64 KB."""
+    path = fresh_path(spark, "fragments") + ".tsv.bgz"
+    files.write_fragments(Inputs(spark, sf).frag, path, compressed=True)
+    return files.read_fragments(spark, path, 1 << 16)
+
+
 @query(oracle("SELECT qname, rname, pos, flag FROM aln", "aln"))
 def alignments(spark, sf):
     path = fresh_path(spark, "alignments")

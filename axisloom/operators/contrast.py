@@ -7,15 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from axisloom.operators.runs import with_neighbours
+
 
 def state_scores(segments: DataFrame, state: int, smooth: bool = False) -> DataFrame:
     """Segments with pscore = probability * depth; smooth: half a neighbour's on each side, 0 at the ends of a chromosome."""
     scored = segments.withColumn("pscore", F.col(f"Prob_state_{state}") * F.col("readdepth"))
     if not smooth:
         return scored
-    w = Window.partitionBy("chrom").orderBy("ridx")
-    around = 0.5 * F.lag("pscore").over(w) + F.col("pscore") + 0.5 * F.lead("pscore").over(w)
-    return scored.withColumn("pscore", F.coalesce(around, F.lit(0.0)))
+    around = 0.5 * F.col("before") + F.col("pscore") + 0.5 * F.col("after")
+    return with_neighbours(scored, "chrom", "pscore").withColumn("pscore", F.coalesce(around, F.lit(0.0))).drop("before", "after")
 
 
 def top_scores(scored: DataFrame, n: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisloom.functions.columns import best_state, state_name
+from axisloom.operators.runs import merged_runs, run_members
 
 
 def segments(regions: DataFrame, posterior: DataFrame, counts: DataFrame, n_states: int, calls: DataFrame | None = None) -> DataFrame:
@@ -33,29 +34,26 @@ def state_frequency(segments: DataFrame) -> DataFrame:
 
 
 def islands(segments: DataFrame) -> DataFrame:
-    """Segments with `island`: equal for neighbouring bins of one chromosome and state, and only for these."""
-    at = F.col("ridx") - F.row_number().over(Window.partitionBy("chrom", "state").orderBy("ridx"))
-    return segments.withColumn("island", at)
+    """(chrom, state, ridx, run): run is the first ridx of the bin's island, neighbouring bins of one chromosome and state."""
+    return run_members(segments, ["chrom", "state"])
 
 
 def merged_islands(segments: DataFrame, others: Sequence[str] = ()) -> DataFrame:
     """(chrom, start, stop, state, n_bins, readdepth) with depths summed, and the mean of each other column."""
-    more = [F.avg(c).alias(c) for c in others]
-    found = islands(segments).groupBy("chrom", "state", "island")
-    return found.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_bins"), F.sum("readdepth").alias("readdepth"), *more).drop("island")
+    found = merged_runs(segments, ["chrom", "state"], ["readdepth"], others)
+    return found.select("chrom", "state", "start", "stop", F.col("n").alias("n_bins"), F.col("sum_readdepth").alias("readdepth"), *(F.col(f"mean_{c}").alias(c) for c in others))
 
 
 def posterior_islands(segments: DataFrame, states: Sequence[int], threshold: float = 0.99, others: Sequence[str] = ("readdepth",)) -> DataFrame:
     """Islands of confident bins of the states, other columns averaged."""
     kept = segments.where(F.col("state").isin(list(states)) & (F.col("Prob_max") >= threshold))
-    found = islands(kept).groupBy("chrom", "state", "island")
-    return found.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_bins"), *(F.avg(c).alias(c) for c in others)).drop("island")
+    found = merged_runs(kept, ["chrom", "state"], means=others)
+    return found.select("chrom", "state", "start", "stop", F.col("n").alias("n_bins"), *(F.col(f"mean_{c}").alias(c) for c in others))
 
 
 def island_members(segments: DataFrame) -> DataFrame:
     """(ridx, region): region is the first ridx of the bin's island."""
-    first = F.min("ridx").over(Window.partitionBy("chrom", "state", "island"))
-    return islands(segments).select("ridx", first.alias("region"))
+    return islands(segments).select("ridx", F.col("run").alias("region"))
 
 
 def regrouped_counts(counts: DataFrame, members: DataFrame) -> DataFrame:

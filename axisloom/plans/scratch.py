@@ -45,6 +45,12 @@ def _at(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and authority of the file system that Spark would take."""
+    files, where = _at(spark, path)
+    return files.makeQualified(where).toString()
+
+
 def whole(spark: SparkSession, path: str) -> bool:
     """Whether a table at the path was written to its end."""
     files, where = _at(spark, f"{path}/_SUCCESS")

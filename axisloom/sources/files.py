@@ -12,6 +12,7 @@ from axisloom import schema
 from axisloom.operators.chain import Chain
 from axisloom.operators.em import Model, chain_of_tables, chain_tables
 from axisloom.operators.tiling import chrom_sizes, indexed
+from axisloom.sources.block_gzip import read_lines, write_lines
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
@@ -29,14 +30,29 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=schema.FEATURES, comment="#").where("stop > start")
 
 
-def read_fragments(spark: SparkSession, path: str) -> DataFrame:
-    """Fragments of a TSV file, compressed or not. A .gz file cannot be split: one task reads it, many go on."""
-    rows = spark.read.csv(path, sep="\t", schema=schema.FRAGMENTS, comment="#").where("stop > start")
-    return rows.repartition(spark.sparkContext.defaultParallelism) if path.endswith((".gz", ".bgz")) else rows
+def read_fragments(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
+    """Fragments of a TSV file, compressed or not. Block-compressed files (.gz, .bgz) are cut into ranges of split_bytes.
 
+    An ordinary .gz file cannot be cut: one task reads it, many go on.
+    """
+    if path.endswith((".gz", ".bgz")):
+        lines = read_lines(spark, path, split_bytes).where(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
+        if lines.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+            lines = lines.repartition(spark.sparkContext.defaultParallelism)
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.FRAGMENTS)
+        rows = lines.select(F.from_csv("value", F.lit(kinds), {"sep": "\t"}).alias("v")).select("v.*")
+    else:
+        rows = spark.read.csv(path, sep="\t", schema=schema.FRAGMENTS, comment="#")
+    return rows.where("stop > start")
 
-def write_fragments(fragments: DataFrame, path: str) -> None:
-    fragments.select("chrom", "start", "stop", "barcode", "dup").write.csv(path, sep="\t")
+
+def write_fragments(fragments: DataFrame, path: str, compressed: bool = False) -> None:
+    """TSV part files; compressed: in blocks, so that each can be read by many tasks."""
+    columns = ["chrom", "start", "stop", "barcode", "dup"]
+    if compressed:
+        write_lines(fragments.select(F.to_csv(F.struct(*columns), {"sep": "\t"}).alias("value")), path)
+    else:
+        fragments.select(*columns).write.csv(path, sep="\t")
 
 
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
@@ -103,7 +119,7 @@ def genome_sizes(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, size): from a fragments file the largest stops; a .sizes file lists chromosomes and lengths."""
     if path.endswith(".sizes"):
         return spark.read.csv(path, sep="\t", schema="chrom string, size long")
-    if path.endswith((".tsv", ".tsv.gz", ".bed", ".bed.gz")):
+    if path.endswith((".tsv", ".tsv.gz", ".tsv.bgz", ".bed", ".bed.gz", ".bed.bgz")):
         return chrom_sizes(read_fragments(spark, path))
     raise ValueError(f"no chromosome sizes in {path!r}")
 
