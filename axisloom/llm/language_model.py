@@ -187,20 +187,21 @@ class Block:
         h = np.concatenate([self.words, [END, START]])
         self.pairs = pair_keys(pair_hash(h[self.before], h[self.now]), segments)
         self.learned = np.repeat(~self.held, self.size + 1)
-        self.word_cuts = np.searchsorted(segment_of(self.words, segments), np.arange(segments + 1, dtype=np.uint64))
+        self.word_segments = segment_of(self.words, segments)
 
     def requests(self, segments: int) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
-        """(segment, words, counts, bigrams, counts) of every segment that owns any: sorted gaps, and counts in training texts."""
+        """(segment, words, counts, bigrams, counts) of every segment that owns any: sorted gaps, and counts in training texts.
+
+        Only these segments are visited, so a block's work follows its words, not the number of segments.
+        """
         n = np.bincount(self.now[self.learned], minlength=self.end + 1)[: self.end].astype(np.uint32)
         pairs, where = np.unique(self.pairs, return_inverse=True)
         m = np.bincount(where[self.learned], minlength=len(pairs)).astype(np.uint32)
-        cuts = np.searchsorted(pairs, np.arange(segments + 1, dtype=np.uint64) << np.uint64(32))
-        out = []
-        for i in range(segments):
-            a, b, c, d = self.word_cuts[i], self.word_cuts[i + 1], cuts[i], cuts[i + 1]
-            if b > a or d > c:
-                out.append((i, planes(gaps(self.words[a:b])), planes(n[a:b]), planes(gaps((pairs[c:d] & LOW).astype(np.uint32))), planes(m[c:d])))
-        return out
+        pair_segments = pairs >> np.uint64(32)
+        asked = np.union1d(self.word_segments, pair_segments)
+        ends = [np.searchsorted(own, asked, side).tolist() for own in (self.word_segments, pair_segments) for side in ("left", "right")]
+        low = (pairs & LOW).astype(np.uint32)
+        return [(i, planes(gaps(self.words[a:b])), planes(n[a:b]), planes(gaps(low[c:d])), planes(m[c:d])) for i, a, b, c, d in zip(asked.tolist(), *ends, strict=True)]
 
 
 def requested(tokens: DataFrame, segments: int) -> DataFrame:

@@ -205,3 +205,29 @@ def test_smallest_takes_few_rows_by_hash(spark):
     assert [r["a"] for r in smallest(rows.repartition(7), 40, "a").collect()] == [r["a"] for r in got]
     assert smallest(rows, 10_000, "a").count() == 2500
     assert smallest(rows.where("false"), 5, "a").count() == 0
+
+
+def test_requests_visit_only_segments_that_own_something():
+    """A block's requests are those of a loop over all segments, and a hundred million segments cost it no more."""
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    h = np.unique(rng.integers(0, 1 << 64, 500, dtype=np.uint64))
+    at = rng.integers(0, len(h), 3000).astype(np.uint32)
+    row = pa.table({"words": [h.tobytes()], "size": [[1000, 0, 2000]], "held_out": [[False, True, False]], "at": [at.tobytes()]})
+    for segments in (1, 7, 300):
+        block = language_model.Block(row, 0, segments)
+        found = block.requests(segments)
+        own = language_model.segment_of(h, segments)
+        pairs = np.unique(block.pairs)
+        assert [x[0] for x in found] == sorted({*own.tolist(), *(pairs >> np.uint64(32)).tolist()})
+        for i, words, n, low, m in found:
+            assert (np.cumsum(language_model.from_planes(words, np.uint64), dtype=np.uint64) == h[own == i]).all()
+            assert language_model.from_planes(n, np.uint32).tolist() == [int((at == k).sum()) for k in np.flatnonzero(own == i)]
+            assert (np.cumsum(language_model.from_planes(low, np.uint32), dtype=np.uint32) == (pairs[pairs >> np.uint64(32) == i] & language_model.LOW).astype(np.uint32)).all()
+            assert len(m) == len(low)
+    begun = time.perf_counter()
+    language_model.Block(row, 0, 100_000_000).requests(100_000_000)
+    assert time.perf_counter() - begun < 2
