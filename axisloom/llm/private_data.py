@@ -2,7 +2,8 @@
 
 Fixed patterns find the protected entities. The corpus then tells how strongly the terms around an entity reveal it: the
 pointwise mutual information of term and entity, as a share of the information content of the entity. A term that is
-found with one entity and nowhere else has share 1. Terms over a threshold are generalised to their class (number, name,
+found with one entity and nowhere else has share 1. What a term tells of an entity's class (mail domain, network, issuer,
+dialling code) and kind counts too, so that entities that occur once are covered. Terms over a threshold are generalised to their class (number, name,
 word), those over a second one removed, wherever they stand beside that entity; texts without entities are left alone.
 
 Work is linear in a text but for running sums over its matches, which cost the power 1.5 of their number in array copies.
@@ -11,6 +12,7 @@ Work is linear in a text but for running sums over its matches, which cost the p
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -178,8 +180,46 @@ def shares(met: DataFrame, entities: DataFrame, terms: DataFrame, total: int, su
     return all_three.withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0))
 
 
-def evidence(docs: DataFrame, words: int = 5, support: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(found, met, shares): every row's base spans (row, doc_id, hash, base), the terms beside entities, and what they reveal."""
+def group(entity: Column) -> Column:
+    """The class of an entity: mail domain, network (all but the last part), issuer (six digits), dialling code (three digits)."""
+    kind, value = F.substring(entity, 1, 1), F.substring(entity, 3, 1 << 30)
+    of = F.when(kind == "0", F.regexp_extract(value, "@(.*)$", 1)).when(kind == "1", F.regexp_replace(value, "[.][0-9]+$", "")).when(kind == "2", F.substring(value, 1, 6)).otherwise(F.substring(value, 1, 3))
+    return F.concat(kind, F.lit("/"), of)
+
+
+def backed_off(met: DataFrame, entities: DataFrame, terms: DataFrame, total: int, support: int, strength: float) -> DataFrame:
+    """(entity, term, share) of every pair, also of entities that occur once: what a term tells of an entity's kind and class.
+
+    The chance of an entity beside a term is estimated from kind to class (`group`) to entity. Where a pair was met in
+    `support` different surroundings or more, a level's chance is (n_both + strength * prior) / (n_term + strength); with
+    fewer it is its prior. The prior is the chance of the level above, times the level's part of that one; a kind's is
+    its own share of all terms. share = log2(chance / p(entity)) / IC(entity).
+    """
+    three = F.array(F.col("entity"), group(F.col("entity")), F.substring("entity", 1, 1))
+    pairs = met.select("term", "context", F.posexplode(three).alias("level", "key")).groupBy("level", "key", "term").agg(F.count("*").alias("n"), F.countDistinct("context").alias("surroundings"))
+    pairs = saved(pairs)
+    sizes = entities.select("n_entity", F.posexplode(three).alias("level", "key")).groupBy("level", "key").agg(F.sum("n_entity").alias("size"))
+    known = pairs.join(sizes, ["level", "key"])
+
+    def level(i: int, name: str) -> DataFrame:
+        return known.where(F.col("level") == i).select(F.col("key").alias(name), "term", F.col("size").alias(f"size_{i}"), F.when(F.col("surroundings") >= support, F.col("n")).alias(f"n_{i}"))
+
+    rows = level(0, "entity").withColumns({"class": group(F.col("entity")), "kind": F.substring("entity", 1, 1)})
+    rows = rows.join(level(1, "class"), ["class", "term"]).join(level(2, "kind"), ["kind", "term"]).join(terms, "term")
+    chance = F.col("size_2") / F.lit(float(total))
+    for i in (2, 1, 0):
+        prior = chance if i == 2 else chance * F.col(f"size_{i}") / F.col(f"size_{i + 1}")
+        seen = (F.least(f"n_{i}", "n_term") + strength * prior) / (F.col("n_term") + strength)
+        rows = rows.withColumn("chance", F.when(F.col(f"n_{i}").isNotNull(), seen).otherwise(prior))
+        chance = F.col("chance")
+    own = F.col("size_0") / F.lit(float(total))
+    return rows.select("entity", "term", F.when(own < 1, F.log2(chance / own) / -F.log2(own)).otherwise(0.0).alias("share"))
+
+
+def evidence(docs: DataFrame, words: int = 5, support: int = 2, strength: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(found, met, shares, backed off): every row's base spans (row, doc_id, hash, base), the terms beside entities, and
+    what they reveal: of entities met with them in several surroundings, and by class of all.
+    """
     rows = text_docs(docs)
     found = rows.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
     n_terms = (F.char_length(F.regexp_replace("text", r"[\p{L}\p{N}]+", "")) + 1).cast("long")
@@ -189,19 +229,22 @@ def evidence(docs: DataFrame, words: int = 5, support: int = 2) -> tuple[DataFra
     beside = F.collect_list("term").over(Window.partitionBy("row", "entity", "place"))
     met = saved(met.withColumn("context", F.xxhash64(F.array_sort(beside))))
     entities = found.select(F.explode("base").alias("s")).groupBy(entity(F.col("s.kind"), F.col("s.value")).alias("entity")).agg(F.count("*").alias("n_entity"))
-    return found.select("row", "doc_id", "hash", "base"), met, shares(met, entities, term_counts(rows, met), total, support)
+    entities, terms = saved(entities), saved(term_counts(rows, met))
+    return found.select("row", "doc_id", "hash", "base"), met, shares(met, entities, terms, total, support), backed_off(met, entities, terms, total, support, strength)
 
 
-def spans(docs: DataFrame, words: int = 5, generalise: float = 0.6, remove: float = 0.9, support: int = 2) -> DataFrame:
+def spans(docs: DataFrame, words: int = 5, generalise: float = 0.6, remove: float = 0.9, support: int = 2, strength: float = 1.0) -> DataFrame:
     """(row, doc_id, hash, base, terms): each row's base spans, and its revealing terms as (start, stop, removed, class).
 
     A term is revealing beside an entity if its share of the entity's information is `generalise` or more, in `support`
-    different surroundings or more; from `remove` on it is removed. Null and empty texts have neither; equal rows have
+    different surroundings or more of the entity itself (`shares`) or of its class or kind (`backed_off`); from `remove`
+    on it is removed. Null and empty texts have neither; equal rows have
     equal spans; a null doc_id stays null; an empty table gives no rows; columns other than doc_id and text are ignored.
     Offsets are code points, ends exclusive.
     """
-    found, met, told = evidence(docs, words, support)
-    bad = saved(told.where(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed")))
+    found, met, *told = evidence(docs, words, support, strength)
+    bad = reduce(DataFrame.unionByName, (t.where(F.col("share") >= generalise).select("entity", "term", "share") for t in told))
+    bad = saved(bad.groupBy("entity", "term").agg((F.max("share") >= remove).alias("removed")))
     kind = F.when(F.col("written").rlike(r"^\p{N}+$"), "number").when(F.col("written").rlike(r"^\p{Lu}"), "name").otherwise("word")
     hits = met.join(bad, ["entity", "term"]).groupBy("row", "start", "stop").agg(F.max("removed").alias("removed"), F.max(kind).alias("class"))
     terms = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "removed", "class"))).alias("terms"))

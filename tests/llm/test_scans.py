@@ -97,6 +97,70 @@ def brute_shares(rows, words, support):
     return out
 
 
+def brute_backed_off(rows, words, support, strength):
+    """{(entity, term): share} from plain loops: chances from kind to class to entity."""
+    near, seen, n_term, size, total, pairs = Counter(), defaultdict(set), Counter(), Counter(), 0, set()
+    for _, text in rows:
+        total += len(re.sub(r"[^\W_]+", "", text)) + 1
+        n_term.update(w for w in re.split(r"[\W_]+", text.lower()) if len(w) >= 3)
+        base = [(int(a), int(b), private_data.KINDS.index(k)) for k, a, b in (x.split(":") for x in brute_private(text).split(",") if x)]
+        terms = [m for m in re.finditer(r"[^\W_]{3,}", text) if not any(a < m.end() and m.start() < b for a, b, _ in base)]
+        for a, b, k in base:
+            value = re.sub("[^0-9]", "", text[a:b]) if k > 1 else text[a:b].lower()
+            of = [value.partition("@")[2], value.rpartition(".")[0], value[:6], value[:3]][k]
+            three = (f"{k}:{value}", f"{k}/{of}", str(k))
+            around = [m[0].lower() for m in [m for m in terms if m.start() < a][-words:] + [m for m in terms if m.start() >= a][:words]]
+            size.update(three)
+            for w in around:
+                pairs.add((three, w))
+                for key in three:
+                    near[key, w] += 1
+                    seen[key, w].add(tuple(sorted(around)))
+    out = {}
+    for three, w in pairs:
+        chance, above = None, None
+        for key in reversed(three):
+            prior = size[key] / total if chance is None else chance * size[key] / size[above]
+            enough = len(seen[key, w]) >= support
+            chance, above = (min(near[key, w], n_term[w]) + strength * prior) / (n_term[w] + strength) if enough else prior, key
+        own = size[three[0]] / total
+        out[three[0], w] = math.log2(chance / own) / -math.log2(own)
+    return out
+
+
+def test_backed_off_shares_against_plain_counts(spark):
+    rng = random.Random(16)
+    mails = [f"m{i}@{h}.example" for i in range(12) for h in ("one", "two")]
+    parts = [f"plain{i}" for i in range(20)] * 4 + mails + [f"+1 (212) 555-01{i:02d}" for i in range(20)] + [f"10.0.{i % 3}.{i}" for i in range(20)] + ["Ünïcode"]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for words, support, strength in ((5, 2, 1.0), (2, 3, 4.0)):
+        got = {(r["entity"], r["term"]): r["share"] for r in private_data.evidence(docs, words, support, strength)[3].collect()}
+        want = brute_backed_off(rows, words, support, strength)
+        assert got.keys() == want.keys()
+        assert len(got) > 200
+        assert all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-12) for k in want)
+
+
+def test_terms_of_a_class_are_found_beside_entities_that_occur_once(spark):
+    """A word that stands beside the addresses of one small domain alone is generalised; common words are left alone."""
+    rng = random.Random(5)
+    common = [f"plain{i}" for i in range(30)]
+    rows = []
+    for i in range(400):
+        around = [rng.choice(common) for _ in range(60)]
+        if i < 6:
+            around[30:31] = ["Quuxworks", f"person{i}@quux.example"]
+        elif i % 4 == 0:
+            around[30] = f"person{i}@mail{i}.example"
+        rows.append((i, " ".join(around)))
+    got = {r["doc_id"]: r for r in private_data.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        at = text.find("Quuxworks")
+        assert (got[i]["n_generalised"], got[i]["n_removed"]) == ((1, 0) if i < 6 else (0, 0))
+        assert (f"generalised:{at}:{at + 9}" in got[i]["spans"].split(",")) == (i < 6)
+
+
 def test_shares_of_information_against_plain_counts(spark):
     rng = random.Random(6)
     parts = [f"plain{i}" for i in range(20)] + ["q@r.example", "+1 (212) 555-0100", "+12125550100", "10.0.0.7", "x7", "Ünïcode"]
