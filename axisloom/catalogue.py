@@ -1041,6 +1041,31 @@ def matrix_store(spark, sf):
     return files.read_matrix(spark, path)[0].select("ridx", "barcode", "cnt", "chrom")
 
 
+def _sliced(x: Inputs) -> DataFrame:
+    path = fresh_path(x.spark, "sliced")
+    files.write_sliced(x.datasets, path)
+    return files.read_sliced(x.spark, path)
+
+
+@query(oracle("SELECT dataset, ridx, barcode, cnt FROM data", "counts", data=_INIT["data"]))
+def sliced_store(spark, sf):
+    return _sliced(Inputs(spark, sf)).select("dataset", "ridx", "barcode", "cnt")
+
+
+@query(ORACLE_SQL["emission_loglik"])
+def sliced_loglik(spark, sf):
+    x = Inputs(spark, sf)
+    return emission.log_likelihood(_sliced(x), x.tile, _initial(x).emission, STATES).select("ridx", "state", r4("ll", "ll"))
+
+
+@query(ORACLE_SQL["score"])
+def sliced_score(spark, sf):
+    x = Inputs(spark, sf)
+    counts = _sliced(x)
+    found = em.score(em.fit(counts, x.tile, STATES, 2, chain_of=_by_chrom(x)), counts, x.tile, chain_of=_by_chrom(x))
+    return spark.createDataFrame([(round(found, 3),)], "score double")
+
+
 @query(oracle("SELECT dataset, barcode, state, round(suffstat, 4) AS suffstat, round(prior, 4) AS prior FROM emi", "tile", "counts", **_INIT))
 def model_store(spark, sf):
     path = fresh_path(spark, "model")

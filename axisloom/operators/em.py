@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from axisloom.operators.chain import Chain, blocked, decode, passes, posteriors
 from axisloom.operators.emission import alphas, cell_priors, dataset_likelihoods, emission_table, first_state, initial_states, likelihoods, state_sums, summed_likelihoods, weighted_sums
+from axisloom.operators.slices import slices
 from axisloom.plans.scratch import fresh_path, removed, stored, whole, written
 
 
@@ -126,10 +127,10 @@ class Fits:
         return spark.createDataFrame(rows, "track string, kind string, i int, j int, p double")
 
 
-def _first(counts: DataFrame, regions: DataFrame, n_states: int, seeds: list[int], o: Options) -> Fits:
+def _first(counts: DataFrame, regions: DataFrame, n_states: int, seeds: list[int], o: Options, path: str) -> Fits:
     states = regions.select("ridx", F.array(*((first_state(n_states, s) == k).cast("double") for s in seeds for k in range(n_states))).alias("p"))
     width = n_states * len(seeds)
-    cells = cell_priors(counts, o.prior_weight).join(weighted_sums(counts, states, width), ["dataset", "barcode"], "left")
+    cells = cell_priors(counts, o.prior_weight).join(weighted_sums(counts, states, width, path), ["dataset", "barcode"], "left")
     cells = cells.select("dataset", "barcode", "prior", F.coalesce("sums", F.array_repeat(F.lit(0.0), width)).alias("sums"))
     tracks = list(map(str, seeds))
     return Fits(n_states, seeds, cells, {t: Chain.uniform(n_states) for t in tracks}, dict.fromkeys(tracks, float("-inf")), dict.fromkeys(tracks, 0))
@@ -157,7 +158,7 @@ def _passed(f: Fits, live: list[int], counts: DataFrame, regions: DataFrame, o:
     """chain.passes of the live seeds, each a track. The counts are read once for all of them."""
     k = f.n_states
     alpha = f.cells.select("dataset", "barcode", F.transform(F.flatten(F.array(*(f.sums(s) for s in live))), lambda x: x + F.col("prior")).alias("a"))
-    found = summed_likelihoods(counts, regions, alpha, k * len(live))
+    found = summed_likelihoods(counts, regions, alpha, k * len(live), path=f"{path}-sums")
     tracks = F.array(*(F.struct(F.lit(str(s)).alias("track"), F.slice("ll", i * k + 1, k).alias("ll")) for i, s in enumerate(live)))
     rows = found.select("ridx", F.explode(tracks).alias("x")).select("x.track", "ridx", "x.ll")
     # The exact scan reads the likelihoods twice; a row for each region and seed is little against the counts behind it.
@@ -177,7 +178,7 @@ def _round(f: Fits, counts: DataFrame, regions: DataFrame, o: Options, chain_of:
             out.done.add(t)
     order = F.array_sort(F.collect_list(F.struct(F.array_position(F.array(*(F.lit(str(s)) for s in live)), F.col("track")).alias("at"), "p")))
     weights = passed.where("kind = 'post'").groupBy("ridx").agg(order.alias("x")).select("ridx", F.flatten(F.transform("x", lambda x: x["p"])).alias("p"))
-    new = weighted_sums(counts, weights, k * len(live)).withColumnRenamed("sums", "new")
+    new = weighted_sums(counts, weights, k * len(live), f"{scratch}/sums").withColumnRenamed("sums", "new")
     cells = f.cells.join(new, ["dataset", "barcode"], "left").withColumn("new", F.coalesce("new", F.array_repeat(F.lit(0.0), k * len(live))))
     parts = [F.slice("new", live.index(s) * k + 1, k) if s in live else f.sums(s) for s in f.seeds]
     out.cells = cells.select("dataset", "barcode", "prior", F.flatten(F.array(*parts)).alias("sums"))
@@ -189,8 +190,9 @@ def _fitted(counts: DataFrame, regions: DataFrame, n_states: int, iterations: in
     store = o.store or fresh_path(spark, "fit")
     f, at = _taken_up(spark, n_states, seeds, iterations, store) if o.store else (None, 0)
     if f is None:
-        f = _first(counts, regions, n_states, seeds, o)
+        f = _first(counts, regions, n_states, seeds, o, f"{store}/scratch-0")
         f.cells = written(f.cells, f"{store}/cells-0")
+        removed(spark, f"{store}/scratch-0")
     for i in range(at + 1, iterations + 1):
         if len(f.done) == len(seeds):
             break
@@ -204,11 +206,12 @@ def _fitted(counts: DataFrame, regions: DataFrame, n_states: int, iterations: in
 
 
 def _inputs(counts: DataFrame, regions: DataFrame, chain_of: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    return stored(counts), stored(regions.select("ridx")), chain_of if chain_of is None else stored(chain_of)
+    # Sliced counts are a table already, and a copy of it would lose its buckets.
+    return counts if slices(counts) else stored(counts), stored(regions.select("ridx")), chain_of if chain_of is None else stored(chain_of)
 
 
 def fit(counts: DataFrame, regions: DataFrame, n_states: int, iterations: int = 10, seed: int = 32, options: Options | None = None, chain_of: DataFrame | None = None) -> Model:
-    """EM from the seed's initial model. counts: (dataset, ridx, barcode, cnt).
+    """EM from the seed's initial model. counts: (dataset, ridx, barcode, cnt); those of files.read_sliced are never shuffled.
 
     chain_of: (ridx, chain) starts a chain anew, for instance on every chromosome; by default the axis is one chain.
     With options.store a fit that was ended goes on from its last whole round; at most two rounds are kept on disk.
@@ -238,7 +241,7 @@ def fit_seeds(counts: DataFrame, regions: DataFrame, n_states: int, seeds: int |
         f = _fitted(counts, regions, n_states, iterations, some, own, chain_of)
         path = fresh_path(spark, "last-pass")
         found = track_statistics(_passed(f, some, counts, regions, o, chain_of, path).where("kind = 'score'"))
-        removed(spark, path)
+        removed(spark, path, f"{path}-sums")
         for s in some:
             models.append(f.model(s))
             models[-1].score = found[str(s)][1]

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisloom.operators.quantiles import percentiles
+from axisloom.operators.slices import reduced, slice_of, slices, to_slices
+from axisloom.plans.scratch import stored, written
 
 
 def first_state(n_states: int, seed: int = 32) -> Column:
@@ -35,10 +37,17 @@ def state_sums(counts: DataFrame, states: DataFrame) -> DataFrame:
     return counts.join(states, "ridx").groupBy("dataset", "barcode", "state").agg(F.sum(F.col("cnt") * weight).alias("suffstat"))
 
 
-def weighted_sums(counts: DataFrame, weights: DataFrame, width: int) -> DataFrame:
-    """(dataset, barcode, sums array): counts summed by each of the weights of their region. weights: (ridx, p array of width)."""
-    found = counts.join(weights, "ridx").groupBy("dataset", "barcode").agg(*(F.sum(F.col("cnt") * F.get("p", F.lit(k))).alias(f"s{k}") for k in range(width)))
-    return found.select("dataset", "barcode", F.array(*(F.col(f"s{k}") for k in range(width))).alias("sums"))
+def weighted_sums(counts: DataFrame, weights: DataFrame, width: int, path: str | None = None) -> DataFrame:
+    """(dataset, barcode, sums array): counts summed by each of the weights of their region. weights: (ridx, p array of width).
+
+    Of sliced counts only the sums leave their tasks, and are written (to the path) at once; the weights go to the slices.
+    """
+    n, on = slices(counts), ["ridx"]
+    if n:
+        weights, on = to_slices(weights.withColumn("slice", slice_of(counts.sparkSession, n)), n), ["slice", "ridx"]
+    found = counts.join(weights, on).groupBy("dataset", "barcode").agg(*(F.sum(F.col("cnt") * F.get("p", F.lit(k))).alias(f"s{k}") for k in range(width)))
+    sums = found.select("dataset", "barcode", F.array(*(F.col(f"s{k}") for k in range(width))).alias("sums"))
+    return reduced(sums, path) if n else sums
 
 
 def cell_priors(counts: DataFrame, prior_weight: float = 1.0) -> DataFrame:
@@ -81,17 +90,28 @@ def alphas(emission: DataFrame) -> DataFrame:
     return by_state(emission.select("dataset", "barcode", "state", (F.col("suffstat") + F.col("prior")).alias("a")), ["dataset", "barcode"], "a")
 
 
-def dataset_likelihoods(counts: DataFrame, alpha: DataFrame, width: int, cap: int | None = None, min_depth: int = 0) -> DataFrame:
+def dataset_likelihoods(counts: DataFrame, alpha: DataFrame, width: int, cap: int | None = None, min_depth: int = 0, path: str | None = None) -> DataFrame:
     """(dataset, ridx, x array): the log-likelihood of every region that has counts. alpha: (dataset, barcode, a array of width).
 
     cap: counts are cut at it; min_depth: a region with a smaller depth is left out. No multinomial coefficient.
+    Sliced counts are neither shuffled for the join with their cells nor for the sums of regions: the alphas of a slice's
+    cells go there. The sums, a row for each region, are written (to the path) at once.
     """
+    n = slices(counts)
     if cap:
         counts = counts.withColumn("cnt", F.least("cnt", F.lit(cap)).cast("long"))
-    lut = counts.select("dataset", "barcode", "cnt").distinct().join(alpha, ["dataset", "barcode"])
-    lut = lut.select("dataset", "barcode", "cnt", F.transform("a", lambda a: rise(a, F.col("cnt"))).alias("gain"))
-    met = counts.join(lut, ["dataset", "barcode", "cnt"])
-    gains = met.groupBy("dataset", "ridx").agg(F.sum("cnt").alias("n"), *(F.sum(F.get("gain", F.lit(k))).alias(f"g{k}") for k in range(width)))
+    of, cell = (["slice"] if n else []), ["dataset", "barcode"]
+    near = alpha
+    if n:
+        # Written first, so that the plan of the slices holds no join but theirs.
+        near = counts.select("slice", *cell).distinct().join(alpha, cell)
+        near = to_slices(written(near, f"{path}/cells") if path else stored(near), n)
+    lut = counts.select(*of, *cell, "cnt").distinct().join(near, [*of, *cell])
+    lut = lut.select(*of, *cell, "cnt", F.transform("a", lambda a: rise(a, F.col("cnt"))).alias("gain"))
+    met = counts.join(lut, [*of, *cell, "cnt"])
+    gains = met.groupBy(*of, "dataset", "ridx").agg(F.sum("cnt").alias("n"), *(F.sum(F.get("gain", F.lit(k))).alias(f"g{k}") for k in range(width)))
+    if n:
+        gains = reduced(gains.drop("slice"), path and f"{path}/gains")
     if min_depth:
         gains = gains.where(F.col("n") >= min_depth)
     alpha0 = alpha.groupBy("dataset").agg(*(F.sum(F.get("a", F.lit(k))).alias(f"a{k}") for k in range(width)))
@@ -100,9 +120,9 @@ def dataset_likelihoods(counts: DataFrame, alpha: DataFrame, width: int, cap: in
     return each.select("dataset", "ridx", F.array(*(F.col(f"g{k}") - F.get("loss", F.lit(k)) for k in range(width))).alias("x"))
 
 
-def summed_likelihoods(counts: DataFrame, regions: DataFrame, alpha: DataFrame, width: int, cap: int | None = None, min_depth: int = 0) -> DataFrame:
+def summed_likelihoods(counts: DataFrame, regions: DataFrame, alpha: DataFrame, width: int, cap: int | None = None, min_depth: int = 0, path: str | None = None) -> DataFrame:
     """(ridx, ll array): dataset_likelihoods summed over datasets, for every region; regions without counts have 0."""
-    each = dataset_likelihoods(counts, alpha, width, cap, min_depth)
+    each = dataset_likelihoods(counts, alpha, width, cap, min_depth, path)
     sums = each.groupBy("ridx").agg(*(F.sum(F.get("x", F.lit(k))).alias(f"x{k}") for k in range(width)))
     return regions.select("ridx").join(sums, "ridx", "left").select("ridx", F.array(*(F.coalesce(f"x{k}", F.lit(0.0)) for k in range(width))).alias("ll"))
 

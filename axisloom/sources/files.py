@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from axisloom import schema
 from axisloom.operators.chain import Chain
 from axisloom.operators.em import Model, chain_of_tables, chain_tables
+from axisloom.operators.slices import marked, slice_of
 from axisloom.operators.tiling import chrom_sizes, indexed
+from axisloom.plans.scratch import qualified
 from axisloom.sources.block_gzip import read_lines, write_lines
 
 
@@ -136,6 +139,42 @@ def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     return tuple(spark.read.parquet(f"{path}/{part}") for part in ("counts", "regions", "cells"))
 
 
+def _table(spark: SparkSession, path: str, n: int) -> tuple[str, str]:
+    """The name in the session's catalogue of the sliced counts at a path, and the path with its file system."""
+    where = qualified(spark, f"{path}/counts")
+    return f"sliced_{n}_{hashlib.sha256(where.encode()).hexdigest()[:24]}", where
+
+
+def write_sliced(counts: DataFrame, path: str, slices: int | None = None) -> None:
+    """Counts (dataset, ridx, barcode, cnt) as a table with a bucket for each slice of the regions; see operators.slices.
+
+    Reading it, a task holds a slice, so slices are to be as many as make one fit for a task (a gigabyte, say); None takes
+    spark.sql.shuffle.partitions. The table is external: dropping its name from the catalogue leaves the files.
+    """
+    spark = counts.sparkSession
+    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, where = _table(spark, path, n)
+    rows = counts.select(slice_of(spark, n).alias("slice"), "dataset", "barcode", F.col("ridx").cast("long").alias("ridx"), F.col("cnt").cast("long").alias("cnt"))
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    rows.repartition(n, "slice").write.bucketBy(n, "slice").sortBy("dataset", "barcode", "ridx").option("path", where).format("parquet").saveAsTable(name)
+    # Written last, so a store that tells its slices is whole.
+    spark.createDataFrame([(json.dumps({"slices": n}),)], "value string").write.text(f"{path}/parameters")
+
+
+def read_sliced(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of a sliced store, in this or any later session; those that the store lacks its parameters for are a ValueError."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        n = json.loads(spark.read.text(f"{path}/parameters").first()["value"])["slices"]
+    except AnalysisException as e:
+        raise ValueError(f"no whole sliced store at {path}") from e
+    name, where = _table(spark, path, n)
+    columns = "slice BIGINT, dataset STRING, barcode STRING, ridx BIGINT, cnt BIGINT"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (slice) SORTED BY (dataset, barcode, ridx) INTO {n} BUCKETS LOCATION '{where}'")
+    return marked(spark.table(name), n)
+
+
 def write_model(model: Model, path: str, segments: DataFrame | None = None) -> None:
     """Start, transitions, emissions, parameters as JSON lines and, once there are any, segments."""
     spark = model.emission.sparkSession
