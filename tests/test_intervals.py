@@ -1,12 +1,13 @@
 """Interval joins and quantiles against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from axisloom.operators import quantiles
+from axisloom.operators import counting, intervals, quantiles
 from axisloom.operators.intervals import overlap_join
 
 
@@ -54,3 +55,34 @@ def test_percentiles_are_exact(spark, accuracy, monkeypatch):
         assert np.allclose(q, np.quantile([x for k, x in rows if k == g], shares), atol=1e-12)
     assert np.allclose(quantiles.percentiles(df, "x", shares)[None], np.quantile([x for _, x in rows if x is not None], shares), atol=1e-12)
     assert quantiles.percentiles(df.where("false"), "x", shares) == {}
+
+
+@pytest.mark.parametrize(("width", "piece", "pairs"), [(1, 1 << 18, 1 << 20), (64, 5, 7), (10_000, 1 << 18, 50)])
+def test_counts_of_overlaps_are_those_of_all_pairs(spark, monkeypatch, width, piece, pairs):
+    monkeypatch.setattr(intervals, "PIECE", piece)
+    monkeypatch.setattr(intervals, "PAIRS", pairs)
+    rng = random.Random(width)
+    a = [*some(rng, 120, 3000), (120, "x", 0, 100_000_000), (121, "y", 5, 5), (122, None, 0, 9)]
+    b = [*some(rng, 200, 100_000), (200, "y", 0, 100_000_000), (201, "x", 3, 4), (202, "x", 3, 4), (203, None, 0, 9)]
+    b = [(j % 50, rng.choice(["u", "v", "w", None]), c, s, e) for j, c, s, e in b]
+    regions = spark.createDataFrame(a, "ridx long, chrom string, start long, stop long")
+    records = spark.createDataFrame(b, "id long, barcode string, chrom string, start long, stop long")
+    met = [(i, k, j) for i, c, s, e in a for j, k, d, t, f in b if c is not None and c == d and max(s, t) < min(e, f)]
+
+    def counts(df):
+        return sorted(((r["ridx"], r["barcode"], r["cnt"]) for r in df.collect()), key=str)
+
+    assert counts(intervals.overlap_counts(regions, records, "barcode", width=width)) == sorted(((i, k, n) for (i, k), n in Counter((i, k) for i, k, _ in met).items()), key=str)
+    assert counts(intervals.overlap_counts(regions, records, "barcode", "id", width)) == sorted(((i, k, n) for (i, k), n in Counter((i, k) for i, k, _ in set(met)).items()), key=str)
+    assert counts(intervals.overlap_counts(regions, records.where("false"), "barcode")) == counts(intervals.overlap_counts(regions.where("false"), records, "barcode")) == []
+
+
+def test_counts_in_regions_shuffle_no_pairs(spark):
+    regions = spark.range(300).select(F.col("id").alias("ridx"), F.lit("x").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 4000).alias("stop"))
+    fragments = spark.range(400).select(F.lit("x").alias("chrom"), (F.col("id") + 1000).alias("start"), (F.col("id") + 1050).alias("stop"), F.concat(F.lit("u"), "id").alias("barcode"))
+    found = counting.fragments_in_regions(fragments, regions)
+    assert found.count() == 300 * 400 and found.agg(F.sum("cnt")).first()[0] == 300 * 400
+    # Nothing is gathered behind the tasks in which regions and fragments meet, and they meet after one shuffle of both.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("FlatMapGroupsInArrow")
+    assert "Aggregate" not in above and "Join" not in above and below.count("RepartitionByExpression") == 1
