@@ -6,6 +6,7 @@ Floats are rounded to four digits on both sides, ties are broken explicitly, and
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from axisloom.functions import columns as C
 from axisloom.operators import annotate, contrast, counting, em, emission, enrich, intervals, matrix, segments, tiling
 from axisloom.operators.chain import Chain, blocked, decode, decoded_map
-from axisloom.plans.scratch import fresh_path
+from axisloom.operators.packed import packed
+from axisloom.plans.scratch import fresh_path, stored
 from axisloom.plans.views import STATES, WIDTH, oracle, rule_segments, stationary, view
 from axisloom.sources import files
 
@@ -79,6 +81,22 @@ class Inputs:
         return self.reads.groupBy(F.col("rname").alias("chrom")).agg((F.max("pos") + 3000).alias("size"))
 
 
+class Kept(Inputs):
+    """The same for fits, which read them again and again: stored once, the counts packed by cell."""
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        return stored(super().sizes)
+
+    @cached_property
+    def tile(self) -> DataFrame:
+        return stored(super().tile)
+
+    @cached_property
+    def datasets(self) -> DataFrame:
+        return stored(packed(super().datasets))
+
+
 def r4(c: str | F.Column, name: str):
     return F.round(F.col(c) if isinstance(c, str) else c, 4).alias(name)
 
@@ -672,7 +690,7 @@ _CALLED_3 = _CALLED.replace("FROM prob", "FROM prob_3")
 
 @query(_after(_SEGMENTED, 3, called=_CALLED_3))
 def segmentation(spark, sf):
-    x = Inputs(spark, sf)
+    x = Kept(spark, sf)
     found = segments.segments(x.tile, em.posterior(_fitted(x), x.datasets, x.tile, chain_of=_by_chrom(x)), x.datasets, STATES)
     return found.select("ridx", "chrom", "start", "stop", *(r4(f"Prob_state_{i}", f"Prob_state_{i}") for i in _K), r4("Prob_max", "Prob_max"), "state", "name", "readdepth_0", "readdepth_1")
 
@@ -684,13 +702,13 @@ def state_frequency(spark, sf):
 
 @query(_after("SELECT o.ridx AS ridx, CAST(w.state AS INT) AS state FROM way_2 w JOIN obs_2 o ON o.chain = w.chain AND o.t = w.t", 2, **_viterbi(**_held_chain("_2"))))
 def viterbi_path(spark, sf):
-    x = Inputs(spark, sf)
+    x = Kept(spark, sf)
     return em.predict(_fitted(x, 2), x.datasets, x.tile, "viterbi", chain_of=_by_chrom(x))
 
 
 @query(_after("SELECT round(sum(s), 3) AS score FROM fw_2 f JOIN last_2 l ON f.chain = l.chain AND f.t = l.t", 2))
 def score(spark, sf):
-    x = Inputs(spark, sf)
+    x = Kept(spark, sf)
     found = em.score(_fitted(x, 2), x.datasets, x.tile, chain_of=_by_chrom(x))
     return spark.createDataFrame([(round(found, 3),)], "score double")
 
@@ -700,7 +718,7 @@ def score(spark, sf):
     **_forward_backward(_BY_DATASET.replace("concat(d.dataset, ':', t.chrom)", "d.dataset").replace("LEFT JOIN each e", "LEFT JOIN each_1 e"), **(_held_chain("_1") | {"at": "_each"})),
 ))
 def robust_posterior(spark, sf):
-    x = Inputs(spark, sf)
+    x = Kept(spark, sf)
     return em.robust_posterior(_fitted(x, 1), x.datasets, x.tile).select("ridx", "state", r4("mean", "mean"), r4("sd", "sd"))
 
 
@@ -713,7 +731,7 @@ _SEEDS = (32, 33)
     0, **{k: v for seed in _SEEDS for k, v in _rounds(1, seed, f"_s{seed}").items()},
 ))
 def fit_multi_seed(spark, sf):
-    x = Inputs(spark, sf)
+    x = Kept(spark, sf)
     best, scores = em.fit_seeds(x.datasets, x.tile, STATES, _SEEDS, 1, chain_of=_by_chrom(x))
     return spark.createDataFrame([(k, round(v, 3), k == best.seed) for k, v in scores.items()], "seed int, score double, best boolean")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from axisloom.operators.chain import Chain, blocked, decode, passes, posteriors
 from axisloom.operators.emission import alphas, cell_priors, dataset_likelihoods, emission_table, first_state, initial_states, likelihoods, state_sums, summed_likelihoods, weighted_sums
+from axisloom.operators.packed import is_packed, packed
 from axisloom.operators.slices import slices
 from axisloom.plans.scratch import fresh_path, removed, stored, whole, written
 
@@ -48,6 +49,8 @@ class Options:
 
 #: Numbers of all models' states that one pass over the counts sums; more seeds than fit are taken in turns.
 WIDTH = 96
+#: Bytes of regions' weights up to which they go to the counts; those of a longer axis meet the counts by region.
+NEAR = 8 << 20
 
 
 def m_step(stats: dict[tuple[str, int, int], float], chain: Chain, o: Options) -> Chain:
@@ -105,6 +108,8 @@ class Fits:
     scores: dict[str, float]
     rounds: dict[str, int]
     done: set[str] = field(default_factory=set)
+    #: Whether the weights of all regions take NEAR bytes at most.
+    near: bool = False
 
     def of(self, seed: int) -> slice:
         i = self.seeds.index(seed)
@@ -127,13 +132,18 @@ class Fits:
         return spark.createDataFrame(rows, "track string, kind string, i int, j int, p double")
 
 
+def _near(regions: DataFrame, width: int) -> bool:
+    return regions.count() * 8 * (width + 2) <= NEAR
+
+
 def _first(counts: DataFrame, regions: DataFrame, n_states: int, seeds: list[int], o: Options, path: str) -> Fits:
     states = regions.select("ridx", F.array(*((first_state(n_states, s) == k).cast("double") for s in seeds for k in range(n_states))).alias("p"))
     width = n_states * len(seeds)
-    cells = cell_priors(counts, o.prior_weight).join(weighted_sums(counts, states, width, path), ["dataset", "barcode"], "left")
+    near = _near(regions, width)
+    cells = cell_priors(counts, o.prior_weight).join(weighted_sums(counts, F.broadcast(states) if near else states, width, path), ["dataset", "barcode"], "left")
     cells = cells.select("dataset", "barcode", "prior", F.coalesce("sums", F.array_repeat(F.lit(0.0), width)).alias("sums"))
     tracks = list(map(str, seeds))
-    return Fits(n_states, seeds, cells, {t: Chain.uniform(n_states) for t in tracks}, dict.fromkeys(tracks, float("-inf")), dict.fromkeys(tracks, 0))
+    return Fits(n_states, seeds, cells, {t: Chain.uniform(n_states) for t in tracks}, dict.fromkeys(tracks, float("-inf")), dict.fromkeys(tracks, 0), near=near)
 
 
 def _taken_up(spark: SparkSession, n_states: int, seeds: list[int], iterations: int, store: str) -> tuple[Fits | None, int]:
@@ -170,7 +180,7 @@ def _round(f: Fits, counts: DataFrame, regions: DataFrame, o: Options, chain_of:
     live = [s for s in f.seeds if str(s) not in f.done]
     k, spark = f.n_states, counts.sparkSession
     passed = written(_passed(f, live, counts, regions, o, chain_of, f"{scratch}/blocks"), f"{scratch}/passed")
-    out = Fits(k, f.seeds, f.cells, dict(f.chains), dict(f.scores), dict(f.rounds), set(f.done))
+    out = Fits(k, f.seeds, f.cells, dict(f.chains), dict(f.scores), dict(f.rounds), set(f.done), f.near)
     for t, (sums, score) in track_statistics(passed).items():
         grown = score - f.scores[t]
         out.chains[t], out.scores[t], out.rounds[t] = m_step(sums, f.chains[t], o), score, f.rounds[t] + 1
@@ -178,7 +188,7 @@ def _round(f: Fits, counts: DataFrame, regions: DataFrame, o: Options, chain_of:
             out.done.add(t)
     order = F.array_sort(F.collect_list(F.struct(F.array_position(F.array(*(F.lit(str(s)) for s in live)), F.col("track")).alias("at"), "p")))
     weights = passed.where("kind = 'post'").groupBy("ridx").agg(order.alias("x")).select("ridx", F.flatten(F.transform("x", lambda x: x["p"])).alias("p"))
-    new = weighted_sums(counts, weights, k * len(live), f"{scratch}/sums").withColumnRenamed("sums", "new")
+    new = weighted_sums(counts, F.broadcast(weights) if f.near else weights, k * len(live), f"{scratch}/sums").withColumnRenamed("sums", "new")
     cells = f.cells.join(new, ["dataset", "barcode"], "left").withColumn("new", F.coalesce("new", F.array_repeat(F.lit(0.0), k * len(live))))
     parts = [F.slice("new", live.index(s) * k + 1, k) if s in live else f.sums(s) for s in f.seeds]
     out.cells = cells.select("dataset", "barcode", "prior", F.flatten(F.array(*parts)).alias("sums"))
@@ -189,7 +199,9 @@ def _fitted(counts: DataFrame, regions: DataFrame, n_states: int, iterations: in
     spark = counts.sparkSession
     store = o.store or fresh_path(spark, "fit")
     f, at = _taken_up(spark, n_states, seeds, iterations, store) if o.store else (None, 0)
-    if f is None:
+    if f is not None:
+        f.near = _near(regions, n_states * len(seeds))
+    else:
         f = _first(counts, regions, n_states, seeds, o, f"{store}/scratch-0")
         f.cells = written(f.cells, f"{store}/cells-0")
         removed(spark, f"{store}/scratch-0")
@@ -206,8 +218,8 @@ def _fitted(counts: DataFrame, regions: DataFrame, n_states: int, iterations: in
 
 
 def _inputs(counts: DataFrame, regions: DataFrame, chain_of: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    # Sliced counts are a table already, and a copy of it would lose its buckets.
-    return counts if slices(counts) else stored(counts), stored(regions.select("ridx")), chain_of if chain_of is None else stored(chain_of)
+    # Sliced counts are a table already, and a copy of it would lose its buckets; packed ones are the caller's to store.
+    return counts if slices(counts) or is_packed(counts) else stored(packed(counts)), stored(regions.select("ridx")), chain_of if chain_of is None else stored(chain_of)
 
 
 def fit(counts: DataFrame, regions: DataFrame, n_states: int, iterations: int = 10, seed: int = 32, options: Options | None = None, chain_of: DataFrame | None = None) -> Model:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from axisloom.operators.packed import is_packed, unpacked
 from axisloom.operators.quantiles import percentiles
 from axisloom.operators.slices import reduced, slice_of, slices, to_slices
 from axisloom.plans.scratch import stored, written
@@ -34,7 +35,7 @@ def initial_states(regions: DataFrame, n_states: int, seed: int = 32) -> DataFra
 def state_sums(counts: DataFrame, states: DataFrame) -> DataFrame:
     """(dataset, barcode, state, suffstat): counts summed by (weighted) state. states: (ridx, state[, p])."""
     weight = F.col("p") if "p" in states.columns else F.lit(1.0)
-    return counts.join(states, "ridx").groupBy("dataset", "barcode", "state").agg(F.sum(F.col("cnt") * weight).alias("suffstat"))
+    return unpacked(counts).join(states, "ridx").groupBy("dataset", "barcode", "state").agg(F.sum(F.col("cnt") * weight).alias("suffstat"))
 
 
 def weighted_sums(counts: DataFrame, weights: DataFrame, width: int, path: str | None = None) -> DataFrame:
@@ -42,6 +43,7 @@ def weighted_sums(counts: DataFrame, weights: DataFrame, width: int, path: str |
 
     Of sliced counts only the sums leave their tasks, and are written (to the path) at once; the weights go to the slices.
     """
+    counts = unpacked(counts)
     n, on = slices(counts), ["ridx"]
     if n:
         weights, on = to_slices(weights.withColumn("slice", slice_of(counts.sparkSession, n)), n), ["slice", "ridx"]
@@ -55,7 +57,8 @@ def cell_priors(counts: DataFrame, prior_weight: float = 1.0) -> DataFrame:
 
     So a dataset's priors sum to prior_weight.
     """
-    cells = counts.groupBy("dataset", "barcode").agg((F.sum("cnt") + 1).alias("x"))
+    total = F.sum(F.col("cnt") * F.size("at") if is_packed(counts) else "cnt")
+    cells = counts.groupBy("dataset", "barcode").agg((total + 1).alias("x"))
     whole = cells.groupBy("dataset").agg(F.sum("x").alias("whole"))
     return cells.join(whole, "dataset").select("dataset", "barcode", (F.col("x") / F.col("whole") * F.lit(float(prior_weight))).alias("prior"))
 
@@ -95,7 +98,8 @@ def dataset_likelihoods(counts: DataFrame, alpha: DataFrame, width: int, cap: in
 
     cap: counts are cut at it; min_depth: a region with a smaller depth is left out. No multinomial coefficient.
     Sliced counts are neither shuffled for the join with their cells nor for the sums of regions: the alphas of a slice's
-    cells go there. The sums, a row for each region, are written (to the path) at once.
+    cells go there. The sums, a row for each region, are written (to the path) at once. Packed counts are joined with their
+    cells as they are, and unpacked beside their gains.
     """
     n = slices(counts)
     if cap:
@@ -106,9 +110,12 @@ def dataset_likelihoods(counts: DataFrame, alpha: DataFrame, width: int, cap: in
         # Written first, so that the plan of the slices holds no join but theirs.
         near = counts.select("slice", *cell).distinct().join(alpha, cell)
         near = to_slices(written(near, f"{path}/cells") if path else stored(near), n)
-    lut = counts.select(*of, *cell, "cnt").distinct().join(near, [*of, *cell])
-    lut = lut.select(*of, *cell, "cnt", F.transform("a", lambda a: rise(a, F.col("cnt"))).alias("gain"))
-    met = counts.join(lut, [*of, *cell, "cnt"])
+    gain = F.transform("a", lambda a: rise(a, F.col("cnt"))).alias("gain")
+    if is_packed(counts):
+        met = unpacked(counts.join(near, cell).select("dataset", "cnt", "at", gain))
+    else:
+        lut = counts.select(*of, *cell, "cnt").distinct().join(near, [*of, *cell]).select(*of, *cell, "cnt", gain)
+        met = counts.join(lut, [*of, *cell, "cnt"])
     gains = met.groupBy(*of, "dataset", "ridx").agg(F.sum("cnt").alias("n"), *(F.sum(F.get("gain", F.lit(k))).alias(f"g{k}") for k in range(width)))
     if n:
         gains = reduced(gains.drop("slice"), path and f"{path}/gains")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisloom.functions.columns import best_state, state_name
+from axisloom.operators.packed import unpacked
 from axisloom.operators.runs import merged_runs, run_members
 
 
@@ -19,7 +20,7 @@ def segments(regions: DataFrame, posterior: DataFrame, counts: DataFrame, n_stat
     wide = posterior.groupBy("ridx").pivot("state", list(range(n_states))).agg(F.first("p"))
     wide = wide.select("ridx", *(F.coalesce(str(i), F.lit(0.0)).alias(f"Prob_state_{i}") for i in range(n_states)))
     names = sorted(r["dataset"] for r in counts.select("dataset").distinct().collect())
-    depth = counts.groupBy("ridx").agg(*(F.sum(F.when(F.col("dataset") == n, F.col("cnt")).otherwise(0)).alias(f"readdepth_{i}") for i, n in enumerate(names)))
+    depth = unpacked(counts).groupBy("ridx").agg(*(F.sum(F.when(F.col("dataset") == n, F.col("cnt")).otherwise(0)).alias(f"readdepth_{i}") for i, n in enumerate(names)))
     top, state = best_state([f"Prob_state_{i}" for i in range(n_states)])
     out = regions.join(wide, "ridx").join(depth, "ridx", "left").withColumn("Prob_max", top)
     out = out.withColumns({f"readdepth_{i}": F.coalesce(f"readdepth_{i}", F.lit(0)) for i in range(len(names))})
