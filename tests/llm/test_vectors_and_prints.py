@@ -215,6 +215,28 @@ def test_fingerprints_of_awkward_rows(spark):
     assert all(len(r["hashes"]) == len(r["positions"]) for r in prints)
 
 
+def shuffled(spark, df) -> int:
+    """Bytes that the session's shuffles write while df is made."""
+
+    def written():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        return sum(e.totalShuffleWrite() for e in map(context.statusStore().executorList(False).apply, range(context.statusStore().executorList(False).size())))
+
+    before = written()
+    df.write.format("noop").mode("overwrite").save()
+    return written() - before
+
+
+def test_texts_are_shuffled_once_and_compressed(spark):
+    docs = documents(spark).select("doc_id", "text").repartition(3).localCheckpoint()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert shuffled(spark, winnowing.edited_fingerprints(docs, 8, 5, 100)) < 0.5 * size
+    # However few rows are compressed together.
+    rows = lambda block: sorted(winnowing.edited_fingerprints(docs, 8, 5, 20, block=block).collect())
+    assert rows(1) == rows(32_000_000)
+
+
 def test_op10_sees_what_short_texts_keep(spark, tmp_path):
     rng = np.random.default_rng(4)
     letters = list("abcdefghijklmnop ")
