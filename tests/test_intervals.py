@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,24 @@ def test_counts_of_overlaps_are_those_of_all_pairs(spark, monkeypatch, width, pi
     assert counts(intervals.overlap_counts(regions, records.where("false"), "barcode")) == counts(intervals.overlap_counts(regions.where("false"), records, "barcode")) == []
 
 
+def test_only_records_of_keys_that_a_region_meets_twice_are_sorted(monkeypatch):
+    rng = np.random.default_rng(7)
+    start = np.sort(rng.integers(0, 20_000, 3000))
+    stop = start + rng.choice([1, 50, 9000], 3000, p=[0.5, 0.49, 0.01])
+    keys = [f"u{i}" if i else None for i in rng.integers(0, 40_000, 3000)]
+    keys[100:110] = ["same"] * 10
+    first = rng.integers(0, 20_000, 200)
+    last = first + rng.integers(1, 3000, 200)
+    records = pa.record_batch({"side": np.zeros(3000, np.int32), "start": start, "stop": stop, "barcode": pa.array(keys, pa.string()), "ridx": pa.nulls(3000, pa.int64())})
+    regions = pa.record_batch({"side": np.ones(200, np.int32), "start": first, "stop": last, "barcode": pa.nulls(200, pa.string()), "ridx": np.arange(200)})
+    want = Counter((i, keys[j]) for i in range(200) for j in np.flatnonzero((start < last[i]) & (stop > first[i])))
+    ordered, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, **more: ordered.append(len(x)) or unique(x, **more))
+    got = [r for b in intervals._counted(iter([records, regions]), "barcode", None, 5000) for r in b.to_pylist()]
+    assert len(got) == len(want) and {(r["ridx"], r["barcode"]): r["cnt"] for r in got} == want
+    assert sum(ordered) < len(got) / 10
+
+
 def test_counts_in_regions_shuffle_no_pairs(spark):
     regions = spark.range(300).select(F.col("id").alias("ridx"), F.lit("x").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 4000).alias("stop"))
     fragments = spark.range(400).select(F.lit("x").alias("chrom"), (F.col("id") + 1000).alias("start"), (F.col("id") + 1050).alias("stop"), F.concat(F.lit("u"), "id").alias("barcode"))
